@@ -160,7 +160,7 @@ class Encoder:
             self.names[i] = text
         self.cache = WordCache(self.encode_pieces)
 
-    def encode_pieces(self, pieces: list[str]) -> list[list[int]]:
+    def encode_pieces(self, pieces: list[str]) -> list:
         out: list = [None] * len(pieces)
         raw = [p.encode(errors="surrogateescape") for p in pieces]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
@@ -174,7 +174,7 @@ class Encoder:
             for k in range(0, len(chosen), ROWS):
                 part = chosen[k : k + ROWS]
                 for i, ids in zip(part.tolist(), self._matrix([raw[i] for i in part.tolist()], sizes[part], width)):
-                    out[i] = ids
+                    out[i] = tuple(ids)  # the garbage collector does not follow tuples of numbers
         for i in np.flatnonzero(sizes > low).tolist():
             symbols = self.inner[np.frombuffer(raw[i], np.uint8)]
             symbols[-1] = self.final[raw[i][-1]]

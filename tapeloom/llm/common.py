@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -85,7 +84,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 class WordCache(dict):
     """Values computed once for each key, in two generations, so that memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list], list], size: int = 400_000):
+    def __init__(self, compute: Callable[[list], list], size: int = 450_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
@@ -103,7 +102,3 @@ class WordCache(dict):
             else:
                 self[k] = v
         self.update(zip(fresh, self.compute(fresh)))
-
-
-#: Characters beyond which the plain rules of case and normal form below no longer hold.
-_LATIN = re.compile("[^\x00-\xff]")

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCache, materialise, new_dir, shuffle_partitions, slices, texts_of
+from .common import materialise, new_dir, shuffle_partitions, slices, texts_of
 from .wordpieces import PieceSplitter
 
 MAGIC = b"HUFTOK01"
@@ -135,22 +135,25 @@ class Code:
 # ---------------------------------------------------------------- encoding of texts
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str) -> tuple[PieceSplitter, WordCache]:
-    splitter = PieceSplitter(path)
-    model = splitter.library.model
-    vocabulary = splitter.library.get_vocab_size(with_added_tokens=True)
-    kind = "H" if vocabulary <= 1 << 16 else "I"  # little-endian machines
+class _PieceIds(dict):
+    """Packed ids of each piece, by the library's model; emptied when full."""
+
+    def __init__(self, splitter: PieceSplitter, size: int = 600_000):
+        self.splitter, self.size, self.tokenize = splitter, size, splitter.library.model.tokenize
+        self.kind = "H" if splitter.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "I"  # little-endian machines
 
-    def ids(pieces: list[str]) -> list[bytes]:
-        out = []
-        for p in pieces:
-            own = splitter.specials.get(p)
-            found = [own] if own is not None else [t.id for t in model.tokenize(splitter.printable(p))]
-            out.append(array(kind, found).tobytes())
-        return out
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= self.size:
+            self.clear()
+        own = self.splitter.specials.get(piece)
+        ids = [own] if own is not None else [t.id for t in self.tokenize(self.splitter.printable(piece))]
+        value = self[piece] = array(self.kind, ids).tobytes()
+        return value
 
-    return splitter, WordCache(ids)
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> _PieceIds:
+    return _PieceIds(PieceSplitter(path))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
@@ -159,11 +162,10 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, kind: str) ->
     end = np.array([end_id], kind).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, cache = _encoder(tokenizer)
+        ids = _encoder(tokenizer)
+        get, split = ids.__getitem__, ids.splitter.split
         for batch in slices(batches):
-            pieces = [splitter.split(t) for t in texts_of(batch)]
-            cache.ensure(set().union(*pieces))
-            out = [b"".join([*map(cache.__getitem__, p), end]) for p in pieces]
+            out = [b"".join([*map(get, split(t)), end]) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {doc_type}, ids binary")
