@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import market, research
+
 
 def queries() -> dict:
-    return {}
+    return market.QUERIES | research.QUERIES
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return market.SQL | research.SQL
