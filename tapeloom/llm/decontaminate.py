@@ -4,8 +4,8 @@ Method: SimHash of item-sized windows; multi-index Hamming blocks, which retriev
 radius; exact weighted-shingle similarity of the retrieved pairs.
 
 For an item of n shingles (five words; a shorter item is one shingle of all its words) every run of n shingles of a document
-is a window. The similarity is the weighted Jaccard index of the two bags of shingles. Of two bags of n, at least
-2 * 0.8 / 1.8 * n shingles must be shared for 0.8, so a window in which fewer positions hold any shingle of the
+is a window (a document with fewer is one window). The similarity is the weighted Jaccard index of the two bags of shingles. Of
+bags of n and m, at least 0.8 / 1.8 * (n + m) shingles must be shared for 0.8, so a window in which fewer positions hold any shingle of the
 benchmark can match no item: only the other windows are fingerprinted. This loses no match.
 
 Fingerprints are cut into four blocks of 16 bits. Within 15 differing bits some block differs in at most three, so
@@ -109,16 +109,15 @@ class Benchmark:
             hits[at + 1] = 1
             hits = np.cumsum(hits)
             for n in sorted(set().union(*(self.owners[size][i] for i in np.unique(which).tolist()))):
-                if n > len(h):
-                    continue
-                least = 2 * self.threshold / (1 + self.threshold) * n - 1e-9
-                for start in np.flatnonzero(hits[n:] - hits[:-n] >= least).tolist():
-                    window = h[start : start + n]
+                m = min(n, len(h))
+                least = self.threshold / (1 + self.threshold) * (n + m) - 1e-9
+                for start in np.flatnonzero(hits[m:] - hits[:-m] >= least).tolist():
+                    window = h[start : start + m]
                     for k in self.retrieve(simhash(window)).tolist():
                         if self.items[k][1] == size and len(self.items[k][2]) == n:
                             score = weighted_similarity(window, self.items[k][2])
                             if score >= self.threshold and (k not in best or score > best[k][0]):
-                                best[k] = (score, start, n + size - 1)
+                                best[k] = (score, start, m + size - 1)
         return [(self.items[k][0], start, words, score) for k, (score, start, words) in sorted(best.items())]
 
 

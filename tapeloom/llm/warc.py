@@ -180,7 +180,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     return materialise(rows.mapInArrow(write, "name string, records long"), "warc-manifest")
 
 
-def read_archives(spark, folder: str, names: list[str], with_data: bool = True) -> DataFrame:
+def read_archives(spark, folder: str, names: list[str], with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
     """The chunked record table of the archives: a row for each chunk (``data`` left out on request)."""
     schema = "archive string, record long, page_id long, record_type string, refers_to long, chunk int, last boolean, payload_bytes long, payload_digest string" + ", data binary" * with_data
     if not names:
@@ -193,7 +193,7 @@ def read_archives(spark, folder: str, names: list[str], with_data: bool = True)
             for k in batch.column("id").to_pylist():
                 with fs.open_input_stream(f"{base}/{names[k]}") as stream:
                     rows, held = [], 0
-                    for r in read_records(stream):
+                    for r in read_records(stream, chunk):
                         rows.append(r)
                         held += len(r["data"]) if with_data else 256
                         if held >= 8 * CHUNK:
