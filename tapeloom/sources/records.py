@@ -42,9 +42,10 @@ def book_lines(spark: SparkSession, path: str, symbol: str | None = None, glob:
 
 
 def bad_lines(spark: SparkSession, path: str, schema: str, glob: str) -> DataFrame:
-    """Lines that could not be parsed."""
-    rows = _lines(spark, path, schema, glob)
-    return rows.select("*", F.col("_metadata.file_path").alias("file")).where("_corrupt_record is not null")
+    """(file, line) of lines that could not be parsed."""
+    text = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return text.where((F.trim("value") != "") & parsed["_corrupt_record"].isNotNull()).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
 
 
 def zipped_csv(spark: SparkSession, path: str, schema: str = "price double, qty double, quote_qty double, time string, is_buyer_maker string", rows_each: int = 50_000) -> DataFrame:
