@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import WordCache, slices, texts_of
+from .common import WordCache, map_texts, slices, texts_of
 from .wordpieces import PieceSplitter
 
 #: Widths of the matrices; longer pieces are encoded one by one.
@@ -158,6 +158,7 @@ class Encoder:
         self.names = [""] * (max([*vocab.values(), *self.splitter.specials.values()]) + 1)
         for text, i in [*vocab.items(), *self.splitter.specials.items()]:
             self.names[i] = text
+        self.numbers = list(range(len(self.names)))  # one object for each id, shared by all that is remembered
         self.cache = WordCache(self.encode_pieces)
 
     def encode_pieces(self, pieces: list[str]) -> list:
@@ -174,11 +175,11 @@ class Encoder:
             for k in range(0, len(chosen), ROWS):
                 part = chosen[k : k + ROWS]
                 for i, ids in zip(part.tolist(), self._matrix([raw[i] for i in part.tolist()], sizes[part], width)):
-                    out[i] = tuple(ids)  # the garbage collector does not follow tuples of numbers
+                    out[i] = tuple(map(self.numbers.__getitem__, ids))  # the garbage collector does not follow tuples of numbers
         for i in np.flatnonzero(sizes > low).tolist():
             symbols = self.inner[np.frombuffer(raw[i], np.uint8)]
             symbols[-1] = self.final[raw[i][-1]]
-            out[i] = merge_long(symbols.tolist(), self.merges)
+            out[i] = tuple(merge_long(symbols.tolist(), self.merges))
         return out
 
     def _matrix(self, raw: list[bytes], sizes: np.ndarray, width: int) -> Iterator[list[int]]:
@@ -222,7 +223,7 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
             ids = list(own.encode(texts_of(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
+    return map_texts(docs.select("doc_id", "text"), encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -234,7 +235,7 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
             texts = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_texts(encoded.select("doc_id", "ids"), decode, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -255,4 +256,4 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that an Arrow function handles at once.
 SLICE_ROWS = 256
+#: Rows and bytes of a batch that Spark hands over.
+BATCH_ROWS, BATCH_BYTES = 1024, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +43,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def map_texts(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` for rows that hold texts: batches are kept small, as a batch of Spark's usual 10,000 rows of long
+    texts would be held several times over by the JVM and by Python. These are settings of the session."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D", "", conf.get(name)) or 0)
+        if not 0 < now <= most:
+            conf.set(name, most)
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -84,7 +98,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 class WordCache(dict):
     """Values computed once for each key, in two generations, so that memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list], list], size: int = 450_000):
+    def __init__(self, compute: Callable[[list], list], size: int = 250_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 

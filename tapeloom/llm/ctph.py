@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, slices
+from .common import map_texts, shuffle_partitions, slices
 
 WINDOW, LEAST_SIZE, LETTERS, COMMON = 7, 3, 64, 4
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             found = [fingerprint(x or "") for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.string())], names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
 def id_ranges(docs: DataFrame, ranges: int) -> list:
@@ -162,7 +162,6 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
         return doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), own, own if edited == text else fingerprint(edited)
 
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"]
-    found = with_next(docs, ranges).select("bucket", "ahead", "doc_id", "text").mapInArrow(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
+    found = map_texts(with_next(docs, ranges).select("bucket", "ahead", "doc_id", "text"), run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
     return found.select(
         *names[:5], likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"))

@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, materialise, slices
-from .shingles import SIMILARITY, WORDS, normal_words, positions_of, shingle_hashes, word_hashes
+from .common import bytes_of, map_texts, materialise, slices
+from .shingles import SIMILARITY, WORDS, WordHashes, normal_words, positions_of, shingle_hashes
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 #: All fingerprints within this distance are retrieved.
@@ -58,10 +58,10 @@ class Benchmark:
     """Items with their shingles, fingerprints and block index."""
 
     def __init__(self, items: list[tuple[int, str]], words: int = WORDS, threshold: float = SIMILARITY):
-        self.threshold, self.words = threshold, words
+        self.threshold, self.words, self.hashes = threshold, words, WordHashes()
         self.items = []
         for item_id, text in items:
-            w = word_hashes(normal_words((text or "").encode()))
+            w = self.hashes.of(normal_words((text or "").encode()))
             if len(w):
                 self.items.append((item_id, min(words, len(w)), shingle_hashes(w, words)))
         #: By (words of a shingle, shingles): items of one window size.
@@ -96,7 +96,7 @@ class Benchmark:
 
     def matches(self, data: bytes) -> list[tuple[int, int, int, float]]:
         """(item_id, first word, words, similarity) of the best window for each matched item."""
-        w = word_hashes(normal_words(data))
+        w = self.hashes.of(normal_words(data))
         best: dict[int, tuple[float, int, int]] = {}
         for size, known in self.known.items():
             if len(w) < size:
@@ -148,7 +148,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
                 rest = [pa.array([f[k + 1] for f in found], t) for k, t in enumerate(arrow)]
                 yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "item_id", "first_word", "n_words", "similarity"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        part = map_texts(docs.select("doc_id", "text"), run, schema)
         out = part if out is None else out.union(part)
     return out
 
@@ -164,5 +164,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
             for batch in slices(batches):
                 yield batch.filter(pa.array([not bench.matches(x) for x in bytes_of(batch)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = map_texts(docs, run, docs.schema)
     return docs

@@ -15,14 +15,13 @@ ignored; texts of any length are scanned whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bytes_of, slices
-from .shingles import SIMILARITY, WORDS, mix, normal_words, shingle_hashes, word_hashes
+from .common import bytes_of, map_texts, slices
+from .shingles import SIMILARITY, WORDS, WordHashes, mix, normal_words, shingle_hashes
 
 ROWS, BANDS = 2, 8
 
@@ -49,11 +48,11 @@ TEMPLATES = (
 
 class Scanner:
     def __init__(self, templates=TEMPLATES, threshold: float = SIMILARITY):
-        self.threshold, self.templates = threshold, []
+        self.threshold, self.templates, self.hashes = threshold, [], WordHashes()
         seeds = mix(np.arange(1, ROWS * BANDS + 1, dtype=np.uint64))
         self.factors = seeds | np.uint64(1)
         for name, text in templates:
-            w = word_hashes(normal_words(text.encode()))
+            w = self.hashes.of(normal_words(text.encode()))
             if len(w):
                 self.templates.append((name, len(w), min(WORDS, len(w)), np.unique(shingle_hashes(w))))
         #: By (words of a shingle, window's words): sorted band keys of those templates, and the template of each.
@@ -80,7 +79,7 @@ class Scanner:
 
     def scan(self, data: bytes) -> list[tuple[str, int, int, float]]:
         """(license, first word, words, containment)."""
-        w = word_hashes(normal_words(data))
+        w = self.hashes.of(normal_words(data))
         found: list[tuple[int, int, int, float]] = []
         hashes: dict[int, np.ndarray] = {}
         for size in sorted({k[0] for k in self.index}):
@@ -113,17 +112,12 @@ class Scanner:
         return [(self.templates[k][0], start, words, share) for k, start, words, share in sorted(out, key=lambda o: (o[1], o[0]))]
 
 
-@lru_cache(maxsize=1)
-def _scanner() -> Scanner:
-    return Scanner()
-
-
 def license_matches(docs: DataFrame, templates=None, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, license, first_word, n_words, containment): every notice found; no shuffle."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner() if templates is None and threshold == SIMILARITY else Scanner(templates or TEMPLATES, threshold)
+        scanner = Scanner(templates or TEMPLATES, threshold)
         for batch in slices(batches):
             found = [(i, *m) for i, data in enumerate(bytes_of(batch)) for m in scanner.scan(data)]
             ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
@@ -131,4 +125,4 @@ def license_matches(docs: DataFrame, templates=None, threshold: float = SIMILARI
             rest = [pa.array([f[k + 1] for f in found], t) for k, t in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([ids, *rest], names=["doc_id", "license", "first_word", "n_words", "containment"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, license string, first_word long, n_words long, containment double")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {doc_type}, license string, first_word long, n_words long, containment double")

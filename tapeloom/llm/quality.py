@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, held_out, slices, training_rows
+from .common import bytes_of, held_out, map_texts, slices, training_rows
 
 #: Bounds of the sample that the classifier is fitted on: rows, and bytes for each dictionary.
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 6_000_000
@@ -123,7 +123,7 @@ def differences(rows: DataFrame, model: Model, key: str = "doc_id") -> DataFrame
             found = [sizes.difference(x) for x in bytes_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(found, pa.float64())], names=[key, "difference"])
 
-    return rows.select(key, "text").mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, difference double")
+    return map_texts(rows.select(key, "text"), run, f"{key} {rows.schema[key].dataType.simpleString()}, difference double")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -143,4 +143,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             x = np.array([sizes.difference(t) for t in bytes_of(batch)])
             yield batch.filter(pa.array(1 / (1 + np.exp(-(m.a + m.b * x))) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

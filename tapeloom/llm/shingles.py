@@ -12,15 +12,21 @@ WORDS, SIMILARITY = 5, 0.8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
+class WordHashes(dict):
+    """Hashes of words, remembered for one task; emptied when full."""
+
+    def __init__(self, size: int = 200_000):
+        super().__init__()
+        self.size = size
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= self.size:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
-
-_hashes = _WordHashes()
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -31,7 +37,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    return WordHashes().of(words)
 
 
 def shingle_hashes(words: np.ndarray, size: int = WORDS) -> np.ndarray:

@@ -42,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_dir, shuffle_partitions, slices, texts_of
+from .common import map_texts, materialise, new_dir, shuffle_partitions, slices, texts_of
 from .wordpieces import PieceSplitter
 
 MAGIC = b"HUFTOK01"
@@ -168,7 +168,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, kind: str) ->
             out = [b"".join([*map(get, split(t)), end]) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.binary())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {doc_type}, ids binary")
+    return map_texts(docs.select("doc_id", "text"), encode, f"doc_id {doc_type}, ids binary")
 
 
 def token_counts(encoded: DataFrame, vocabulary: int, kind: str) -> np.ndarray:

@@ -29,7 +29,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, materialise, slices, texts_of, training_rows
+from .common import held_out, map_texts, materialise, slices, texts_of, training_rows
 
 #: Bound of the sample that everything is fitted on, and of the mined lexicon.
 SAMPLE_ROWS, LEXICON_TERMS = 12_000, 1_500
@@ -74,7 +74,7 @@ def mine_lexicon(rows: DataFrame, limit: int = LEXICON_TERMS) -> dict[str, float
 
     n = dict(rows.groupBy("label").count().collect())
     toxic, other = n.get(1.0, 0), n.get(0.0, 0)
-    counts = rows.select("text", "label").mapInArrow(count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = map_texts(rows.select("text", "label"), count, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((F.col("other") + 0.5) / (other + 1.0))
     top = counts.where(F.col("toxic") >= LEAST_ROWS).select("term", odds.alias("odds")).where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("odds"), "term").limit(limit)
     return {r.term: min(float(r.odds), 6.0) for r in top.collect()} | {w: 4.0 for w in INSULTS}
@@ -134,7 +134,7 @@ def features(rows: DataFrame, lexicon: dict[str, float], *keep: str) -> DataFram
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns], names=[*keep, *FEATURES])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, "text").mapInArrow(run, f"{kinds}, " + ", ".join(f"{f} double" for f in FEATURES))
+    return map_texts(rows.select(*keep, "text"), run, f"{kinds}, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
 @dataclass

@@ -27,7 +27,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, new_dir, slices
+from .common import map_texts, materialise, new_dir, slices
 
 CHUNK = 1 << 20
 #: Revisits that may be broadcast (two ids each); beyond it the join is shuffled.
@@ -177,7 +177,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
                     n += 1
         yield pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([n], pa.int64())})
 
-    return materialise(rows.mapInArrow(write, "name string, records long"), "warc-manifest")
+    return materialise(map_texts(rows, write, "name string, records long"), "warc-manifest")
 
 
 def read_archives(spark, folder: str, names: list[str], with_data: bool = True, chunk: int = CHUNK) -> DataFrame:
