@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import market, research
+from . import market, reports, research
 
 
 def queries() -> dict:
-    return market.QUERIES | research.QUERIES
+    return market.QUERIES | research.QUERIES | reports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.SQL | research.SQL
+    return market.SQL | research.SQL | reports.SQL
