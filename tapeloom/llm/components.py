@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds; each round's edges are written to the shared folder, so the lineage stays
 short and a lost executor costs one round at most. The driver sees two numbers a round. Minima are taken by
-partial aggregation before the shuffle, so a node with very many edges does not gather them in one task.
+partial aggregation before the shuffle, and written out before they are joined to the edges: the join then is a plain one of two
+tables, which Spark broadcasts if the minima are few and else splits where a node has very many edges.
 """
 
 from __future__ import annotations
@@ -15,13 +16,13 @@ from .common import materialise
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "components-least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(down.groupBy("u").agg(F.min("v").alias("m")), "components-least")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v")))
 
@@ -35,7 +36,8 @@ def connected_components(edges: DataFrame, label: str = "components") -> DataFra
     edges = materialise(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), label)
     state = None
     while True:
-        new = materialise(_small_star(_large_star(edges)).where("u <> v").distinct(), label)
+        grown = materialise(_large_star(edges), label)
+        new = materialise(_small_star(grown).where("u <> v").distinct(), label)
         found = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(found) == state:
             break
