@@ -94,11 +94,9 @@ def barrier_grid(bars: DataFrame, events: DataFrame, by: list[str], on: str, hor
     steps = events.select(*by, "t0", "side", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("j")).withColumn(on, F.col("t0") + F.col("j") * step)
     path = steps.join(bars.select(*by, on, "high", "low"), [*by, on]).groupBy(*by, "t0", "side").agg(F.array_sort(F.collect_list(F.struct("j", "high", "low"))).alias("path"))
     met = ev.join(path, [*by, "t0", "side"])
-    first = F.element_at(F.filter("path", lambda p: (p.high >= F.col("upper")) | (p.low <= F.col("lower"))), 1)
     met = met.withColumn("p", F.try_element_at(F.filter("path", lambda p: (p.high >= F.col("upper")) | (p.low <= F.col("lower"))), F.lit(1)))
     up_hit, down_hit = F.col("p.high") >= F.col("upper"), F.col("p.low") <= F.col("lower")
     label = F.when(F.col("p").isNull(), None).when(up_hit & down_hit, 0).when(up_hit, F.when(F.col("side") > 0, 1).otherwise(0)).otherwise(F.when(F.col("side") > 0, 0).otherwise(1))
-    del first
     return met.groupBy("up", "down").agg(F.count(F.lit(1)).alias("events"), F.count_if(label == 1).alias("wins"), F.count_if(label == 0).alias("losses"))
 
 

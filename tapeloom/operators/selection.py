@@ -205,3 +205,27 @@ def purged_months(times: DataFrame, on: str, k: int, embargo: int = 0, every: Co
     g = m.withColumn("fold", F.ntile(k).over(w) - 1)
     last = g.groupBy("fold").agg(F.max_by("start", "i").alias("test_start"), F.max("next").alias("test_end"))
     return last.withColumns({"train_before": F.col("test_start") - embargo, "train_from": F.col("test_end") + embargo})
+
+
+def top_loadings(loadings: DataFrame, n: int) -> DataFrame:
+    """The n features with the greatest absolute loading on each component, of (component, feature, loading); ties by name."""
+    order = W.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")
+    return loadings.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
+def ranked_features(report: DataFrame, score: str, k: int) -> DataFrame:
+    """The k best features by score and all with ``reject``, each once, in order of score."""
+    place = F.row_number().over(W.orderBy(F.desc_nulls_last(score), "feature"))  # a row for each feature
+    return report.withColumn("place", place).where((F.col("place") <= k) | F.col("reject")).orderBy("place")
+
+
+def temperature(logits: DataFrame, steps: int = 60) -> float:
+    """The temperature that gives the least cross-entropy of (logit, y): a grid narrowed four times, one aggregate for all probes of a round."""
+    low, high = 0.05, 20.0
+    for _ in range(4):
+        probes = [low * (high / low) ** (k / (steps - 1)) for k in range(steps)]
+        loss = lambda t: F.avg(F.log1p(F.exp(-F.when(F.col("y") == 1, F.col("logit")).otherwise(-F.col("logit")) / t)))
+        row = logits.agg(*[loss(t).alias(f"p{k}") for k, t in enumerate(probes)]).first()
+        best = min(range(steps), key=lambda k: row[k] if row[k] is not None else 0.0)
+        low, high = probes[max(best - 1, 0)], probes[min(best + 1, steps - 1)]
+    return (low * high) ** 0.5

@@ -64,10 +64,10 @@ def slope(x: Column, w: WindowSpec, n: int) -> Column:
 
 
 def expanding_pct_rank(df: DataFrame, by: list[str], on: str, value: str, least: int = 200) -> DataFrame:
-    """Add pct_rank: the share of the history up to a row that the row's value reaches, ties counted half (average rank).
+    """Add pct_rank: the average rank of a row's value among the values of its key up to that row, as a share; null before ``least``.
 
-    Two passes without a quadratic join: per key the values are cut into a bounded number of bands; counts of each band come from
-    running sums, and only the rows of the value's own band are compared.
+    The rank in a growing history is no window function of Spark's; a tree of counts gives it in O(log n) a row. A key is one
+    group: its (time, value) columns are all that its task holds.
     """
     import numpy as np
     import pandas as pd

@@ -75,3 +75,36 @@ def test_side_words(spark):
     rows = [("Long", 1), (" sell ", -1), ("空", -1), ("2.5", 1), ("-1", -1), ("0", None), ("x", None), (None, None)]
     got = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(rows)], "k int, a string").select("k", selection.side_of(F.col("a")).alias("s")).collect()
     assert [r.s for r in sorted(got)] == [s for _, s in rows]
+
+
+def test_temperature(spark):
+    rng = np.random.default_rng(3)
+    z = rng.normal(size=4000) * 2
+    y = (rng.random(4000) < 1 / (1 + np.exp(-z))).astype(int)
+    df = spark.createDataFrame([(float(3 * a), int(b)) for a, b in zip(z, y)], "logit double, y int")
+    assert selection.temperature(df) == pytest.approx(3, rel=0.15)
+
+
+def test_ranked_features_and_loadings(spark):
+    report = spark.createDataFrame([("a", 0.5, False), ("b", 0.9, False), ("c", 0.1, True), ("d", None, False)], "feature string, score double, reject boolean")
+    assert [r.feature for r in selection.ranked_features(report, "score", 1).collect()] == ["b", "c"]
+    loads = spark.createDataFrame([(1, "a", 0.2), (1, "b", -0.9), (1, "c", 0.5)], "component int, feature string, loading double")
+    assert [r.feature for r in selection.top_loadings(loads, 2).orderBy("place").collect()] == ["b", "c"]
+
+
+def test_source_helpers(spark, tmp_path):
+    from tapeloom.sources import records
+
+    old = spark.createDataFrame([("s", 1, 1.0), ("s", 2, 2.0)], "symbol string, ts long, close double")
+    new = spark.createDataFrame([("s", 2, 3.0), ("s", 3, 4.0)], "symbol string, ts long, close double")
+    assert {(r.ts, r.close) for r in records.append_bars(old, new, ["symbol", "ts"]).collect()} == {(1, 1.0), (2, 3.0), (3, 4.0)}
+    assert {r.ts for r in records.closed_only(new, "ts", 1, F.lit(3)).collect()} == {2}
+    with pytest.raises(KeyError):
+        records.require(old, "ts", "volume")
+    (tmp_path / "f.csv").write_text("DateTime, X\n2024-01-01 00:00:00,1.5\n1704067260,2\nbad,3\n")
+    rows = records.feature_table(spark, str(tmp_path / "f.csv")).orderBy("ts").collect()
+    assert [(r.ts, r.x) for r in rows] == [(1704067200000, 1.5), (1704067260000, 2.0)]
+    r = spark.range(1).select(records.iso_time(F.lit(1704067200000)).alias("t")).first()
+    assert r.t == "2024-01-01 00:00:00+00:00"
+    files = spark.createDataFrame([("x-2024-01-01.zip",), ("x-2024-02-01.zip",)], "f string")
+    assert records.dated(files, F.col("f"), "2024-01-15", "2024-02-15").count() == 1
