@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import gated
-from .windows import expanding_quantile, last_n
+from .windows import expanding_quantile, last_n, positions
 
 
 def forward_return(close: Column, w: WindowSpec, k: int) -> Column:
@@ -59,44 +59,77 @@ def volatility(bars: DataFrame, by: list[str], on: str, n: int) -> DataFrame:
     return rows.withColumn("vol", F.lag("atr").over(w)).drop("tr", "atr")
 
 
-def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int, up: float, down: float, vol_range=(1e-4, 1.0), both: str = "fail") -> DataFrame:
-    """Events (symbol, t0, side, entry_price, vol) with pt, sl, label, t1: which barrier a bar after the entry reaches first.
+def _paths(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int) -> DataFrame:
+    """Distinct (by, t0, side, entry_price, vol) with path: the bar at t0 and the ``horizon`` bars after it, by position, as an ordered array.
 
-    The barriers are entry * exp(up * vol) above and entry * exp(-down * vol) below; for a long the upper one
-    wins, for a short the lower. Each event meets the bars of its horizon in one equi-join on (symbol, bar time), and the
-    first touch is an aggregate, so the cost is events times horizon. A bar that opens beyond a barrier decides by its
-    open; one that reaches both is ``fail`` (0), ``win`` (1) or null by choice. No touch: label null, t1 the last bar.
+    Bars are numbered by counts of cells first, so no window spans a whole series; each event meets its bars in one equi-join on
+    (key, number). An event whose t0 is no bar has an empty path.
     """
-    low, high = vol_range
-    v = F.least(F.greatest(F.col("vol"), F.lit(low)), F.lit(high))
-    upper, lower = F.col("entry_price") * F.exp(up * v), F.col("entry_price") * F.exp(-down * v)
+    numbered = positions(bars.select(*by, on, "open", "high", "low"), by, on, 1024 * step)
+    ev = events.select(*by, "t0", "side", "entry_price", "vol").distinct()
+    start = ev.join(numbered.select(*by, F.col(on).alias("t0"), F.col("i").alias("at")), [*by, "t0"])
+    steps = start.select(*ev.columns, F.explode(F.sequence("at", F.col("at") + horizon)).alias("i"))
+    bar = F.struct("i", F.col(on).alias("t"), "open", "high", "low")
+    found = steps.join(numbered, [*by, "i"]).groupBy(*by, "t0", "side").agg(F.array_sort(F.collect_set(bar)).alias("path"))
+    return ev.join(found, [*by, "t0", "side"], "left")
+
+
+def _clipped(vol_range: tuple[float, float]) -> Column:
+    vol = F.col("vol").cast("double")
+    return F.when(vol.isNotNull() & ~F.isnan(vol), F.least(F.greatest(vol, F.lit(vol_range[0])), F.lit(vol_range[1])))
+
+
+def _touch(bar: Column, first: Column) -> Column:
+    """What a bar decides: ``upper``, ``lower``, ``both`` or null. Beyond its first bar an event is decided by an open beyond a barrier."""
+    up, down = bar["high"] >= F.col("upper"), bar["low"] <= F.col("lower")
+    gap_up, gap_down = ~first & (bar["open"] >= F.col("upper")), ~first & (bar["open"] <= F.col("lower"))
+    return F.when(gap_up, "upper").when(gap_down, "lower").when(up & down, "both").when(up, "upper").when(down, "lower")
+
+
+def _outcome(touch: Column, open_price: Column, both: str) -> Column:
+    """1 for a win, 0 for a loss, null if open; a bar that reaches both barriers by the rule ``both``."""
     long_side = F.col("side") > 0
-    ev = events.withColumns({"upper": upper, "lower": lower, "pt": F.when(long_side, upper).otherwise(lower), "sl": F.when(long_side, lower).otherwise(upper)})
-    steps = ev.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1)))).withColumn(on, F.col("t0") + F.col("j") * step)
-    met = steps.join(bars.select(*by, on, "open", "high", "low"), [*by, on])
-    up_hit, down_hit = F.col("high") >= F.col("upper"), F.col("low") <= F.col("lower")
-    gap_up, gap_down = (F.col("j") > 0) & (F.col("open") >= F.col("upper")), (F.col("j") > 0) & (F.col("open") <= F.col("lower"))
-    win, loss = F.when(long_side, 1).otherwise(0), F.when(long_side, 0).otherwise(1)
-    tie = {"fail": F.lit(0), "win": F.lit(1), "nan": F.lit(None).cast("int")}[both]
-    outcome = F.when(gap_up, win).when(gap_down, loss).when(up_hit & down_hit, tie).when(up_hit, win).when(down_hit, loss)
-    met = met.withColumn("hit", F.struct(on, outcome.alias("label"))).withColumn("touched", up_hit | down_hit | gap_up | gap_down)
-    keys = [*by, "t0", "side", "entry_price", "pt", "sl", "vol"]
-    out = met.groupBy(*keys).agg(F.min_by("hit", F.when(F.col("touched"), F.col("j"))).alias("first"), F.max(on).alias("last_bar"))
-    return out.select(*keys, F.col("first.label").alias("label"), F.coalesce(F.col(f"first.{on}"), F.col("last_bar")).alias("t1"))
+    far_up, far_down = F.abs(open_price - F.col("upper")), F.abs(open_price - F.col("lower"))
+    nearer = F.when(far_up < far_down, long_side.cast("int")).when(far_down < far_up, (~long_side).cast("int"))
+    tie = {"fail": F.lit(0), "win": F.lit(1), "nan": F.lit(None).cast("int"), "nearer": nearer}[both]
+    return F.when(touch == "upper", long_side.cast("int")).when(touch == "lower", (~long_side).cast("int")).when(touch == "both", tie)
+
 
+def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int, up: float, down: float, vol_range=(1e-4, 1.0), both: str = "fail", low: DataFrame | None = None) -> DataFrame:
+    """Events (by, t0, side, entry_price, vol) with pt, sl, label, t1: which barrier the bar at t0 or one of the ``horizon`` bars after it reaches first.
 
-def barrier_grid(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int, ups: list[float], downs: list[float]) -> DataFrame:
-    """Label shares for every pair of multiples, in one job: the parameters are a small table of rows."""
+    The barriers are entry * exp(up * vol) above and entry * exp(-down * vol) below; for a long the upper one wins, for a short the
+    lower. A bar that opens beyond a barrier decides by its open. For one that reaches both, the bars of ``low`` inside it (same
+    columns, ``step`` is the width of the large bar) are asked first; what stays open is ``fail`` (0), ``win`` (1), ``nan`` (null)
+    or ``nearer`` (the barrier nearer to the open; null if equal). No touch: label null, t1 the last bar looked at. t0 off the
+    bars, or no vol: label and t1 null. Repeated events count once.
+    """
+    v, long_side = _clipped(vol_range), F.col("side") > 0
+    ev = _paths(bars, events, by, on, horizon, step).withColumns({"upper": F.col("entry_price") * F.exp(up * v), "lower": F.col("entry_price") * F.exp(-down * v)})
+    ev = ev.withColumns({"pt": F.when(long_side, F.col("upper")).otherwise(F.col("lower")), "sl": F.when(long_side, F.col("lower")).otherwise(F.col("upper"))})
+    met = ev.withColumn("hit", F.try_element_at(F.filter("path", lambda b: _touch(b, b["t"] == F.col("t0")).isNotNull()), F.lit(1)))
+    met = met.withColumn("touch", _touch(F.col("hit"), F.col("hit.t") == F.col("t0")))
+    keys = [*by, "t0", "side", "entry_price", "pt", "sl", "vol"]
+    label, t1 = _outcome(F.col("touch"), F.col("hit.open"), both), F.when(F.col("upper").isNotNull(), F.coalesce("hit.t", F.try_element_at("path", F.lit(-1))["t"]))
+    if low is not None:
+        inner = low.select(*by, (F.floor(F.col(on) / step) * step).alias("bar_of"), F.struct(F.col(on).alias("t"), "open", "high", "low").alias("b"))
+        both_hit = met.where("touch = 'both'").select(*by, "t0", "side", "entry_price", "upper", "lower", F.col("hit.t").alias("bar_of"))
+        seen = both_hit.join(inner, [*by, "bar_of"]).withColumn("inner_touch", _touch(F.col("b"), F.lit(False))).where("inner_touch is not null")
+        small = seen.groupBy(*by, "t0", "side", "entry_price").agg(F.min_by(F.struct("inner_touch", "b"), "b.t").alias("small"))
+        met = met.join(small, [*by, "t0", "side", "entry_price"], "left")
+        label = F.when(F.col("small").isNotNull(), _outcome(F.col("small.inner_touch"), F.col("small.b.open"), both)).otherwise(label)
+        t1 = F.coalesce("small.b.t", t1)
+    return met.select(*keys, label.alias("label"), t1.alias("t1"))
+
+
+def barrier_grid(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int, ups: list[float], downs: list[float], both: str = "fail") -> DataFrame:
+    """Wins and losses for every pair of multiples, in one job: events meet their bars once, the parameters are a small table of rows."""
     grid = bars.sparkSession.createDataFrame([(float(u), float(d)) for u in ups for d in downs], "up double, down double")
-    ev = events.crossJoin(F.broadcast(grid))  # a row for each pair of parameters
-    v = F.least(F.greatest(F.col("vol"), F.lit(1e-4)), F.lit(1.0))
+    v = _clipped((1e-4, 1.0))
+    ev = _paths(bars, events, by, on, horizon, step).crossJoin(F.broadcast(grid))  # a row for each pair of parameters
     ev = ev.withColumns({"upper": F.col("entry_price") * F.exp(F.col("up") * v), "lower": F.col("entry_price") * F.exp(-F.col("down") * v)})
-    steps = events.select(*by, "t0", "side", F.explode(F.sequence(F.lit(0), F.lit(horizon - 1))).alias("j")).withColumn(on, F.col("t0") + F.col("j") * step)
-    path = steps.join(bars.select(*by, on, "high", "low"), [*by, on]).groupBy(*by, "t0", "side").agg(F.array_sort(F.collect_list(F.struct("j", "high", "low"))).alias("path"))
-    met = ev.join(path, [*by, "t0", "side"])
-    met = met.withColumn("p", F.try_element_at(F.filter("path", lambda p: (p.high >= F.col("upper")) | (p.low <= F.col("lower"))), F.lit(1)))
-    up_hit, down_hit = F.col("p.high") >= F.col("upper"), F.col("p.low") <= F.col("lower")
-    label = F.when(F.col("p").isNull(), None).when(up_hit & down_hit, 0).when(up_hit, F.when(F.col("side") > 0, 1).otherwise(0)).otherwise(F.when(F.col("side") > 0, 0).otherwise(1))
+    met = ev.withColumn("hit", F.try_element_at(F.filter("path", lambda b: _touch(b, b["t"] == F.col("t0")).isNotNull()), F.lit(1)))
+    label = _outcome(_touch(F.col("hit"), F.col("hit.t") == F.col("t0")), F.col("hit.open"), both)
     return met.groupBy("up", "down").agg(F.count(F.lit(1)).alias("events"), F.count_if(label == 1).alias("wins"), F.count_if(label == 0).alias("losses"))
 
 

@@ -26,6 +26,17 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("own").drop("chunk", "own")
 
 
+def positions(df: DataFrame, by: list[str], on: str, cell: int) -> DataFrame:
+    """Add i: the number of a row in its series, from 0. Rows are counted by cells of ``cell`` units of ``on`` first, so that no
+    window spans a whole series, only its cells. Times are unique in a series."""
+    cut = df.withColumn("cell_of", F.floor(F.col(on) / cell))
+    counts = cut.groupBy(*by, "cell_of").agg(F.count(F.lit(1)).alias("n"))
+    before = W.partitionBy(*by).orderBy("cell_of").rowsBetween(W.unboundedPreceding, -1)  # a row for each cell
+    base = counts.select(*by, "cell_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    place = F.row_number().over(W.partitionBy(*by, "cell_of").orderBy(on)) - 1
+    return cut.join(base, [*by, "cell_of"]).withColumn("i", F.col("base") + place).drop("cell_of", "base")
+
+
 def series(by: list[str], on: str) -> WindowSpec:
     return W.partitionBy(*by).orderBy(on)
 

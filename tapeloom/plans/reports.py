@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import joins as J
+from ..operators import levels as X
+from ..operators import search as G
 from ..operators import selection as P
 from ..operators import windows as N
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
@@ -145,3 +147,44 @@ def fold_summary(spark, sf_dir):
     fold = F.when(F.col("i") < extra * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(extra + F.floor((F.col("i") - extra * (size + 1)) / size))
     m = rows.withColumn("fold", fold).groupBy("symbol", "fold").agg(F.avg("close").alias("x"))
     return rounded(m.groupBy("symbol").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")))
+
+
+RIDGE = BARS_SQL + """,
+rr AS (SELECT bar, close - open AS x1, volume AS x2, lead(close) OVER (ORDER BY bar) - close AS y FROM bars WHERE symbol = 'click'),
+rn AS (SELECT *, row_number() OVER (ORDER BY bar) - 1 AS i, ntile(5) OVER (ORDER BY bar) - 1 AS fold, count(*) OVER () AS n FROM rr WHERE y IS NOT NULL),
+sp AS (SELECT fold, min(i) - (n * 0.01)::INT AS lo, max(i) + floor(n * 0.01) AS hi FROM (SELECT * FROM rn) GROUP BY fold, n),
+mo AS (SELECT s.fold, count(*) AS k, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12 FROM sp s JOIN rn r ON r.i < s.lo OR r.i > s.hi GROUP BY s.fold),
+sv AS (SELECT *, k + 10.0 AS p, k * c12 / (s1 * s2) AS q, k * c1 / s1 AS g1, k * c2 / s2 AS g2 FROM mo),
+w AS (SELECT *, (p * g1 - q * g2) / (p * p - q * q) / s1 AS w1, (p * g2 - q * g1) / (p * p - q * q) / s2 AS w2 FROM sv),
+rp AS (SELECT r.bar, r.fold::INT AS fold, r.y, ay + w1 * (x1 - a1) + w2 * (x2 - a2) AS pred FROM rn r JOIN w USING (fold))""".replace("(n * 0.01)::INT", "floor(n * 0.01)")
+
+
+def _ridge(spark, sf_dir):
+    b = bars(spark, sf_dir).where("symbol = 'click'")
+    ahead = b.select((F.col("bar")).alias("bar"), (F.col("close") - F.col("open")).alias("x1"), F.col("volume").alias("x2"), (F.lead("close").over(N.series(["symbol"], "bar")) - F.col("close")).alias("y"))
+    return P.ridge_predictions(ahead, ["x1", "x2"], "y", "bar", 5)
+
+
+@query("ridge_predictions", sql(RIDGE, "SELECT * FROM rp", "bar fold", "y pred"))
+def ridge_predictions(spark, sf_dir):
+    return rounded(_ridge(spark, sf_dir).select("bar", "fold", "y", "pred"))
+
+
+@query("ridge_backtest", sql(RIDGE, "SELECT count(*) AS n, avg(sign(pred) * y) AS mean, avg(sign(pred) * y) / (stddev_pop(sign(pred) * y) + 1e-9) * sqrt(96 * 365) AS sharpe FROM rp", "n", "mean sharpe"))
+def ridge_backtest(spark, sf_dir):
+    return rounded(P.sign_report(_ridge(spark, sf_dir), "y"))
+
+
+@query("level_signals")
+def level_signals(spark, sf_dir):
+    """Signals of flipped levels on hourly bars (checked against a plain loop in the tests)."""
+    return rounded(X.level_signals(bars(spark, sf_dir), "symbol", "bar", HOUR, X.Rules(lookback=10)))
+
+
+@query("alpha_search")
+def alpha_search(spark, sf_dir):
+    """The best expressions of a short genetic search; each generation is one job (checked in the tests)."""
+    w = N.series(["symbol"], "bar")
+    b = bars(spark, sf_dir).withColumn("target", F.lead("close").over(w) / F.when(F.col("close") > 0, F.col("close")) - 1)
+    found = G.evolve(b, ["open", "close", "volume"], "target", ["symbol"], "bar", size=8, generations=2, depth=2, elite=2)
+    return spark.createDataFrame([(k, repr(t), s) for k, (t, s) in enumerate(found)], "place int, tree string, score double")

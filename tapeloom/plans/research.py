@@ -110,8 +110,9 @@ def flip_signals(spark, sf_dir):
 
 
 BARRIER = SIGNALS + """,
-ev AS (SELECT *, entry_price * exp(2.0 * vol) AS upper, entry_price * exp(-1.0 * vol) AS lower FROM signals),
-m AS (SELECT e.*, b.bar, (b.bar - e.t0) // 3600000 AS j, b.high >= upper AS uh, b.low <= lower AS dh, b.bar > e.t0 AND b.open >= upper AS gu, b.bar > e.t0 AND b.open <= lower AS gd FROM ev e JOIN bars b ON b.symbol = e.symbol AND b.bar >= e.t0 AND b.bar < e.t0 + 24 * 3600000),
+nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM bars),
+ev AS (SELECT s.*, n.i AS pos, s.entry_price * exp(2.0 * vol) AS upper, s.entry_price * exp(-1.0 * vol) AS lower FROM signals s JOIN nb n ON n.symbol = s.symbol AND n.bar = s.t0),
+m AS (SELECT e.*, b.bar, b.i - pos AS j, b.high >= upper AS uh, b.low <= lower AS dh, b.i > pos AND b.open >= upper AS gu, b.i > pos AND b.open <= lower AS gd FROM ev e JOIN nb b ON b.symbol = e.symbol AND b.i BETWEEN pos AND pos + 24),
 h AS (SELECT *, CASE WHEN gu THEN (side > 0)::INT WHEN gd THEN (side < 0)::INT WHEN uh AND dh THEN 0 WHEN uh THEN (side > 0)::INT WHEN dh THEN (side < 0)::INT END AS lab, uh OR dh OR gu OR gd AS touched FROM m),
 tb AS (SELECT symbol, t0, side, entry_price, CASE WHEN side > 0 THEN upper ELSE lower END AS pt, CASE WHEN side > 0 THEN lower ELSE upper END AS sl, arg_min(lab, CASE WHEN touched THEN j END) AS label, coalesce(min(CASE WHEN touched THEN bar END), max(bar)) AS t1 FROM h GROUP BY symbol, t0, side, entry_price, upper, lower)"""
 
@@ -125,9 +126,24 @@ def triple_barrier(spark, sf_dir):
     return rounded(_barrier(spark, sf_dir))
 
 
-@query("barrier_grid", sql(SIGNALS, """SELECT up, down, count(*) AS events, count(*) FILTER (lab = 1) AS wins, count(*) FILTER (lab = 0) AS losses FROM (
- SELECT up, down, e.symbol, e.t0, e.side, arg_min(CASE WHEN uh AND dh THEN 0 WHEN uh THEN (side > 0)::INT WHEN dh THEN (side < 0)::INT END, CASE WHEN uh OR dh THEN bar END) AS lab FROM (
-  SELECT g.*, s.*, b.bar, b.high >= s.entry_price * exp(up * 0.3) AS uh, b.low <= s.entry_price * exp(-down * 0.3) AS dh FROM signals s JOIN bars b ON b.symbol = s.symbol AND b.bar >= s.t0 AND b.bar < s.t0 + 24 * 3600000,
+DRILL = BARRIER + """,
+lows AS (SELECT symbol, ts_ms // 600000 * 600000 AS lt, arg_min(price, seq) AS open, max(price) AS high, min(price) AS low FROM tape GROUP BY ALL),
+amb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, t0, side ORDER BY j) AS k FROM h WHERE touched) WHERE k = 1 AND uh AND dh AND NOT gu AND NOT gd),
+dr AS (SELECT a.symbol, a.t0, a.side, arg_min(CASE WHEN l.open >= upper THEN (a.side > 0)::INT WHEN l.open <= lower THEN (a.side < 0)::INT WHEN l.high >= upper AND l.low <= lower THEN 0 WHEN l.high >= upper THEN (a.side > 0)::INT ELSE (a.side < 0)::INT END, lt) AS label, min(lt) AS t1
+ FROM amb a JOIN lows l ON l.symbol = a.symbol AND l.lt // 3600000 * 3600000 = a.bar WHERE l.high >= upper OR l.low <= lower GROUP BY ALL)"""
+
+
+@query("triple_barrier_drill", sql(DRILL, "SELECT tb.* REPLACE (coalesce(dr.label, tb.label) AS label, coalesce(dr.t1, tb.t1) AS t1) FROM tb LEFT JOIN dr ON dr.symbol = tb.symbol AND dr.t0 = tb.t0 AND dr.side = tb.side", "symbol t0 side label t1", "entry_price pt sl"))
+def triple_barrier_drill(spark, sf_dir):
+    """Bars that reach both barriers are decided by the ten-minute bars inside them."""
+    small = tape(spark, sf_dir).groupBy("symbol", (F.floor(F.col("ts_ms") / 600_000) * 600_000).alias("bar")).agg(F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"))
+    return rounded(L.triple_barrier(bars(spark, sf_dir), _signals(spark, sf_dir), ["symbol"], "bar", 24, HOUR, 2.0, 1.0, low=small).drop("vol"))
+
+
+@query("barrier_grid", sql(SIGNALS + ", nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM bars)", """SELECT up, down, count(*) AS events, count(*) FILTER (lab = 1) AS wins, count(*) FILTER (lab = 0) AS losses FROM (
+ SELECT up, down, e.symbol, e.t0, e.side, arg_min(CASE WHEN gu THEN (side > 0)::INT WHEN gd THEN (side < 0)::INT WHEN uh AND dh THEN 0 WHEN uh THEN (side > 0)::INT WHEN dh THEN (side < 0)::INT END, CASE WHEN uh OR dh THEN bar END) AS lab FROM (
+  SELECT g.*, s.*, b.bar, b.high >= s.entry_price * exp(up * 0.3) AS uh, b.low <= s.entry_price * exp(-down * 0.3) AS dh, b.i > n.i AND b.open >= s.entry_price * exp(up * 0.3) AS gu, b.i > n.i AND b.open <= s.entry_price * exp(-down * 0.3) AS gd
+   FROM signals s JOIN nb n ON n.symbol = s.symbol AND n.bar = s.t0 JOIN nb b ON b.symbol = s.symbol AND b.i BETWEEN n.i AND n.i + 24,
    (SELECT u.u AS up, d.u AS down FROM (VALUES (1.0), (2.0), (4.0)) u(u), (VALUES (1.0), (2.0), (4.0)) d(u)) g) e GROUP BY ALL) GROUP BY up, down""", "events wins losses", "up down"))
 def barrier_grid(spark, sf_dir):
     return rounded(L.barrier_grid(bars(spark, sf_dir), _signals(spark, sf_dir), ["symbol"], "bar", 24, HOUR, [1, 2, 4], [1, 2, 4]))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapeloom.operators import labels, selection, stats
+from tapeloom.operators import labels, levels, search, selection, stats
 
 
 def plain_msm(x, y, c=1.0):
@@ -108,3 +108,106 @@ def test_source_helpers(spark, tmp_path):
     assert r.t == "2024-01-01 00:00:00+00:00"
     files = spark.createDataFrame([("x-2024-01-01.zip",), ("x-2024-02-01.zip",)], "f string")
     assert records.dated(files, F.col("f"), "2024-01-15", "2024-02-15").count() == 1
+
+
+def plain_signals(rows, step, span, most, lookback):
+    """Level signals by the rules, one level and one bar at a time."""
+    levels, out, ema, before = [], [], None, None
+    for k, (t, o, h, lo, c, v) in enumerate(rows):
+        ema = v if ema is None else ema + 2 / (span + 1) * (v - ema)
+        busy, end = v >= ema, t + step
+        if before:
+            o0, c0, busy0 = before
+            rise0, rise, b0, b = c0 > o0, c > o, abs(c0 - o0), abs(c - o)
+            if busy and busy0 and rise0 == rise:
+                levels.append(dict(p=(c0 + o) / 2, s=1 if rise else -1, kind=2, ok=True, made=end, flip=None, test=None))
+            elif busy and busy0 and abs(b0 - b) <= 0.25 * max(b0, b):
+                levels.append(dict(p=(c0 + o) / 2, s=-1 if rise0 else 1, kind=1, ok=True, made=end, flip=None, test=None))
+            for x in levels:
+                past = c < x["p"] if x["s"] > 0 else c > x["p"]
+                opened_inside = o > x["p"] if x["s"] > 0 else o < x["p"]
+                if not x["ok"]:
+                    x["ok"] = past
+                elif past and opened_inside:
+                    x["s"], x["flip"] = -x["s"], end
+                elif lo <= x["p"] <= h and not min(o, c) <= x["p"] <= max(o, c):
+                    x["test"], x["ok"] = end, False
+            levels = levels[-most:]
+            hit = [x for x in levels if x["test"] == end and x["flip"] is not None and x["flip"] < end]
+            if busy and hit and k > lookback and k + 1 < len(rows):
+                x = hit[0]
+                out.append((end, x["s"], x["p"], x["kind"], x["made"], x["flip"], rows[k + 1][1]))
+        before = o, c, busy
+    return out
+
+
+def walk(seed, n=400):
+    rng = np.random.default_rng(seed)
+    c = np.round(100 + rng.normal(size=n).cumsum(), 2)
+    o = np.round(c + rng.normal(size=n), 2)
+    h, lo = np.maximum(o, c) + rng.random(n), np.minimum(o, c) - rng.random(n)
+    return [(int(t) * 60, *map(float, x)) for t, x in enumerate(zip(o, h, lo, c, rng.integers(1, 9, n)))]
+
+
+BARS = "symbol string, t long, open double, high double, low double, close double, volume double"
+
+
+def test_level_signals_equal_a_plain_loop(spark):
+    data = {s: walk(k) for k, s in enumerate("abc")}
+    df = spark.createDataFrame([(s, *r) for s, rows in data.items() for r in rows] + [("d", 0, 1.0, 1.0, 1.0, None, 1.0)], BARS)
+    rules = levels.Rules(span=5, most=30, lookback=20)
+    got = sorted(tuple(r) for r in levels.level_signals(df, "symbol", "t", 60, rules).collect())
+    want = sorted((s, *x) for s, rows in data.items() for x in plain_signals(rows, 60, 5, 30, 20))
+    assert len(want) > 20 and got == want
+    assert levels.level_signals(df.limit(0), "symbol", "t", 60).count() == 0
+
+
+def test_level_signals_on_arrival(spark, tmp_path):
+    rows = [("a", *r) for r in walk(0, 120)]
+    for k in range(3):
+        spark.createDataFrame(rows[k * 40 : k * 40 + 40], BARS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    rules = levels.Rules(span=5, most=30, lookback=20)
+    stream = spark.readStream.schema(BARS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = levels.level_signals_on_arrival(stream, "symbol", "t", 60, rules).writeStream.format("memory").queryName("level_stream").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    q.stop()
+    want = sorted(tuple(r) for r in levels.level_signals(spark.createDataFrame(rows, BARS), "symbol", "t", 60, rules).collect())
+    assert want and sorted(tuple(r) for r in spark.table("level_stream").collect()) == want
+
+
+def test_ridge_equals_normal_equations(spark):
+    rng = np.random.default_rng(4)
+    n, k, alpha = 203, 5, 10.0
+    x = rng.normal(size=(n, 3)) * [1, 50, 0] + [0, 1000, 7]
+    y = x[:, 0] - 0.02 * x[:, 1] + rng.normal(size=n) + 5
+    df = spark.createDataFrame([(t * 1000, *map(float, x[t]), float(y[t])) for t in range(n)] + [(10**9, None, 1.0, 1.0, 1.0)], "t long, p double, q double, r double, y double")
+    got = {r.t // 1000: (r.fold, r.pred) for r in selection.ridge_predictions(df, ["p", "q", "r"], "y", "t", k, 0.02, alpha, cell=7000).collect()}
+    assert len(got) == n
+    for f, test in enumerate(np.array_split(np.arange(n), k)):
+        train = np.array([i for i in range(n) if i < test[0] - 4 or i > test[-1] + 4])
+        m, s = x[train].mean(0), x[train].std(0)
+        s[s < 1e-12] = 1
+        z = (x - m) / s
+        w = np.linalg.solve(z[train].T @ z[train] + alpha * np.eye(3), z[train].T @ (y[train] - y[train].mean()))
+        for i in test:
+            assert got[i][0] == f and got[i][1] == pytest.approx(z[i] @ w + y[train].mean(), rel=1e-6)
+
+
+def test_search_finds_the_target(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s", t, float(a), float(b), float(a + b)) for t, (a, b) in enumerate(rng.normal(size=(200, 2)))]
+    df = spark.createDataFrame(rows, "symbol string, t long, a double, b double, y double")
+    found = search.evolve(df, ["a", "b"], "y", ["symbol"], "t", size=12, generations=2, depth=2, elite=2, seed=1)
+    assert found[0][1] == max(s for _, s in found) >= 0.65
+    assert found == search.evolve(df, ["a", "b"], "y", ["symbol"], "t", size=12, generations=2, depth=2, elite=2, seed=1)
+    tree = ("+", ("delay", "a", 3), "b")
+    assert search.spots(tree) == [(), (1,), (1, 1), (2,)] and search.graft(tree, (1, 1), "c") == ("+", ("delay", "c", 3), "b")
+
+
+def test_double_hits_are_drilled(spark):
+    bars = spark.createDataFrame([("s", 0, 100.0, 101.0, 99.0), ("s", 60, 100.0, 120.0, 80.0), ("s", 240, 100.0, 101.0, 99.0)], "symbol string, t long, open double, high double, low double")
+    low = spark.createDataFrame([("s", 60, 100.0, 101.0, 80.0), ("s", 90, 100.0, 120.0, 100.0)], bars.schema)
+    ev = spark.createDataFrame([("s", 0, 1, 100.0, 0.1), ("s", 0, -1, 100.0, 0.1), ("s", 7, 1, 100.0, 0.1), ("s", 240, 1, 100.0, None)], "symbol string, t0 long, side int, entry_price double, vol double")
+    run = lambda **o: {(r.t0, r.side): (r.label, r.t1) for r in labels.triple_barrier(bars, ev, ["symbol"], "t", 2, 60, 1.0, 1.0, **o).collect()}
+    assert run(low=low, both="win") == {(0, 1): (0, 60), (0, -1): (1, 60), (7, 1): (None, None), (240, 1): (None, None)}
+    assert run(both="win")[0, 1] == (1, 60) and run(both="nan")[0, 1] == (None, 60) and run(both="nearer")[0, 1] == (0, 60)
