@@ -113,10 +113,10 @@ def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, h
     label, t1 = _outcome(F.col("touch"), F.col("hit.open"), both), F.when(F.col("upper").isNotNull(), F.coalesce("hit.t", F.try_element_at("path", F.lit(-1))["t"]))
     if low is not None:
         inner = low.select(*by, (F.floor(F.col(on) / step) * step).alias("bar_of"), F.struct(F.col(on).alias("t"), "open", "high", "low").alias("b"))
-        both_hit = met.where("touch = 'both'").select(*by, "t0", "side", "entry_price", "upper", "lower", F.col("hit.t").alias("bar_of"))
+        both_hit = met.where("touch = 'both'").select(*by, "t0", "side", "entry_price", "vol", "upper", "lower", F.col("hit.t").alias("bar_of"))
         seen = both_hit.join(inner, [*by, "bar_of"]).withColumn("inner_touch", _touch(F.col("b"), F.lit(False))).where("inner_touch is not null")
-        small = seen.groupBy(*by, "t0", "side", "entry_price").agg(F.min_by(F.struct("inner_touch", "b"), "b.t").alias("small"))
-        met = met.join(small, [*by, "t0", "side", "entry_price"], "left")
+        small = seen.groupBy(*by, "t0", "side", "entry_price", "vol").agg(F.min_by(F.struct("inner_touch", "b"), "b.t").alias("small"))
+        met = met.join(small, [*by, "t0", "side", "entry_price", "vol"], "left")
         label = F.when(F.col("small").isNotNull(), _outcome(F.col("small.inner_touch"), F.col("small.b.open"), both)).otherwise(label)
         t1 = F.coalesce("small.b.t", t1)
     return met.select(*keys, label.alias("label"), t1.alias("t1"))

@@ -78,7 +78,7 @@ def expanding_pct_rank(df: DataFrame, by: list[str], on: str, value: str, least:
     """Add pct_rank: the average rank of a row's value among the values of its key up to that row, as a share; null before ``least``.
 
     The rank in a growing history is no window function of Spark's; a tree of counts gives it in O(log n) a row. A key is one
-    group: its (time, value) columns are all that its task holds.
+    group: its task holds all its rows.
     """
     import numpy as np
     import pandas as pd
