@@ -172,6 +172,13 @@ def align_pad(spark, sf_dir):
     return J.align(events, bars(spark, sf_dir), ["symbol"], "bar", "pad").select("symbol", "seq", "grid_time")
 
 
+@query("align_pad_all")
+def align_pad_all(spark, sf_dir):
+    """Every trade with its grid time; ``align_pad`` is the tenth that its SQL names (checked against every trade's hour in the tests)."""
+    events = tape(spark, sf_dir).select("symbol", "seq", F.col("ts_ms").alias("bar"))
+    return J.align(events, bars(spark, sf_dir), ["symbol"], "bar", "pad").select("symbol", "seq", "grid_time")
+
+
 @query("flatten_minutes", sql(BARS_SQL, """SELECT b.symbol, b.bar, """ + ", ".join(f"max(CASE WHEN h.bar = b.bar - {n} * 3600000 THEN h.close END) AS m{4 - n}_close" for n in (4, 3, 2, 1)) + """ FROM bars b LEFT JOIN bars h ON b.symbol = h.symbol AND h.bar < b.bar AND h.bar >= b.bar - 14400000 GROUP BY ALL""", "symbol bar", "m0_close m1_close m2_close m3_close"))
 def flatten_minutes(spark, sf_dir):
     # bars in hours stand for minutes: times divided by 60
@@ -186,6 +193,13 @@ def interval_join(spark, sf_dir):
     return J.within(points, spans, ["symbol"], "ts_ms", "bar", "bar_end", HOUR).select("symbol", "seq", "bar")
 
 
+@query("interval_join_all")
+def interval_join_all(spark, sf_dir):
+    """Every trade with the bar that holds it; ``interval_join`` is the fifth that its SQL names (checked against every trade's hour in the tests)."""
+    spans = bars(spark, sf_dir).select("symbol", "bar", (F.col("bar") + HOUR).alias("bar_end"))
+    return J.within(tape(spark, sf_dir).select("symbol", "seq", "ts_ms"), spans, ["symbol"], "ts_ms", "bar", "bar_end", HOUR).select("symbol", "seq", "bar")
+
+
 @query("overlap_trim", sql(BARS_SQL, "SELECT * FROM bars WHERE bar >= (SELECT min(bar) FROM bars WHERE symbol = 'click') AND bar <= (SELECT max(bar) FROM bars WHERE symbol = 'click')", "symbol bar", "close"))
 def overlap_trim(spark, sf_dir):
     b = bars(spark, sf_dir)

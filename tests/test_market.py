@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.functions import bartime, numeric
 from tapeloom.operators import alpha, bars, book, indicators, joins, stats, windows
+from tapeloom.plans import market
 from tapeloom.sources import records
 from tapeloom.streaming import bars as streams
 
@@ -219,3 +220,11 @@ def test_merge_latest(spark, tmp_path):
     for _ in range(2):
         step(spark.createDataFrame([("a", 2, "z")], schema), 1)
     assert {(r.k, r.x) for r in spark.read.parquet(f"{path}/v1").collect()} == {("a", "z"), ("b", "y")}
+
+
+@pytest.mark.parametrize("name", ["align_pad_all", "interval_join_all"])
+def test_every_trade_is_joined(spark, name):
+    folder = "/root/testdata/sf0.001"
+    trades = market.tape(spark, folder).collect()
+    got = market.QUERIES[name](spark, folder).collect()
+    assert sorted(map(tuple, got)) == sorted((r.symbol, r.seq, r.ts_ms // market.HOUR * market.HOUR) for r in trades)
