@@ -232,32 +232,37 @@ def temperature(logits: DataFrame, steps: int = 60) -> float:
     return (low * high) ** 0.5
 
 
-def ridge_predictions(df: DataFrame, features: list[str], y: str, on: str, k: int, embargo: float = 0.01, alpha: float = 10.0, cell: int = 86_400_000) -> DataFrame:
-    """Add fold and pred: out-of-fold ridge regression over k contiguous blocks of rows in order of the unique times ``on``.
+def ridge_predictions(df: DataFrame, features: list[str], y: str, on: str, k: int, embargo: float = 0.01, alpha: float = 10.0, cell: int = 86_400_000, by: list[str] | None = None) -> DataFrame:
+    """Add fold and pred: out-of-fold ridge regression over k contiguous blocks of rows in order of the times ``on``, unique in a series of ``by``.
 
-    A fold trains on the rows outside its block and int(n * embargo) rows on either side, with features scaled by the moments of those
+    Every series is fitted on its own. A fold trains on the rows outside its block and int(n * embargo) rows on either side, with features scaled by the moments of those
     rows and a penalty of ``alpha`` on the scaled weights. All folds are one aggregate of sums of products (partial on each
-    task); only k rows of (features squared) sums come to the driver, so for some hundred features at most. Rows with nulls or
-    NaN are left out; a constant feature has weight 0.
+    task); only k rows of (features squared) sums of each series come to the driver, so for some hundred features at most. Rows with nulls or
+    NaN or without a key are left out; a constant feature has weight 0, and a fold without training rows no prediction.
     """
-    cols = [*features, y]
+    cols, keys = [*features, y], [*(by or []), "one_key"]
     good = F.lit(True)
     for c in cols:
         good = good & F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
-    rows = positions(df.where(good), [], on, cell)
-    head = rows.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in cols]).first()
-    n, middle = head.n, {c: head[c] or 0.0 for c in cols}
-    size, extra = divmod(n, k)
-    starts = [f * size + min(f, extra) for f in range(k + 1)]
-    rows = rows.withColumn("fold", F.when(F.col("i") < extra * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(extra + F.floor((F.col("i") - extra * (size + 1)) / max(size, 1))).cast("int"))
-    around = int(n * embargo)
-    spans = rows.sparkSession.createDataFrame([(f, starts[f] - around, starts[f + 1] - 1 + around) for f in range(k)], "trained_for int, lo long, hi long")
-    centred = rows.select("i", F.array(*[(F.col(c) - middle[c]).cast("double") for c in cols]).alias("v"))
+    rows = positions(df.where(good).withColumn("one_key", F.lit(0)), keys, on, cell)
+    key_types = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by or []] + ["one_key int"]
+    heads = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[F.avg(c).alias(f"mean_{j}") for j, c in enumerate(cols)]).collect()  # a row for each series
+    spans, middles = [], {}
+    for r in heads:
+        size, extra = divmod(r.n_rows, k)
+        starts = [f * size + min(f, extra) for f in range(k + 1)]
+        around, key = int(r.n_rows * embargo), tuple(r[c] for c in keys)
+        middles[key] = [float(r[f"mean_{j}"]) for j in range(len(cols))]
+        spans += [(*key, f, starts[f], starts[f + 1] - 1, starts[f] - around, starts[f + 1] - 1 + around, middles[key]) for f in range(k)]
+    spans = rows.sparkSession.createDataFrame(spans, ", ".join([*key_types, "fold int, at_lo long, at_hi long, lo long, hi long, mid array<double>"]))
+    rows = rows.join(F.broadcast(spans.drop("lo", "hi")), keys).where("i between at_lo and at_hi").drop("at_lo", "at_hi")  # k rows of spans for each series
+    v = lambda names: F.array(*[F.col(c).cast("double") - F.col("mid")[j] for j, c in enumerate(names)])
     d = len(cols)
-    train = centred.crossJoin(F.broadcast(spans)).where("i < lo or i > hi")  # k rows of spans
-    sums = train.groupBy("trained_for").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("v")[a]) for a in range(d)]).alias("s"), F.array(*[F.sum(F.col("v")[a] * F.col("v")[b]) for a in range(d) for b in range(a, d)]).alias("p"))
+    centred = rows.select(*keys, "i", v(cols).alias("v"))
+    train = centred.join(F.broadcast(spans.select(*keys, F.col("fold").alias("trained_for"), "lo", "hi")), keys).where("i < lo or i > hi")
+    sums = train.groupBy(*keys, "trained_for").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col("v")[a]) for a in range(d)]).alias("s"), F.array(*[F.sum(F.col("v")[a] * F.col("v")[b]) for a in range(d) for b in range(a, d)]).alias("p"))
     fitted = []
-    for r in sums.collect():  # k rows
+    for r in sums.collect():  # k rows for each series
         mean, products = np.array(r.s) / r.n, np.zeros((d, d))
         products[np.triu_indices(d)] = r.p
         cov = (products + np.triu(products, 1).T) / r.n - np.outer(mean, mean)
@@ -266,15 +271,15 @@ def ridge_predictions(df: DataFrame, features: list[str], y: str, on: str, k: in
         scale = np.where(live, std, 1.0)
         z = r.n * cov[:-1, :-1] / np.outer(scale, scale)
         w = np.where(live, np.linalg.solve(z + alpha * np.eye(d - 1), r.n * cov[:-1, -1] / scale), 0.0) / scale
-        fitted.append((r.trained_for, w.tolist(), float(middle[y] + mean[-1] - w @ mean[:-1])))
-    models = rows.sparkSession.createDataFrame(fitted, "fold int, w array<double>, b double")
-    x = F.array(*[(F.col(c) - middle[c]).cast("double") for c in features])
-    pred = F.col("b") + F.aggregate(F.zip_with("w", x, lambda a, v: a * v), F.lit(0.0), lambda a, v: a + v)
-    return rows.join(F.broadcast(models), "fold", "left").withColumn("pred", pred).drop("w", "b", "i")
+        key = tuple(r[c] for c in keys)
+        fitted.append((*key, r.trained_for, w.tolist(), float(middles[key][-1] + mean[-1] - w @ mean[:-1])))
+    models = rows.sparkSession.createDataFrame(fitted, ", ".join([*key_types, "fold int, w array<double>, b double"]))
+    pred = F.col("b") + F.aggregate(F.zip_with("w", v(features), lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
+    return rows.join(F.broadcast(models), [*keys, "fold"], "left").withColumn("pred", pred).drop("w", "b", "i", "mid", "one_key")
 
 
-def sign_report(predictions: DataFrame, y: str, per_year: float = 96 * 365) -> DataFrame:
-    """(n, sharpe, mean) of returns taken to the side of pred: mean over population deviation, by year."""
+def sign_report(predictions: DataFrame, y: str, per_year: float = 96 * 365, by: list[str] | None = None) -> DataFrame:
+    """(n, sharpe, mean) of returns taken to the side of pred, of each series of ``by``: mean over population deviation, by year."""
     r = F.signum("pred") * F.col(y)
-    rows = predictions.where("pred is not null").select(r.alias("r"))
-    return rows.agg(F.count("r").alias("n"), F.avg("r").alias("mean"), (F.avg("r") / (F.stddev_pop("r") + 1e-9) * per_year**0.5).alias("sharpe"))
+    rows = predictions.where("pred is not null").select(*(by or []), r.alias("r"))
+    return rows.groupBy(*(by or [])).agg(F.count("r").alias("n"), F.avg("r").alias("mean"), (F.avg("r") / (F.stddev_pop("r") + 1e-9) * per_year**0.5).alias("sharpe"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import average_rank, correlation, normal_cdf, ratio
+from ..functions.numeric import EPS, average_rank, correlation, normal_cdf, ratio
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "feature", value: str = "x") -> DataFrame:
@@ -102,6 +106,35 @@ def pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
     return row.select(F.explode("p").alias("p")).select("p.*")
 
 
+def pair_products(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r) like ``pair_correlations``, for some hundred columns: each task adds up matrices of products, which are then summed by pair.
+
+    A row counts for the pairs of which it has both values (NaN counts as none); r is null if one of the two is constant.
+    """
+    d = len(columns)
+    i, j = np.triu_indices(d, 1)
+    value = [F.col(c).cast("double").alias(c) for c in columns]
+    first = df.select(*value).agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns]).first()
+    middle = np.array([first[c] or 0.0 for c in columns])  # sums about the means lose few digits
+    sums = ["n", "si", "sj", "sii", "sjj", "sij"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(sums), d, d))
+        for batch in batches:
+            x = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(d)], axis=1) - middle
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(float)
+            out += [m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x]
+        yield pa.RecordBatch.from_pydict({"i": i, "j": j} | {s: out[k][i, j] for k, s in enumerate(sums)})
+
+    t = df.select(*value).mapInArrow(run, "i long, j long, " + ", ".join(f"{s} double" for s in sums))
+    t = t.groupBy("i", "j").agg(*[F.sum(s).alias(s) for s in sums])
+    n, vi, vj = F.col("n"), F.col("sii") - F.col("si") * F.col("si") / F.col("n"), F.col("sjj") - F.col("sj") * F.col("sj") / F.col("n")
+    name = F.array(*[F.lit(c) for c in columns])
+    r = F.when((n > 0) & (vi > EPS) & (vj > EPS), (F.col("sij") - F.col("si") * F.col("sj") / n) / F.sqrt(vi * vj))
+    return t.select(F.get(name, F.col("i").cast("int")).alias("a"), F.get(name, F.col("j").cast("int")).alias("b"), r.alias("r"))
+
+
 def distances(pairs: DataFrame, kind: str = "mantegna") -> DataFrame:
     d = F.sqrt(F.greatest(2 * (1 - F.col("r")), F.lit(0.0))) if kind == "mantegna" else 1 - F.abs("r")
     return pairs.withColumn("d", d)

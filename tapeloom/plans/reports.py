@@ -11,7 +11,7 @@ from ..operators import search as G
 from ..operators import selection as P
 from ..operators import windows as N
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
-from .research import BARRIER, CLUSTERS, _barrier, _clusters, _pairs
+from .research import BARRIER, CLUSTERS, _all_pairs, _barrier, _clusters, _pairs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -135,6 +135,14 @@ def top_k_pairs(spark, sf_dir):
     return both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where("k <= 2").select("a", "b")
 
 
+@query("top_k_pairs_all")
+def top_k_pairs_all(spark, sf_dir):
+    """The two nearest of each of the 64 dimensions (checked against numpy in the tests)."""
+    p = _all_pairs(spark, sf_dir)
+    both = p.select("a", "b", "d").union(p.select("b", "a", "d"))
+    return both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where("k <= 2").select("a", "b")
+
+
 @query("fold_summary", sql(BARS_SQL + ", f AS (SELECT symbol, bar, ntile(5) OVER (ORDER BY bar, symbol) AS fold, close FROM bars), m AS (SELECT symbol, fold, avg(close) AS x FROM f GROUP BY ALL)", "SELECT symbol, avg(x) AS mean, stddev_pop(x) AS std FROM m GROUP BY symbol", "symbol", "mean std"))
 def fold_summary(spark, sf_dir):
     """Mean and deviation of a metric over folds; rows are numbered by counts of bars first, not by one global sort."""
@@ -175,6 +183,22 @@ def ridge_backtest(spark, sf_dir):
     return rounded(P.sign_report(_ridge(spark, sf_dir), "y"))
 
 
+def _ridge_all(spark, sf_dir):
+    ahead = bars(spark, sf_dir).select("symbol", "bar", (F.col("close") - F.col("open")).alias("x1"), F.col("volume").alias("x2"), (F.lead("close").over(N.series(["symbol"], "bar")) - F.col("close")).alias("y"))
+    return P.ridge_predictions(ahead, ["x1", "x2"], "y", "bar", 5, by=["symbol"])
+
+
+@query("ridge_predictions_all")
+def ridge_predictions_all(spark, sf_dir):
+    """Every symbol fitted on its own; ``ridge_predictions`` is the one that its SQL names (checked against it in the tests)."""
+    return rounded(_ridge_all(spark, sf_dir).select("symbol", "bar", "fold", "y", "pred"))
+
+
+@query("ridge_backtest_all")
+def ridge_backtest_all(spark, sf_dir):
+    return rounded(P.sign_report(_ridge_all(spark, sf_dir), "y", by=["symbol"]))
+
+
 @query("level_signals")
 def level_signals(spark, sf_dir):
     """Signals of flipped levels on hourly bars (checked against a plain loop in the tests)."""

@@ -293,6 +293,36 @@ def cluster_scores(spark, sf_dir):
     return rounded(S.cluster_scores(_pairs(spark, sf_dir), _clusters(spark)))
 
 
+_ALL_DIMS = 64
+
+
+def _all_pairs(spark, sf_dir):
+    """The distances of all pairs of the 64 dimensions."""
+    names = [f"d{k}" for k in range(_ALL_DIMS)]
+    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    return S.distances(S.pair_products(e, names))
+
+
+def _all_clusters(spark):
+    return spark.range(_ALL_DIMS).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("item"), (F.col("id") % 3).alias("cluster"))
+
+
+@query("pair_distances_all")
+def pair_distances_all(spark, sf_dir):
+    """All 2,016 pairs; ``pair_distances`` has the dimensions that its SQL names (checked against numpy in the tests)."""
+    return rounded(_all_pairs(spark, sf_dir))
+
+
+@query("cluster_medoids_all")
+def cluster_medoids_all(spark, sf_dir):
+    return S.representatives(_all_pairs(spark, sf_dir), _all_clusters(spark))
+
+
+@query("cluster_scores_all")
+def cluster_scores_all(spark, sf_dir):
+    return rounded(S.cluster_scores(_all_pairs(spark, sf_dir), _all_clusters(spark)))
+
+
 @query("ensemble_vote", sql(TAPE_SQL + ", v AS (SELECT user_id, (qty > 50)::INT AS pred, qty / 101.0 AS p1 FROM tape)", "SELECT user_id, count(*) AS votes_total, (count(*) FILTER (pred = 1) > count(*) FILTER (pred = 0))::INT AS hard, (avg(p1) > 0.5)::INT AS soft, 2 * avg(p1) - 1 AS margin FROM v GROUP BY user_id", "user_id votes_total hard soft", "margin"))
 def ensemble_vote(spark, sf_dir):
     t = tape(spark, sf_dir).select("user_id", (F.col("qty") > 50).cast("int").alias("pred"), (F.col("qty") / 101.0).alias("p1"))

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tapeloom import plans
 from tapeloom.operators import labels, levels, search, selection, stats
+from tapeloom.plans import adapters
 
 
 def plain_msm(x, y, c=1.0):
@@ -211,3 +213,38 @@ def test_double_hits_are_drilled(spark):
     run = lambda **o: {(r.t0, r.side): (r.label, r.t1) for r in labels.triple_barrier(bars, ev, ["symbol"], "t", 2, 60, 1.0, 1.0, **o).collect()}
     assert run(low=low, both="win") == {(0, 1): (0, 60), (0, -1): (1, 60), (7, 1): (None, None), (240, 1): (None, None)}
     assert run(both="win")[0, 1] == (1, 60) and run(both="nan")[0, 1] == (None, 60) and run(both="nearer")[0, 1] == (0, 60)
+
+
+def test_all_dimensions_are_paired(spark):
+    queries, folder = plans.queries(), "/root/testdata/sf0.001"
+    x = np.array([r.embedding for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()], float)
+    r = np.corrcoef(x.T)
+    d = np.sqrt(np.maximum(2 * (1 - r), 0))
+    got = {(p.a, p.b): p for p in queries["pair_distances_all"](spark, folder).collect()}
+    assert set(got) == {(f"d{i}", f"d{j}") for i in range(64) for j in range(i + 1, 64)}
+    assert all(got[f"d{i}", f"d{j}"].r == pytest.approx(r[i, j], abs=1e-6) and got[f"d{i}", f"d{j}"].d == pytest.approx(d[i, j], abs=1e-6) for i in range(64) for j in range(i + 1, 64))
+    near = {(f"d{i}", f"d{j}") for i in range(64) for j in [k for k in np.argsort(d[i]) if k != i][:2]}
+    assert {tuple(p) for p in queries["top_k_pairs_all"](spark, folder).collect()} == near
+    groups = [np.arange(c, 64, 3) for c in range(3)]
+    medoids = {c: f"d{g[np.argmin(d[np.ix_(g, g)].mean(axis=1))]}" for c, g in enumerate(groups)}
+    assert {m.cluster: m.item for m in queries["cluster_medoids_all"](spark, folder).collect()} == medoids
+    scores = {s.cluster: s for s in queries["cluster_scores_all"](spark, folder).collect()}
+    for c, g in enumerate(groups):
+        intra = d[np.ix_(g, g)].sum() / (len(g) * (len(g) - 1))
+        inter = min(d[np.ix_(g, o)].mean() for k, o in enumerate(groups) if k != c)
+        assert (scores[c].intra, scores[c].inter) == pytest.approx((intra, inter), abs=2e-6)
+
+
+def test_pairs_with_missing_values(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, None, 5.0), (3.0, 1.0, 5.0), (None, 4.0, 5.0), (4.0, 3.0, 5.0)], "p double, q double, r double")
+    got = {(x.a, x.b): x.r for x in stats.pair_products(df, ["p", "q", "r"]).collect()}
+    assert got["p", "q"] == pytest.approx(np.corrcoef([1, 3, 4], [2, 1, 3])[0, 1]) and got["p", "r"] is None
+
+
+def test_every_symbol_is_fitted(spark):
+    queries, folder = plans.queries(), "/root/testdata/sf0.001"
+    rows = queries["ridge_predictions_all"](spark, folder).collect()
+    counts = {r.symbol: r["count"] - 1 for r in adapters.bars(spark, folder).groupBy("symbol").count().collect()}
+    assert {s: sum(r.symbol == s for r in rows) for s in counts} == counts and len(counts) == 5
+    assert sorted((r.bar, r.fold, r.y, r.pred) for r in rows if r.symbol == "click") == sorted(map(tuple, queries["ridge_predictions"](spark, folder).collect()))
+    assert {r.symbol: r.n for r in queries["ridge_backtest_all"](spark, folder).collect()} == counts
