@@ -5,12 +5,13 @@ bytes and the digest of the payload up to there; writers and readers pass chunks
 builds a whole record. Every record is a gzip member of its own, as the format recommends.
 
 Plan: (1) digest of every payload, by Spark's sha1 (a light table); (2) of equal digests and lengths the smallest page_id is kept as
-response, with partial aggregation; (3) the pages that repeat another one's payload are a table of ids, joined to the pages;
+response, with partial aggregation; (3) the pages that repeat another one's payload are a table of ids and digests, joined to the pages by id and payload;
 (4) every partition writes one archive, whose name is of that attempt alone and is valid only if the committed manifest
 holds it; (5) every archive is read back by a task.
 
 Cases: a null html is an empty payload; payloads below ``least_bytes`` are never revisits; a page without page_id is always a
-response and never referred to; rows that repeat a page_id and payload are responses alike if it is the smallest; a null
+response and never referred to; rows that repeat a page_id and payload are responses alike if it is the smallest; rows that repeat a page_id with another payload
+are judged by their own payload; a null
 url is written as an empty target; an empty table gives an empty result. Other columns are ignored.
 """
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import map_texts, materialise, new_dir, slices
 
 CHUNK = 1 << 20
-#: Revisits that may be broadcast (two ids each); beyond it the join is shuffled.
+#: Revisits that may be broadcast (two ids, a length and 40 hex digits each); beyond it the join is shuffled.
 BROADCAST_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"
 
@@ -53,10 +54,10 @@ def digests(pages: DataFrame) -> DataFrame:
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """(page_id, refers_to) of the pages that repeat the payload of a page with a smaller page_id."""
+    """(page_id, sha1, payload_bytes, refers_to) of the pages that repeat the payload of a page with a smaller page_id."""
     light = materialise(digests(pages).where((F.col("payload_bytes") >= least_bytes) & F.col("page_id").isNotNull()), "warc-digests")
     firsts = light.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return materialise(light.join(firsts, ["sha1", "payload_bytes"]).where("page_id <> refers_to").select("page_id", "refers_to").distinct(), "warc-revisits")
+    return materialise(light.join(firsts, ["sha1", "payload_bytes"]).where("page_id <> refers_to").select("page_id", "sha1", "payload_bytes", "refers_to").distinct(), "warc-revisits")
 
 
 def payload_chunks(payload: bytes, size: int = CHUNK) -> Iterator[tuple[int, memoryview, "hashlib._Hash"]]:
@@ -160,9 +161,12 @@ def read_records(stream, chunk: int = CHUNK) -> Iterator[dict]:
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
     """Write the archives; return the manifest (name, records)."""
     again = revisits(pages, least_bytes)
-    rows = pages.select("page_id", "url", "html").withColumnRenamed("page_id", "id")
+    payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
+    rows = pages.select(F.col("page_id").alias("id"), "url", "html", F.octet_length(payload).cast("long").alias("bytes"))
+    # rows that repeat a page_id need not repeat its payload; sha1 is taken only where an id and a length meet
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    rows = rows.join(again, rows.id == again.page_id, "left").select("id", "url", "html", "refers_to")
+    same = (rows.id == again.page_id) & (rows.bytes == again.payload_bytes) & (F.sha1(F.coalesce(rows.html, F.lit("")).cast("binary")) == again.sha1)
+    rows = rows.join(again, same, "left").select("id", "url", "html", "refers_to")
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
 

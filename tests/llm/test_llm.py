@@ -401,6 +401,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archive_round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_pages_that_repeat_an_id(spark, tmp_path):
+    rows = [(1, "<a>"), (2, "<b>"), (5, "<a>"), (5, "<b>"), (5, "own"), (5, "<a>")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = warc.archive_round_trip(pages, folder=str(tmp_path / "w")).collect()
+    digest = lambda h: base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()
+    first = {"<a>": 1, "<b>": 2, "own": 5}
+    want = [(i, digest(h), "response" if first[h] == i else "revisit", None if first[h] == i else first[h]) for i, h in rows]
+    assert sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in got) == sorted((*w[:3], w[3] or 0) for w in want)
+
+
 def test_warc_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
