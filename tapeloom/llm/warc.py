@@ -1,8 +1,8 @@
 """Operator 10: WARC archives.
 
 Method: a chunked record table. A payload is held as rows of record identifier and chunk number, each with at most ``CHUNK``
-bytes and the digest of the payload up to there; writers and readers pass chunks on one by one, so neither
-builds a whole record. Every record is a gzip member of its own, as the format recommends.
+bytes. Spark cuts the cells of the pages table into chunk rows; the Python writer and reader pass chunks on one by one with a running digest, so neither
+builds a whole record (the JVM holds the cell that it cuts). Every record is a gzip member of its own, as the format recommends.
 
 Plan: (1) digest of every payload, by Spark's sha1 (a light table); (2) of equal digests and lengths the smallest page_id is kept as
 response, with partial aggregation; (3) the pages that repeat another one's payload are a table of ids and digests, joined to the pages by id and payload;
@@ -60,13 +60,10 @@ def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return materialise(light.join(firsts, ["sha1", "payload_bytes"]).where("page_id <> refers_to").select("page_id", "sha1", "payload_bytes", "refers_to").distinct(), "warc-revisits")
 
 
-def payload_chunks(payload: bytes, size: int = CHUNK) -> Iterator[tuple[int, memoryview, "hashlib._Hash"]]:
-    """(chunk number, bytes, digest up to there); an empty payload has one empty chunk."""
-    digest, view = hashlib.sha1(), memoryview(payload)
-    for number, at in enumerate(range(0, max(len(view), 1), size)):
-        part = view[at : at + size]
-        digest.update(part)
-        yield number, part, digest
+def payload_chunks(payload: Column, size: int = CHUNK) -> Column:
+    """The struct (number, data) of every chunk of a binary column, in order; an empty payload has one empty chunk."""
+    last = F.greatest(F.ceil(F.octet_length(payload) / size).cast("int") - 1, F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(k.alias("number"), F.substring(payload, k * size + 1, F.lit(size)).alias("data")))
 
 
 def bare(digest) -> str:
@@ -81,22 +78,39 @@ def record_urn(page_id: int) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, str(page_id))}>"
 
 
-def write_record(out, page_id: int | None, url: str | None, html: bytes, refers_to: int | None) -> None:
-    """One gzip member; the payload goes through the compressor chunk by chunk."""
-    whole = hashlib.sha1(html)
+def record_head(page_id: int | None, url: str | None, payload_bytes: int, digest: bytes, refers_to: int | None) -> bytes:
     fields = [
         ("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", record_urn(page_id) if page_id is not None else f"<urn:uuid:{uuid.uuid4()}>"),
-        ("WARC-Date", DATE), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{bare(whole)}"), ("Content-Type", "text/html; charset=utf-8"),
-        ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(len(html))),
+        ("WARC-Date", DATE), ("WARC-Target-URI", " ".join((url or "").split())), ("WARC-Payload-Digest", f"sha1:{base64.b32encode(digest).decode()}"), ("Content-Type", "text/html; charset=utf-8"),
+        ("X-Page-ID", "" if page_id is None else str(page_id)), ("X-Payload-Length", str(payload_bytes)),
     ]
     if refers_to is not None:
         fields += [("WARC-Refers-To", record_urn(refers_to)), ("X-Refers-To-Page-ID", str(refers_to)), ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")]
-    body = html if refers_to is None else b""
-    press = zlib.compressobj(1, zlib.DEFLATED, 31)
-    out.write(press.compress(header([*fields, ("Content-Length", str(len(body)))])))
-    for _, part, _ in payload_chunks(body):
-        out.write(press.compress(part))
-    out.write(press.compress(b"\r\n\r\n") + press.flush())
+    return header([*fields, ("Content-Length", str(payload_bytes if refers_to is None else 0))])
+
+
+def write_records(out, batches: Iterator[pa.RecordBatch]) -> int:
+    """Write chunk rows (those of a record in order, one after another), a gzip member a record; return the records.
+
+    The header's digest and length come with every row; the running digest of the chunks must end at that digest.
+    """
+    n, press, running = 0, None, None
+    for batch in slices(batches, 64):
+        page_id, url, size, digest, refers_to, number, last = (batch.column(c).to_pylist() for c in ("id", "url", "payload_bytes", "sha1", "refers_to", "number", "last"))
+        data = batch.column("data")
+        for k in range(batch.num_rows):
+            if not number[k]:
+                press, running = zlib.compressobj(1, zlib.DEFLATED, 31), hashlib.sha1()
+                out.write(press.compress(record_head(page_id[k], url[k], size[k], bytes.fromhex(digest[k]), refers_to[k])))
+            part = data[k].as_buffer()
+            running.update(part)
+            out.write(press.compress(part))
+            if last[k]:
+                if refers_to[k] is None and running.hexdigest() != digest[k]:
+                    raise ValueError("the chunks of a record do not make up its payload")
+                out.write(press.compress(b"\r\n\r\n") + press.flush())
+                n += 1
+    return n
 
 
 class MemberStream:
@@ -112,7 +126,7 @@ class MemberStream:
             self.raw = self.stream.read(self.size)
             if not self.raw:
                 return False
-        got = self.press.decompress(self.press.unconsumed_tail + self.raw if self.press.unconsumed_tail else self.raw, 4 * self.size)
+        got = self.press.decompress(self.raw, 4 * self.size)
         self.raw = self.press.unconsumed_tail
         self.ready += got
         return True
@@ -162,23 +176,22 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataF
     """Write the archives; return the manifest (name, records)."""
     again = revisits(pages, least_bytes)
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select(F.col("page_id").alias("id"), "url", "html", F.octet_length(payload).cast("long").alias("bytes"))
-    # rows that repeat a page_id need not repeat its payload; sha1 is taken only where an id and a length meet
+    rows = pages.select(F.col("page_id").alias("id"), "url", payload.alias("payload"), F.octet_length(payload).cast("long").alias("payload_bytes"), F.sha1(payload).alias("sha1"))
+    # rows that repeat a page_id need not repeat its payload
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
-    same = (rows.id == again.page_id) & (rows.bytes == again.payload_bytes) & (F.sha1(F.coalesce(rows.html, F.lit("")).cast("binary")) == again.sha1)
-    rows = rows.join(again, same, "left").select("id", "url", "html", "refers_to")
+    rows = rows.join(again.withColumnRenamed("page_id", "id"), ["id", "sha1", "payload_bytes"], "left")
+    body = F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b""))
+    rows = rows.select("id", "url", "payload_bytes", "sha1", "refers_to", F.explode(payload_chunks(body)).alias("c"))
+    whole = F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(F.lit(0))
+    rows = rows.select("id", "url", "payload_bytes", "sha1", "refers_to", "c.*", ((F.col("c.number") + 1) * F.lit(CHUNK).cast("long") >= whole).alias("last"))
     store, root = pafs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        name, n = f"part-{uuid.uuid4().hex}.warc.gz", 0
+        name = f"part-{uuid.uuid4().hex}.warc.gz"
         with fs.open_output_stream(f"{base}/{name}") as out:
-            for batch in slices(batches, 64):
-                html = batch.column("html").cast(pa.binary())
-                for k in range(batch.num_rows):
-                    write_record(out, batch.column("id")[k].as_py(), batch.column("url")[k].as_py(), html[k].as_py() or b"", batch.column("refers_to")[k].as_py())
-                    n += 1
+            n = write_records(out, batches)
         yield pa.RecordBatch.from_pydict({"name": [name], "records": pa.array([n], pa.int64())})
 
     return materialise(map_texts(rows, write, "name string, records long"), "warc-manifest")
@@ -198,8 +211,9 @@ def read_archives(spark, folder: str, names: list[str], with_data: bool = True,
                 with fs.open_input_stream(f"{base}/{names[k]}") as stream:
                     rows, held = [], 0
                     for r in read_records(stream, chunk):
+                        part = r["data"] if with_data else r.pop("data")[:0]  # bytes that are not asked for are not held
+                        held += 256 + len(part)
                         rows.append(r)
-                        held += len(r["data"]) if with_data else 256
                         if held >= 8 * CHUNK:
                             yield table(rows, names[k])
                             rows, held = [], 0

@@ -411,6 +411,31 @@ def test_warc_pages_that_repeat_an_id(spark, tmp_path):
     assert sorted((r.page_id, r.payload_digest, r.record_type, r.refers_to or 0) for r in got) == sorted((*w[:3], w[3] or 0) for w in want)
 
 
+def test_warc_passes_chunks_on(spark, tmp_path, monkeypatch):
+    import tracemalloc
+
+    big, seed = "abc" * 7_000_000, hashlib.sha256(b"x").hexdigest()
+    mixed = "".join(hashlib.sha256(f"{seed}{k}".encode()).hexdigest() for k in range(50_000))
+    pages = spark.createDataFrame([(1, "u", big), (2, "u", mixed), (3, "u", big), (4, "u", "")], "page_id long, url string, html string")
+    folder = tmp_path / "w"
+    got = {r.page_id: r for r in warc.archive_round_trip(pages, folder=str(folder)).collect()}
+    assert {i: (r.payload_bytes, r.record_type) for i, r in got.items()} == {1: (len(big), "response"), 2: (len(mixed), "response"), 3: (len(big), "revisit"), 4: (0, "response")}
+    assert all(r.payload_digest == base64.b32encode(hashlib.sha1(h.encode()).digest()).decode() for i, h in ((1, big), (2, mixed), (3, big)) for r in [got[i]])
+    rows = pages.where("page_id = 1").select(F.explode(warc.payload_chunks(F.col("html").cast("binary"))).alias("c")).select("c.*").collect()
+    assert [r.number for r in rows] == list(range(21)) and max(len(r.data) for r in rows) == warc.CHUNK and b"".join(bytes(r.data) for r in rows) == big.encode()
+    # rows without data hold none: many records of one chunk each
+    names = [p.name for p in folder.glob("*.gz")]
+    monkeypatch.setattr(warc, "read_records", lambda stream, chunk: ({"record": k, "page_id": k, "record_type": "response", "refers_to": None, "chunk": 0, "last": True, "payload_bytes": 1 << 20, "payload_digest": "", "data": bytes(1 << 20)} for k in range(200)))
+    run = {}
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", lambda self, f, schema: run.setdefault("f", f))
+    warc.read_archives(spark, str(folder), names[:1], with_data=False)
+    tracemalloc.start()
+    n = sum(b.num_rows for b in run["f"](iter([warc.pa.RecordBatch.from_pydict({"id": [0]})])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200 and peak < 20 << 20
+
+
 def test_warc_equals_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DATA}/pages.parquet'")
