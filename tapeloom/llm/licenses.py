@@ -2,11 +2,12 @@
 
 Method: MinHash bands over overlapping text windows retrieve templates; exact shingle containment verifies them.
 
-Templates are notices of well-known licenses. For each template length (in words) all windows of that length, one at
-every word, are signed with 16 minima of their five-word shingles (fewer words: one shingle), in 8 bands of 2. At a similarity of
-0.8 a template is retrieved with probability 1 - (1 - 0.64)**8, over 0.9997, at 1 always. A window matches if it
-contains at least 0.8 of the template's shingles. Of overlapping matches the best is reported (most of its shingles, then the
-longest, then the first).
+Templates are short notices, standard headers and full texts of well-known licenses, one for each version. For each template length (in words) all
+windows of that length, one at every word, are signed with 16 minima of their five-word shingles (fewer words: one shingle), in 8 bands of 2; a text shorter than
+a template is one window. A window matches if it contains at least 0.8 of the template's shingles. Windows that hold fewer known shingles
+match nothing and are not signed (no match is lost by this). Two bags of equal size of which one contains 0.8 of the other have a Jaccard
+similarity of 0.8 / 1.2 = 0.667, at which a window is retrieved with probability 1 - (1 - 0.444)**8 = 0.991; at containment 0.9 it is 0.9998, and 1 at 1. Of overlapping matches
+the best is reported (most of its shingles, then the longest, then the first).
 
 Cases: null and empty texts match nothing; repeated rows repeat their matches; a null doc_id is kept; other columns are
 ignored; texts of any length are scanned whole.
@@ -21,11 +22,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import bytes_of, map_texts, slices
+from .license_texts import TEXTS
 from .shingles import SIMILARITY, WORDS, WordHashes, mix, normal_words, shingle_hashes
 
 ROWS, BANDS = 2, 8
 
-#: License notices as their publishers state them (short notices and the opening of longer ones).
+_AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+_MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS
+_ISC = 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+_BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+_BSD_AS_IS = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+_APACHE = ' Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+_APACHE_HEAD = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+#: (license, name in its headers, version, sign before "either"): the standard headers differ in these only.
+_GNU = (
+    ("GPL-1.0", "General Public License", "1", ";"), ("GPL-2.0", "General Public License", "2", ";"), ("LGPL-2.0", "Library General Public License", "2", ";"), ("LGPL-2.1", "Lesser General Public License", "2.1", ";"),
+    ("LGPL-3.0", "Lesser General Public License", "3", ","), ("AGPL-3.0", "Affero General Public License", "3", ","),
+)
+_CC = (("CC-BY-SA", "Attribution-ShareAlike"), ("CC-BY-ND", "Attribution-NoDerivatives"), ("CC-BY-NC", "Attribution-NonCommercial"), ("CC-BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("CC-BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+
+#: License notices, headers and texts as their publishers state them, one for each version.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
@@ -43,6 +60,18 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to the public domain"),
+    ("MIT", _MIT),
+    ("ISC", _ISC),
+    ("BSD-2-Clause", _BSD + _BSD_AS_IS),
+    ("BSD-3-Clause", _BSD + _BSD_THIRD + _BSD_AS_IS),
+    ("Apache-2.0", _APACHE_HEAD + _APACHE),
+    *((name, f"This work is licensed under the GNU {title}, version {version}.") for name, title, version, _ in _GNU if name != "GPL-2.0" and name != "LGPL-3.0"),
+    *((name, f"This program is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation{mark} either version {version} of the License") for name, title, version, mark in _GNU),
+    *((name, f"This library is free software{mark} you can redistribute it and/or modify it under the terms of the GNU {title} as published by the Free Software Foundation{mark} either version {version} of the License") for name, title, version, mark in _GNU if name.startswith("LGPL")),
+    *((f"{name}-4.0", f"This work is licensed under a Creative Commons {title} 4.0 International License.") for name, title in _CC),
+    *((f"{name}-4.0", f"Licensed under {name[:2]} {name[3:]} 4.0.") for name, _ in _CC if name in ("CC-BY-ND", "CC-BY-NC-SA", "CC-BY-NC-ND")),
+    *((f"{name}-3.0", f"This work is licensed under a Creative Commons {title.replace('NoDerivatives', 'NoDerivs')} 3.0 Unported License.") for name, title in (("CC-BY", "Attribution"), *_CC)),
+    *TEXTS,
 )
 
 
@@ -55,6 +84,17 @@ class Scanner:
             w = self.hashes.of(normal_words(text.encode()))
             if len(w):
                 self.templates.append((name, len(w), min(WORDS, len(w)), np.unique(shingle_hashes(w))))
+        #: By words of a shingle: the sorted shingles of its templates, and which leading bits they have.
+        self.known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for size in {t[2] for t in self.templates}:
+            known = np.unique(np.concatenate([t[3] for t in self.templates if t[2] == size]))
+            seen = np.zeros(1 << 20, bool)
+            seen[(known >> np.uint64(44)).astype(np.int64)] = True
+            self.known[size] = known, seen
+        #: By (words of a shingle, window's words): the known shingles without which a window matches none of those templates.
+        self.least: dict[tuple[int, int], float] = {}
+        for _, words, size, h in self.templates:
+            self.least[size, words] = min(self.least.get((size, words), np.inf), threshold * len(h) - 1e-9)
         #: By (words of a shingle, window's words): sorted band keys of those templates, and the template of each.
         self.index: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for kind in {(t[2], t[1]) for t in self.templates}:
@@ -86,25 +126,36 @@ class Scanner:
             if len(w) < size:
                 continue
             h = hashes[size] = shingle_hashes(w, size)
-            low, covers = self.permuted(h), 1
+            known, heads = self.known[size]
+            maybe = np.flatnonzero(heads[(h >> np.uint64(44)).astype(np.int64)])
+            maybe = maybe[known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]]
+            if not len(maybe):
+                continue
+            held = np.zeros(len(h) + 1, np.int64)
+            held[maybe + 1] = 1
+            held = np.cumsum(held)
+            low, covers = None, 1
             for words in sorted(k[1] for k in self.index if k[0] == size):
-                n = words - size + 1  # shingles of the window
-                if n > len(h):
-                    break
+                n = min(words - size + 1, len(h))  # shingles of the window; a shorter text is one window
+                starts = np.flatnonzero(held[n:] - held[:-n] >= self.least[size, words])
+                if not len(starts):
+                    continue
+                low = self.permuted(h) if low is None else low
                 while covers < n:
                     step = min(covers, n - covers)
                     low = np.minimum(low[:, :-step], low[:, step:])
                     covers += step
                 keys, of, seen = self.index[size, words]
-                band = self.bands(low)
+                band = self.bands(low[:, starts])
                 _, at = np.nonzero(seen[(band >> np.uint64(48)).astype(np.int64)])
-                for start in np.unique(at).tolist():
-                    near = of[np.isin(keys, band[:, start])]
+                for i in np.unique(at).tolist():
+                    start = int(starts[i])
+                    near = of[np.isin(keys, band[:, i])]
                     inside = h[start : start + n]
                     for k in np.unique(near).tolist():
                         share = float(np.isin(self.templates[k][3], inside).mean())
                         if share >= self.threshold:
-                            found.append((k, start, words, share))
+                            found.append((k, start, n + size - 1, share))
         out: list[tuple[int, int, int, float]] = []
         for k, start, words, share in sorted(found, key=lambda f: (-f[3], -f[2], f[1], f[0])):
             if all(start >= o[1] + o[2] or o[1] >= start + words for o in out):

@@ -253,6 +253,19 @@ def test_licenses(spark):
     assert set(got) == set(range(len(licenses.TEMPLATES)))
 
 
+def test_license_versions_and_cut_notices():
+    scan = lambda text: [m[0] for m in licenses.Scanner().scan(text.encode())]
+    head = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    assert scan(head) == ["GPL-2.0"] and scan(head.replace("version 2", "version 3")) == ["GPL-3.0"]
+    assert scan(head.replace("GNU General", "GNU Affero General").replace("version 2", "version 3")) == ["AGPL-3.0"]
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    assert scan(mit.rsplit(" ", 1)[0]) == ["MIT"]
+    assert scan(licenses._ISC) == ["ISC"] and scan(licenses._MIT) == ["MIT"] and scan(licenses._BSD + licenses._BSD_AS_IS) == ["BSD-2-Clause"] and scan(licenses._BSD + licenses._BSD_THIRD + licenses._BSD_AS_IS) == ["BSD-3-Clause"]
+    assert scan("Licensed under CC BY-ND 4.0.") == ["CC-BY-ND-4.0"] and scan("Licensed under CC BY-NC-SA 4.0.") == ["CC-BY-NC-SA-4.0"]
+    gpl = dict(licenses.TEXTS)["GPL-2.0"].split()
+    assert scan(" ".join(gpl[: int(0.9 * len(gpl))])) == ["GPL-2.0"]
+
+
 def test_license_scan_equals_containment_of_all_windows(docs):
     scanner = licenses.Scanner()
     for r in docs.where("n_chars < 3000").limit(60).collect():
