@@ -9,7 +9,9 @@ bags of n and m, at least 0.8 / 1.8 * (n + m) shingles must be shared for 0.8, s
 benchmark can match no item: only the other windows are fingerprinted. This loses no match.
 
 Fingerprints are cut into four blocks of 16 bits. Within 15 differing bits some block differs in at most three, so
-looking up all values within three bits of each of the window's blocks finds every such item.
+looking up all values within three bits of each of the window's blocks finds every such item. Windows just over the threshold may differ in more bits,
+so a second lookup, by shingles, finds what the first misses: a window that matches an item of n shingles shares at least 0.8 of
+them, hence one at least of any n - 0.8 * n + 1 of them; the ones that the fewest items have are indexed. Both together lose no match.
 
 The benchmark is the small side: it is broadcast in parts of at most ``PART_WORDS`` words, and each part is one pass over the
 documents, so a benchmark of any size works with bounded memory.
@@ -33,7 +35,7 @@ from .common import bytes_of, map_texts, materialise, slices
 from .shingles import SIMILARITY, WORDS, WordHashes, normal_words, positions_of, shingle_hashes
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
-#: All fingerprints within this distance are retrieved.
+#: All fingerprints within this distance are retrieved; matches beyond it are found by their rare shingles.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 PART_WORDS = 2_000_000
 BROADCAST_IDS = 1_000_000
@@ -77,6 +79,20 @@ class Benchmark:
                     for i in np.searchsorted(known, np.unique(h)).tolist():
                         lengths.setdefault(i, set()).add(len(h))
             self.owners[size] = lengths
+        #: By (words of a shingle, shingle's place in ``known``): the items that cannot reach the threshold without one of these shingles.
+        self.rare: dict[tuple[int, int], list[int]] = {}
+        for size, known in self.known.items():
+            spread = np.zeros(len(known), np.int64)
+            for _, s, h in self.items:
+                if s == size:
+                    spread[np.searchsorted(known, np.unique(h))] += 1
+            for k, (_, s, h) in enumerate(self.items):
+                if s == size:
+                    places = np.searchsorted(known, h)
+                    order = np.lexsort((places, spread[places]))
+                    # a match shares at least threshold * n positions of the item, so of any n - threshold * n + 1 one at least
+                    for i in np.unique(places[order[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]]).tolist():
+                        self.rare.setdefault((size, i), []).append(k)
         self.prints = np.array([simhash(h) for _, _, h in self.items], np.uint64)
         self.index = []
         for b in range(BLOCKS):
@@ -113,7 +129,9 @@ class Benchmark:
                 least = self.threshold / (1 + self.threshold) * (n + m) - 1e-9
                 for start in np.flatnonzero(hits[m:] - hits[:-m] >= least).tolist():
                     window = h[start : start + m]
-                    for k in self.retrieve(simhash(window)).tolist():
+                    low, high = np.searchsorted(at, (start, start + m))
+                    near = set(self.retrieve(simhash(window)).tolist()).union(*(self.rare.get((size, i), ()) for i in set(which[low:high].tolist())))
+                    for k in near:
                         if self.items[k][1] == size and len(self.items[k][2]) == n:
                             score = weighted_similarity(window, self.items[k][2])
                             if score >= self.threshold and (k not in best or score > best[k][0]):

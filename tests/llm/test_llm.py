@@ -233,6 +233,21 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert decontaminate.leaks(df, none).count() == 0 and decontaminate.drop_leaks(df, none).count() == df.count()
 
 
+def test_matches_beyond_the_fingerprints_radius():
+    rng = np.random.default_rng(3)
+    items, texts = [], []
+    while len(items) < 20:  # pairs at similarity 0.8 or more whose fingerprints differ in more than RADIUS bits
+        words = [f"w{x}" for x in rng.integers(0, 10**9, 50)]
+        cut = 3 + int(rng.integers(0, 3))
+        other = [*(f"x{x}" for x in rng.integers(0, 10**9, cut)), *words[cut:]]
+        a, b = (shingles.shingle_hashes(shingles.word_hashes([x.encode() for x in t])) for t in (words, other))
+        if decontaminate.weighted_similarity(a, b) >= 0.8 and (decontaminate.simhash(a) ^ decontaminate.simhash(b)).bit_count() > decontaminate.RADIUS:
+            items.append((len(items), " ".join(words)))
+            texts.append(" ".join(other))
+    bench = decontaminate.Benchmark(items)
+    assert [[m[0] for m in bench.matches(t.encode())] for t in texts] == [[i] for i in range(20)]
+
+
 def test_blocks_find_every_fingerprint_within_the_radius():
     rng = np.random.default_rng(2)
     bench = decontaminate.Benchmark([(i, " ".join(str(x) for x in rng.integers(0, 1000, 20))) for i in range(50)])
