@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import bytes_of, map_texts, materialise, shuffle_partitions, slices
 from .components import connected_components
@@ -133,15 +134,20 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return parts.mapInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+def rooted_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row; root is a fingerprint that only rows of its component have."""
     own = materialise(fingerprints(docs), "simhash")
     classes = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-classes")
     stars = connected_components(links(classes, radius), "simhash-links")
     linked = classes.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     roots = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = materialise(linked.join(roots, "root").select("fp", "component_id"), "simhash-labels")
-    return own.join(labels, "fp").select("doc_id", "fp", "component_id")
+    labels = materialise(linked.join(roots, "root").select("fp", "root", "component_id"), "simhash-labels")
+    return own.join(labels, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def near_groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, fp, component_id) of every row."""
+    return rooted_groups(docs, radius).select("doc_id", "fp", "component_id")
 
 
 def hex_of(fp: Column) -> Column:
@@ -151,19 +157,30 @@ def hex_of(fp: Column) -> Column:
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest doc_id.
 
-    Rows without doc_id stay. Of rows that repeat a doc_id and would both stay, one does (that with the
-    smallest values, column by column).
+    Rows without doc_id stay. Rows that repeat a doc_id are judged by their own texts: one goes only if its own group has a
+    smaller doc_id. Of those of one doc_id and one group that would stay, one does (that with the smallest values, column by column).
     """
-    groups = near_groups(docs, radius)
+    groups = rooted_groups(docs, radius)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
-    small = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     again = materialise(again, "simhash-repeats")
     repeats = again.count()
+    again = F.broadcast(again) if repeats <= BROADCAST_IDS else again
+    small = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     if not repeats:
         return left
-    again = F.broadcast(again) if repeats <= BROADCAST_IDS else again
-    others = [F.col(c) for c in docs.columns if c != "doc_id"]
-    one = left.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).union(one.select(*docs.columns))
+    print_, root = "simhash fp", "simhash root"  # beside the columns of docs
+    kept = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            fps = np.array([fingerprint(x) for x in bytes_of(batch)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, print_])
+
+    rows = docs.join(again, "doc_id", "left_semi").select(*kept)
+    rows = map_texts(rows, run, StructType([*rows.schema.fields, StructField(print_, LongType())]))
+    own = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("fp").alias(print_), F.col("root").alias(root)).distinct()
+    others = [F.col(c) for c in kept if c != "doc_id"]
+    one = rows.join(own, ["doc_id", print_]).groupBy("doc_id", root).agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
+    return left.join(again, "doc_id", "left_anti").select(*kept).union(one.select(*kept))

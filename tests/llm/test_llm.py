@@ -192,6 +192,14 @@ def test_keep_one(spark):
     assert left.columns == df.columns and sorted(r.doc_id for r in left.collect()) == [0, 2, 3]
 
 
+def test_keep_one_of_repeated_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    x, y, z = " ".join(words), " ".join(f"y{i}" for i in range(60)), " ".join(f"z{i}" for i in range(60))
+    rows = [(1, x), (5, x), (5, y), (5, y), (5, z), (6, z), (None, y)]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in got) == sorted([(0, y), (1, x), (5, y), (5, z)])
+
+
 # ---------------------------------------------------------------- 3 and 8
 
 
