@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,13 +34,50 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tapeloom/{label}-{uuid.uuid4().hex}"
 
 
+#: Folders of the tables written since ``scratch`` was entered, in this thread.
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage is cut and survives lost executors."""
     path = new_dir(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[], str]]:
+    """Tables that ``materialise`` writes inside are deleted at the end. The function that is yielded keeps the last one and returns its path.
+
+    For callers that write their result before they leave; a DataFrame that still reads a deleted table is of no use afterwards.
+    """
+    made: list[str] = []
+    kept: list[str] = []
+    outer = _SCRATCH.get()
+
+    def keep_last() -> str:
+        kept.append(made.pop())
+        return kept[-1]
+
+    token = _SCRATCH.set(made)
+    try:
+        yield keep_last
+    finally:
+        _SCRATCH.reset(token)
+        if outer is not None:
+            outer += kept
+        for path in made:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder; nothing happens if it is gone."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -80,7 +119,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
 
     The rows with the smallest hashes of doc_id are taken, so the sample is the same wherever the tables
     lie and however they are split. Rows without doc_id, text or label are left out; of repeated
-    labels the largest counts.
+    labels the largest counts, of rows that repeat a doc_id the one with the smallest text.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col(label).cast("double").alias("label"))
@@ -91,7 +130,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int) ->
     return (
         docs.select("doc_id", "text").where(F.col("text").isNotNull())
         .join(F.broadcast(chosen), "doc_id")  # at most ``limit`` rows of 16 bytes
-        .withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)).cast("int"))
+        .groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+        .select("doc_id", "text", "label", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(10)).cast("int").alias("fold"))
     )
 
 

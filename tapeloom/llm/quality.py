@@ -7,9 +7,10 @@ dictionaries shrink to nothing, would look as good as bad; the length keeps them
 
 Texts are compressed in pieces of ``PIECE`` bytes, all of them, so that a long text does not outgrow the dictionary's
 influence; sizes are summed. Dictionaries come from folds 0-5 of a bounded sample of the labelled rows that are not held
-out, the calibration from the other folds.
+out, the calibration from the other folds. The sample is written out once, so the documents are read twice: for it and for the scores.
 
-Cases: null and empty texts get the calibrated score of a difference of zero; rows that repeat are scored alike;
+Cases: null and empty texts get the calibrated score of a difference of zero; a null doc_id is kept, is not held out and never
+learnt from; rows that repeat are scored alike, each by its own text; an empty table gives an empty result; other columns are ignored;
 labels, lang, source and doc_id are no inputs of a score; without labelled rows of both kinds the score is the share of good
 labels (0.5 without any).
 """
@@ -25,9 +26,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, held_out, map_texts, slices, training_rows
+from .common import bytes_of, held_out, map_texts, materialise, slices, training_rows
 
-#: Bounds of the sample that the classifier is fitted on: rows, and bytes for each dictionary.
+#: Bounds of the sample that the classifier is fitted on: rows, and bytes for each dictionary (a longer text is cut there).
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 6_000_000
 DICTIONARY_BYTES, PIECE, LEVEL = 65_536, 1024, 3
 DICTIONARY_FOLDS = 6
@@ -85,21 +86,20 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
 def _collect_texts(rows: DataFrame, label: float) -> list[bytes]:
     """Texts of a label, in hash order, as many as SAMPLE_BYTES hold."""
     rows = rows.where((F.col("label") == label) & (F.col("fold") < DICTIONARY_FOLDS))
-    sizes = rows.select(F.xxhash64("doc_id").alias("h"), F.octet_length("text").alias("n")).collect()  # at most SAMPLE_ROWS
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("data"))
     total, last = 0, None
-    for h, n in sorted(map(tuple, sizes)):
+    for h, n in sorted(map(tuple, rows.select("h", F.octet_length("data")).collect())):  # two numbers for each of at most SAMPLE_ROWS
         total += n
-        if total > SAMPLE_BYTES and last is not None:
+        if total > SAMPLE_BYTES:
             break
         last = h
     if last is None:
         return []
-    picked = rows.where(F.xxhash64("doc_id") <= last).select("text").collect()
-    return sorted(r.text.encode() for r in picked)
+    return sorted(bytes(r.data) for r in rows.where(F.col("h") <= last).select("data").collect())  # at most SAMPLE_BYTES
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels, "quality", SAMPLE_ROWS)
+    rows = materialise(training_rows(docs, labels, "quality", SAMPLE_ROWS), "quality-sample")
     good, bad = _collect_texts(rows, 1.0), _collect_texts(rows, 0.0)
     if not good or not bad:
         share = rows.agg(F.avg("label")).first()[0]

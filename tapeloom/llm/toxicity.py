@@ -7,7 +7,11 @@ The lexicon is a short fixed list and terms mined from labelled rows: words and
 often than others. A bounded sample of labelled rows that are not held out serves for it all: folds 0-4 for the
 lexicon, 5-7 for the trees, 8-9 for the calibration, so no part is fitted on what an earlier part has seen.
 
-Cases: null and empty texts have all features zero and get the score the model gives those; repeated rows are scored alike; labels,
+Counts of hits are features up to 20: trees need no finer scale there, and the rates beside them have no bound.
+
+Cases: null and empty texts have all features zero and get the score the model gives those; a null doc_id is kept, is not held out and
+never learnt from; repeated rows are scored alike, rows that repeat a doc_id each by its own text; texts of any length are read whole; an empty
+table gives an empty result; other columns are ignored; labels,
 lang, source and doc_id are no inputs of a score; without labelled rows of both kinds in each part the score is the share of
 toxic labels (0.5 without any label).
 """
