@@ -6,9 +6,9 @@ Base kinds are found by regular expressions, leftmost and without overlap for ea
 
 Method: multipart credential linking. Weak candidates are ``identifier`` (user or client names with a value), ``key40`` (40 characters of
 base64) and ``endpoint`` (addresses with a scheme). A weak candidate is reported only if complementary parts lie in its
-scope, the same text with an end at most ``REACH`` code points away: an identifier needs a secret, a key40 needs an
-identifier, an endpoint needs both. Parts are joined as intervals: equal text and equal cell of ``REACH`` code points,
-the weak side in all cells that it and its surroundings touch, with the distance as a further condition; as a
+scope, the same text with an end at most ``REACH`` code points away, and do not overlap it: an identifier needs a secret, a key40 needs an
+identifier, an endpoint needs a secret and an identifier that itself has a secret in its scope. Parts are joined as intervals: equal text and equal cell of ``REACH`` code points,
+the weak side in all cells that it and its surroundings touch, with distance and order as further conditions; as a
 semi-join it makes no pairs.
 
 Cases: null and empty texts have no spans (the hash is that of the empty string); every input row gives one
@@ -24,8 +24,8 @@ from pyspark.sql import Window as W
 from .common import materialise
 
 REACH = 200
-#: Texts with secrets whose spans may be broadcast when texts are rewritten.
-BROADCAST_ROWS = 50_000
+#: Texts with secrets, and spans in them (16 bytes each), that may be broadcast when texts are rewritten.
+BROADCAST_ROWS, BROADCAST_SPANS = 50_000, 500_000
 MASK = "[SECRET]"
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
@@ -40,7 +40,6 @@ PATTERNS = {
 }
 BASE = ("assign", "access", "hex")
 ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "identifier": "identifier", "key40": "secret", "endpoint": "endpoint"}
-NEEDS = {"identifier": ("secret",), "key40": ("identifier",), "endpoint": ("identifier", "secret")}
 #: What a text must hold for its weak patterns to be tried: cheap searches for a fixed string.
 HINTS = {"endpoint": "://"}
 
@@ -73,18 +72,22 @@ def spans_of(parts: DataFrame) -> DataFrame:
     spans = hits.select("row", "kind", end.alias("end"), F.col("m.n").alias("n"), F.col("m.value").alias("value"))
     spans = spans.where("kind <> 'assign' or value >= 6").select("row", "kind", (F.col("end") - F.col("n")).alias("start"), "end")
     spans = materialise(spans, "secret-spans")
-    out = spans.where(F.col("kind").isin(*BASE))
     role = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    ends = spans.select(F.col("row").alias("a_row"), role[F.col("kind")].alias("role"), F.explode(F.array("start", "end")).alias("point"))
+    parts_of = lambda *roles: spans.where(role[F.col("kind")].isin(*roles))
+    identifiers = supported(parts_of("identifier"), parts_of("secret"))
+    weak = identifiers.where("kind = 'identifier'")
+    keys = supported(spans.where("kind = 'key40'"), parts_of("identifier"))
+    endpoints = supported(supported(spans.where("kind = 'endpoint'"), identifiers), parts_of("secret"))
+    return spans.where(F.col("kind").isin(*BASE)).unionByName(weak).unionByName(keys).unionByName(endpoints)
+
+
+def supported(weak: DataFrame, parts: DataFrame) -> DataFrame:
+    """The spans of ``weak`` with a part that ends or starts at most REACH code points away and does not overlap them: an interval semi-join."""
+    ends = parts.select(F.col("row").alias("a_row"), F.col("start").alias("a_start"), F.col("end").alias("a_end"), F.explode(F.array("start", "end")).alias("point"))
     ends = ends.withColumn("cell", F.floor(F.col("point") / REACH))
-    reached = [F.col("a_row") == F.col("row"), F.col("cell") == F.col("near"), F.col("point") >= F.col("start") - REACH, F.col("point") <= F.col("end") + REACH]
-    for kind, needs in NEEDS.items():
-        weak = spans.where(F.col("kind") == kind)
-        for need in needs:
-            near = weak.withColumn("near", F.explode(F.sequence(F.floor(F.col("start") / REACH) - 1, F.floor(F.col("end") / REACH) + 1)))
-            weak = near.join(ends.where(F.col("role") == need), reached, "left_semi").select("row", "kind", "start", "end").distinct()
-        out = out.unionByName(weak)
-    return out
+    near = weak.withColumn("near", F.explode(F.sequence(F.floor(F.col("start") / REACH) - 1, F.floor(F.col("end") / REACH) + 1)))
+    reached = [F.col("a_row") == F.col("row"), F.col("cell") == F.col("near"), F.col("point") >= F.col("start") - REACH, F.col("point") <= F.col("end") + REACH, (F.col("a_end") <= F.col("start")) | (F.col("a_start") >= F.col("end"))]
+    return near.join(ends, reached, "left_semi").select("row", "kind", "start", "end").distinct()
 
 
 def _rank(kind: Column) -> Column:
@@ -115,25 +118,45 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return secret_spans(docs).select("doc_id", *[own(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
 
 
+def merged(spans: DataFrame, by: str) -> DataFrame:
+    """(by, masked): the spans of each text as a sorted array of (start, end), overlapping ones as one."""
+    own = spans.select(by, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")).distinct()
+    before = W.partitionBy(by).orderBy("start", "end").rowsBetween(W.unboundedPreceding, -1)  # the spans of a text
+    own = own.withColumn("fresh", F.coalesce(F.col("start") >= F.max("end").over(before), F.lit(True)).cast("int"))
+    own = own.withColumn("part", F.sum("fresh").over(W.partitionBy(by).orderBy("start", "end").rowsBetween(W.unboundedPreceding, 0)))
+    one = own.groupBy(by, "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return one.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("masked"))
+
+
+def masked_text(text: Column, spans: Column, mask: str = MASK) -> Column:
+    """The text with every span of a sorted array without overlaps replaced. Pieces are cut from UTF-32, where a code point's place is known, so
+    the work grows with the text's length only."""
+    cut = lambda wide, a, n: F.decode(F.substring(wide, 4 * a + 1, 4 * n), "UTF-32")
+
+    def rebuilt(wide: Column) -> Column:
+        start_of = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["end"])
+        pieces = F.transform(spans, lambda s, i: cut(wide, start_of(i), s.start - start_of(i)))
+        last = F.element_at(spans, -1)["end"]
+        return F.array_join(F.concat(pieces, F.array(F.substring(text, last + 1, F.length(text)))), mask)
+
+    # an array of one, so that the wide form is made once and not for each piece
+    return F.transform(F.array(F.encode(text, "UTF-32")), rebuilt)[0]
+
+
 def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows of ``docs``, all columns, with every span replaced by ``mask`` (overlapping spans by one) and n_chars
     set anew. Spans depend on the text alone, so they are joined by the text's digest."""
-    rename = {c: c for c in docs.columns}
     key = "text_digest"
-    while key in rename:
+    while {key, key + "spans"} & set(docs.columns):
         key += "_"
     parts = scanned(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    found = spans_of(parts).join(parts.select("row", "digest"), "row").groupBy("digest").agg(F.array_sort(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("masked"))
+    found = merged(spans_of(parts).join(parts.select("row", "digest"), "row"), "digest")
     found = materialise(found.select(F.col("digest").alias(key), F.col("masked").alias(key + "spans")), "secret-masks")
-    small = found.count() <= BROADCAST_ROWS
+    rows, marks = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(key + "spans")), F.lit(0))).first()
+    small = rows <= BROADCAST_ROWS and marks <= BROADCAST_SPANS
     both = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256)).join(F.broadcast(found) if small else found, key, "left")
     spans = F.col(key + "spans")
-    # where the spans before a span end: the text between is kept, and a span that begins inside another adds no mask of its own
-    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(spans, 1, i), lambda s: s.end)), F.lit(0))
-    piece = lambda s, i: F.when((i > 0) & (s.start < reach(i)), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), reach(i) + 1, s.start - reach(i)), F.lit(mask)))
-    tail = F.substring(F.col("text"), reach(F.size(spans)) + 1, F.length("text"))
-    text = F.when(spans.isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.concat(F.array_join(F.transform(spans, piece), ""), tail))
-    out = both.withColumn("text", text)
+    out = both.withColumn("text", F.when(spans.isNull() | F.col("text").isNull(), F.col("text")).otherwise(masked_text(F.col("text"), spans, mask)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
