@@ -8,7 +8,8 @@ as rows of one matrix; long pieces have a tree of their own, so that a piece of
 Every distinct piece of a batch is encoded once, and the last pieces are remembered (bounded).
 
 Cases: a null or empty text has no ids, and the hash of the empty string twice; repeated rows give repeated
-results; nulls of doc_id are kept; other columns are ignored. Pieces of any length work.
+results, rows that repeat a doc_id each its own; nulls of doc_id are kept; other columns are ignored; an empty table gives an empty
+result. Texts and pieces of any length work.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import WordCache, map_texts, slices, texts_of
-from .wordpieces import PieceSplitter
+from .wordpieces import PieceSplitter, tokenizer_text
 
 #: Widths of the matrices; longer pieces are encoded one by one.
 WIDTHS = (4, 8, 16, 32, 64)
@@ -144,8 +145,8 @@ def merge_long(symbols: list[int], merges: Merges) -> list[int]:
 
 
 class Encoder:
-    def __init__(self, path: str):
-        self.splitter = PieceSplitter(path)
+    def __init__(self, text: str):
+        self.splitter = PieceSplitter(text)
         spec = self.splitter.spec
         model = spec["model"]
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("byte_fallback") or spec["decoder"]:
@@ -210,15 +211,17 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
+def encoder(text: str) -> Encoder:
+    """The encoder of a tokenizer file's text, made once for each Python worker."""
+    return Encoder(text)
 
 
 def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, ids) of every whole text."""
+    held = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(held.value)
         for batch in slices(batches):
             ids = list(own.encode(texts_of(batch)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
@@ -228,9 +231,10 @@ def encode_texts(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
+    held = encoded.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(held.value)
         for batch in slices(batches):
             texts = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -240,9 +244,10 @@ def decode_ids(encoded: DataFrame, tokenizer: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Encode and decode every whole text; digests of both, computed where the row lies."""
+    held = docs.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer)
+        own = encoder(held.value)
         decimal = [str(i) for i in range(len(own.names))]
         for batch in slices(batches):
             n, ids_hash, text_hash = [], [], []

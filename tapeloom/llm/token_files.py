@@ -21,13 +21,15 @@ File format, little-endian, one file for each range of doc_id::
 
 ``codebook.bin`` beside them: uint32 longest code, uint32 symbols, then uint32 id and uint8 length of each.
 
-Cases: a null or empty text holds the end id alone; a null doc_id sorts first; rows that repeat a doc_id are
-kept, in the order of their ids' bytes; an empty table gives an empty result. Columns beyond doc_id and
-text are ignored.
+Cases: a null or empty text holds the end id alone; doc_id is a long, and a null one sorts first; rows that repeat a doc_id are
+kept, in the order of the hashes of their ids; an empty table gives an empty result. Columns beyond doc_id and
+text are ignored. Texts of any length are taken whole. At most 2**MAX_BITS different ids may occur (a code of MAX_BITS bits tells no more
+apart; the vocabulary here has 49,408), more raise an error.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 import uuid
 import zlib
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, materialise, new_dir, shuffle_partitions, slices, texts_of
-from .wordpieces import PieceSplitter
+from .wordpieces import PieceSplitter, tokenizer_text
 
 MAGIC = b"HUFTOK01"
 #: Longest code; 2**MAX_BITS is the size of the decoding table.
@@ -152,17 +154,18 @@ class _PieceIds(dict):
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> _PieceIds:
-    return _PieceIds(PieceSplitter(path))
+def _encoder(text: str) -> _PieceIds:
+    return _PieceIds(PieceSplitter(text))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, kind: str) -> DataFrame:
-    """(doc_id, ids): the library's ids of every whole text and the end id, packed as ``kind``."""
+    """(doc_id, ids): the library's ids of every whole text and the end id, packed as ``kind``; ``tokenizer`` is the file's text."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     end = np.array([end_id], kind).tobytes()
+    held = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = _encoder(tokenizer)
+        ids = _encoder(held.value)
         get, split = ids.__getitem__, ids.splitter.split
         for batch in slices(batches):
             out = [b"".join([*map(get, split(t)), end]) for t in texts_of(batch)]
@@ -270,7 +273,9 @@ def write_token_files(encoded: DataFrame, folder: str, counts: np.ndarray, kind:
             docs, tokens = _write_part(rows, code, out)
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": pa.array([docs], pa.int64()), "tokens": pa.array([tokens], pa.int64())})
 
-    ranges = encoded.repartitionByRange(shuffle_partitions(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    # the hash cuts the rows of a doc_id (or of none) that very many rows have
+    keyed = encoded.withColumn("h", F.xxhash64("ids"))
+    ranges = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h", "ids").select("doc_id", "ids")
     manifest = materialise(ranges.mapInArrow(write, "part int, name string, docs long, tokens long"), "token-manifest")
     return [r.asDict() for r in manifest.orderBy("part").collect()]  # a row for each part
 
@@ -329,11 +334,8 @@ def read_token_files(spark, folder: str, manifest: list[dict], with_ids: bool =
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None, with_ids: bool = False) -> DataFrame:
     """Encode ``docs``, write the files, read them back; a row for each document."""
-    import json
-
-    spark = docs.sparkSession
-    with open(tokenizer, encoding="utf-8") as f:
-        spec = json.load(f)
+    spark, tokenizer = docs.sparkSession, tokenizer_text(tokenizer)
+    spec = json.loads(tokenizer)
     vocabulary = max(end_id, *spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])) + 1
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     encoded = materialise(encode_documents(docs, tokenizer, end_id, kind), "token-ids")

@@ -27,11 +27,16 @@ _NUMERALS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMERALS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMERALS}]+")
 
 
+def tokenizer_text(path: str) -> str:
+    """The tokenizer file; the driver reads it and broadcasts it (some megabytes), so executors need no file of that path."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
 class PieceSplitter:
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            self.spec = json.load(f)
-        self.library = tokenizers.Tokenizer.from_file(path)
+    def __init__(self, text: str):
+        self.spec = json.loads(text)
+        self.library = tokenizers.Tokenizer.from_str(text)
         self.specials = {t["content"]: t["id"] for t in self.spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")")
         self.alphabet = byte_alphabet()
