@@ -17,12 +17,13 @@ The benchmark is the small side: it is broadcast in parts of at most ``PART_WORD
 documents, so a benchmark of any size works with bounded memory.
 
 Cases: null and empty texts match nothing, nor do items without words; items with equal texts each report; repeated
-rows repeat their matches; a null doc_id is kept; an empty benchmark leaves every document clean. Other columns
-are ignored.
+rows repeat their matches, rows that repeat a doc_id report each its own; a null doc_id is kept; an empty benchmark leaves every document clean,
+an empty table gives an empty result. Texts of any length are searched whole. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -139,6 +140,18 @@ class Benchmark:
         return [(self.items[k][0], start, words, score) for k, (score, start, words) in sorted(best.items())]
 
 
+_BUILT: dict[tuple[str, float], Benchmark] = {}
+
+
+def built(part: tuple[str, list[tuple[int, str]]], threshold: float) -> Benchmark:
+    """The index of a broadcast part (its name, its items), made once for each Python worker; the last one is remembered."""
+    key = part[0], threshold
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Benchmark(part[1], threshold=threshold)
+    return _BUILT[key]
+
+
 def benchmark_parts(benchmark: DataFrame, part_words: int = PART_WORDS) -> Iterator[list[tuple[int, str]]]:
     """The items in parts of bounded size."""
     items = benchmark.select("item_id", "text").where("text is not null")
@@ -156,10 +169,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
     arrow = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
     out = None
     for items in benchmark_parts(benchmark, part_words):
-        held = spark.sparkContext.broadcast(items)
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value, threshold=threshold)
+            bench = built(held.value, threshold)
             for batch in slices(batches):
                 found = [(i, *m) for i, data in enumerate(bytes_of(batch)) for m in bench.matches(data)]
                 ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
@@ -175,10 +188,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
     """The rows of ``docs``, all columns, in which no benchmark item is found. The test runs where the row lies: no join."""
     spark = docs.sparkSession
     for items in benchmark_parts(benchmark, part_words):
-        held = spark.sparkContext.broadcast(items)
+        held = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(held.value, threshold=threshold)
+            bench = built(held.value, threshold)
             for batch in slices(batches):
                 yield batch.filter(pa.array([not bench.matches(x) for x in bytes_of(batch)], pa.bool_()))
 

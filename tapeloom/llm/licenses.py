@@ -9,13 +9,16 @@ match nothing and are not signed (no match is lost by this). Two bags of equal s
 similarity of 0.8 / 1.2 = 0.667, at which a window is retrieved with probability 1 - (1 - 0.444)**8 = 0.991; at containment 0.9 it is 0.9998, and 1 at 1. Of overlapping matches
 the best is reported (most of its shingles, then the longest, then the first).
 
-Cases: null and empty texts match nothing; repeated rows repeat their matches; a null doc_id is kept; other columns are
-ignored; texts of any length are scanned whole.
+(Texts of a family differ in a few words, so windows over one of them also match its kin; the best one tells the version.)
+
+Cases: null and empty texts match nothing; repeated rows repeat their matches, rows that repeat a doc_id report each its own; a null doc_id is
+kept; other columns are ignored; an empty table gives an empty result; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,12 +166,18 @@ class Scanner:
         return [(self.templates[k][0], start, words, share) for k, start, words, share in sorted(out, key=lambda o: (o[1], o[0]))]
 
 
+@lru_cache(maxsize=1)
+def standard_scanner(threshold: float) -> Scanner:
+    """The scanner of all templates, made once for each Python worker."""
+    return Scanner(TEMPLATES, threshold)
+
+
 def license_matches(docs: DataFrame, templates=None, threshold: float = SIMILARITY) -> DataFrame:
     """(doc_id, license, first_word, n_words, containment): every notice found; no shuffle."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(templates or TEMPLATES, threshold)
+        scanner = Scanner(templates, threshold) if templates else standard_scanner(threshold)
         for batch in slices(batches):
             found = [(i, *m) for i, data in enumerate(bytes_of(batch)) for m in scanner.scan(data)]
             ids = batch.column("doc_id").take(pa.array([f[0] for f in found], pa.int64()))
