@@ -9,18 +9,20 @@ a nonzero vector v keeps the bits whose vector has an odd inner product with v.
 bits span at most r dimensions, so some v is orthogonal to all of them and that mask keeps none of
 the differing bits: every pair within radius r agrees under one of the 2**(r+1) - 1 masks.
 
-Work is on distinct fingerprints. Buckets with one fingerprint are dropped by a count. A bucket with
-many is cut into blocks, every two of which meet in a group of bounded size. A group yields a spanning forest
+Work is on distinct fingerprints. Buckets with one fingerprint are dropped by a count. A crowded bucket (more than HOT
+fingerprints) is dealt into buckets of a second set of masks, over other numbers of the bits, by the same rule: its pairs within the radius agree under one of those
+too. A bucket with more than a block is cut into blocks, every two of which meet in a group of bounded size. A group yields a spanning forest
 of its links, not all its pairs.
 
 Cases: null and empty texts have fingerprint zero and link like any other; rows that repeat a doc_id keep
 their own fingerprint each, component_id is the smallest doc_id of the component; rows without doc_id are kept and
-never name a component unless it has no other row (then component_id is null). Columns beyond doc_id and text are ignored.
+never name a component unless it has no other row (then component_id is null). Columns beyond doc_id and text are ignored. Texts of any
+length are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,8 @@ from .components import connected_components
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 #: Fingerprints of a block; a group holds two blocks at most.
 BLOCK = 1024
+#: Fingerprints of a bucket beyond which it is dealt out once more.
+HOT = 16 * BLOCK
 #: Ids that may be broadcast (8 bytes each) when a filter is by id; beyond it the join is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -67,12 +71,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
-    """The masks, as signed longs; bit i has the vector 1 + i mod (2**(radius + 1) - 1)."""
+def covering_masks(radius: int = RADIUS, bits: int = BITS, number: Callable[[int], int] = lambda i: i) -> list[int]:
+    """The masks, as signed longs; bit i has the vector 1 + number(i) mod (2**(radius + 1) - 1). Any numbers give masks that cover."""
     size = 1 << (radius + 1)
     out = []
     for v in range(1, size):
-        mask = sum(1 << i for i in range(bits) if (v & (1 + i % (size - 1))).bit_count() % 2)
+        mask = sum(1 << i for i in range(bits) if (v & (1 + number(i) % (size - 1))).bit_count() % 2)
         out.append(mask - (1 << 64) if mask >> 63 else mask)
     return out
 
@@ -92,14 +96,23 @@ def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(u, v): a graph on the distinct fingerprints ``fp`` whose components are those of all pairs within the radius."""
-    masks = covering_masks(radius)
-    buckets = distinct.select("fp").select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks])).alias("t", "k"))
-    full = buckets.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    first, second = covering_masks(radius), covering_masks(radius, number=lambda i: 2 * i + i // ((2 << radius) - 1))
+    masked = lambda masks: F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in masks]))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = materialise(buckets.join(full, ["t", "k"]).select("fp", "t", "k", blocks.alias("m"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("s")), "simhash-buckets")
-    groups = rows.select("fp", "t", "k", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
-    groups = groups.select("fp", "t", "k", F.least("s", "j").alias("a"), F.greatest("s", "j").alias("b"))
-    keys = ["t", "k", "a", "b"]
+    dealt = lambda rows: rows.select("fp", "t", "k", "l", blocks.alias("m"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("s"))
+    count = lambda rows: rows.groupBy("t", "k", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    buckets = distinct.select("fp").select("fp", masked(first).alias("t", "k")).withColumn("l", F.lit(0).cast("long"))
+    full = materialise(count(buckets), "simhash-counts")
+    joined = materialise(buckets.join(full, ["t", "k", "l"]), "simhash-buckets")
+    rows = dealt(joined.where(F.col("n") <= HOT))
+    if full.where(F.col("n") > HOT).limit(1).count():
+        # t tells the pair of masks, k and l the bits under each
+        again = joined.where(F.col("n") > HOT).select("fp", F.col("t").alias("t1"), "k", masked(second).alias("t2", "l"))
+        again = again.select("fp", (F.col("t1") + len(first) * (F.col("t2") + 1)).alias("t"), "k", "l")
+        rows = rows.union(materialise(dealt(again.join(count(again), ["t", "k", "l"])), "simhash-again"))
+    groups = rows.select("fp", "t", "k", "l", "s", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"))
+    groups = groups.select("fp", "t", "k", "l", F.least("s", "j").alias("a"), F.greatest("s", "j").alias("b"))
+    keys = ["t", "k", "l", "a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
