@@ -9,17 +9,20 @@ Likeness: of the letter strings at an equal block size, 1 - edit distance / long
 pairs; 0 where no size is common or no run of 4 letters is (or of the whole, if shorter). Equal fingerprints have 1.
 
 Likeness is computed by Spark's own string functions. The next document is found by ranges: rows are dealt by
-doc_id into ranges (bounds from a sample of ids), and every range also gets the first row of the next one, so no task holds
-more than its range and nothing passes through the driver but the bounds.
+doc_id into ranges (bounds from approximate quantiles of the ids), and every range also gets the first row of the next one, so no task holds
+more than its range and nothing passes through the driver but the bounds. A doc_id that fills several ranges is dealt into them by the
+hash of its texts.
 
 Cases: null and empty texts have the fingerprint of the empty text, "3::"; a single row is its own next one; rows
-that repeat a doc_id follow one another in the order of their texts; rows without doc_id come first; an empty table
-gives an empty result; other columns are ignored.
+that repeat a doc_id follow one another in the order of their texts (within each range of their hashes, if there are very many); rows without
+doc_id come first; an empty table gives an empty result; texts of any length are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -104,37 +107,64 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fingerprint string")
 
 
-def id_ranges(docs: DataFrame, ranges: int) -> list:
-    """At most ``ranges`` - 1 bounds that cut the ids into ranges with about as many rows each."""
-    ids = docs.select("doc_id").where("doc_id is not null")
-    bounds = ids.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else None
-    return sorted(set(bounds or []))
+def id_ranges(docs: DataFrame, ranges: int) -> list[tuple[int | None, int]]:
+    """(first doc_id, ranges) in ascending order: the ids from each one to the next fill that many ranges with about as many rows each.
+
+    Ids that fill several ranges by themselves are followed by an entry for the ids after them. Null ids are the entry (None, n), if there are any.
+    """
+    found = docs.agg(F.count_if(F.col("doc_id").isNull()), F.count("doc_id"), F.percentile_approx("doc_id", [k / ranges for k in range(ranges)], max(10_000, 20 * ranges))).first()
+    nulls, rows, marks = found
+    out: list[tuple[int | None, int]] = [(None, max(1, round(ranges * nulls / (nulls + rows))))] if nulls else []
+    for k in sorted(set(marks or [])):
+        n = marks.count(k)
+        out += [(k, n), (k + 1, 1)] if n > 1 else [(k, 1)]
+    return out
 
 
 def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
-    """(bucket, ahead, doc_id, text): rows dealt into ranges of doc_id, each range followed by the first row of the next.
+    """(bucket, ahead, doc_id, h, text): rows dealt into ranges of doc_id, each range followed by the first row of the next.
 
-    Sorted by (bucket, ahead, doc_id, text) in its partitions; ``ahead`` marks the row that only follows.
+    Sorted by (bucket, ahead, doc_id, h, text) in its partitions; ``ahead`` marks the row that only follows.
     """
     spark = docs.sparkSession
     ranges = ranges or 2 * shuffle_partitions(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    bounds = id_ranges(rows, ranges)
-    bucket = lambda c: F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c)), F.lit(0)) if bounds else F.lit(0)
-    dealt = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(bucket(F.col("doc_id")))).withColumn("ahead", F.lit(False))
-    heads = dealt.groupBy("bucket").agg(F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.min("doc_id").alias("head")).orderBy("bucket").collect()  # a row for each range
+    known = id_ranges(rows, ranges)
+    starts = [k for k, _ in known if k is not None]
+    width = max(1, math.isqrt(len(starts)))
+    # the number of bounds not above an id, found among every width-th of them first
+    below = lambda bounds, c: F.size(F.filter(bounds, lambda b: b <= c))
+    if starts:
+        coarse = F.greatest(below(F.array(*map(F.lit, starts[::width])), F.col("doc_id")), F.lit(1)) - 1
+        fine = below(F.slice(F.array(*map(F.lit, starts)), coarse * width + 1, F.lit(width)), F.col("doc_id"))
+        place = F.greatest(coarse * width + fine, F.lit(1)) + (len(known) - len(starts)) - 1
+    else:
+        place = F.lit(0)
+    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place)
+    bases = [0, *itertools.accumulate(n for _, n in known)]
+    hot = {p: n for p, (_, n) in enumerate(known) if n > 1}
+    dealt = rows.withColumn("place", place.cast("int"))
+    if hot:
+        is_hot = F.col("place").isin(list(hot))
+        sizes = F.array(*[F.lit(n) for _, n in known])
+        dealt = dealt.withColumn("h", F.when(is_hot, F.xxhash64("text")).otherwise(F.lit(0)))
+        part = F.when(is_hot, F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.get(sizes, F.col("place")))).otherwise(F.lit(0))
+        base = F.get(F.array(*map(F.lit, bases)), F.col("place"))
+        dealt = dealt.withColumn("bucket", (base + F.least(part, F.get(sizes, F.col("place")) - 1)).cast("int"))
+    else:
+        dealt = dealt.withColumn("h", F.lit(0).cast("long")).withColumn("bucket", F.col("place"))
+    dealt = dealt.select("bucket", F.lit(False).alias("ahead"), "doc_id", "h", "text")
+    heads = dealt.groupBy("bucket").agg(F.min(F.struct("doc_id", "h")).alias("head")).orderBy("bucket").collect()  # a row for each range
     if not heads:
         return dealt
     # the first row of a range goes to the range before it, that of the first range to the last one
     to = {h.bucket: heads[k - 1].bucket for k, h in enumerate(heads)}
-    wanted = [(h.bucket, None if h.nulls else h.head, to[h.bucket]) for h in heads]
-    want = F.broadcast(spark.createDataFrame(wanted, "b int, head long, target int"))  # a row for each range
-    firsts = dealt.join(want, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")))
-    firsts = firsts.groupBy("target").agg(F.min(F.struct("doc_id", "text")).alias("r")).select(
-        F.col("r.doc_id").alias("doc_id"), F.col("r.text").alias("text"), F.col("target").alias("bucket"), F.lit(True).alias("ahead"))
-    both = dealt.unionByName(firsts)
+    wanted = [(h.bucket, h.head.doc_id, h.head.h, to[h.bucket]) for h in heads]
+    want = F.broadcast(spark.createDataFrame(wanted, "b int, head long, head_h long, target int"))  # a row for each range
+    firsts = dealt.join(want, (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head")) & (F.col("h") == F.col("head_h")))
+    firsts = firsts.groupBy("target").agg(F.min(F.struct("doc_id", "h", "text")).alias("r")).select(F.col("target").alias("bucket"), F.lit(True).alias("ahead"), "r.*")
     n = shuffle_partitions(spark)
-    return both.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket", "ahead", "doc_id", "text")
+    return dealt.unionByName(firsts).repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket", "ahead", "doc_id", "h", "text")
 
 
 def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
