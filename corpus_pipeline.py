@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next one's docs. The first four return the columns of ``documents``; the last one returns token counts and digests.
+
+Cases, for every stage: an empty table gives an empty one of the same columns; columns beyond those of ``documents`` are kept by the first four,
+whatever their names; texts of any length are taken whole. A null text counts as empty: the quality classifier scores it as it scores
+an empty text, in near-dedup it is alike to every other empty text, it holds no benchmark item and no secret, and has no tokens. Rows without doc_id
+stay in near-dedup and are judged like others elsewhere. Rows that repeat are judged alike, and near-dedup keeps one of them; rows that repeat a doc_id
+with different texts are judged by their own text.
 """
 
 from __future__ import annotations
@@ -50,8 +56,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each stage's rows are written to the shared folder and read again. What a stage wrote besides is
+    deleted after it, its predecessor's rows too."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with common.scratch(spark) as keep_last:
+            docs = common.materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            path = keep_last()
+        if before:
+            common.delete(spark, before)
+        before = path
     return docs
