@@ -8,21 +8,22 @@ from pyspark.sql import Window as W
 
 from ..functions.bartime import FIXED, MINUTE, bar_open_ms, local_bar_times
 from ..functions.numeric import EPS, ratio, sample_kurtosis, sample_skew
+from .windows import carried
 
 
-def classify(tape: DataFrame, interval: str = "1m", zone: str = "Asia/Taipei") -> DataFrame:
+def classify(tape: DataFrame, interval: str = "1m", zone: str = "Asia/Taipei", cell: int = 1 << 18) -> DataFrame:
     """Add bar, owner, kind and out_of_order to a tape (symbol, seq, ts_ms, fallback_ms, ...), as one pass in order of
     arrival would.
 
     The open bar after some events is the greatest bar so far. An event of an older bar is ``late``: it is counted with the
-    bar then open; an event without a time is ``bad``.
+    bar then open; an event without a time is ``bad``. The greatest bar so far is carried over cells of ``cell`` arrivals, so a busy symbol
+    is many tasks; a further window spans the events of one bar.
     """
     missing = ~F.coalesce(F.col("ts_ms") > 0, F.lit(False))
     time = F.when(missing, F.coalesce("fallback_ms", F.lit(0))).otherwise(F.col("ts_ms"))
-    before = W.partitionBy("symbol").orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
     rows = tape.withColumns({"missing_ts": missing, "time": time})
     rows = rows.withColumn("bar", F.when(F.col("time") > 0, bar_open_ms(F.col("time"), interval, zone)))
-    rows = rows.withColumn("open_bar", F.max("bar").over(before))
+    rows = carried(rows, ["symbol"], "seq", cell, {"open_bar": ("max", F.col("bar"))})
     kind = F.when(F.col("bar").isNull(), "bad").when(F.col("bar") < F.col("open_bar"), "late").otherwise("ok")
     rows = rows.withColumn("kind", kind).withColumn("owner", F.when(F.col("bar").isNull(), F.col("open_bar")).otherwise(F.greatest("bar", "open_bar")))
     known = F.when((F.col("kind") == "ok") & (F.col("ts_ms") > 0), F.col("ts_ms"))
@@ -69,11 +70,17 @@ def quality(ok: Column) -> dict[str, Column]:
 CALCULATORS = (base_stats, directional_flow, price_path, quality)
 
 
-def trade_bars(tape: DataFrame, interval: str = "1m", zone: str = "Asia/Taipei", calculators=CALCULATORS) -> DataFrame:
-    """A row for each symbol and bar that any valid trade fell in. ``calculators`` map the validity of a row to aggregates."""
+def trade_bars(tape: DataFrame, interval: str = "1m", zone: str = "Asia/Taipei", calculators=CALCULATORS, flush: bool = True) -> DataFrame:
+    """A row for each symbol and bar that any valid trade fell in. ``calculators`` map the validity of a row to aggregates.
+
+    With ``flush`` the bar still open at the end of the tape is closed too; without, each symbol's last bar is left out, as no later bar has closed it.
+    """
     ok = F.col("kind") == "ok"
     columns = {k: v for c in calculators for k, v in c(ok).items()}
     out = classify(tape, interval, zone).where("owner is not null").groupBy("symbol", F.col("owner").alias("bar")).agg(*[v.alias(k) for k, v in columns.items()])
+    if not flush:
+        newest = out.groupBy("symbol").agg(F.max("bar").alias("bar"))
+        out = out.join(newest, ["symbol", "bar"], "left_anti")
     return out.select("symbol", *local_bar_times(F.col("bar"), interval, zone), *columns)
 
 

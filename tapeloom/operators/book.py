@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .windows import carried
+
 DEPTHS = (5, 10, 25, 50)
 BINS = ((0, 5), (5, 10), (10, 25), (25, 50))
 
@@ -101,12 +103,12 @@ def top_levels(book: DataFrame, k: int) -> DataFrame:
     return ranked.groupBy("symbol", "side").agg(F.array_sort(F.collect_list(F.struct("level", "price", "qty"))).alias("levels"))
 
 
-def sequence_gaps(diffs: DataFrame) -> DataFrame:
+def sequence_gaps(diffs: DataFrame, cell: int = 1 << 18) -> DataFrame:
     """Add gap (the previous final id is not this one's predecessor) and epoch (count of gaps so far) to diffs
-    (symbol, seq, first_id, final_id, prev_id); a missing prev_id means first_id - 1."""
-    w = W.partitionBy("symbol").orderBy("seq")
-    rows = diffs.withColumn("gap", F.coalesce(F.coalesce("prev_id", F.col("first_id") - 1) != F.lag("final_id").over(w), F.lit(False)))
-    return rows.withColumn("epoch", F.sum(F.col("gap").cast("int")).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    (symbol, seq, first_id, final_id, prev_id); a missing prev_id means first_id - 1. Worked on by cells of ``cell`` arrivals."""
+    rows = carried(diffs, ["symbol"], "seq", cell, {"before": ("last", F.col("final_id"))})
+    rows = rows.withColumn("gap", F.coalesce(F.coalesce("prev_id", F.col("first_id") - 1) != F.col("before"), F.lit(False))).drop("before")
+    return carried(rows, ["symbol"], "seq", cell, {"epoch": ("sum", F.col("gap").cast("int"))}, own=True)
 
 
 def align_to_snapshot(diffs: DataFrame, snapshots: DataFrame) -> DataFrame:

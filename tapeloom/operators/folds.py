@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .windows import positions
+
 DAY = 86_400_000
 
 
@@ -49,8 +51,9 @@ def test_months(times: DataFrame, on: str, every: int = 3, first: int = 1) -> Da
     return months(times, on).where((F.month("month") - first) % every == 0)
 
 
-def split_by_position(df: DataFrame, on: str, ratio: float) -> DataFrame:
-    """Add part: the first int(n * ratio) distinct times are ``train``, the rest ``val``."""
-    cut = df.select(on).distinct().agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(on)).alias("t"))
-    cut = cut.select(F.try_element_at("t", F.greatest(F.floor(F.col("n") * ratio).cast("int"), F.lit(1))).alias("cut"), (F.floor(F.col("n") * ratio) > 0).alias("any"))
-    return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col("any") & (F.col(on) <= F.col("cut")), "train").otherwise("val")).drop("cut", "any")
+def split_by_position(df: DataFrame, on: str, ratio: float, cell: int = DAY) -> DataFrame:
+    """Add part: the first int(n * ratio) distinct times are ``train``, the rest ``val``. Times are numbered by cells."""
+    numbered = positions(df.select(on).distinct(), [], on, cell)
+    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    cut = numbered.crossJoin(F.broadcast(n)).where(F.col("i") < F.floor(F.col("n") * ratio)).agg(F.max(on).alias("cut"))  # one row
+    return df.crossJoin(F.broadcast(cut)).withColumn("part", F.when(F.col(on) <= F.col("cut"), "train").otherwise("val")).drop("cut")

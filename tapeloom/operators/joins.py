@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .windows import DAYS_30, carried, keep_first
+
 MINUTE = 60_000
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: int | None = None, exact: bool = True) -> DataFrame:
+def asof_backward(left: DataFrame, right: DataFrame, by: list[str], on: str, values: list[str], tolerance: int | None = None, exact: bool = True, cell: int = DAYS_30) -> DataFrame:
     """For each left row the last right row of the same key at or before its time (before it, if not ``exact``).
 
-    One union and one window: the right rows' values ride along as a struct, and the last one is carried
-    forward. Rows further back than ``tolerance`` count as none. Of right rows with one time the last by values wins.
+    One union, whose right rows' values ride along as a struct; the last one is carried forward by cells of ``cell`` units of time, so a hot key is
+    many tasks. Rows further back than ``tolerance`` count as none. Of right rows with one time the last by values wins.
     """
     l, names = "l", left.columns
     a = left.select(*by, F.col(on).alias("at"), F.lit(1 if exact else 0).alias("side"), F.struct(*names).alias(l), F.lit(None).cast(_struct(right, [on, *values])).alias("r"))
     b = right.select(*by, F.col(on).alias("at"), F.lit(0 if exact else 1).alias("side"), F.lit(None).cast(_struct(left, names)).alias(l), F.struct(F.col(on), *values).alias("r"))
-    order = W.partitionBy(*by).orderBy("at", "side", "r").rowsBetween(W.unboundedPreceding, 0)
-    rows = a.union(b).withColumn("r", F.last("r", ignorenulls=True).over(order)).where("l is not null")
-    near = F.lit(True) if tolerance is None else F.col("at") - F.col("r")[on] <= tolerance
-    return rows.select("l.*", *[F.when(near, F.col("r")[v]).alias(v) for v in values])
+    rows = carried(a.union(b), by, "at", cell, {"found": ("last", F.col("r"))}, ("side", "r"), own=True).where("l is not null")
+    near = F.lit(True) if tolerance is None else F.col("at") - F.col("found")[on] <= tolerance
+    return rows.select("l.*", *[F.when(near, F.col("found")[v]).alias(v) for v in values])
 
 
 def _struct(df: DataFrame, names: list[str]) -> str:
@@ -64,12 +65,26 @@ def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: s
     return keyed.join(cells, [*by, "cell"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("cell")
 
 
-def attach_labels(bars: DataFrame, events: DataFrame, policy: str = "earliest_t1") -> DataFrame:
-    """Bars (symbol, ts) with side, label and t1 of the event at that time, one at most by the policy."""
-    order = {"prefer_fail": [F.asc("label"), F.asc("t1")], "prefer_win": [F.desc("label"), F.asc("t1")], "earliest_t1": [F.asc("t1"), F.asc("label")], "latest_t1": [F.desc("t1"), F.asc("label")]}[policy]
-    first = W.partitionBy("symbol", "t0", "side").orderBy(*order)
-    one = events.withColumn("k", F.row_number().over(first)).where("k = 1").drop("k")
-    return bars.join(one.withColumnRenamed("t0", "ts"), ["symbol", "ts"], "left")
+def attach_labels(bars: DataFrame, events: DataFrame, policy: str = "prefer_fail", sides: str = "both", align_by: str = "exact", drop_null: bool = True) -> DataFrame:
+    """Bars (symbol, ts) with side, label and t1 of the event (symbol, t0, side, label, t1) at that time, one at most.
+
+    Events of other sides than ``sides`` (``both``, ``long``, ``short``) and, with ``drop_null``, those without label go. Of those that repeat
+    (t0, side, label) the one with the latest t1 stays, then of a side the one that the policy prefers. With ``both``, a long and a short event at
+    one t0 raise an error when the rows are read. ``align_by`` pad moves an event to the last bar at or before it; of several that then share a bar the latest wins.
+    """
+    wanted = events if sides == "both" else events.where(F.col("side") == (1 if sides == "long" else -1))
+    if drop_null:
+        wanted = wanted.where(F.col("label").isNotNull())
+    order = {"prefer_fail": [F.asc("label"), F.asc("t1")], "prefer_win": [F.desc("label"), F.desc("t1")], "earliest_t1": [F.asc("t1"), F.asc("label")], "latest_t1": [F.desc("t1"), F.desc("label")]}[policy]
+    one = wanted.groupBy("symbol", "t0", "side", "label").agg(F.max("t1").alias("t1"))
+    one = keep_first(one, ["symbol", "t0", "side"], order)
+    both = one.groupBy("symbol", "t0").agg(F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("side", "label", "t1")])
+    both = both.withColumn("t0", F.when(F.col("n") == 1, F.col("t0")).otherwise(F.raise_error(F.lit("a long and a short event at one t0: choose a side")).cast("long"))).drop("n")
+    at = both.withColumn("ts", F.col("t0"))
+    if align_by == "pad":
+        at = align(at, bars.select("symbol", "ts"), ["symbol"], "ts", "pad").drop("ts").withColumnRenamed("grid_time", "ts")
+        at = at.groupBy("symbol", "ts").agg(*[F.max_by(c, "t0").alias(c) for c in ("side", "label", "t1")])
+    return bars.join(at.select("symbol", "ts", "side", "label", "t1"), ["symbol", "ts"], "left")
 
 
 def parity(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -49,10 +49,12 @@ def p_two_sided(z: Column) -> Column:
 
 
 def fixed_effect(parts: DataFrame, by: list[str], effect: str = "rrb", var: str = "var_rrb") -> DataFrame:
-    """Inverse-variance mean with standard error and z."""
+    """Inverse-variance mean with standard error, z, two-sided p and 95 % interval."""
     w = 1 / F.when(F.col(var) > 0, F.col(var))
     out = parts.where(F.col(effect).isNotNull() & (F.col(var) > 0)).groupBy(*by).agg(F.count(F.lit(1)).alias("k"), F.sum(w * F.col(effect)).alias("we"), F.sum(w).alias("w"))
-    return out.select(*by, "k", (F.col("we") / F.col("w")).alias("mean"), F.sqrt(1 / F.col("w")).alias("se"), (F.col("we") / F.sqrt("w")).alias("z"))
+    out = out.select(*by, "k", (F.col("we") / F.col("w")).alias("mean"), F.sqrt(1 / F.col("w")).alias("se"), (F.col("we") / F.sqrt("w")).alias("z"))
+    half = 1.959963984540054 * F.col("se")
+    return out.withColumns({"p": p_two_sided(F.col("z")), "ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
 
 
 def random_effects(parts: DataFrame, by: list[str], effect: str = "rrb", var: str = "var_rrb") -> DataFrame:
@@ -93,17 +95,31 @@ def rank_ic(long: DataFrame, by: list[str], least: int = 10, eps: float = 1e-12)
 
 
 def ic_summary(ics: DataFrame, by: list[str]) -> DataFrame:
-    """Mean, deviation, information ratio and t of the groups' correlations, and the share of groups where it is beyond 2."""
+    """Mean, deviation, information ratio and t of the correlations of each series, and whether t is beyond 2 (``strong_share`` counts those)."""
     out = ics.where("ic is not null").groupBy(*by).agg(F.count(F.lit(1)).alias("days"), F.avg("ic").alias("ic_mean"), F.stddev_samp("ic").alias("ic_std"))
     out = out.withColumn("icir", F.col("ic_mean") / (F.col("ic_std") + 1e-9))
-    return out.withColumn("t", F.col("icir") * F.sqrt(F.col("days").cast("double")))
+    out = out.withColumn("t", F.col("icir") * F.sqrt(F.col("days").cast("double")))
+    return out.withColumn("strong", (F.abs("t") > 2).cast("int"))
+
+
+def strong_share(summary: DataFrame) -> DataFrame:
+    """(series, strong, strong_share): how many series have a t beyond 2."""
+    n = summary.where("t is not null").agg(F.count(F.lit(1)).alias("series"), F.sum(F.col("strong").cast("long")).alias("strong"))
+    return n.withColumn("strong_share", ratio(F.col("strong") * 1.0, F.col("series")))
 
 
 def pair_correlations(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for a < b: all pairs in one aggregation pass, by sums of products."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r")) for a, b in pairs]).alias("p"))
-    return row.select(F.explode("p").alias("p")).select("p.*")
+    """(a, b, r) for a < b: all pairs in one aggregation pass, by sums of products. For more than a dozen columns the pairs of a row are exploded, so that
+    the plan stays small; ``pair_products`` does that work on matrices and suits large tables better."""
+    if len(columns) <= 12:
+        pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+        row = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(a, b).alias("r")) for a, b in pairs]).alias("p"))
+        return row.select(F.explode("p").alias("p")).select("p.*")
+    cells = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for k, c in enumerate(columns)])
+    # both sides come from one array of the row, so no join is needed
+    first = df.select(cells.alias("cells")).select("cells", F.explode("cells").alias("x"))
+    rows = first.select("x", F.explode(F.slice("cells", F.col("x.k") + 2, F.lit(len(columns)))).alias("y"))
+    return rows.groupBy(F.col("x.c").alias("a"), F.col("y.c").alias("b")).agg(correlation(F.col("x.v"), F.col("y.v")).alias("r"))
 
 
 def pair_products(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,6 +164,15 @@ def representatives(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return mean.groupBy("cluster").agg(F.min_by("a", F.struct("mean_d", "a")).alias("item"))
 
 
+def busiest(pairs: DataFrame, clusters: DataFrame, quantile: float = 0.25) -> DataFrame:
+    """(cluster, item): of each cluster the item with the most neighbours in it, at a distance within the quantile of all pairs; ties to the first name."""
+    limit = F.broadcast(pairs.agg(F.percentile("d", F.lit(quantile)).alias("q")))  # one row
+    both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d"))
+    left, right = clusters.select(F.col("item").alias("a"), "cluster"), clusters.select(F.col("item").alias("b"), F.col("cluster").alias("cb"))
+    near = both.crossJoin(limit).join(left, "a").join(right, "b").groupBy("cluster", "a").agg(F.count_if((F.col("cluster") == F.col("cb")) & (F.col("d") <= F.col("q"))).alias("n"))
+    return near.groupBy("cluster").agg(F.min_by("a", F.struct((-F.col("n")).alias("n"), "a")).alias("item"))
+
+
 def cluster_scores(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """Per cluster: mean distance inside, least mean distance to another, and (inter - intra) / max of both."""
     left, right = clusters.select(F.col("item").alias("a"), F.col("cluster").alias("ca")), clusters.select(F.col("item").alias("b"), F.col("cluster").alias("cb"))
@@ -158,11 +183,13 @@ def cluster_scores(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     return out.withColumn("intra", intra).withColumn("score", ratio(F.col("inter") - intra, F.greatest(F.col("inter"), intra)))
 
 
-def vote(long: DataFrame, by: list[str]) -> DataFrame:
-    """Hard and soft votes of models (pred, p1): the most frequent class and the class of the mean probability; the lower class wins ties."""
-    v = long.where("pred is not null").groupBy(*by).agg(
-        F.count(F.lit(1)).alias("votes_total"), F.count_if(F.col("pred") == 1).alias("n1"), F.count_if(F.col("pred") == 0).alias("n0"), F.avg("p1").alias("p1_mean"))
-    return v.select(*by, "votes_total", F.when(F.col("n1") > F.col("n0"), 1).otherwise(0).alias("hard"), F.when(F.col("p1_mean") > 0.5, 1).otherwise(0).alias("soft"), (2 * F.col("p1_mean") - 1).alias("margin"))
+def vote(long: DataFrame, by: list[str], probs: list[str]) -> DataFrame:
+    """Hard and soft votes of models (pred, one probability column for each class): the most frequent class and the class of the greatest mean
+    probability; the lower class wins ties. margin is that of class 1 over class 0. Keys without a vote stay, with nulls."""
+    means = [F.avg(F.when(F.col("pred").isNotNull(), F.col(p))).alias(f"mean {k}") for k, p in enumerate(probs)]
+    v = long.groupBy(*by).agg(F.count("pred").alias("votes_total"), F.mode("pred", True).alias("hard"), *means)
+    mean = F.array(*[F.col(f"`mean {k}`") for k in range(len(probs))])
+    return v.select(*by, "votes_total", "hard", (F.array_position(mean, F.array_max(mean)) - 1).cast("int").alias("soft"), (F.col("`mean 1`") - F.col("`mean 0`")).alias("margin"))
 
 
 def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:

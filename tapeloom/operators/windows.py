@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 
 from ..functions.numeric import EPS, clean, gated
 
+#: Milliseconds of a cell that series of bars are cut into.
+DAYS_30 = 30 * 86_400_000
+
 
 def halo(df: DataFrame, on: str, chunk: int, before: int, after: int = 0) -> DataFrame:
     """Rows with the chunk they are worked on in; ``own`` marks the one copy to keep (see ``own_rows``)."""
@@ -26,17 +29,49 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where("own").drop("chunk", "own")
 
 
-def positions(df: DataFrame, by: list[str], on: str, cell: int) -> DataFrame:
+def positions(df: DataFrame, by: list[str], on: str, cell: int, order: tuple[str, ...] = ()) -> DataFrame:
     """Add i: the number of a row in its series, from 0. Rows are counted by cells of ``cell`` units of ``on`` first, so that no
-    window spans a whole series, only its cells. Times are unique in a series."""
+    window spans a whole series, only its cells. Times are unique in a series, or ``order`` tells rows of one time apart."""
     cut = df.withColumn("cell_of", F.floor(F.col(on) / cell))
     counts = cut.groupBy(*by, "cell_of").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy(*by).orderBy("cell_of").rowsBetween(W.unboundedPreceding, -1)  # a row for each cell
     base = counts.select(*by, "cell_of", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    place = F.row_number().over(W.partitionBy(*by, "cell_of").orderBy(on)) - 1
+    place = F.row_number().over(W.partitionBy(*by, "cell_of").orderBy(on, *order)) - 1
     return cut.join(base, [*by, "cell_of"]).withColumn("i", F.col("base") + place).drop("cell_of", "base")
 
 
+def carried(df: DataFrame, by: list[str], on: str, cell: int, values: dict[str, tuple[str, Column]], order: tuple[str, ...] = (), own: bool = False) -> DataFrame:
+    """Add for each name what the rows before a row of its series bring along (with the row itself, if ``own``): their greatest value (``max``), their
+    last one that is no null (``last``) or their ``sum``.
+
+    Rows are ordered by ``on``, then ``order``. Values are brought together by cells of ``cell`` units of ``on`` first, so a hot series is many tasks: windows span
+    a cell, and one row for each cell. A negative ``cell`` looks from the end of the series backwards.
+    """
+    down = cell < 0
+    key = F.floor(F.col(on) / abs(cell))
+    sorts = [F.desc(c) if down else F.asc(c) for c in (on, *order)]
+    rows = df.withColumns({"cell_of": -key if down else key, **{f"value of {n}": v for n, (_, v) in values.items()}})
+    value = lambda n: F.col(f"`value of {n}`")
+    place = F.struct(on, *order)
+    whole = {
+        "max": F.max, "sum": F.sum,
+        "last": lambda v: (F.min_by if down else F.max_by)(v, F.when(v.isNotNull(), place)),
+    }
+    cells = rows.groupBy(*by, "cell_of").agg(*[whole[kind](value(n)).alias(n) for n, (kind, _) in values.items()])
+    past, inside = W.partitionBy(*by).orderBy("cell_of").rowsBetween(W.unboundedPreceding, -1), W.partitionBy(*by, "cell_of").orderBy(*sorts).rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    over = {"max": F.max, "sum": F.sum, "last": lambda v: F.last(v, ignorenulls=True)}
+    base = cells.select(*[F.col(b).alias(f"key {b}") for b in by], F.col("cell_of").alias("key cell"), *[over[kind](F.col(f"`{n}`")).over(past).alias(f"base of {n}") for n, (kind, _) in values.items()])
+    same = F.col("cell_of").eqNullSafe(F.col("`key cell`"))
+    for b in by:
+        same = same & F.col(f"`{b}`").eqNullSafe(F.col(f"`key {b}`"))
+    both = {
+        "max": F.greatest, "last": lambda base, here: F.coalesce(here, base),
+        "sum": lambda base, here: F.when(base.isNotNull() | here.isNotNull(), F.coalesce(base, F.lit(0)) + F.coalesce(here, F.lit(0))),
+    }
+    found = [both[kind](F.col(f"`base of {n}`"), over[kind](value(n)).over(inside)).alias(n) for n, (kind, _) in values.items()]
+    return rows.join(base, same, "left").select(*[F.col(f"`{c}`") for c in df.columns if c not in values], *found)
+
+
 def series(by: list[str], on: str) -> WindowSpec:
     return W.partitionBy(*by).orderBy(on)
 
@@ -147,21 +182,26 @@ def bfill(x: Column, w: WindowSpec) -> Column:
     return F.first(x, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
 
 
-def fill(df: DataFrame, by: list[str], on: str, columns: list[str], method: str) -> DataFrame:
-    """``zero``; ``last``: forward, then backward; ``linear``: between neighbours by position, ends as in ``last``."""
-    w = series(by, on)
+def fill(df: DataFrame, by: list[str], on: str, columns: list[str], method: str, cell: int = DAYS_30) -> DataFrame:
+    """``zero``; ``last``: forward, then backward; ``linear``: between neighbours by position, ends as in ``last``. Times are unique in a series;
+    it is worked on by cells of ``cell`` units of ``on``."""
     if method == "zero":
         return df.fillna(0, subset=columns)
     if method == "last":
-        return df.withColumns({c: F.coalesce(ffill(F.col(c), w), bfill(F.col(c), w)) for c in columns})
-    df = df.withColumn("row_at", F.row_number().over(w))
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col("row_at"))
-        a, b, x, y = ffill(F.col(c), w), bfill(F.col(c), w), ffill(at, w), bfill(at, w)
-        df = df.withColumns({"va": a, "vb": b, "xa": x, "xb": y})
-        between = F.col("va") + (F.col("vb") - F.col("va")) * (F.col("row_at") - F.col("xa")) / F.when(F.col("xb") > F.col("xa"), F.col("xb") - F.col("xa"))
-        df = df.withColumn(c, F.coalesce(F.col(c), between, "va", "vb")).drop("va", "vb", "xa", "xb")
-    return df.drop("row_at")
+        first = df.groupBy(*by).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(on))).alias(f"first {c}") for c in columns])
+        rows = carried(df, by, on, cell, {f"last {c}": ("last", F.col(c)) for c in columns}, own=True).join(first, by)
+        return rows.select(*[F.coalesce(F.col(f"`last {c}`"), F.col(f"`first {c}`")).alias(c) if c in columns else F.col(c) for c in df.columns])
+    at = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col("i").alias("x"), F.col(c).cast("double").alias("v")))
+    rows = positions(df, by, on, cell)
+    rows = carried(rows, by, on, cell, {f"a {c}": ("last", at(c)) for c in columns}, own=True)
+    rows = carried(rows, by, on, -cell, {f"b {c}": ("last", at(c)) for c in columns}, own=True)
+
+    def between(c: str) -> Column:
+        a, b = F.col(f"`a {c}`"), F.col(f"`b {c}`")
+        line = a.v + (b.v - a.v) * (F.col("i") - a.x) / F.when(b.x > a.x, b.x - a.x)
+        return F.coalesce(F.col(c), line, a.v, b.v).alias(c)
+
+    return rows.select(*[between(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def fractional_weights(d: float, threshold: float) -> list[float]:
@@ -192,7 +232,7 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     return df.withColumn("k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("k = 1").drop("k")
 
 

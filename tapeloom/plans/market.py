@@ -31,14 +31,23 @@ FLOW = """SELECT symbol, '1h' AS bar_interval, bar AS bar_open_ms, bar + 3599999
   coalesce(sum(CASE WHEN NOT is_buyer_maker THEN qty*price END), 0) AS buy_notional, coalesce(sum(CASE WHEN is_buyer_maker THEN qty*price END), 0) AS sell_notional,
   buy_volume - sell_volume AS signed_volume, (buy_volume - sell_volume) / (buy_volume + sell_volume + 1e-12) AS volume_imbalance, sum(price*qty)/sum(qty) AS vwap,
   arg_min(price, seq) AS first_price, arg_max(price, seq) AS last_price, max(price) AS high_price, min(price) AS low_price,
-  CASE WHEN first_price > 0 THEN last_price / first_price - 1 END AS trade_return, bool_or(qty <= 0) AS has_nonpositive_qty, bool_or(price <= 0) AS has_nonpositive_price, max(recv_ms) AS last_recv_ms
-FROM (SELECT *, ts_ms // 3600000 * 3600000 AS bar FROM tape) GROUP BY symbol, bar"""
+  CASE WHEN first_price > 0 THEN last_price / first_price - 1 END AS trade_return, bool_or(qty <= 0) AS has_nonpositive_qty, bool_or(price <= 0) AS has_nonpositive_price, false AS missing_ts, 0 AS late_trade_count, max(recv_ms) AS last_recv_ms, bool_or(ts_ms < before) AS out_of_order,
+ strftime(make_timestamp((bar + 28800000) * 1000), '%Y-%m-%d %H:%M:%S') AS bar_open_local, strftime(make_timestamp((bar + 28800000 + 3599000) * 1000), '%Y-%m-%d %H:%M:%S') AS bar_close_local
+FROM (SELECT *, ts_ms // 3600000 * 3600000 AS bar, coalesce(lag(ts_ms) OVER (PARTITION BY symbol, ts_ms // 3600000 ORDER BY seq), ts_ms) AS before FROM tape) GROUP BY symbol, bar"""
 _FLOW_DOUBLES = "trade_volume trade_notional buy_volume sell_volume buy_notional sell_notional signed_volume volume_imbalance vwap first_price last_price high_price low_price trade_return"
 
 
-@query("trade_bars_1h", sql(TAPE_SQL, FLOW, "symbol bar_interval bar_open_ms bar_close_ms trade_count has_nonpositive_qty has_nonpositive_price last_recv_ms", _FLOW_DOUBLES))
+@query("trade_bars_1h", sql(TAPE_SQL, FLOW, "symbol bar_interval bar_open_ms bar_close_ms bar_open_local bar_close_local trade_count has_nonpositive_qty has_nonpositive_price out_of_order missing_ts late_trade_count last_recv_ms", _FLOW_DOUBLES))
 def trade_bars_1h(spark, sf_dir):
-    return rounded(B.trade_bars(tape(spark, sf_dir), "1h")).drop("bar_open_local", "bar_close_local", "out_of_order", "missing_ts", "late_trade_count")
+    shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in ("bar_open_local", "bar_close_local")}
+    return rounded(B.trade_bars(tape(spark, sf_dir), "1h")).withColumns(shown)
+
+
+@query("closed_bars_1h", sql(TAPE_SQL, "SELECT symbol, bar, count(*) AS trade_count, sum(qty) AS trade_volume FROM (SELECT *, ts_ms // 3600000 * 3600000 AS bar, max(ts_ms // 3600000 * 3600000) OVER (PARTITION BY symbol) AS newest FROM tape) WHERE bar < newest GROUP BY ALL", "symbol bar trade_count", "trade_volume"))
+def closed_bars_1h(spark, sf_dir):
+    """Without a flush at the end: the bar still open is not there."""
+    out = B.trade_bars(tape(spark, sf_dir), "1h", calculators=(B.base_stats,), flush=False)
+    return rounded(out.select("symbol", F.col("bar_open_ms").alias("bar"), "trade_count", "trade_volume"))
 
 
 LATE = TAPE_SQL + """,
@@ -47,12 +56,21 @@ r AS (SELECT *, NOT ts_ms > 0 AS miss, CASE WHEN ts_ms > 0 THEN ts_ms ELSE coale
 b AS (SELECT *, CASE WHEN rt > 0 THEN rt // 900000 * 900000 END AS bar FROM r),
 p AS (SELECT *, max(bar) OVER (PARTITION BY symbol ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev FROM b),
 c AS (SELECT *, CASE WHEN bar IS NULL THEN 'bad' WHEN prev IS NOT NULL AND bar < prev THEN 'late' ELSE 'ok' END AS kind,
-      CASE WHEN bar IS NULL THEN prev ELSE greatest(bar, coalesce(prev, bar)) END AS owner FROM p)"""
+      CASE WHEN bar IS NULL THEN prev ELSE greatest(bar, coalesce(prev, bar)) END AS owner FROM p),
+o AS (SELECT *, kind = 'late' OR (kind = 'ok' AND NOT miss AND coalesce(ts_ms < last_value(CASE WHEN kind = 'ok' AND ts_ms > 0 THEN ts_ms END IGNORE NULLS) OVER (PARTITION BY symbol, owner ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)) AS disordered FROM c)"""
 
 
-@query("late_events_15m", sql(LATE, "SELECT symbol, owner AS bar_open_ms, count(*) FILTER (kind = 'ok') AS trade_count, sum(qty) FILTER (kind = 'ok') AS trade_volume, count(*) FILTER (kind = 'late') AS late_trade_count, bool_or(miss) AS missing_ts FROM c WHERE owner IS NOT NULL GROUP BY ALL", "symbol bar_open_ms trade_count late_trade_count missing_ts", "trade_volume"))
+@query("late_events_15m", sql(LATE, "SELECT symbol, owner AS bar_open_ms, count(*) FILTER (kind = 'ok') AS trade_count, sum(qty) FILTER (kind = 'ok') AS trade_volume, count(*) FILTER (kind = 'late') AS late_trade_count, bool_or(miss) AS missing_ts, bool_or(disordered) AS out_of_order FROM o WHERE owner IS NOT NULL GROUP BY ALL", "symbol bar_open_ms trade_count late_trade_count missing_ts out_of_order", "trade_volume"))
 def late_events_15m(spark, sf_dir):
-    return rounded(B.trade_bars(shuffled_tape(spark, sf_dir), "15m").select("symbol", "bar_open_ms", "trade_count", "trade_volume", "late_trade_count", "missing_ts"))
+    return rounded(B.trade_bars(shuffled_tape(spark, sf_dir), "15m").select("symbol", "bar_open_ms", "trade_count", "trade_volume", "late_trade_count", "missing_ts", "out_of_order"))
+
+
+@query("late_events_cells", SQL["late_events_15m"])
+def late_events_cells(spark, sf_dir):
+    """The same with cells of 500 arrivals, so that each symbol is many tasks."""
+    rows = B.classify(shuffled_tape(spark, sf_dir), "15m", cell=500).where("owner is not null")
+    found = {k: v for c in (B.base_stats, B.quality) for k, v in c(F.col("kind") == "ok").items()}
+    return rounded(rows.groupBy("symbol", F.col("owner").alias("bar_open_ms")).agg(*[found[k].alias(k) for k in ("trade_count", "trade_volume", "late_trade_count", "missing_ts", "out_of_order")]))
 
 
 @query("bar_time_rules", """WITH t AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, epoch_us(ts) // 1000 + 28800000 AS loc FROM events)
@@ -70,13 +88,14 @@ def bar_time_rules(spark, sf_dir):
 STATS = """SELECT symbol, ts_ms // 3600000 * 3600000 AS bar, avg(price) AS price_mean, max(price) AS price_max, min(price) AS price_min, stddev_pop(price) AS price_std, max(price) - min(price) AS price_range,
  sum(price*qty)/sum(qty) AS vwap, count(*) AS trade_count, sum(qty) AS qty_sum, avg(qty) AS qty_mean, max(qty) AS qty_max, stddev_pop(qty) AS qty_std, sum(price*qty) AS quote_sum,
  coalesce(sum(CASE WHEN NOT is_buyer_maker THEN qty END), 0) AS buy_qty, coalesce(sum(CASE WHEN is_buyer_maker THEN qty END), 0) AS sell_qty, count(*) FILTER (NOT is_buyer_maker) AS buy_count, count(*) FILTER (is_buyer_maker) AS sell_count,
- buy_qty / nullif(buy_qty + sell_qty, 0) AS buy_ratio, buy_count / nullif(buy_count + sell_count, 0) AS buy_count_ratio, (buy_qty - sell_qty) / nullif(buy_qty + sell_qty, 0) AS imbalance, stddev_pop(price) / nullif(sum(price*qty)/sum(qty), 0) AS volatility_proxy
+ buy_qty / nullif(buy_qty + sell_qty, 0) AS buy_ratio, buy_count / nullif(buy_count + sell_count, 0) AS buy_count_ratio, (buy_qty - sell_qty) / nullif(buy_qty + sell_qty, 0) AS imbalance, stddev_pop(price) / nullif(sum(price*qty)/sum(qty), 0) AS volatility_proxy,
+ CASE WHEN count(*) >= 3 THEN CASE WHEN var_pop(qty) > 0 THEN skewness(qty) ELSE 0 END END AS qty_skew, CASE WHEN count(*) >= 4 THEN CASE WHEN var_pop(qty) > 0 THEN kurtosis(qty) ELSE 0 END END AS qty_kurt
 FROM tape GROUP BY 1, 2"""
 
 
-@query("minute_stats_1h", sql(TAPE_SQL, STATS, "symbol bar trade_count buy_count sell_count", "price_mean price_max price_min price_std price_range vwap qty_sum qty_mean qty_max qty_std quote_sum buy_qty sell_qty buy_ratio buy_count_ratio imbalance volatility_proxy"))
+@query("minute_stats_1h", sql(TAPE_SQL, STATS, "symbol bar trade_count buy_count sell_count", "qty_skew qty_kurt price_mean price_max price_min price_std price_range vwap qty_sum qty_mean qty_max qty_std quote_sum buy_qty sell_qty buy_ratio buy_count_ratio imbalance volatility_proxy"))
 def minute_stats_1h(spark, sf_dir):
-    return rounded(B.minute_stats(tape(spark, sf_dir), 60).drop("qty_skew", "qty_kurt"))
+    return rounded(B.minute_stats(tape(spark, sf_dir), 60))
 
 
 @query("sample_moments_1d", sql(TAPE_SQL, """SELECT symbol, ts_ms // 86400000 * 86400000 AS bar, count(*) AS n,
@@ -86,9 +105,9 @@ def sample_moments_1d(spark, sf_dir):
 
 
 @query("path_stats_1h", sql(TAPE_SQL + """, g AS (SELECT *, ts_ms // 3600000 * 3600000 AS bar, ln(price / lag(price) OVER w) AS r, (ts_ms - lag(ts_ms) OVER w) / 1000.0 AS gap FROM tape WHERE price > 0 AND qty > 0 WINDOW w AS (PARTITION BY symbol, ts_ms // 3600000 ORDER BY ts_ms, seq))""",
-    "SELECT symbol, bar, count(*) AS trade_count, coalesce(sum(r*r), 0) AS rv_var, max(price) - min(price) AS hl_range, avg(gap) AS mean_intertrade_time, max(gap) AS max_intertrade_time FROM g GROUP BY ALL", "symbol bar trade_count", "rv_var hl_range mean_intertrade_time max_intertrade_time"))
+    "SELECT symbol, bar, sum(price*qty)/sum(qty) AS vwap, count(*) AS trade_count, coalesce(sum(CASE WHEN NOT is_buyer_maker THEN qty END), 0) AS buy_volume, coalesce(sum(CASE WHEN is_buyer_maker THEN qty END), 0) AS sell_volume, count(*) FILTER (NOT is_buyer_maker) AS buy_trades, count(*) FILTER (is_buyer_maker) AS sell_trades, coalesce(sum(r*r), 0) AS rv_var, max(price) - min(price) AS hl_range, avg(gap) AS mean_intertrade_time, max(gap) AS max_intertrade_time FROM g GROUP BY ALL", "symbol bar trade_count buy_trades sell_trades", "vwap buy_volume sell_volume rv_var hl_range mean_intertrade_time max_intertrade_time"))
 def path_stats_1h(spark, sf_dir):
-    return rounded(B.path_stats(tape(spark, sf_dir), 60).select("symbol", "bar", "trade_count", "rv_var", "hl_range", "mean_intertrade_time", "max_intertrade_time"))
+    return rounded(B.path_stats(tape(spark, sf_dir), 60))
 
 
 @query("ohlcv_1h", sql(BARS_SQL, "SELECT * FROM bars", "symbol bar trades", "open high low close volume"))
@@ -166,17 +185,24 @@ def asof_fill(spark, sf_dir):
     return rounded(J.asof_fill(bars(spark, sf_dir).select("symbol", "bar"), slow, ["symbol"], "bar", "fng"))
 
 
-@query("align_pad", sql(BARS_SQL, "SELECT t.symbol, t.seq, b.bar AS grid_time FROM (SELECT symbol, seq, ts_ms AS bar FROM tape WHERE seq % 10 = 0) t ASOF JOIN bars b ON t.symbol = b.symbol AND t.bar >= b.bar", "symbol seq grid_time", ""))
+@query("align_pad", sql(BARS_SQL, "SELECT t.symbol, t.seq, b.bar AS grid_time FROM (SELECT symbol, seq, ts_ms AS bar FROM tape) t ASOF JOIN bars b ON t.symbol = b.symbol AND t.bar >= b.bar", "symbol seq grid_time", ""))
 def align_pad(spark, sf_dir):
-    events = tape(spark, sf_dir).where("seq % 10 = 0").select("symbol", "seq", F.col("ts_ms").alias("bar"))
+    events = tape(spark, sf_dir).select("symbol", "seq", F.col("ts_ms").alias("bar"))
     return J.align(events, bars(spark, sf_dir), ["symbol"], "bar", "pad").select("symbol", "seq", "grid_time")
 
 
-@query("align_pad_all")
+@query("align_pad_all", SQL["align_pad"])
 def align_pad_all(spark, sf_dir):
-    """Every trade with its grid time; ``align_pad`` is the tenth that its SQL names (checked against every trade's hour in the tests)."""
-    events = tape(spark, sf_dir).select("symbol", "seq", F.col("ts_ms").alias("bar"))
-    return J.align(events, bars(spark, sf_dir), ["symbol"], "bar", "pad").select("symbol", "seq", "grid_time")
+    """The same in cells of two days, so that each symbol is many tasks."""
+    t, b = tape(spark, sf_dir).select("symbol", "seq", F.col("ts_ms").alias("at")), bars(spark, sf_dir).select("symbol", F.col("bar").alias("at"), F.col("bar").alias("grid_time"))
+    return J.asof_backward(t, b, ["symbol"], "at", ["grid_time"], cell=48 * HOUR).where("grid_time is not null").select("symbol", "seq", "grid_time")
+
+
+@query("align_exact", sql(BARS_SQL, "SELECT symbol, seq, ts_ms // 60000 * 60000 AS grid_time FROM tape t WHERE EXISTS (SELECT 1 FROM bars b WHERE b.symbol = t.symbol AND b.bar = t.ts_ms // 60000 * 60000)", "symbol seq grid_time", ""))
+def align_exact(spark, sf_dir):
+    """Trades whose minute is a bar's time."""
+    minutes = tape(spark, sf_dir).select("symbol", "seq", (F.floor(F.col("ts_ms") / 60_000) * 60_000).alias("bar"))
+    return J.align(minutes, bars(spark, sf_dir), ["symbol"], "bar", "exact").select("symbol", "seq", "grid_time")
 
 
 @query("flatten_minutes", sql(BARS_SQL, """SELECT b.symbol, b.bar, """ + ", ".join(f"max(CASE WHEN h.bar = b.bar - {n} * 3600000 THEN h.close END) AS m{4 - n}_close" for n in (4, 3, 2, 1)) + """ FROM bars b LEFT JOIN bars h ON b.symbol = h.symbol AND h.bar < b.bar AND h.bar >= b.bar - 14400000 GROUP BY ALL""", "symbol bar", "m0_close m1_close m2_close m3_close"))
@@ -186,18 +212,18 @@ def flatten_minutes(spark, sf_dir):
     return rounded(J.flatten_minutes(hours.select("symbol", "bar"), hours, ["symbol"], "bar", ["close"], 4).withColumn("bar", F.col("bar") * 60))
 
 
-@query("interval_join", sql(BARS_SQL, "SELECT t.symbol, t.seq, b.bar FROM tape t JOIN bars b ON t.symbol = b.symbol AND t.ts_ms >= b.bar AND t.ts_ms < b.bar + 3600000 WHERE t.seq % 5 = 0", "symbol seq bar", ""))
+@query("interval_join", sql(BARS_SQL, "SELECT t.symbol, t.seq, b.bar FROM tape t JOIN bars b ON t.symbol = b.symbol AND t.ts_ms >= b.bar AND t.ts_ms < b.bar + 3600000", "symbol seq bar", ""))
 def interval_join(spark, sf_dir):
     spans = bars(spark, sf_dir).select("symbol", "bar", (F.col("bar") + HOUR).alias("bar_end"))
-    points = tape(spark, sf_dir).where("seq % 5 = 0").select("symbol", "seq", "ts_ms")
+    points = tape(spark, sf_dir).select("symbol", "seq", "ts_ms")
     return J.within(points, spans, ["symbol"], "ts_ms", "bar", "bar_end", HOUR).select("symbol", "seq", "bar")
 
 
-@query("interval_join_all")
+@query("interval_join_all", SQL["interval_join"])
 def interval_join_all(spark, sf_dir):
-    """Every trade with the bar that holds it; ``interval_join`` is the fifth that its SQL names (checked against every trade's hour in the tests)."""
+    """The same with cells shorter than the spans, so that a span lies in several."""
     spans = bars(spark, sf_dir).select("symbol", "bar", (F.col("bar") + HOUR).alias("bar_end"))
-    return J.within(tape(spark, sf_dir).select("symbol", "seq", "ts_ms"), spans, ["symbol"], "ts_ms", "bar", "bar_end", HOUR).select("symbol", "seq", "bar")
+    return J.within(tape(spark, sf_dir).select("symbol", "seq", "ts_ms"), spans, ["symbol"], "ts_ms", "bar", "bar_end", HOUR // 3).select("symbol", "seq", "bar")
 
 
 @query("overlap_trim", sql(BARS_SQL, "SELECT * FROM bars WHERE bar >= (SELECT min(bar) FROM bars WHERE symbol = 'click') AND bar <= (SELECT max(bar) FROM bars WHERE symbol = 'click')", "symbol bar", "close"))
@@ -253,9 +279,7 @@ def rolling_scores(spark, sf_dir):
 @query("rolling_scores_chunked", SQL["rolling_scores"])
 def rolling_scores_chunked(spark, sf_dir):
     """The same on a full grid cut into chunks of days with a halo: what a hot symbol needs at scale."""
-    b = bars(spark, sf_dir)
-    # a halo of rows needs even times: number the bars first
-    b = b.withColumn("i", F.row_number().over(W.partitionBy("symbol").orderBy("bar")).cast("long"))
+    b = N.positions(bars(spark, sf_dir), ["symbol"], "bar", 48 * HOUR)  # a halo of rows needs even times: number the bars first, by cells
     chunked = N.halo(b, "i", 64, 32)
     w = W.partitionBy("symbol", "chunk").orderBy("i")
     c = F.col("close")
@@ -350,9 +374,9 @@ def sequence_windows(spark, sf_dir):
     return rounded(seq.select("symbol", "bar", F.aggregate("window", F.lit(0.0), lambda a, x: a + x.close).alias("s")))
 
 
-@query("time_cycle", sql(BARS_SQL, "SELECT symbol, bar, sin((bar // 60000 % 1440) / 60.0 * 2 * pi() / 24) AS tod_sin, cos((bar // 60000 % 1440) / 60.0 * 2 * pi() / 24) AS tod_cos, sin((bar // 86400000 + 3) % 7 * 2 * pi() / 7) AS dow_sin FROM bars", "symbol bar", "tod_sin tod_cos dow_sin"))
+@query("time_cycle", sql(BARS_SQL, "SELECT symbol, bar, sin((bar // 60000 % 1440) / 60.0 * 2 * pi() / 24) AS tod_sin, cos((bar // 60000 % 1440) / 60.0 * 2 * pi() / 24) AS tod_cos, sin((bar // 86400000 + 3) % 7 * 2 * pi() / 7) AS dow_sin, cos((bar // 86400000 + 3) % 7 * 2 * pi() / 7) AS dow_cos FROM bars", "symbol bar", "tod_sin tod_cos dow_sin dow_cos"))
 def time_cycle(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "bar", *bartime.day_cycle(F.col("bar"))[:3]))
+    return rounded(bars(spark, sf_dir).select("symbol", "bar", *bartime.day_cycle(F.col("bar"))))
 
 
 @query("finite_rows", sql(BARS_SQL, "SELECT symbol, bar, close FROM (SELECT symbol, bar, close, lag(close, 3) OVER (PARTITION BY symbol ORDER BY bar) AS p FROM bars) WHERE p IS NOT NULL", "symbol bar", "close"))

@@ -11,7 +11,7 @@ from ..operators import search as G
 from ..operators import selection as P
 from ..operators import windows as N
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
-from .research import BARRIER, CLUSTERS, _all_pairs, _barrier, _clusters, _pairs
+from .research import BARRIER, CLUSTERS, _barrier, _clusters, _pairs
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -95,17 +95,65 @@ def slow_series_merge(spark, sf_dir):
     return rounded(b.withColumn("day", F.floor(F.col("bar") / 86_400_000) * 86_400_000).join(spine, "day", "left").select("symbol", "bar", "fng"))
 
 
-@query("attach_labels", sql(BARRIER + ", one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, t0, side ORDER BY t1, label) AS k FROM tb) WHERE k = 1)", "SELECT b.symbol, b.bar AS ts, o.side, o.label FROM bars b LEFT JOIN one o ON o.symbol = b.symbol AND o.t0 = b.bar", "symbol ts side label", ""))
+EVENTS = BARS_SQL + """, ev AS (SELECT symbol, ts_ms // 3600000 * 3600000 AS t0, ts_ms, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, CASE WHEN seq % 5 > 0 THEN (seq % 4 // 2)::INT END AS label, ts_ms // 3600000 * 3600000 + seq % 7 * 3600000 AS t1 FROM tape),
+ex AS (SELECT symbol, t0, side, label, max(t1) AS t1 FROM ev WHERE label IS NOT NULL GROUP BY ALL)"""
+
+
+def _label_sql(order: str, side: int) -> str:
+    return sql(EVENTS, f"SELECT b.symbol, b.bar AS ts, o.side, o.label, o.t1 FROM bars b LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY symbol, t0 ORDER BY {order}) AS k FROM ex WHERE side = {side}) o ON o.symbol = b.symbol AND o.t0 = b.bar AND o.k = 1", "symbol ts side label t1", "")
+
+
+def _label_events(spark, sf_dir, exact: bool = True):
+    hour = (F.floor(F.col("ts_ms") / HOUR) * HOUR).cast("long")
+    seq = F.col("seq")
+    return tape(spark, sf_dir).select("symbol", (hour if exact else F.col("ts_ms")).alias("t0"), F.when(seq % 3 == 0, -1).otherwise(1).alias("side"), F.when(seq % 5 > 0, F.floor(seq % 4 / 2).cast("int")).alias("label"), (hour + seq % 7 * HOUR).alias("t1"))
+
+
+def _labelled(spark, sf_dir, policy: str, sides: str):
+    b = bars(spark, sf_dir).select("symbol", F.col("bar").alias("ts"))
+    return J.attach_labels(b, _label_events(spark, sf_dir), policy, sides)
+
+
+@query("attach_labels", _label_sql("label, t1", 1))
 def attach_labels(spark, sf_dir):
+    """Several events of both sides at one time, some without label: failures come first."""
+    return _labelled(spark, sf_dir, "prefer_fail", "long")
+
+
+@query("attach_labels_win", _label_sql("label DESC, t1 DESC", -1))
+def attach_labels_win(spark, sf_dir):
+    return _labelled(spark, sf_dir, "prefer_win", "short")
+
+
+@query("attach_labels_earliest", _label_sql("t1, label", 1))
+def attach_labels_earliest(spark, sf_dir):
+    return _labelled(spark, sf_dir, "earliest_t1", "long")
+
+
+@query("attach_labels_latest", _label_sql("t1 DESC, label DESC", 1))
+def attach_labels_latest(spark, sf_dir):
+    return _labelled(spark, sf_dir, "latest_t1", "long")
+
+
+@query("attach_labels_pad", sql(EVENTS, "SELECT b.symbol, b.bar AS ts, o.label FROM bars b LEFT JOIN (SELECT symbol, t0, arg_max(label, ts_ms) AS label FROM ev WHERE side = 1 AND label IS NOT NULL GROUP BY ALL) o ON o.symbol = b.symbol AND o.t0 = b.bar", "symbol ts label", ""))
+def attach_labels_pad(spark, sf_dir):
+    """Events off the grid go to the bar before; the last one of a bar counts."""
     b = bars(spark, sf_dir).select("symbol", F.col("bar").alias("ts"))
-    return J.attach_labels(b, _barrier(spark, sf_dir).select("symbol", "t0", "side", "label", "t1")).select("symbol", "ts", "side", "label")
+    return J.attach_labels(b, _label_events(spark, sf_dir, exact=False), sides="long", align_by="pad").select("symbol", "ts", "label")
 
 
-@query("lookup_chain", "SELECT s_suppkey, coalesce(n.n_regionkey, -1) AS region FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) n ON n.n_nationkey = s_nationkey")
+@query("lookup_chain", """SELECT s_suppkey, coalesce(c.n_nationkey, -1) AS nation, coalesce(n.n_regionkey, -1) AS region, coalesce(r.place, -1) AS place FROM supplier LEFT JOIN (SELECT n_nationkey FROM nation WHERE n_nationkey % 5 > 0) c ON c.n_nationkey = s_nationkey
+LEFT JOIN (SELECT n_nationkey, n_regionkey FROM nation WHERE n_nationkey % 2 = 0) n ON n.n_nationkey = c.n_nationkey LEFT JOIN (SELECT r_regionkey, r_regionkey * 10 AS place FROM region WHERE r_regionkey < 4) r ON r.r_regionkey = n.n_regionkey""")
 def lookup_chain(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", "n_regionkey")
-    s = table(spark, sf_dir, "supplier").withColumnRenamed("s_nationkey", "n_nationkey")
-    return J.chain(s, [(n, "n_nationkey", "n_regionkey")], F.lit(-1)).select("s_suppkey", F.col("n_regionkey").alias("region"))
+    """Three maps in a row, each with holes: what is absent is -1 from there on."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    maps = [
+        (n.where("n_nationkey % 5 > 0").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_nationkey").alias("nation")), "s_nationkey", "nation"),
+        (n.where("n_nationkey % 2 = 0").select(F.col("n_nationkey").alias("nation"), F.col("n_regionkey").alias("region")), "nation", "region"),
+        (r.where("r_regionkey < 4").select(F.col("r_regionkey").alias("region"), (F.col("r_regionkey") * 10).alias("place")), "region", "place"),
+    ]
+    return J.chain(s, maps, F.lit(-1)).select("s_suppkey", "nation", "region", "place")
 
 
 @query("set_operations", sql(TAPE_SQL + ", a AS (SELECT DISTINCT user_id FROM tape WHERE symbol = 'click' AND qty > 90), b AS (SELECT DISTINCT user_id FROM tape WHERE symbol = 'view' AND qty > 90)", "SELECT 'union' AS op, count(*) AS n FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'intersect', count(*) FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)", "op n", ""))
@@ -135,12 +183,9 @@ def top_k_pairs(spark, sf_dir):
     return both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where("k <= 2").select("a", "b")
 
 
-@query("top_k_pairs_all")
+@query("top_k_pairs_all", SQL["top_k_pairs"])
 def top_k_pairs_all(spark, sf_dir):
-    """The two nearest of each of the 64 dimensions (checked against numpy in the tests)."""
-    p = _all_pairs(spark, sf_dir)
-    both = p.select("a", "b", "d").union(p.select("b", "a", "d"))
-    return both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where("k <= 2").select("a", "b")
+    return top_k_pairs(spark, sf_dir)
 
 
 @query("fold_summary", sql(BARS_SQL + ", f AS (SELECT symbol, bar, ntile(5) OVER (ORDER BY bar, symbol) AS fold, close FROM bars), m AS (SELECT symbol, fold, avg(close) AS x FROM f GROUP BY ALL)", "SELECT symbol, avg(x) AS mean, stddev_pop(x) AS std FROM m GROUP BY symbol", "symbol", "mean std"))
@@ -158,45 +203,39 @@ def fold_summary(spark, sf_dir):
 
 
 RIDGE = BARS_SQL + """,
-rr AS (SELECT bar, close - open AS x1, volume AS x2, lead(close) OVER (ORDER BY bar) - close AS y FROM bars WHERE symbol = 'click'),
-rn AS (SELECT *, row_number() OVER (ORDER BY bar) - 1 AS i, ntile(5) OVER (ORDER BY bar) - 1 AS fold, count(*) OVER () AS n FROM rr WHERE y IS NOT NULL),
-sp AS (SELECT fold, min(i) - (n * 0.01)::INT AS lo, max(i) + floor(n * 0.01) AS hi FROM (SELECT * FROM rn) GROUP BY fold, n),
-mo AS (SELECT s.fold, count(*) AS k, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12 FROM sp s JOIN rn r ON r.i < s.lo OR r.i > s.hi GROUP BY s.fold),
+rr AS (SELECT symbol, bar, close - open AS x1, volume AS x2, lead(close) OVER (PARTITION BY symbol ORDER BY bar) - close AS y FROM bars),
+rn AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS i, ntile(5) OVER (PARTITION BY symbol ORDER BY bar) - 1 AS fold, count(*) OVER (PARTITION BY symbol) AS n FROM rr WHERE y IS NOT NULL),
+sp AS (SELECT symbol, fold, min(i) - (n * 0.01)::INT AS lo, max(i) + floor(n * 0.01) AS hi FROM (SELECT * FROM rn) GROUP BY symbol, fold, n),
+mo AS (SELECT s.symbol, s.fold, count(*) AS k, avg(x1) AS a1, avg(x2) AS a2, avg(y) AS ay, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12 FROM sp s JOIN rn r ON r.symbol = s.symbol AND (r.i < s.lo OR r.i > s.hi) GROUP BY s.symbol, s.fold),
 sv AS (SELECT *, k + 10.0 AS p, k * c12 / (s1 * s2) AS q, k * c1 / s1 AS g1, k * c2 / s2 AS g2 FROM mo),
 w AS (SELECT *, (p * g1 - q * g2) / (p * p - q * q) / s1 AS w1, (p * g2 - q * g1) / (p * p - q * q) / s2 AS w2 FROM sv),
-rp AS (SELECT r.bar, r.fold::INT AS fold, r.y, ay + w1 * (x1 - a1) + w2 * (x2 - a2) AS pred FROM rn r JOIN w USING (fold))""".replace("(n * 0.01)::INT", "floor(n * 0.01)")
+rp AS (SELECT r.symbol, r.bar, r.fold::INT AS fold, r.y, ay + w1 * (x1 - a1) + w2 * (x2 - a2) AS pred FROM rn r JOIN w USING (symbol, fold))""".replace("(n * 0.01)::INT", "floor(n * 0.01)")
 
 
 def _ridge(spark, sf_dir):
-    b = bars(spark, sf_dir).where("symbol = 'click'")
-    ahead = b.select((F.col("bar")).alias("bar"), (F.col("close") - F.col("open")).alias("x1"), F.col("volume").alias("x2"), (F.lead("close").over(N.series(["symbol"], "bar")) - F.col("close")).alias("y"))
-    return P.ridge_predictions(ahead, ["x1", "x2"], "y", "bar", 5)
+    ahead = bars(spark, sf_dir).select("symbol", "bar", (F.col("close") - F.col("open")).alias("x1"), F.col("volume").alias("x2"), (F.lead("close").over(N.series(["symbol"], "bar")) - F.col("close")).alias("y"))
+    return P.ridge_predictions(ahead, ["x1", "x2"], "y", "bar", 5, by=["symbol"])
 
 
-@query("ridge_predictions", sql(RIDGE, "SELECT * FROM rp", "bar fold", "y pred"))
+@query("ridge_predictions", sql(RIDGE, "SELECT * FROM rp", "symbol bar fold", "y pred"))
 def ridge_predictions(spark, sf_dir):
-    return rounded(_ridge(spark, sf_dir).select("bar", "fold", "y", "pred"))
+    """Every symbol fitted on its own."""
+    return rounded(_ridge(spark, sf_dir).select("symbol", "bar", "fold", "y", "pred"))
 
 
-@query("ridge_backtest", sql(RIDGE, "SELECT count(*) AS n, avg(sign(pred) * y) AS mean, avg(sign(pred) * y) / (stddev_pop(sign(pred) * y) + 1e-9) * sqrt(96 * 365) AS sharpe FROM rp", "n", "mean sharpe"))
+@query("ridge_backtest", sql(RIDGE, "SELECT symbol, count(*) AS n, avg(sign(pred) * y) AS mean, avg(sign(pred) * y) / (stddev_pop(sign(pred) * y) + 1e-9) * sqrt(96 * 365) AS sharpe FROM rp GROUP BY symbol", "symbol n", "mean sharpe"))
 def ridge_backtest(spark, sf_dir):
-    return rounded(P.sign_report(_ridge(spark, sf_dir), "y"))
-
-
-def _ridge_all(spark, sf_dir):
-    ahead = bars(spark, sf_dir).select("symbol", "bar", (F.col("close") - F.col("open")).alias("x1"), F.col("volume").alias("x2"), (F.lead("close").over(N.series(["symbol"], "bar")) - F.col("close")).alias("y"))
-    return P.ridge_predictions(ahead, ["x1", "x2"], "y", "bar", 5, by=["symbol"])
+    return rounded(P.sign_report(_ridge(spark, sf_dir), "y", by=["symbol"]))
 
 
-@query("ridge_predictions_all")
+@query("ridge_predictions_all", SQL["ridge_predictions"])
 def ridge_predictions_all(spark, sf_dir):
-    """Every symbol fitted on its own; ``ridge_predictions`` is the one that its SQL names (checked against it in the tests)."""
-    return rounded(_ridge_all(spark, sf_dir).select("symbol", "bar", "fold", "y", "pred"))
+    return ridge_predictions(spark, sf_dir)
 
 
-@query("ridge_backtest_all")
+@query("ridge_backtest_all", SQL["ridge_backtest"])
 def ridge_backtest_all(spark, sf_dir):
-    return rounded(P.sign_report(_ridge_all(spark, sf_dir), "y", by=["symbol"]))
+    return ridge_backtest(spark, sf_dir)
 
 
 @query("level_signals")

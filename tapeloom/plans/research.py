@@ -211,26 +211,32 @@ def _auc(spark, sf_dir):
     return S.auc(S.unpivot(t, ["symbol", "y"], ["price", "qty"]), ["symbol", "feature"])
 
 
-@query("auc_rank_biserial", sql(AUC_CTE, "SELECT symbol, feature, n1, n0, u, auc, rrb, var_rrb, rrb / sqrt(var_rrb) AS z FROM a3", "symbol feature", "u auc rrb var_rrb z"))
+@query("auc_rank_biserial", sql(AUC_CTE, "SELECT symbol, feature, n1, n0, u, auc, rrb, var_rrb, rrb / sqrt(var_rrb) AS z, rrb - 1.959963984540054 * sqrt(var_rrb) AS ci_low, rrb + 1.959963984540054 * sqrt(var_rrb) AS ci_high FROM a3", "symbol feature", "n1 n0 u auc rrb var_rrb z ci_low ci_high"))
 def auc_rank_biserial(spark, sf_dir):
-    return rounded(_auc(spark, sf_dir).select("symbol", "feature", "u", "auc", "rrb", "var_rrb", "z"))
+    return rounded(_auc(spark, sf_dir).withColumns({"n1": F.col("n1").cast("double"), "n0": F.col("n0").cast("double")}))
 
 
-@query("fixed_effect", sql(AUC_CTE, "SELECT feature, count(*) AS k, sum(rrb / var_rrb) / sum(1 / var_rrb) AS mean, sqrt(1 / sum(1 / var_rrb)) AS se FROM a3 GROUP BY feature", "feature k", "mean se"))
+def _p(z: str) -> str:
+    """The two-sided p of the normal law in SQL: the density's integral over [0, |z|] by Simpson's rule."""
+    w = "CASE WHEN i IN (0, 400) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+    return f"greatest(1 - 2 * abs({z}) / 1200 / sqrt(2 * pi()) * list_sum([({w}) * exp(-pow(abs({z}) * i / 400.0, 2) / 2) FOR i IN range(401)]), 1e-300)"
+
+
+@query("fixed_effect", sql(AUC_CTE, f"SELECT feature, k, mean, se, mean / se AS z, {_p('mean / se')} AS p, mean - 1.959963984540054 * se AS ci_low, mean + 1.959963984540054 * se AS ci_high FROM (SELECT feature, count(*) AS k, sum(rrb / var_rrb) / sum(1 / var_rrb) AS mean, sqrt(1 / sum(1 / var_rrb)) AS se FROM a3 GROUP BY feature)", "feature k", "mean se z p ci_low ci_high"))
 def fixed_effect(spark, sf_dir):
-    return rounded(S.fixed_effect(_auc(spark, sf_dir), ["feature"]).drop("z"))
+    return rounded(S.fixed_effect(_auc(spark, sf_dir), ["feature"]))
 
 
 @query("random_effects", sql(AUC_CTE + """,
 s AS (SELECT feature, count(*) AS k, sum(1 / var_rrb) AS w, sum(1 / var_rrb / var_rrb) AS w2, sum(rrb / var_rrb) AS we, sum(rrb * rrb / var_rrb) AS we2 FROM a3 GROUP BY feature),
-s2 AS (SELECT feature, k, we2 - we * we / w AS q, greatest(0, (we2 - we * we / w - (k - 1)) / (w - w2 / w)) AS tau2 FROM s)""", "SELECT s2.feature, k, q, tau2, sum(rrb / (var_rrb + tau2)) / sum(1 / (var_rrb + tau2)) AS mean FROM a3 JOIN s2 USING (feature) GROUP BY ALL", "feature k", "q tau2 mean"))
+s2 AS (SELECT feature, k, we2 - we * we / w AS q, greatest(0, (we2 - we * we / w - (k - 1)) / (w - w2 / w)) AS tau2 FROM s)""", "SELECT s2.feature, k, q, tau2, CASE WHEN q > 0 THEN greatest(0, (q - (k - 1)) / q) ELSE 0 END AS i2, sum(rrb / (var_rrb + tau2)) / sum(1 / (var_rrb + tau2)) AS mean, sqrt(1 / sum(1 / (var_rrb + tau2))) AS se FROM a3 JOIN s2 USING (feature) GROUP BY ALL", "feature k", "q tau2 i2 mean se"))
 def random_effects(spark, sf_dir):
-    return rounded(S.random_effects(_auc(spark, sf_dir), ["feature"]).select("feature", "k", "q", "tau2", "mean"))
+    return rounded(S.random_effects(_auc(spark, sf_dir), ["feature"]))
 
 
-@query("stouffer", sql(AUC_CTE, "SELECT feature, sum(sqrt(n1 + n0) * sign(auc - 0.5) * abs(rrb / sqrt(var_rrb))) / sqrt(sum(n1 + n0)) AS z FROM a3 GROUP BY feature", "feature", "z"))
+@query("stouffer", sql(AUC_CTE, f"SELECT feature, z, {_p('z')} AS p FROM (SELECT feature, sum(sqrt(n1 + n0) * sign(auc - 0.5) * abs(rrb / sqrt(var_rrb))) / sqrt(sum(n1 + n0)) AS z FROM a3 GROUP BY feature)", "feature", "z p"))
 def stouffer(spark, sf_dir):
-    return rounded(S.stouffer(_auc(spark, sf_dir), ["feature"]).drop("p"))
+    return rounded(S.stouffer(_auc(spark, sf_dir), ["feature"]))
 
 
 @query("false_discovery", TAPE_SQL.join(["WITH ", """, p AS (SELECT user_id, CASE WHEN user_id % 10 = 0 THEN NULL ELSE 1.0 / (1 + count(*) * count(*)) END AS p FROM tape GROUP BY user_id), r AS (SELECT *, row_number() OVER (ORDER BY coalesce(p, 1)) AS i, count(*) OVER () AS m FROM p)
@@ -257,18 +263,26 @@ def daily_rank_ic(spark, sf_dir):
     return rounded(_ic(spark, sf_dir))
 
 
-@query("ic_summary", sql(IC_CTE, "SELECT symbol, count(*) AS days, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / (stddev_samp(ic) + 1e-9) AS icir FROM ic2 WHERE ic IS NOT NULL GROUP BY symbol", "symbol days", "ic_mean ic_std icir"))
+@query("ic_summary", sql(IC_CTE, "SELECT symbol, count(*) AS days, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / (stddev_samp(ic) + 1e-9) AS icir, icir * sqrt(count(*)) AS t, (abs(t) > 2)::INT AS strong FROM ic2 WHERE ic IS NOT NULL GROUP BY symbol", "symbol days strong", "ic_mean ic_std icir t"))
 def ic_summary(spark, sf_dir):
-    return rounded(S.ic_summary(_ic(spark, sf_dir), ["symbol"]).drop("t"))
+    return rounded(S.ic_summary(_ic(spark, sf_dir), ["symbol"]))
+
 
+@query("ic_shares", sql(IC_CTE, "SELECT count(*) AS series, count(*) FILTER (abs(t) > 2) AS strong, count(*) FILTER (abs(t) > 2) / count(*) AS strong_share FROM (SELECT symbol, avg(ic) / (stddev_samp(ic) + 1e-9) * sqrt(count(*)) AS t FROM ic2 WHERE ic IS NOT NULL GROUP BY symbol)", "series strong", "strong_share"))
+def ic_shares(spark, sf_dir):
+    return rounded(S.strong_share(S.ic_summary(_ic(spark, sf_dir), ["symbol"])))
 
-_DIMS = 8
-_EMB = "e AS (SELECT label, " + ", ".join(f"embedding[{k + 1}]::DOUBLE AS d{k}" for k in range(_DIMS)) + " FROM embeddings), pr AS (" + " UNION ALL ".join(f"SELECT 'd{i}' AS a, 'd{j}' AS b, corr(d{i}, d{j}) AS r FROM e" for i in range(_DIMS) for j in range(i + 1, _DIMS)) + ")"
+
+_DIMS = 64
+_EMB = """e AS (SELECT vec_id, unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+pr AS (SELECT 'd' || x.i AS a, 'd' || y.i AS b, corr(x.v, y.v) AS r FROM e x JOIN e y ON x.vec_id = y.vec_id AND x.i < y.i GROUP BY ALL)"""
 
 
 def _pairs(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("label", *[F.col("embedding")[k].cast("double").alias(f"d{k}") for k in range(_DIMS)])
-    return S.distances(S.pair_correlations(e, [f"d{k}" for k in range(_DIMS)]))
+    """The distances of all pairs of the 64 dimensions."""
+    names = [f"d{k}" for k in range(_DIMS)]
+    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    return S.distances(S.pair_products(e, names))
 
 
 @query("pair_distances", sql(_EMB, "SELECT a, b, r, sqrt(greatest(2 * (1 - r), 0)) AS d FROM pr", "a b", "r d"))
@@ -276,7 +290,7 @@ def pair_distances(spark, sf_dir):
     return rounded(_pairs(spark, sf_dir))
 
 
-CLUSTERS = _EMB + ", cl AS (SELECT 'd' || k AS item, k % 3 AS cluster FROM range(8) t(k)), pd AS (SELECT a, b, sqrt(greatest(2 * (1 - r), 0)) AS d FROM pr), bo AS (SELECT a, b, d FROM pd UNION ALL SELECT b, a, d FROM pd)"
+CLUSTERS = _EMB + ", cl AS (SELECT 'd' || k AS item, k % 3 AS cluster FROM range(64) t(k)), pd AS (SELECT a, b, sqrt(greatest(2 * (1 - r), 0)) AS d FROM pr), bo AS (SELECT a, b, d FROM pd UNION ALL SELECT b, a, d FROM pd)"
 
 
 def _clusters(spark):
@@ -293,40 +307,41 @@ def cluster_scores(spark, sf_dir):
     return rounded(S.cluster_scores(_pairs(spark, sf_dir), _clusters(spark)))
 
 
-_ALL_DIMS = 64
-
-
-def _all_pairs(spark, sf_dir):
-    """The distances of all pairs of the 64 dimensions."""
-    names = [f"d{k}" for k in range(_ALL_DIMS)]
+@query("pair_distances_all", SQL["pair_distances"])
+def pair_distances_all(spark, sf_dir):
+    """All 2,016 pairs by one aggregate of expressions instead of matrices of products, in groups of columns."""
+    names = [f"d{k}" for k in range(_DIMS)]
     e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    return S.distances(S.pair_products(e, names))
+    return rounded(S.distances(S.pair_correlations(e, names)))
 
 
-def _all_clusters(spark):
-    return spark.range(_ALL_DIMS).select(F.concat(F.lit("d"), F.col("id").cast("string")).alias("item"), (F.col("id") % 3).alias("cluster"))
+@query("cluster_medoids_all", SQL["cluster_medoids"])
+def cluster_medoids_all(spark, sf_dir):
+    return S.representatives(_pairs(spark, sf_dir), _clusters(spark))
 
 
-@query("pair_distances_all")
-def pair_distances_all(spark, sf_dir):
-    """All 2,016 pairs; ``pair_distances`` has the dimensions that its SQL names (checked against numpy in the tests)."""
-    return rounded(_all_pairs(spark, sf_dir))
+@query("cluster_scores_all", SQL["cluster_scores"])
+def cluster_scores_all(spark, sf_dir):
+    return rounded(S.cluster_scores(_pairs(spark, sf_dir), _clusters(spark)))
 
 
-@query("cluster_medoids_all")
-def cluster_medoids_all(spark, sf_dir):
-    return S.representatives(_all_pairs(spark, sf_dir), _all_clusters(spark))
+@query("cluster_centres", sql(CLUSTERS + """, lim AS (SELECT quantile_cont(d, 0.25) AS q FROM pd), nb AS (SELECT x.cluster, a, count(*) FILTER (x.cluster = y.cluster AND d <= q) AS n FROM bo JOIN cl x ON x.item = bo.a JOIN cl y ON y.item = bo.b, lim GROUP BY ALL)""", "SELECT cluster, arg_min(a, struct_pack(n := -n, a := a)) AS item FROM nb GROUP BY cluster", "cluster item", ""))
+def cluster_centres(spark, sf_dir):
+    """Of each cluster the item with the most neighbours in it within the lowest quarter of all distances."""
+    return S.busiest(_pairs(spark, sf_dir), _clusters(spark))
 
 
-@query("cluster_scores_all")
-def cluster_scores_all(spark, sf_dir):
-    return rounded(S.cluster_scores(_all_pairs(spark, sf_dir), _all_clusters(spark)))
+VOTES = TAPE_SQL + """, v AS (SELECT user_id, CASE WHEN user_id % 7 <> 0 THEN (qty % 3)::INT END AS pred, 1 - qty / 202.0 - price / 400.0 AS p0, qty / 202.0 AS p1, price / 400.0 AS p2 FROM tape),
+h AS (SELECT user_id, arg_min(pred, struct_pack(n := -n, p := pred)) AS hard FROM (SELECT user_id, pred, count(*) AS n FROM v WHERE pred IS NOT NULL GROUP BY ALL) GROUP BY user_id),
+m AS (SELECT user_id, count(pred) AS votes_total, avg(p0) FILTER (pred IS NOT NULL) AS a0, avg(p1) FILTER (pred IS NOT NULL) AS a1, avg(p2) FILTER (pred IS NOT NULL) AS a2 FROM v GROUP BY user_id)"""
 
 
-@query("ensemble_vote", sql(TAPE_SQL + ", v AS (SELECT user_id, (qty > 50)::INT AS pred, qty / 101.0 AS p1 FROM tape)", "SELECT user_id, count(*) AS votes_total, (count(*) FILTER (pred = 1) > count(*) FILTER (pred = 0))::INT AS hard, (avg(p1) > 0.5)::INT AS soft, 2 * avg(p1) - 1 AS margin FROM v GROUP BY user_id", "user_id votes_total hard soft", "margin"))
+@query("ensemble_vote", sql(VOTES, "SELECT m.user_id, votes_total, hard, CASE WHEN a0 >= a1 AND a0 >= a2 THEN 0 WHEN a1 >= a2 THEN 1 WHEN a1 IS NOT NULL THEN 2 END AS soft, a1 - a0 AS margin FROM m LEFT JOIN h USING (user_id)", "user_id votes_total hard soft", "margin"))
 def ensemble_vote(spark, sf_dir):
-    t = tape(spark, sf_dir).select("user_id", (F.col("qty") > 50).cast("int").alias("pred"), (F.col("qty") / 101.0).alias("p1"))
-    return rounded(S.vote(t, ["user_id"]))
+    """Three classes; some users have no votes at all."""
+    p1, p2 = F.col("qty") / 202.0, F.col("price") / 400.0
+    t = tape(spark, sf_dir).select("user_id", F.when(F.col("user_id") % 7 != 0, (F.col("qty") % 3).cast("int")).alias("pred"), (1 - p1 - p2).alias("p0"), p1.alias("p1"), p2.alias("p2"))
+    return rounded(S.vote(t, ["user_id"], ["p0", "p1", "p2"]))
 
 
 @query("regression_metrics", sql(TAPE_SQL + ", z AS (SELECT symbol, price AS y, qty AS p, rank() OVER (PARTITION BY symbol ORDER BY price) + (count(*) OVER (PARTITION BY symbol, price) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY symbol ORDER BY qty) + (count(*) OVER (PARTITION BY symbol, qty) - 1) / 2.0 AS rp FROM tape)",
@@ -348,9 +363,11 @@ def class_metrics(spark, sf_dir):
     return rounded(S.class_metrics(_classes(spark, sf_dir)))
 
 
-@query("summary_metrics", sql(CLASSES + ", n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS c FROM c), k AS (SELECT k, (count(*) FILTER (y = k))::DOUBLE AS t, (count(*) FILTER (p = k))::DOUBLE AS s FROM c, (VALUES (0), (1), (2)) v(k) GROUP BY k)", "SELECT any_value(c) / any_value(n) AS accuracy, (any_value(c) * any_value(n) - sum(t * s)) / sqrt((any_value(n) * any_value(n) - sum(s * s)) * (any_value(n) * any_value(n) - sum(t * t))) AS mcc FROM k, n", "", "accuracy mcc"))
+@query("summary_metrics", sql(CLASSES + """, n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS c FROM c), k AS (SELECT k, (count(*) FILTER (y = k))::DOUBLE AS t, (count(*) FILTER (p = k))::DOUBLE AS s, (count(*) FILTER (y = k AND p = k))::DOUBLE AS h FROM c, (VALUES (0), (1), (2)) v(k) GROUP BY k),
+ k2 AS (SELECT *, h / s AS pr, h / t AS rc, 2 * h / (s + t) AS f1, 1.25 * h / (s + 0.25 * t) AS f05 FROM k)""", """SELECT any_value(c) / any_value(n) AS accuracy, avg(pr) AS macro_precision, avg(rc) AS macro_recall, avg(f1) AS macro_f1, avg(f05) AS macro_f05, sum(f1 * t) / sum(t) AS weighted_f1,
+ (any_value(c) * any_value(n) - sum(t * s)) / sqrt((any_value(n) * any_value(n) - sum(s * s)) * (any_value(n) * any_value(n) - sum(t * t))) AS mcc FROM k2, n""", "", "accuracy macro_precision macro_recall macro_f1 macro_f05 weighted_f1 mcc"))
 def summary_metrics(spark, sf_dir):
-    return rounded(S.summary_metrics(_classes(spark, sf_dir)).select("accuracy", "mcc"))
+    return rounded(S.summary_metrics(_classes(spark, sf_dir)))
 
 
 @query("best_threshold", sql(TAPE_SQL + ", s AS (SELECT least(floor(qty / 101.0 * 100 + 1e-9), 100)::INT AS b, is_buyer_maker::INT AS y FROM tape), g AS (SELECT t, (SELECT count(*) FILTER (b >= t) FROM s) AS said, (SELECT sum(y) FILTER (b >= t) FROM s) AS tp, (SELECT sum(y) FROM s) AS pos FROM range(101) r(t))", "SELECT t / 100.0 AS threshold, coalesce(2.0 * tp / nullif(pos + said, 0), 0) AS fbeta FROM g ORDER BY fbeta DESC, threshold LIMIT 1", "", "threshold fbeta"))

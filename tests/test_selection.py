@@ -246,5 +246,5 @@ def test_every_symbol_is_fitted(spark):
     rows = queries["ridge_predictions_all"](spark, folder).collect()
     counts = {r.symbol: r["count"] - 1 for r in adapters.bars(spark, folder).groupBy("symbol").count().collect()}
     assert {s: sum(r.symbol == s for r in rows) for s in counts} == counts and len(counts) == 5
-    assert sorted((r.bar, r.fold, r.y, r.pred) for r in rows if r.symbol == "click") == sorted(map(tuple, queries["ridge_predictions"](spark, folder).collect()))
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, queries["ridge_predictions"](spark, folder).collect()))
     assert {r.symbol: r.n for r in queries["ridge_backtest_all"](spark, folder).collect()} == counts
