@@ -59,16 +59,17 @@ def correlation(x: Column | str, y: Column | str, w: WindowSpec | None = None) -
 
 
 def normal_cdf(z: Column) -> Column:
-    """Distribution function of the normal law: the error function by its series near zero, by its continued fraction beyond."""
+    """Distribution function of the normal law: the error function by its series near zero, by its continued fraction beyond. Both run as loops over a
+    short array, so the expression stays small."""
     x = F.abs(z) / 2**0.5
-    term, total = x, x
-    for k in range(1, 40):
-        term = -term * x * x / k
-        total = total + term / (2 * k + 1)
-    near = total * (2 / 3.141592653589793**0.5)
-    frac = F.lit(0.0)
-    for k in range(40, 0, -1):
-        frac = F.lit(k / 2) / (x + frac)
+    start = F.struct(x.alias("term"), x.alias("total"))
+
+    def further(s: Column, k: Column) -> Column:
+        term = -s["term"] * x * x / k
+        return F.struct(term.alias("term"), (s["total"] + term / (2 * k + 1)).alias("total"))
+
+    near = F.aggregate(F.sequence(F.lit(1), F.lit(39)), start, further, lambda s: s["total"]) * (2 / 3.141592653589793**0.5)
+    frac = F.aggregate(F.sequence(F.lit(40), F.lit(1)), F.lit(0.0), lambda f, k: k / 2 / (x + f))
     far = 1 - F.exp(-x * x) / (3.141592653589793**0.5) / (x + frac)
     erf = F.when(x < 2.0, near).otherwise(far)
     return F.when(z >= 0, (1 + erf) / 2).otherwise((1 - erf) / 2)

@@ -164,16 +164,28 @@ CUMULATIVE = {"pvt", "obv", "aobv", "aobv_lr", "aobv_sr"}
 
 
 class Rolling:
-    """Columns of one plan; intermediates that other windows need become columns of the frame once."""
+    """Columns of one plan. Intermediates that other windows need are made once, each level of them in one projection, so that the
+    plan is analysed a few times and not once for each column."""
 
     def __init__(self, df: DataFrame, by: list[str], on: str):
-        self.df, self.w, self.on, self.done = df, W.partitionBy(*by).orderBy(on), on, {}
-
-    def step(self, key: str, value: Column) -> Column:
-        if key not in self.done:
-            self.done[key] = f"step_{len(self.done)}"
-            self.df = self.df.withColumn(self.done[key], value)
-        return F.col(self.done[key])
+        self.df, self.w, self.on = df, W.partitionBy(*by).orderBy(on), on
+        self.names: dict[str, str] = {}
+        self.levels: list[dict[str, Column]] = []
+
+    def step(self, key: str, value: Column, level: int = 0) -> Column:
+        """An intermediate by name; ``level`` is one more than that of the intermediates it is made of."""
+        if key not in self.names:
+            self.names[key] = f"step_{len(self.names)}"
+            while len(self.levels) <= level:
+                self.levels.append({})
+            self.levels[level][self.names[key]] = value
+        return F.col(self.names[key])
+
+    def frame(self) -> DataFrame:
+        """The rows with all intermediates."""
+        for columns in self.levels:
+            self.df = self.df.withColumns(columns)
+        return self.df
 
     def lag(self, x: Column, n: int = 1) -> Column:
         return F.lag(x, n).over(self.w)
@@ -209,21 +221,22 @@ class Rolling:
             return c - lag(c, n)
         if family == "roc":
             return 100 * (c / guard(lag(c, n)) - 1)
-        if family == "cti":
-            t = step("t", F.row_number().over(self.w).cast("double"))
-            return gated(correlation(c, t, last_n(self.w, n)), c, last_n(self.w, n), n)
+        if family == "cti":  # correlation with the row's number: the slope in units of both deviations
+            return slope(c, self.w, n) * ((n * n - 1) / 12) ** 0.5 / guard(over(F.stddev_pop, c, n))
         if family == "cfo":
             b = slope(c, self.w, n)
             return 100 * (c - (over(F.avg, c, n) + b * (n - 1) / 2)) / guard(c)
-        if family == "skew":
-            frame = last_n(self.w, n)
-            return gated(sample_skew(F.count(c).over(frame), F.skewness(c).over(frame)), c, frame, n)
-        if family == "kurtosis":
-            frame = last_n(self.w, n)
-            return gated(sample_kurtosis(F.count(c).over(frame), F.kurtosis(c).over(frame)), c, frame, n)
+        if family in ("skew", "kurtosis"):
+            # moments from the frame's values: Spark's own moment aggregates update too much at each row of a sliding frame
+            values, mean = step(f"values{n}", F.collect_list(c).over(last_n(self.w, n))), step(f"mean{n}", over(F.avg, c, n))
+            moment = lambda k: step(f"moment{n}_{k}", F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - mean) ** k) / n, 1)
+            m2, count = moment(2), F.when(F.size(values) == n, F.lit(n))
+            if family == "skew":
+                return sample_skew(count, moment(3) / F.when(m2 > 0, F.pow(m2, 1.5)))
+            return sample_kurtosis(count, moment(4) / F.when(m2 > 0, m2 * m2) - 3)
         if family == "entropy":
             p = step(f"p{n}", c / guard(over(F.sum, c, n)))
-            return over(F.sum, step(f"plogp{n}", -p * F.log2(F.when(p > 0, p))), n)
+            return over(F.sum, step(f"plogp{n}", -p * F.log2(F.when(p > 0, p)), 1), n)
         if family == "decay":
             return F.greatest(c, lag(c) - 1.0 / n, F.lit(0.0))
         if family == "decreasing":
@@ -243,7 +256,7 @@ class Rolling:
         if family == "uo":
             f, m, s = a
             low, top = step("uolow", F.least(l, lag(c))), step("uotop", F.greatest(h, lag(c)))
-            bp, rng = step("bp", F.when(lag(c).isNotNull(), c - low)), step("rng", F.when(lag(c).isNotNull(), top - low))
+            bp, rng = step("bp", F.when(lag(c).isNotNull(), c - low), 1), step("rng", F.when(lag(c).isNotNull(), top - low), 1)
             part = lambda k: over(F.sum, bp, k) / guard(over(F.sum, rng, k))
             return 100 * (4 * part(f) + 2 * part(m) + part(s)) / 7
         if family == "truerange":
@@ -259,7 +272,7 @@ class Rolling:
         if family == "eom":
             n = n or 14
             mid = step("hl2", (h + l) / 2)
-            return over(F.avg, step("eom1", (mid - lag(mid)) * (h - l) * 1e8 / guard(v)), n)
+            return over(F.avg, step("eom1", (mid - lag(mid)) * (h - l) * 1e8 / guard(v), 1), n)
         if family == "pvt":
             return F.sum(step("pvt1", 100 * (c / guard(lag(c)) - 1) * v)).over(self.w.rowsBetween(W.unboundedPreceding, 0))
         if family == "obv":
@@ -273,12 +286,12 @@ class Rolling:
         if family in ("stochk", "stochd", "kdj"):
             k, d, s = a
             fast = step(f"fast{k}", 100 * (c - over(F.min, l, k)) / guard(over(F.max, h, k) - over(F.min, l, k)))
-            slow = step(f"slow{k}_{s}", over(F.avg, fast, s))
+            slow = step(f"slow{k}_{s}", over(F.avg, fast, s), 1)
             signal = over(F.avg, slow, d)
             return {"stochk": slow, "stochd": signal, "kdj": 3 * slow - 2 * signal}[family]
         if family == "mfi":
             tp = step("tp", (h + l + c) / 3)
-            up, down = step("mfup", F.when(tp > lag(tp), tp * v).otherwise(F.when(lag(tp).isNotNull(), 0.0))), step("mfdn", F.when(tp < lag(tp), tp * v).otherwise(F.when(lag(tp).isNotNull(), 0.0)))
+            up, down = step("mfup", F.when(tp > lag(tp), tp * v).otherwise(F.when(lag(tp).isNotNull(), 0.0)), 1), step("mfdn", F.when(tp < lag(tp), tp * v).otherwise(F.when(lag(tp).isNotNull(), 0.0)), 1)
             return 100 * over(F.sum, up, n) / guard(over(F.sum, up, n) + over(F.sum, down, n))
         if family == "hl_range":
             return over(F.avg, step("hlr", (h - l) / guard(F.abs(c))), n, max(1, n // 2))
@@ -317,7 +330,7 @@ def compute(bars: DataFrame, names: Iterable[str], by: list[str], on: str, shift
         rows = rows.groupBy(*keys).applyInPandas(run, schema)
     rolling = Rolling(rows, keys, on)
     built = {name: F.col(f"`{name}`") if name in recursive else rolling.build(*parsed[name]) for name in plan}
-    out = rolling.df.select(*by, on, *(["chunk", "own"] if chunk else []), *[clean(c).alias(name) for name, c in built.items()])
+    out = rolling.frame().select(*by, on, *(["chunk", "own"] if chunk else []), *[clean(c).alias(name) for name, c in built.items()])
     if shift:
         w = W.partitionBy(*keys).orderBy(on)
         out = out.select(*[c for c in out.columns if c not in plan], *[F.lag(F.col(f"`{n}`"), shift).over(w).alias(n) for n in plan])

@@ -120,17 +120,42 @@ def full_grid_1h(spark, sf_dir):
     return rounded(B.full_grid(bars(spark, sf_dir).select("symbol", "bar", "trades", "close"), "1h", ("trades",)))
 
 
-BOOK = """SELECT symbol, bar, bids[1].price AS best_bid, asks[1].price AS best_ask, asks[1].price - bids[1].price AS spread, (asks[1].price + bids[1].price) / 2 AS mid,
- (bids[1].qty - asks[1].qty) / (bids[1].qty + asks[1].qty) AS imbalance_l1, (asks[1].price * bids[1].qty + bids[1].price * asks[1].qty) / (bids[1].qty + asks[1].qty) AS microprice,
- coalesce(list_sum([x.qty FOR x IN bids IF x.price >= (asks[1].price + bids[1].price) / 2 * (1 - 50 / 1e4)]), 0) AS depth_bid_50, coalesce(list_sum([x.qty FOR x IN asks IF x.price <= (asks[1].price + bids[1].price) / 2 * (1 + 50 / 1e4)]), 0) AS depth_ask_50,
- coalesce(list_sum([x.qty FOR x IN bids IF ((asks[1].price + bids[1].price) / 2 - x.price) / ((asks[1].price + bids[1].price) / 2) * 1e4 >= 25 AND ((asks[1].price + bids[1].price) / 2 - x.price) / ((asks[1].price + bids[1].price) / 2) * 1e4 <= 50]), 0) AS bin_bid_25_50,
- bids[1].price >= asks[1].price AS flag_crossed, false AS flag_bad_sorting FROM books"""
-
-
-@query("book_features", sql(BOOKS_SQL, BOOK, "symbol bar flag_crossed flag_bad_sorting", "best_bid best_ask spread mid imbalance_l1 microprice depth_bid_50 depth_ask_50 bin_bid_25_50"))
+def _book_sql() -> tuple[str, str, str]:
+    """The features of a snapshot in SQL, with the names of its plain and its rounded columns."""
+    mid = "((asks[1].price + bids[1].price) / 2)"
+    out = {
+        "best_bid": "bids[1].price", "best_bid_qty": "bids[1].qty", "best_ask": "asks[1].price", "best_ask_qty": "asks[1].qty", "spread": "asks[1].price - bids[1].price", "mid": mid,
+        "imbalance_l1": "CASE WHEN bids[1].qty + asks[1].qty = 0 THEN 0 ELSE (bids[1].qty - asks[1].qty) / (bids[1].qty + asks[1].qty) END",
+        "microprice": "CASE WHEN bids[1].qty + asks[1].qty > 0 THEN (asks[1].price * bids[1].qty + bids[1].price * asks[1].qty) / (bids[1].qty + asks[1].qty) END",
+    }
+    total = lambda side, keep: f"CASE WHEN {mid} > 0 THEN coalesce(list_sum([x.qty FOR x IN {side}s IF {keep}]), 0) ELSE 0 END"
+    for b in K.DEPTHS:
+        out[f"depth_bid_{b}"], out[f"depth_ask_{b}"] = total("bid", f"x.price >= {mid} * (1 - {b} / 1e4)"), total("ask", f"x.price <= {mid} * (1 + {b} / 1e4)")
+    for low, high in K.BINS:
+        upper = "<=" if high == K.BINS[-1][1] else "<"
+        for side, distance in (("bid", f"({mid} - x.price) / {mid} * 1e4"), ("ask", f"(x.price - {mid}) / {mid} * 1e4")):
+            out[f"bin_{side}_{low}_{high}"] = total(side, f"{distance} >= {low} AND {distance} {upper} {high}")
+    flags = {
+        "flag_crossed": "bids[1].price >= asks[1].price", "flag_low_depth": "len(b) + len(a) < 20",
+        "flag_bad_sorting": "[x.price FOR x IN bids] <> list_reverse_sort([x.price FOR x IN bids]) OR [x.price FOR x IN asks] <> list_sort([x.price FOR x IN asks])",
+        "flag_nonpositive_qty": "len([x FOR x IN bids IF x.qty <= 0]) > 0 OR len([x FOR x IN asks IF x.qty <= 0]) > 0",
+    }
+    # some snapshots come with their bids the wrong way round, crossed, and with a quantity that is not positive
+    source = """(SELECT symbol, bar, a, b, CASE WHEN bar // 3600000 % 7 = 3 THEN list_reverse(bids) ELSE bids END AS bids, [struct_pack(price := CASE WHEN bar // 3600000 % 11 = 5 THEN x.price - 60 ELSE x.price END, qty := CASE WHEN bar // 3600000 % 13 = 1 THEN x.qty - 20 ELSE x.qty END) FOR x IN asks] AS asks
+ FROM (SELECT symbol, bar, bids, asks, bids AS b, asks AS a FROM books))"""
+    both = out | flags
+    return f"SELECT symbol, bar, {', '.join(f'{v} AS {k}' for k, v in both.items())} FROM {source}", " ".join(["symbol bar", *flags]), " ".join(out)
+
+
+@query("book_features", sql(BOOKS_SQL, *_book_sql()))
 def book_features(spark, sf_dir):
-    out = K.book_features(books(spark, sf_dir), "symbol", "bar")
-    return rounded(out.select("symbol", "bar", "best_bid", "best_ask", "spread", "mid", "imbalance_l1", "microprice", "depth_bid_50", "depth_ask_50", "bin_bid_25_50", "flag_crossed", "flag_bad_sorting"))
+    h = F.floor(F.col("bar") / HOUR)
+    odd = books(spark, sf_dir).withColumns({
+        "bids": F.when(h % 7 == 3, F.reverse("bids")).otherwise(F.col("bids")),
+        "asks": F.transform("asks", lambda x: F.struct(F.when(h % 11 == 5, x.price - 60).otherwise(x.price).alias("price"), F.when(h % 13 == 1, x.qty - 20).otherwise(x.qty).alias("qty"))),
+    })
+    quality = lambda: K.book_quality(20)
+    return rounded(K.book_features(odd, "symbol", "bar", calculators=(K.top_of_book, K.depth_within, K.distance_bins, quality)))
 
 
 DIFFS = TAPE_SQL + ", diffs AS (SELECT symbol, CASE WHEN is_buyer_maker THEN 'bid' ELSE 'ask' END AS side, floor(price) AS price, CASE WHEN qty <= 10 THEN 0 ELSE qty END AS qty, seq FROM tape)"

@@ -73,6 +73,39 @@ def indicators_all(spark, sf_dir):
     return rounded(I.compute(bars(spark, sf_dir), I.DEFAULT_PLAN, ["symbol"], "bar", shift=1))
 
 
+_FRAMES = "WINDOW w AS (PARTITION BY symbol ORDER BY bar), " + ", ".join(f"w{n} AS (PARTITION BY symbol ORDER BY bar ROWS {n - 1} PRECEDING)" for n in (3, 9, 10, 12, 14, 30))
+SHAPE_PLAN = ("cti_12", "cfo_9", "skew_30", "kurtosis_30", "entropy_10", "cci_14", "eom_14", "mfi_14", "stochd_14_3_3", "kdj_9_3_3", "pvt", "pxv_lr_vchg", "dirxvol")
+SHAPE_CTES = BARS_SQL + f""",
+j1 AS (SELECT *, row_number() OVER w AS i, lag(close) OVER w AS pc, lag(volume) OVER w AS pv, (high + low + close) / 3 AS tp, (high + low) / 2 AS mid, CASE WHEN count(*) OVER w10 = 10 THEN close / nullif(sum(close) OVER w10, 0) END AS p10,
+  CASE WHEN count(*) OVER w14 = 14 THEN 100 * (close - min(low) OVER w14) / nullif(max(high) OVER w14 - min(low) OVER w14, 0) END AS f14, CASE WHEN count(*) OVER w9 = 9 THEN 100 * (close - min(low) OVER w9) / nullif(max(high) OVER w9 - min(low) OVER w9, 0) END AS f9 FROM bars {_FRAMES}),
+j2 AS (SELECT *, CASE WHEN p10 > 0 THEN -p10 * log2(p10) END AS pl, lag(tp) OVER w AS ptp, lag(mid) OVER w AS pmid, CASE WHEN count(f14) OVER w3 = 3 THEN avg(f14) OVER w3 END AS s14, CASE WHEN count(f9) OVER w3 = 3 THEN avg(f9) OVER w3 END AS s9, list(tp) OVER w14 AS tps, avg(tp) OVER w14 AS tpm FROM j1 {_FRAMES}),
+j3 AS (SELECT *, CASE WHEN ptp IS NOT NULL THEN CASE WHEN tp > ptp THEN tp * volume ELSE 0 END END AS up, CASE WHEN ptp IS NOT NULL THEN CASE WHEN tp < ptp THEN tp * volume ELSE 0 END END AS dn, (mid - pmid) * (high - low) * 1e8 / nullif(volume, 0) AS e1, CASE WHEN count(s14) OVER w3 = 3 THEN avg(s14) OVER w3 END AS d14, CASE WHEN count(s9) OVER w3 = 3 THEN avg(s9) OVER w3 END AS d9 FROM j2 {_FRAMES})"""
+
+
+@query("indicators_shape", sql(SHAPE_CTES, f"""SELECT symbol, bar, CASE WHEN i >= 12 AND stddev_pop(close) OVER w12 > 0 THEN corr(close, i) OVER w12 END AS cti_12, CASE WHEN i >= 9 THEN 100 * (close - (avg(close) OVER w9 + 4 * regr_slope(close, i) OVER w9)) / nullif(close, 0) END AS cfo_9,
+ CASE WHEN i >= 30 THEN skewness(close) OVER w30 END AS skew_30, CASE WHEN i >= 30 THEN kurtosis(close) OVER w30 END AS kurtosis_30, CASE WHEN count(pl) OVER w10 = 10 THEN sum(pl) OVER w10 END AS entropy_10,
+ CASE WHEN i >= 14 THEN (tp - tpm) / nullif(0.015 * list_avg([abs(x - tpm) FOR x IN tps]), 0) END AS cci_14, CASE WHEN count(e1) OVER w14 = 14 THEN avg(e1) OVER w14 END / 1e8 AS eom_14, CASE WHEN count(up) OVER w14 = 14 THEN 100 * sum(up) OVER w14 / nullif(sum(up) OVER w14 + sum(dn) OVER w14, 0) END AS mfi_14,
+ d14 AS stochd_14_3_3, 3 * s9 - 2 * d9 AS kdj_9_3_3, sum(100 * (close / nullif(pc, 0) - 1) * volume) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) / 1e6 AS pvt,
+ CASE WHEN close / nullif(pc, 0) > 0 THEN ln(CASE WHEN close / nullif(pc, 0) > 0 THEN close / pc END) * greatest(least(volume / nullif(pv, 0) - 1, 1), -1) END AS pxv_lr_vchg, (close - open) / greatest(high - low, 1e-9) * volume AS dirxvol FROM j3 {_FRAMES}""", "symbol bar", " ".join(SHAPE_PLAN)))
+def indicators_shape(spark, sf_dir):
+    out = I.compute(bars(spark, sf_dir), SHAPE_PLAN, ["symbol"], "bar")
+    return rounded(out.withColumns({"eom_14": F.col("eom_14") / 1e8, "pvt": F.col("pvt") / 1e6}))  # large values in other units, as digits after the point are compared
+
+
+# Wilder means, seeded by the mean of the first 14 values (rows 2-15): the weights of all later values by a self-join
+WILDER_CTES = BARS_SQL + """,
+g1 AS (SELECT *, row_number() OVER w AS i, close - lag(close) OVER w AS ch, CASE WHEN lag(close) OVER w IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) END AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar)),
+g2 AS (SELECT symbol, avg(greatest(ch, 0)) AS u0, avg(greatest(-ch, 0)) AS d0, avg(tr) AS t0 FROM g1 WHERE i BETWEEN 2 AND 15 GROUP BY symbol),
+g3 AS (SELECT a.symbol, a.i, sum(CASE WHEN b.i > 15 THEN pow(13 / 14.0, a.i - b.i) / 14 * greatest(b.ch, 0) ELSE 0 END) AS u, sum(CASE WHEN b.i > 15 THEN pow(13 / 14.0, a.i - b.i) / 14 * greatest(-b.ch, 0) ELSE 0 END) AS d, sum(CASE WHEN b.i > 15 THEN pow(13 / 14.0, a.i - b.i) / 14 * b.tr ELSE 0 END) AS t
+ FROM g1 a JOIN g1 b ON a.symbol = b.symbol AND b.i <= a.i AND b.i >= 15 WHERE a.i >= 15 GROUP BY ALL),
+g4 AS (SELECT symbol, i, u + pow(13 / 14.0, i - 15) * u0 AS u, d + pow(13 / 14.0, i - 15) * d0 AS d, t + pow(13 / 14.0, i - 15) * t0 AS t FROM g3 JOIN g2 USING (symbol))"""
+
+
+@query("indicators_wilder", sql(WILDER_CTES, "SELECT symbol, bar, 100 * u / nullif(u + d, 0) AS rsi_14, 100 * (u - d) / nullif(u + d, 0) AS cmo_14, t AS atr_14, t / nullif(abs(close), 0) AS atrp_14 FROM g1 LEFT JOIN g4 USING (symbol, i)", "symbol bar", "rsi_14 cmo_14 atr_14 atrp_14"))
+def indicators_wilder(spark, sf_dir):
+    return rounded(I.compute(bars(spark, sf_dir), ["rsi_14", "cmo_14", "atr_14", "atrp_14"], ["symbol"], "bar"))
+
+
 # ---------------------------------------------------------------- labels
 
 
