@@ -156,11 +156,6 @@ def decile_returns(df: DataFrame, by: list[str], rank: str, ret: str, per_year:
     return df.where(F.col(rank).isNotNull() & F.col(ret).isNotNull()).groupBy(*by).agg((F.avg(side) * per_year).alias("yearly"), F.count_if(F.col(rank) >= 0.8).alias("longs"), F.count_if(F.col(rank) <= 0.2).alias("shorts"))
 
 
-def three_way(p: Column, band: Column) -> Column:
-    """2, 0 or 1: beyond the band above, below, or inside it."""
-    return F.when(p > band, 2).when(p < -band, 0).otherwise(1)
-
-
 def side_of(x: Column) -> Column:
     """1 or -1 from numbers or words for long and short; null for anything else."""
     word, number = F.lower(F.trim(x.cast("string"))), x.cast("string").try_cast("double")

@@ -192,10 +192,62 @@ def vote(long: DataFrame, by: list[str], probs: list[str]) -> DataFrame:
     return v.select(*by, "votes_total", "hard", (F.array_position(mean, F.array_max(mean)) - 1).cast("int").alias("soft"), (F.col("`mean 1`") - F.col("`mean 0`")).alias("margin"))
 
 
-def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p") -> DataFrame:
+def redundancy(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(pairs, mean_abs_rho): the mean absolute Spearman correlation of all pairs of columns."""
+    ranks = df.select(*[average_rank(F.col(c)).alias(c) for c in columns])
+    return pair_products(ranks, columns).agg(F.count("r").alias("pairs"), F.avg(F.abs("r")).alias("mean_abs_rho"))
+
+
+def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", huber: float = 1.0) -> DataFrame:
+    """Mean squared, root, absolute and Huber loss (of width ``huber``) and both correlations."""
     e = F.col(y) - F.col(p)
     ranked = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumns({"ry": average_rank(F.col(y), *by), "rp": average_rank(F.col(p), *by)})
-    return ranked.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), correlation(y, p).alias("pearson"), correlation("ry", "rp").alias("spearman"))
+    loss = F.when(F.abs(e) <= huber, e * e / 2).otherwise(huber * (F.abs(e) - huber / 2))
+    return ranked.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(loss).alias("huber"), correlation(y, p).alias("pearson"), correlation("ry", "rp").alias("spearman"))
+
+
+def recent_objective(df: DataFrame, by: list[str], on: str, y: str = "y", p: str = "p", decay: float = 0.9, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
+    """(by, ema_mse, pearson, objective): squared errors with weights that fade by ``decay`` a row from the last one back, and alpha * ema_mse + beta * (1 - pearson).
+
+    Weights need only the rows counted from the end, where they are not yet nothing."""
+    back = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(on))) - 1
+    w = F.pow(F.lit(decay), F.col("rows back"))
+    e = F.col(p) - F.col(y)
+    out = df.withColumn("rows back", back).groupBy(*by).agg((F.sum(w * e * e) / F.sum(w)).alias("ema_mse"), correlation(y, p).alias("pearson"))
+    return out.withColumn("objective", alpha * F.col("ema_mse") + beta * (1 - F.coalesce("pearson", F.lit(0.0))))
+
+
+def three_way(x: Column, band: Column | float) -> Column:
+    """2 above the band, 0 below it, 1 within; null for null."""
+    band = F.lit(band) if isinstance(band, float) else band
+    return F.when(x > band, 2).when(x < -band, 0).when(x.isNotNull(), 1)
+
+
+def class_bands(df: DataFrame, y: str = "y", p: str = "p", flat: float = 0.4, beta: float = 0.5, steps: int = 201) -> DataFrame:
+    """(true_band, pred_band, score): bands that turn a regression into three classes.
+
+    The band of the truth holds the share ``flat`` of all rows. The one of the prediction is, of the quantiles 0.05 to 0.95 of its size in ``steps`` steps, the first with the best
+    macro F-beta: rows are counted by the step they fall into and their class, once, and all bands follow from sums of those counts.
+    """
+    shares = [0.05 + 0.9 * k / (steps - 1) for k in range(steps)]
+    cut = df.agg(F.percentile(F.abs(y), F.lit(flat)).alias("true_band"), F.percentile(F.abs(p), shares).alias("bands"))  # one row
+    held = F.broadcast(cut)
+    rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).crossJoin(held)
+    # a band k calls a row flat if the row's size is at most the band: from step ``at`` on
+    at = F.size(F.filter("bands", lambda b: b < F.abs(p)))
+    counts = rows.select(three_way(F.col(y), F.col("true_band")).alias("y"), F.when(F.col(p) > 0, 2).otherwise(0).alias("side"), at.alias("at")).groupBy("y", "side", "at").agg(F.count(F.lit(1)).alias("n"))
+    grid = df.sparkSession.range(steps).select(F.col("id").cast("int").alias("k"))
+    said = grid.crossJoin(F.broadcast(counts)).select("k", "y", F.when(F.col("at") > F.col("k"), F.col("side")).otherwise(1).alias("c"), "n")  # steps times six counts a step
+    parts = []
+    for c in (0, 1, 2):
+        hit = F.sum(F.when((F.col("y") == c) & (F.col("c") == c), F.col("n")).otherwise(0))
+        is_y, is_c = F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0)), F.sum(F.when(F.col("c") == c, F.col("n")).otherwise(0))
+        parts.append((hit, is_y, is_c))
+    scored = said.groupBy("k").agg(*[x.alias(f"v{c}_{j}") for c, part in enumerate(parts) for j, x in enumerate(part)])
+    f = lambda c: F.coalesce(ratio((1 + beta**2) * F.col(f"v{c}_0"), beta**2 * F.col(f"v{c}_1") + F.col(f"v{c}_2")), F.lit(0.0))
+    seen = sum((F.col(f"v{c}_1") + F.col(f"v{c}_2") > 0).cast("int") for c in range(3))
+    best = scored.select("k", ((f(0) + f(1) + f(2)) / seen).alias("score")).orderBy(F.desc(F.round("score", 12)), "k").limit(1)
+    return best.crossJoin(held).select("true_band", F.get("bands", F.col("k")).alias("pred_band"), "score")
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:

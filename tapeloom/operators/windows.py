@@ -161,6 +161,56 @@ def expanding_quantile(x: Column, w: WindowSpec, q: float, least: int) -> Column
     return gated(F.percentile(x, F.lit(q)).over(past), x, past, least)
 
 
+def exponential_mean(df: DataFrame, by: list[str], on: str, x: str, alpha: float, cell: int = DAYS_30, name: str = "ewm", chunk: int | None = None) -> DataFrame:
+    """Add y of y_0 = x_0, y_t = (1 - alpha) * y_(t-1) + alpha * x_t over the rows of each series with a value; the others are left out.
+
+    The recurrence is linear, so a series is cut into chunks of rows: within a chunk y is a weighted sum (one window), and what a chunk takes over from those before
+    it fades with known weights, so the last few chunks' sums give it to a double's precision. No task holds a series, and values equal those of one pass.
+    """
+    fade = -math.log(1 - alpha)
+    size = chunk or max(1, int(min(600 / fade, max(4096, 0.1 / fade))))
+    back = max(1, math.ceil(40 / (fade * size)))  # what is older weighs less than 4e-18
+    rows = positions(df.where(F.col(x).isNotNull()), by, on, cell).withColumns({"ewm chunk": F.floor(F.col("i") / size), "ewm at": F.col("i") % size})
+    at = F.col("`ewm at`")
+    term = F.col(x) * F.when(F.col("i") == 0, 1.0).otherwise(alpha) * F.exp(fade * at)
+    rows = rows.withColumn("ewm term", term)
+    sums = rows.groupBy(*by, "ewm chunk").agg((F.sum("`ewm term`") * math.exp(-fade * (size - 1))).alias("own"))
+    before = W.partitionBy(*by).orderBy("ewm chunk").rowsBetween(-back, -1)  # a row for each chunk
+    taken = F.aggregate(F.collect_list("own").over(before), F.lit(0.0), lambda y, b: y * math.exp(-fade * size) + b)
+    rows = rows.join(sums.select(*by, "ewm chunk", taken.alias("ewm taken")), [*by, "ewm chunk"])
+    here = F.sum("`ewm term`").over(W.partitionBy(*by, "ewm chunk").orderBy("i").rowsBetween(W.unboundedPreceding, 0)) * F.exp(-fade * at)
+    return rows.withColumn(name, here + F.exp(-fade * (at + 1)) * F.col("`ewm taken`")).select(*df.columns, "i", name)
+
+
+def reduced(df: DataFrame, by: list[str], on: str, x: str, kind: str, n: int, q: float = 0.8, half_life: float | None = None) -> DataFrame:
+    """(by, on, value): a window's summary at each row: ``last``, ``sma``, ``zscore``, ``slope``, ``percentile`` (of the last n rows), ``ema``, ``ewm_zscore`` (half-life n // 2,
+    2 at least). Null before max(3, n // 4) values, for slopes before max(5, n // 3). Rows without a value have none in the exponential forms."""
+    least = max(5, n // 3) if kind == "slope" else max(3, n // 4)
+    c, w = F.col(x), series(by, on)
+    r = last_n(w, n)
+    if kind in ("ema", "ewm_zscore"):
+        alpha = 1 - math.exp(-math.log(2) / (half_life or max(2, n // 2)))
+        out = exponential_mean(df.select(*by, on, x), by, on, x, alpha, name="mean")
+        if kind == "ema":
+            return out.select(*by, on, F.when(F.col("i") >= least - 1, F.col("mean")).alias("value"))
+        # deviations about each series' first value lose fewer digits
+        first = df.groupBy(*by).agg(F.min_by(x, F.when(c.isNotNull(), F.col(on))).alias("first"))
+        moved = df.select(*by, on, x).join(first, by).withColumn("d", F.col(x) - F.col("first")).withColumn("d2", F.col("d") * F.col("d"))
+        m1, m2 = (exponential_mean(moved.select(*by, on, k), by, on, k, alpha, name=f"m_{k}").drop("i", k) for k in ("d", "d2"))
+        keep = (1 - alpha) ** 2
+        weights = F.pow(F.lit(keep), F.col("i")) + alpha**2 * (1 - F.pow(F.lit(keep), F.col("i"))) / (1 - keep)  # sum of squared weights
+        sd = F.sqrt(F.greatest(F.col("m_d2") - F.col("m_d") * F.col("m_d"), F.lit(0.0)) / F.when(weights < 1, 1 - weights))
+        both = out.join(m1, [*by, on]).join(m2, [*by, on])
+        return both.select(*by, on, F.when(F.col("i") >= least - 1, (F.col(x) - F.col("mean")) / (sd + EPS)).alias("value"))
+    row = F.row_number().over(w).cast("double")
+    if kind == "slope":
+        df = df.withColumn("row at", row)
+        value = F.regr_slope(c, F.col("`row at`")).over(r)
+    else:
+        value = {"last": lambda: c, "sma": lambda: F.avg(c).over(r), "zscore": lambda: (c - F.avg(c).over(r)) / (F.stddev_pop(c).over(r) + EPS), "percentile": lambda: F.percentile(c, F.lit(q)).over(r)}[kind]()
+    return df.select(*by, on, (c if kind == "last" else gated(value, c, r, least)).alias("value"))
+
+
 def decay_linear(x: Column, w: WindowSpec, n: int) -> Column:
     """Weighted mean of the last n values, the newest heaviest."""
     total = n * (n + 1) / 2

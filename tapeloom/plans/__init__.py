@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import market, reports, research
+from . import extras, market, reports, research
 
 
 def queries() -> dict:
-    return market.QUERIES | research.QUERIES | reports.QUERIES
+    return market.QUERIES | research.QUERIES | reports.QUERIES | extras.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return market.SQL | research.SQL | reports.SQL
+    return market.SQL | research.SQL | reports.SQL | extras.SQL

@@ -9,6 +9,7 @@ from ..operators import joins as J
 from ..operators import levels as X
 from ..operators import search as G
 from ..operators import selection as P
+from ..operators import tables as T
 from ..operators import windows as N
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
 from .research import BARRIER, CLUSTERS, _barrier, _clusters, _pairs
@@ -86,13 +87,8 @@ def msm_distances(spark, sf_dir):
 def slow_series_merge(spark, sf_dir):
     """A daily series spread over the hours until the next value: the spine is made of the days alone, then an equi-join."""
     t = tape(spark, sf_dir)
-    daily = t.where("floor(ts_ms / 86400000) % 3 <> 0").groupBy((F.floor(F.col("ts_ms") / 86_400_000) * 86_400_000).alias("day")).agg(F.avg("price").alias("fng"))
-    b = bars(spark, sf_dir)
-    w = W.orderBy("day")  # a row for each day
-    span = daily.withColumn("until", F.coalesce(F.lead("day").over(w) - 86_400_000, F.lit(2_000_000_000_000 // 86_400_000 * 86_400_000)))
-    last = b.agg(F.max("bar").alias("last"))
-    spine = span.crossJoin(F.broadcast(last)).where("day <= last").select("fng", F.explode(F.sequence("day", F.greatest(F.least("until", "last"), "day"), F.lit(86_400_000).cast("long"))).alias("day"))
-    return rounded(b.withColumn("day", F.floor(F.col("bar") / 86_400_000) * 86_400_000).join(spine, "day", "left").select("symbol", "bar", "fng"))
+    daily = t.where("floor(ts_ms / 86400000) % 3 <> 0").groupBy((F.floor(F.col("ts_ms") / 86_400_000) * 86_400_000).alias("bar")).agg(F.avg("price").alias("fng"))
+    return rounded(T.spread_slow(bars(spark, sf_dir).select("symbol", "bar"), daily, "bar", "fng").select("symbol", "bar", "fng"))
 
 
 EVENTS = BARS_SQL + """, ev AS (SELECT symbol, ts_ms // 3600000 * 3600000 AS t0, ts_ms, CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS side, CASE WHEN seq % 5 > 0 THEN (seq % 4 // 2)::INT END AS label, ts_ms // 3600000 * 3600000 + seq % 7 * 3600000 AS t1 FROM tape),
@@ -160,27 +156,22 @@ def lookup_chain(spark, sf_dir):
 def set_operations(spark, sf_dir):
     t = tape(spark, sf_dir)
     a, b = (t.where(f"symbol = '{s}' and qty > 90").select("user_id").distinct() for s in ("click", "view"))
-    count = lambda df, op: df.agg(F.lit(op).alias("op"), F.count(F.lit(1)).alias("n"))
-    return count(a.union(b).distinct(), "union").union(count(a.intersect(b), "intersect")).union(count(a.subtract(b), "except"))
+    return T.set_counts({"union": a.union(b).distinct(), "intersect": a.intersect(b), "except": a.subtract(b)})
 
 
 @query("grid_pivot", sql("g AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS q FROM lineitem GROUP BY ALL)", "SELECT l_returnflag, max(q) FILTER (l_linestatus = 'F') AS \"F\", max(q) FILTER (l_linestatus = 'O') AS \"O\" FROM g GROUP BY l_returnflag", "l_returnflag", "F O"))
 def grid_pivot(spark, sf_dir):
-    return rounded(table(spark, sf_dir, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_quantity")))
+    return rounded(T.grid_pivot(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], "l_quantity"))
 
 
 @query("label_counts", "SELECT v.label, coalesce(n, 0) AS n FROM (VALUES (0), (1), (2)) v(label) LEFT JOIN (SELECT quality AS label, count(*) AS n FROM labels GROUP BY 1) USING (label)")
 def label_counts(spark, sf_dir):
-    domain = spark.createDataFrame([(0,), (1,), (2,)], "label int")
-    n = table(spark, sf_dir, "labels").groupBy(F.col("quality").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-    return domain.join(n, "label", "left").fillna(0, ["n"])
+    return T.label_counts(table(spark, sf_dir, "labels"), "quality", (0, 1, 2))
 
 
 @query("top_k_pairs", sql(CLUSTERS, "SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY d, b) AS k FROM bo) WHERE k <= 2", "a b", ""))
 def top_k_pairs(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
-    both = p.select("a", "b", "d").union(p.select("b", "a", "d"))
-    return both.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy("d", "b"))).where("k <= 2").select("a", "b")
+    return T.nearest(_pairs(spark, sf_dir), 2)
 
 
 @query("top_k_pairs_all", SQL["top_k_pairs"])
@@ -198,8 +189,7 @@ def fold_summary(spark, sf_dir):
     rows = b.join(base, "bar").withColumn("i", F.col("base") + F.row_number().over(W.partitionBy("bar").orderBy("symbol")) - 1).crossJoin(total)
     size, extra = F.floor(F.col("total") / 5), F.col("total") % 5
     fold = F.when(F.col("i") < extra * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(extra + F.floor((F.col("i") - extra * (size + 1)) / size))
-    m = rows.withColumn("fold", fold).groupBy("symbol", "fold").agg(F.avg("close").alias("x"))
-    return rounded(m.groupBy("symbol").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")))
+    return rounded(T.fold_summary(rows.withColumn("fold", fold), ["symbol"], "fold", "close"))
 
 
 RIDGE = BARS_SQL + """,

@@ -378,7 +378,7 @@ def ensemble_vote(spark, sf_dir):
 
 
 @query("regression_metrics", sql(TAPE_SQL + ", z AS (SELECT symbol, price AS y, qty AS p, rank() OVER (PARTITION BY symbol ORDER BY price) + (count(*) OVER (PARTITION BY symbol, price) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY symbol ORDER BY qty) + (count(*) OVER (PARTITION BY symbol, qty) - 1) / 2.0 AS rp FROM tape)",
-    "SELECT symbol, avg((y - p) * (y - p)) AS mse, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, corr(y, p) AS pearson, corr(ry, rp) AS spearman FROM z GROUP BY symbol", "symbol", "mse rmse mae pearson spearman"))
+    "SELECT symbol, avg((y - p) * (y - p)) AS mse, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae, avg(CASE WHEN abs(y - p) <= 1 THEN (y - p) * (y - p) / 2 ELSE abs(y - p) - 0.5 END) AS huber, corr(y, p) AS pearson, corr(ry, rp) AS spearman FROM z GROUP BY symbol", "symbol", "mse rmse mae huber pearson spearman"))
 def regression_metrics(spark, sf_dir):
     return rounded(S.regression_metrics(tape(spark, sf_dir).select("symbol", F.col("price").alias("y"), F.col("qty").alias("p")), ["symbol"]))
 

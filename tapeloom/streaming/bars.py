@@ -9,36 +9,99 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-BAR = "symbol string, bar long, trade_count long, trade_volume double, trade_notional double, first_price double, last_price double, high_price double, low_price double, late_trade_count long"
-STATE = "bar long, trade_count long, trade_volume double, trade_notional double, first_price double, last_price double, high_price double, low_price double, late_trade_count long"
-
-
-def bars_on_arrival(tape: DataFrame, width_ms: int = 60_000, on: str = "ts_ms") -> DataFrame:
-    """Bars of a stream (symbol, seq, ts_ms, price, qty): a bar is emitted when a later bar's trade arrives. A trade of an older bar
-    is dropped and counted with the bar then open; trades without a time are dropped. The state is one bar for each symbol."""
+from ..functions.numeric import EPS
+
+#: What a bar holds while it is open, by name and type.
+FIELDS = {
+    "bar": "long", "trade_count": "long", "trade_volume": "double", "trade_notional": "double", "buy_volume": "double", "sell_volume": "double", "buy_notional": "double", "sell_notional": "double",
+    "first_price": "double", "last_price": "double", "high_price": "double", "low_price": "double", "has_nonpositive_qty": "boolean", "has_nonpositive_price": "boolean", "out_of_order": "boolean",
+    "missing_ts": "boolean", "late_trade_count": "long", "last_recv_ms": "long",
+}
+STATE = ", ".join(f"{k} {v}" for k, v in FIELDS.items()) + ", last_ts long"
+_TRADE = {"fallback_ms": "long", "recv_ms": "long", "is_buyer_maker": "boolean"}
+
+
+class OpenBar(dict):
+    """The open bar of a symbol; trades are taken in one by one."""
+
+    @classmethod
+    def at(cls, bar: int, price: float) -> "OpenBar":
+        own = cls({k: {"long": 0, "double": 0.0, "boolean": False}[v] for k, v in FIELDS.items()})
+        own.update(bar=bar, first_price=price, last_price=price, high_price=price, low_price=price, last_recv_ms=None, last_ts=None)
+        return own
+
+    def take(self, ts: int | None, price: float, qty: float, sells: bool, recv: int | None) -> None:
+        """``ts`` is the trade's own time, None if a fallback was used."""
+        self["trade_count"] += 1
+        self["trade_volume"] += qty
+        self["trade_notional"] += price * qty
+        side = "sell" if sells else "buy"
+        self[f"{side}_volume"] += qty
+        self[f"{side}_notional"] += price * qty
+        self.update(last_price=price, high_price=max(self["high_price"], price), low_price=min(self["low_price"], price))
+        self["has_nonpositive_qty"] |= qty <= 0
+        self["has_nonpositive_price"] |= price <= 0
+        if ts is None:
+            self["missing_ts"] = True
+        else:
+            self["out_of_order"] |= self["last_ts"] is not None and ts < self["last_ts"]
+            self["last_ts"] = ts
+        if recv is not None:
+            self["last_recv_ms"] = recv if self["last_recv_ms"] is None else max(self["last_recv_ms"], recv)
+
+
+def bars_on_arrival(tape: DataFrame, width_ms: int = 60_000, on: str = "ts_ms", flush_after_ms: int | None = None) -> DataFrame:
+    """Bars of a stream (symbol, seq, ts_ms, price, qty; fallback_ms, recv_ms and is_buyer_maker if there) with the columns of ``trade_bars``: a bar is emitted when a
+    trade of a later bar arrives. A trade of an older bar is dropped and counted with the bar then open; one without any time only marks it. With ``flush_after_ms`` a bar
+    is also emitted when its symbol has been silent so long; a later trade may then open an older bar again.
+
+    The state is one bar for each symbol. The trades of a symbol in one micro-batch are sorted by seq together, so the batch's size bounds the memory.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
+        held = None
+        if state.exists:
+            held = OpenBar(zip([*FIELDS, "last_ts"], state.get))
         done = []
-        for frame in frames:
-            for ts, price, qty in frame.sort_values("seq")[[on, "price", "qty"]].itertuples(index=False):
-                if not ts or ts <= 0:
+        if state.hasTimedOut:
+            state.remove()
+            done, held = [held] if held else [], None
+        else:
+            whole = pd.concat(list(frames)).sort_values("seq", kind="stable")
+            for ts, fallback, recv, price, qty, sells in whole[[on, "fallback_ms", "recv_ms", "price", "qty", "is_buyer_maker"]].astype(object).itertuples(index=False):
+                own = int(ts) if not pd.isna(ts) and ts > 0 else None
+                time = own if own is not None else 0 if pd.isna(fallback) else int(fallback)
+                if time <= 0:
+                    if held:
+                        held["missing_ts"] = True
                     continue
-                bar = int(ts // width_ms * width_ms)
-                if held and bar < held[0]:
-                    held[8] += 1
+                bar = time // width_ms * width_ms
+                if held and bar < held["bar"]:
+                    held["late_trade_count"] += 1
+                    held["out_of_order"] = True
+                    held["missing_ts"] |= own is None
                     continue
-                if held and bar > held[0]:
-                    done.append((key[0], *held))
+                if held and bar > held["bar"]:
+                    done.append(held)
                     held = None
                 if held is None:
-                    held = [bar, 0, 0.0, 0.0, float(price), float(price), float(price), float(price), 0]
-                held[1:8] = [held[1] + 1, held[2] + qty, held[3] + price * qty, held[4], float(price), max(held[6], price), min(held[7], price)]
-        if held:
-            state.update(tuple(held))
-        yield pd.DataFrame(done, columns=["symbol", "bar", "trade_count", "trade_volume", "trade_notional", "first_price", "last_price", "high_price", "low_price", "late_trade_count"])
-
-    return tape.select("symbol", "seq", on, "price", "qty").groupBy("symbol").applyInPandasWithState(run, BAR, STATE, "append", GroupStateTimeout.NoTimeout)
+                    held = OpenBar.at(bar, float(price))
+                held.take(own, float(price), float(qty), bool(sells) and not pd.isna(sells), None if pd.isna(recv) else int(recv))
+            if held:
+                state.update(tuple(held[k] for k in [*FIELDS, "last_ts"]))
+                if flush_after_ms is not None:
+                    state.setTimeoutDuration(flush_after_ms)
+        frame = pd.DataFrame([[key[0], *(b[k] for k in FIELDS)] for b in done], columns=["symbol", *FIELDS])
+        yield frame.astype({k: {"long": "Int64", "double": "float64", "boolean": "boolean"}[v] for k, v in FIELDS.items()})
+
+    rows = tape.select("symbol", "seq", on, F.col("price").cast("double").alias("price"), F.col("qty").cast("double").alias("qty"), *[(F.col(c) if c in tape.columns else F.lit(None)).cast(t).alias(c) for c, t in _TRADE.items()])
+    timeout = GroupStateTimeout.NoTimeout if flush_after_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    out = rows.groupBy("symbol").applyInPandasWithState(run, "symbol string, " + ", ".join(f"{k} {v}" for k, v in FIELDS.items()), STATE, "append", timeout)
+    buy, sell, first = F.col("buy_volume"), F.col("sell_volume"), F.col("first_price")
+    return out.withColumns({
+        "signed_volume": buy - sell, "volume_imbalance": (buy - sell) / (buy + sell + EPS), "vwap": F.when(F.col("trade_volume") > 0, F.col("trade_notional") / F.when(F.col("trade_volume") > 0, F.col("trade_volume"))),
+        "trade_return": F.when(first > 0, F.col("last_price") / F.when(first > 0, first) - 1),
+    })
 
 
 def bars_by_watermark(tape: DataFrame, width: str = "1 minute", delay: str = "1 minute", on: str = "ts") -> DataFrame:

@@ -179,7 +179,7 @@ def test_json_lines_and_zip(spark, tmp_path):
     lines = [{"type": "trade", "symbol": "B", "recv_ts": 1700000000.5, "msg": {"data": {"s": "B", "E": 1, "T": 1700000000000, "p": "10.5", "q": "2", "a": 7, "m": True}}}, {"type": "trade", "symbol": "B", "recv_ts": 1700000001.0, "msg": {"data": {"E": 5, "p": "11", "nq": "3", "a": 8, "m": False}}}]
     (tmp_path / "trades_1.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
     rows = records.trade_lines(spark, str(tmp_path), "B").orderBy("agg_trade_id").collect()
-    assert [(r.ts_ms, r.fallback_ms, r.recv_ms, r.price, r.qty) for r in rows] == [(1700000000000, 1, 1700000000500, 10.5, 2.0), (0, 5, 1700000001000, 11.0, 3.0)]
+    assert [(r.ts_ms, r.fallback_ms, r.recv_ms, r.price, r.qty) for r in rows] == [(1700000000000, 1700000000000, 1700000000500, 10.5, 2.0), (0, 5000, 1700000001000, 11.0, 3.0)]
     assert records.bad_lines(spark, str(tmp_path), records.TRADE, "trades_*.jsonl").count() == 1
     with zipfile.ZipFile(tmp_path / "B-trades-2024-01-01.zip", "w") as z:
         z.writestr("a.csv", "price,qty,quote_qty,time,is_buyer_maker\n10,1,10,1.7e12,TRUE\n-1,1,1,1,0\n11,2,22,1700000060000,\n")
