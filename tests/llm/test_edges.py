@@ -236,6 +236,74 @@ def test_secrets(odd):
     same([(r.doc_id, r.text) for r in masked.collect()], [(i, t.replace("password=hunter2222", "[SECRET]") if t else t) for i, t in ROWS])
 
 
+def plain_shingles(words, size):
+    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
+
+
+def test_licenses_against_plain_windows():
+    """Spans and containments of altered notices by plain windows over words; recall at containments of 0.8 and more."""
+    from tapeloom.llm import shingles
+
+    rng = np.random.default_rng(6)
+    scanner = licenses.Scanner()
+    split = lambda text: shingles.normal_words(text.encode())
+    short = [(name, split(text)) for name, text in licenses.TEMPLATES if 5 <= len(text.split()) <= 150]
+    wanted = found = 0
+    for k in range(240):
+        name, words = short[k % len(short)]
+        text = list(words)
+        for at in rng.choice(len(text), min(len(text) - 1, int(rng.integers(0, 1 + len(text) // 20))), replace=False):
+            text[at] = b"changed%d" % rng.integers(1000)
+        text = [b"before%d" % i for i in range(int(rng.integers(0, 30)))] + text + [b"after%d" % i for i in range(int(rng.integers(0, 30)))]
+        best = {}
+        for other, template in short:
+            size = min(5, len(template))
+            bag = plain_shingles(template, size)
+            for start in range(max(len(text) - len(template), 0) + 1 if len(text) >= size else 0):
+                window = text[start : start + len(template)]
+                share = len(bag & plain_shingles(window, size)) / len(bag)
+                if share >= 0.8:
+                    best[other, start, len(window)] = max(share, best.get((other, start, len(window)), 0))
+        got = scanner.scan(b" ".join(text))
+        for license_, start, n, share in got:  # whatever is reported holds
+            assert best[license_, start, n] == pytest.approx(share)
+        if best:
+            wanted += 1
+            found += bool(got)
+    assert wanted > 150 and found / wanted > 0.98
+
+
+def test_recall_of_decontamination_near_the_threshold():
+    rng = np.random.default_rng(8)
+    items, texts = [], []
+    for n in (20, 40, 100):
+        for _ in range(60):
+            words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+            other = list(words)
+            other[int(rng.integers(n))] = "x"
+            if n > 40:
+                other[int(rng.integers(n))] = "y"
+            items.append((len(items), " ".join(words)))
+            texts.append("some words before it " + " ".join(other) + " and some after")
+    bench = decontaminate.Benchmark(items)
+    bag = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    wanted = 0
+    for (i, item), text in zip(items, texts):
+        w, t = item.split(), text.split()
+        a = bag(w)
+        best = 0.0
+        for s in range(len(t) - len(w) + 1):
+            b = bag(t[s : s + len(w)])
+            best = max(best, (a & b).total() / (a | b).total())
+        got = {m[0]: m[3] for m in bench.matches(text.encode())}
+        if best >= 0.8:
+            wanted += 1
+            assert got[i] == pytest.approx(best)
+        else:
+            assert i not in got
+    assert wanted > 60
+
+
 def test_archives(spark, tmp_path):
     big = "<p>hello world</p>" * 300_000
     rows = [(1, "u", big), (2, None, big), (2, "u", "other"), (None, "u", big), (None, None, None), (3, "u", ""), (3, "u", ""), (4, "u", "other"), (5, "x\r\ny: z", "\U0001f642" * 400_000)]
