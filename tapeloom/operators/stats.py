@@ -192,9 +192,16 @@ def vote(long: DataFrame, by: list[str], probs: list[str]) -> DataFrame:
     return v.select(*by, "votes_total", "hard", (F.array_position(mean, F.array_max(mean)) - 1).cast("int").alias("soft"), (F.col("`mean 1`") - F.col("`mean 0`")).alias("margin"))
 
 
-def redundancy(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(pairs, mean_abs_rho): the mean absolute Spearman correlation of all pairs of columns."""
-    ranks = df.select(*[average_rank(F.col(c)).alias(c) for c in columns])
+def redundancy(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(pairs, mean_abs_rho): the mean absolute Spearman correlation of all pairs of columns; ``key`` tells rows apart.
+
+    Ranks come from counts of distinct values, so a window spans those of one column and no row is sorted twice.
+    """
+    long = df.select(key, *columns).unpivot([key], columns, "feature", "x").where("x is not null")
+    counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("t"))
+    below = F.coalesce(F.sum("t").over(W.partitionBy("feature").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = long.join(counts.withColumn("r", below + (F.col("t") + 1) / 2.0).drop("t"), ["feature", "x"])
+    ranks = ranked.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
     return pair_products(ranks, columns).agg(F.count("r").alias("pairs"), F.avg(F.abs("r")).alias("mean_abs_rho"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -35,10 +36,10 @@ def query(name: str, text: str | None = None):
 NUMBERED = BARS_SQL + ", nb AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS i FROM bars)"
 
 
-@query("exponential_mean", sql(NUMBERED, "SELECT a.symbol, a.bar, sum(b.close * pow(0.95, a.i - b.i) * CASE WHEN b.i = 0 THEN 1 ELSE 0.05 END) AS ewm FROM nb a JOIN nb b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY ALL", "symbol bar", "ewm"))
+@query("exponential_mean", sql(NUMBERED, "SELECT a.symbol, a.bar, sum(b.close * pow(exp(-ln(2) / 9), a.i - b.i) * CASE WHEN b.i = 0 THEN 1 ELSE 1 - exp(-ln(2) / 9) END) AS ewm FROM nb a JOIN nb b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY ALL", "symbol bar", "ewm"))
 def exponential_mean(spark, sf_dir):
-    """In chunks of 50 rows, so that every series is several."""
-    return rounded(N.exponential_mean(bars(spark, sf_dir).select("symbol", "bar", "close"), ["symbol"], "bar", "close", 0.05, cell=48 * HOUR, chunk=50).select("symbol", "bar", "ewm"))
+    """A half-life of 9 bars, in chunks of 50 rows, so that every series is several."""
+    return rounded(N.exponential_mean(bars(spark, sf_dir).select("symbol", "bar", "close"), ["symbol"], "bar", "close", 1 - math.exp(-math.log(2) / 9), cell=48 * HOUR, chunk=50).select("symbol", "bar", "ewm"))
 
 
 REDUCED = NUMBERED + """,
@@ -115,8 +116,8 @@ def clipped(spark, sf_dir):
 pc AS (SELECT x.i AS a, y.i AS b, corr(x.k, y.k) AS r FROM rk x JOIN rk y ON x.vec_id = y.vec_id AND x.i < y.i GROUP BY ALL) SELECT count(r) AS pairs, round(avg(abs(r)), 6) + 0.0 AS mean_abs_rho FROM pc""")
 def redundancy(spark, sf_dir):
     names = [f"d{k}" for k in range(64)]
-    e = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
-    return rounded(S.redundancy(e, names))
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    return rounded(S.redundancy(e, "vec_id", names))
 
 
 @query("recent_objective", sql(TAPE_SQL + ", z AS (SELECT symbol, price AS y, qty AS p, row_number() OVER (PARTITION BY symbol ORDER BY seq DESC) - 1 AS k FROM tape)", "SELECT symbol, sum(pow(0.9, k) * (p - y) * (p - y)) / sum(pow(0.9, k)) AS ema_mse, corr(y, p) AS pearson, ema_mse + 1 - pearson AS objective FROM z GROUP BY symbol", "symbol", "ema_mse pearson objective"))
