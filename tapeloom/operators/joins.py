@@ -42,6 +42,14 @@ def align(events: DataFrame, grid: DataFrame, by: list[str], on: str, mode: str
     return asof_backward(events, times.withColumn("grid_time", F.col(on)), by, on, ["grid_time"]).where("grid_time is not null")
 
 
+BAR_KEY = ["symbol", "bar_interval", "bar_open_ms"]
+
+
+def on_bar_key(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
+    """Bars of two kinds by their common key: symbol, interval and opening time."""
+    return left.join(right, BAR_KEY, how)
+
+
 def overlap_only(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     """Rows of ``a`` between the later start and the earlier end of both."""
     span = a.agg(F.min(on).alias("a0"), F.max(on).alias("a1")).crossJoin(b.agg(F.min(on).alias("b0"), F.max(on).alias("b1")))
@@ -49,8 +57,13 @@ def overlap_only(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
     return a.join(F.broadcast(span), F.col(on).between(F.col("lo"), F.col("hi"))).drop("lo", "hi")
 
 
-def flatten_minutes(bars: DataFrame, minutes: DataFrame, by: list[str], on: str, values: list[str], n: int = 15) -> DataFrame:
-    """The n minutes before each bar as columns m0_x (oldest) to m{n-1}_x: an equi-join on the minute, then one grouping."""
+def flatten_minutes(bars: DataFrame, minutes: DataFrame, by: list[str], on: str, values: list[str], n: int = 15, fill: bool = False, cell: int = DAYS_30) -> DataFrame:
+    """The n minutes before each bar as columns m0_x (oldest) to m{n-1}_x: an equi-join on the minute, then one grouping.
+
+    With ``fill`` a minute that is there takes over missing values from the minutes before it, or 0; a minute that is not there has none either way."""
+    if fill:
+        filled = carried(minutes.select(*by, on, *values), by, on, cell, {f"last {v}": ("last", F.col(v)) for v in values}, own=True)
+        minutes = filled.select(*by, on, *[F.coalesce(F.col(f"`last {v}`"), F.lit(0)).alias(v) for v in values])
     wanted = bars.select(*by, F.col(on).alias("bar_time"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
     wanted = wanted.withColumn(on, F.col("bar_time") - (n - F.col("k")) * MINUTE)
     found = wanted.join(minutes.select(*by, on, *values), [*by, on], "left")

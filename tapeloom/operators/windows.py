@@ -81,11 +81,11 @@ def last_n(w: WindowSpec, n: int) -> WindowSpec:
 
 
 def rolling_z(x: Column, w: WindowSpec, n: int, least: int, live: bool = False) -> Column:
-    """Offline: deviation of the population with a floor of 1e-8. Live: of the sample; none counts as 1e-12, and missing results are 0."""
+    """Offline: deviation of the population with a floor of 1e-8. Live: of the sample; none or zero counts as 1e-8, and missing results are 0."""
     r = last_n(w, n)
     if live:
         sd = F.stddev_samp(x).over(r)
-        sd = F.when(sd.isNull() | (sd == 0), EPS).otherwise(sd)
+        sd = F.when(sd.isNull() | (sd == 0), 1e-8).otherwise(sd)
         return F.coalesce(clean((x - F.avg(x).over(r)) / sd), F.lit(0.0))
     sd = F.greatest(F.stddev_pop(x).over(r), F.lit(1e-8))
     return gated((x - F.avg(x).over(r)) / sd, x, r, least)

@@ -158,6 +158,14 @@ def book_features(spark, sf_dir):
     return rounded(K.book_features(odd, "symbol", "bar", calculators=(K.top_of_book, K.depth_within, K.distance_bins, quality)))
 
 
+@query("bars_with_books", sql(BOOKS_SQL + ", bs AS (SELECT symbol, ts_ms // 3600000 * 3600000 AS bar, count(*) AS trade_count, sum(qty) AS trade_volume FROM tape GROUP BY ALL)", "SELECT bs.symbol, '1h' AS bar_interval, bs.bar AS bar_open_ms, trade_count, trade_volume, asks[1].price - bids[1].price AS spread FROM bs LEFT JOIN books USING (symbol, bar)", "symbol bar_interval bar_open_ms trade_count", "trade_volume spread"))
+def bars_with_books(spark, sf_dir):
+    """Trade bars with the book's features at the same symbol, interval and opening time."""
+    b = B.trade_bars(tape(spark, sf_dir), "1h", calculators=(B.base_stats,)).select("symbol", "bar_interval", "bar_open_ms", "trade_count", "trade_volume")
+    k = K.book_features(books(spark, sf_dir), "symbol", F.lit("1h").alias("bar_interval"), F.col("bar").alias("bar_open_ms"), calculators=(K.top_of_book,))
+    return rounded(J.on_bar_key(b, k.select("symbol", "bar_interval", "bar_open_ms", "spread")))
+
+
 DIFFS = TAPE_SQL + ", diffs AS (SELECT symbol, CASE WHEN is_buyer_maker THEN 'bid' ELSE 'ask' END AS side, floor(price) AS price, CASE WHEN qty <= 10 THEN 0 ELSE qty END AS qty, seq FROM tape)"
 
 
@@ -237,6 +245,13 @@ def flatten_minutes(spark, sf_dir):
     return rounded(J.flatten_minutes(hours.select("symbol", "bar"), hours, ["symbol"], "bar", ["close"], 4).withColumn("bar", F.col("bar") * 60))
 
 
+@query("flatten_minutes_filled", sql(BARS_SQL + ", ho AS (SELECT symbol, bar, CASE WHEN bar // 3600000 % 4 > 1 THEN close END AS x FROM bars), fi AS (SELECT symbol, bar, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING), 0) AS x FROM ho)", """SELECT b.symbol, b.bar, """ + ", ".join(f"max(CASE WHEN h.bar = b.bar - {n} * 3600000 THEN h.x END) AS m{3 - n}_x" for n in (3, 2, 1)) + """ FROM bars b LEFT JOIN fi h ON b.symbol = h.symbol AND h.bar < b.bar AND h.bar >= b.bar - 10800000 GROUP BY ALL""", "symbol bar", "m0_x m1_x m2_x"))
+def flatten_minutes_filled(spark, sf_dir):
+    """Half the values are missing and taken over from before; hours stand for minutes."""
+    hours = bars(spark, sf_dir).select("symbol", (F.col("bar") / 60).cast("long").alias("bar"), F.when(F.floor(F.col("bar") / HOUR) % 4 > 1, F.col("close")).alias("x"))
+    return rounded(J.flatten_minutes(hours.select("symbol", "bar"), hours, ["symbol"], "bar", ["x"], 3, fill=True).withColumn("bar", F.col("bar") * 60))
+
+
 @query("interval_join", sql(BARS_SQL, "SELECT t.symbol, t.seq, b.bar FROM tape t JOIN bars b ON t.symbol = b.symbol AND t.ts_ms >= b.bar AND t.ts_ms < b.bar + 3600000", "symbol seq bar", ""))
 def interval_join(spark, sf_dir):
     spans = bars(spark, sf_dir).select("symbol", "bar", (F.col("bar") + HOUR).alias("bar_end"))
@@ -289,7 +304,7 @@ def missing_keys(spark, sf_dir):
 
 WINDOWED = """SELECT symbol, bar,
  CASE WHEN count(close) OVER w30 >= 10 THEN (close - avg(close) OVER w30) / greatest(stddev_pop(close) OVER w30, 1e-8) END AS z_offline,
- coalesce((close - avg(close) OVER w30) / CASE WHEN coalesce(stddev_samp(close) OVER w30, 0) = 0 THEN 1e-12 ELSE stddev_samp(close) OVER w30 END, 0) AS z_live,
+ coalesce((close - avg(close) OVER w30) / CASE WHEN coalesce(stddev_samp(close) OVER w30, 0) = 0 THEN 1e-8 ELSE stddev_samp(close) OVER w30 END, 0) AS z_live,
  volume / nullif(avg(volume) OVER w20, 0) - 1 AS volume_spike
 FROM bars WINDOW w30 AS (PARTITION BY symbol ORDER BY bar ROWS 29 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY bar ROWS 19 PRECEDING)"""
 
