@@ -24,6 +24,14 @@ def roc_points(scores: DataFrame, steps: int = 101) -> DataFrame:
     return g.select((F.col("b") / (steps - 1.0)).alias("threshold"), ratio(F.col("tp") * 1.0, F.col("p")).alias("tpr"), ratio((F.col("said") - F.col("tp")) * 1.0, F.col("all") - F.col("p")).alias("fpr"), ratio(F.col("tp") * 1.0, F.col("said")).alias("precision"))
 
 
+def average_precision(scores: DataFrame, by: list[str]) -> DataFrame:
+    """(by, ap) of (score, y): the precision at each distinct score, weighted by the share of ones that it adds. Equal scores are counted together first."""
+    counts = scores.where(F.col("score").isNotNull() & F.col("y").isNotNull()).groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
+    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)  # a row for each distinct score
+    steps = counts.withColumn("precision", F.sum("pos").over(down) / F.sum("n").over(down))
+    return steps.groupBy(*by).agg(ratio(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("ap"))
+
+
 def correlation_matrix(pairs: DataFrame, names: list[str]) -> np.ndarray:
     """The symmetric matrix of (a, b, r) rows; as small as the number of features squared."""
     at = {n: i for i, n in enumerate(names)}
@@ -71,21 +79,22 @@ def msm(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> float:
         inside = (np.minimum(a, b) <= new) & (new <= np.maximum(a, b))
         return np.where(inside, c, c + np.minimum(np.abs(new - a), np.abs(new - b)))
 
-    best = np.full((n, m), np.inf)
-    best[0, 0] = abs(x[0] - y[0])
-    if n > 1:
-        best[1:, 0] = best[0, 0] + np.cumsum(cost(x[1:], x[:-1], np.full(n - 1, y[0])))
-    if m > 1:
-        best[0, 1:] = best[0, 0] + np.cumsum(cost(y[1:], np.full(m - 1, x[0]), y[:-1]))
-    for k in range(2, n + m - 1):
+    # best[i] of a diagonal is the cell (i, diagonal - i); three diagonals are held, so memory grows with the length and not with its square
+    before, last = np.full(n, np.inf), np.full(n, np.inf)
+    last[0] = abs(x[0] - y[0])
+    for k in range(1, n + m - 1):
+        best = np.full(n, np.inf)
         i = np.arange(max(1, k - m + 1), min(n - 1, k - 1) + 1)
-        if not len(i):
-            continue
-        j = k - i
-        move = best[i - 1, j - 1] + np.abs(x[i] - y[j])
-        up, left = best[i - 1, j] + cost(x[i], x[i - 1], y[j]), best[i, j - 1] + cost(y[j], x[i], y[j - 1])
-        best[i, j] = np.minimum(move, np.minimum(up, left))
-    return float(best[-1, -1])
+        if len(i):
+            j = k - i
+            up, left = last[i - 1] + cost(x[i], x[i - 1], y[j]), last[i] + cost(y[j], x[i], y[j - 1])
+            best[i] = np.minimum(before[i - 1] + np.abs(x[i] - y[j]), np.minimum(up, left))
+        if k < n:
+            best[k] = last[k - 1] + cost(x[k], x[k - 1], y[0])
+        if k < m:
+            best[0] = last[0] + cost(y[k], x[0], y[k - 1])
+        before, last = last, best
+    return float(last[-1])
 
 
 def msm_pairs(series: DataFrame, c: float = 1.0) -> DataFrame:
@@ -227,6 +236,19 @@ def temperature(logits: DataFrame, steps: int = 60) -> float:
     return (low * high) ** 0.5
 
 
+def softmax_temperature(logits: DataFrame, steps: int = 60) -> float:
+    """``temperature`` for several classes, of (logits array, y the class)."""
+    top = F.array_max("logits")
+    low, high = 0.05, 20.0
+    for _ in range(4):
+        probes = [low * (high / low) ** (k / (steps - 1)) for k in range(steps)]
+        loss = lambda t: F.avg(F.log(F.aggregate("logits", F.lit(0.0), lambda a, z: a + F.exp((z - top) / t))) + (top - F.get("logits", F.col("y").cast("int"))) / t)
+        row = logits.agg(*[loss(t).alias(f"p{k}") for k, t in enumerate(probes)]).first()
+        best = min(range(steps), key=lambda k: row[k] if row[k] is not None else 0.0)
+        low, high = probes[max(best - 1, 0)], probes[min(best + 1, steps - 1)]
+    return (low * high) ** 0.5
+
+
 def ridge_predictions(df: DataFrame, features: list[str], y: str, on: str, k: int, embargo: float = 0.01, alpha: float = 10.0, cell: int = 86_400_000, by: list[str] | None = None) -> DataFrame:
     """Add fold and pred: out-of-fold ridge regression over k contiguous blocks of rows in order of the times ``on``, unique in a series of ``by``.
 

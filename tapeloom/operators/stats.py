@@ -295,11 +295,12 @@ def best_threshold(scores: DataFrame, steps: int = 101, beta: float = 1.0) -> Da
     return g.select((F.col("b") / (steps - 1.0)).alias("threshold"), f.alias("fbeta")).orderBy(F.desc("fbeta"), "threshold").limit(1)
 
 
-def sharpe(df: DataFrame, by: list[str], on: str, signal: str, ret: str, per_year: float = 252.0) -> DataFrame:
-    """Yearly Sharpe ratio of the sign of yesterday's signal times today's return."""
+def sharpe(df: DataFrame, by: list[str], on: str, signal: str, ret: str, per_year: float = 252.0, population: bool = False) -> DataFrame:
+    """Yearly Sharpe ratio of the sign of yesterday's signal times today's return; with ``population`` over the population's deviation plus 1e-9."""
     w = W.partitionBy(*by).orderBy(on)
     pnl = F.signum(F.lag(signal).over(w)) * F.col(ret)
-    return df.withColumn("pnl", pnl).groupBy(*by).agg((ratio(F.avg("pnl"), F.stddev_samp("pnl")) * per_year**0.5).alias("sharpe"))
+    one = F.avg("pnl") / (F.stddev_pop("pnl") + 1e-9) if population else ratio(F.avg("pnl"), F.stddev_samp("pnl"))
+    return df.withColumn("pnl", pnl).groupBy(*by).agg((one * per_year**0.5).alias("sharpe"))
 
 
 def class_weights(df: DataFrame, y: str) -> DataFrame:

@@ -164,6 +164,11 @@ def variance_inflation(spark, sf_dir):
     return rounded(spark.createDataFrame(list(found.items()), "feature string, vif double"))
 
 
+@query("average_precision", sql(TAPE_SQL + ", c AS (SELECT symbol, qty, sum(is_buyer_maker::INT) AS pos, count(*) AS n FROM tape GROUP BY ALL), k AS (SELECT *, sum(pos) OVER w / sum(n) OVER w AS pr FROM c WINDOW w AS (PARTITION BY symbol ORDER BY qty DESC ROWS UNBOUNDED PRECEDING))", "SELECT symbol, sum(pos * pr) / sum(pos) AS ap FROM k GROUP BY symbol", "symbol", "ap"))
+def average_precision(spark, sf_dir):
+    return rounded(P.average_precision(tape(spark, sf_dir).select("symbol", F.col("qty").alias("score"), F.col("is_buyer_maker").cast("int").alias("y")), ["symbol"]))
+
+
 @query("linkage_clusters")
 def linkage_clusters(spark, sf_dir):
     """Average-linkage clusters of the 64 dimensions (checked against a plain loop in the tests)."""

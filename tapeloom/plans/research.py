@@ -416,6 +416,13 @@ def sharpe(spark, sf_dir):
     return rounded(S.sharpe(b, ["symbol"], "bar", "signal", "ret"))
 
 
+@query("sharpe_population", sql(BARS_SQL + ", p AS (SELECT symbol, sign(lag(close - open) OVER w) * ln(close / lag(close) OVER w) AS pnl FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY bar))", "SELECT symbol, avg(pnl) / (stddev_pop(pnl) + 1e-9) * sqrt(96 * 365) AS sharpe FROM p GROUP BY symbol", "symbol", "sharpe"))
+def sharpe_population(spark, sf_dir):
+    w = W.partitionBy("symbol").orderBy("bar")
+    b = bars(spark, sf_dir).where("close > 0").select("symbol", "bar", (F.col("close") - F.col("open")).alias("signal"), F.log(F.col("close") / F.lag("close").over(w)).alias("ret"))
+    return rounded(S.sharpe(b, ["symbol"], "bar", "signal", "ret", 96 * 365, population=True))
+
+
 @query("class_weights", sql("c AS (SELECT l_returnflag AS class, count(*) AS n FROM lineitem GROUP BY 1)", "SELECT class, n, n / sum(n) OVER () AS prior, (1.0 / n) / avg(1.0 / n) OVER () AS weight FROM c", "class", "n prior weight"))
 def class_weights(spark, sf_dir):
     return rounded(S.class_weights(table(spark, sf_dir, "lineitem"), "l_returnflag"))

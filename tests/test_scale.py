@@ -253,3 +253,14 @@ def test_zero_variance_and_shares(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (1.0, 3.0, None)], "a double, b double, c double")
     assert stats.zero_variance(df, ["a", "b", "c"]) == ["b"]
     assert math.isclose(selection.temperature(spark.createDataFrame([(2.0, 1), (-2.0, 0), (2.0, 0), (-2.0, 1), (2.0, 1), (-2.0, 0)], "logit double, y int")), 2.0 / math.log(2), rel_tol=0.05)
+
+
+def test_softmax_temperature(spark):
+    rng = np.random.default_rng(9)
+    z = rng.normal(0, 2, (300, 3))
+    p = np.exp(z / 2.5) / np.exp(z / 2.5).sum(1, keepdims=True)
+    y = [int(rng.choice(3, p=q)) for q in p]
+    found = selection.softmax_temperature(spark.createDataFrame([(row.tolist(), k) for row, k in zip(z, y)], "logits array<double>, y int"))
+    loss = lambda t: np.mean([np.log(np.exp(a / t).sum()) - a[k] / t for a, k in zip(z, y)])
+    best = min(np.linspace(0.5, 8, 2000), key=loss)
+    assert found == pytest.approx(best, rel=0.02)
