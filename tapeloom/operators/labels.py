@@ -6,39 +6,57 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import gated
-from .windows import expanding_quantile, last_n, positions
+from ..functions.numeric import clean, gated
+from .windows import expanding_quantile, ffill, fractional_difference, last_n, positions
+
+BLOCK = 256  # bars in a block, and blocks in a block of blocks
 
 
 def forward_return(close: Column, w: WindowSpec, k: int) -> Column:
     return F.log(F.lead(close, k).over(w) / close)
 
 
-def threshold(kind: str, close: Column, w: WindowSpec, k: int, bps: float = 10.0, fee_bps: float = 4.0, width: int = 48, scale: float = 1.0, q: float = 0.7) -> Column:
-    """Size of a move that counts: fixed basis points, costs of a round trip, recent volatility scaled to k bars, or a quantile of past moves."""
-    if kind == "bps":
-        return F.lit(bps / 1e4)
-    if kind == "cost":
-        return F.lit(2 * fee_bps / 1e4)
-    r = F.log(close / F.lag(close).over(w))
-    if kind == "vol":
-        return r  # turned into a rolling deviation by ``fixed_horizon``, as windows do not nest
-    return F.abs(r)
+def _past_deviation(bars: DataFrame, w: WindowSpec, width: int, name: str) -> DataFrame:
+    """Add the deviation of the last ``width`` one-bar log returns, the present one included; null below half of them."""
+    rows = bars.withColumn("one bar", F.log(F.col("close") / F.lag("close").over(w)))
+    frame = last_n(w, width)
+    return rows.withColumn(name, gated(F.stddev_samp("one bar").over(frame), F.col("one bar"), frame, max(2, width // 2))).drop("one bar")
+
 
+def fixed_horizon(bars: DataFrame, by: list[str], on: str, k: int, kind: str = "bps", bps: float = 5.0, cost_bps: float = 10.0, width: int = 96, scale: float = 0.5, q: float = 0.3, least: int = 500, fractional: tuple[float, float] | None = None) -> DataFrame:
+    """Add y_reg (log return of the next k bars) and y_cls: 2 up, 0 down, 1 flat; unknown returns or sizes are flat.
 
-def fixed_horizon(bars: DataFrame, by: list[str], on: str, k: int, kind: str = "bps", **options) -> DataFrame:
-    """Add y_reg (log return of the next k bars) and y_cls: 2 up, 0 down, 1 flat; unknown returns or thresholds are flat."""
+    A move counts beyond a size known at the bar before, so the first bar of a series is flat: ``bps`` or ``cost`` (fixed basis points),
+    ``vol`` (deviation of the last ``width`` returns, times ``scale`` and the root of k), ``quantile`` (the greater magnitude of the q and 1 - q
+    quantiles of all past k-bar returns, of which there are ``least``). ``triple``: as ``touch_label`` with ``scale`` deviations both ways.
+    ``fractional`` (order, least weight): y_reg is the move over k bars of the fractionally differenced log price; y_cls stays as it is.
+    """
     w = W.partitionBy(*by).orderBy(on)
-    width, scale, q, least = options.get("width", 48), options.get("scale", 1.0), options.get("q", 0.7), options.get("least", 500)
     close = F.col("close")
-    rows = bars.withColumns({"y_reg": forward_return(close, w, k), "size": threshold(kind, close, w, k, **{o: v for o, v in options.items() if o in ("bps", "fee_bps")})})
-    if kind == "vol":
-        deviation = gated(F.stddev_samp("size").over(last_n(w, width)), F.col("size"), last_n(w, width), max(2, width // 2))
-        rows = rows.withColumn("size", deviation * (scale * k**0.5)).withColumn("size", F.lag("size").over(w))
+    rows = bars.withColumn("ahead", forward_return(close, w, k))
+    if kind in ("bps", "cost"):
+        rows = rows.withColumn("size", F.lag(F.lit((bps if kind == "bps" else cost_bps) / 1e4)).over(w))
+    elif kind == "vol":
+        rows = _past_deviation(rows, w, width, "size").withColumn("size", F.lag(F.col("size") * (scale * k**0.5)).over(w))
     elif kind == "quantile":
-        rows = rows.withColumn("size", expanding_quantile(F.col("size"), w, q, least))
-    label = F.when(F.col("y_reg") > F.col("size"), 2).when(F.col("y_reg") < -F.col("size"), 0).otherwise(1)
-    return rows.withColumn("y_cls", label).drop("size")
+        rows = rows.withColumn("past", F.log(close / F.lag(close, k).over(w)))
+        low, high = (expanding_quantile(F.col("past"), w, level, least) for level in (q, 1 - q))
+        rows = rows.withColumn("size", F.greatest(F.abs(low), F.abs(high))).drop("past")
+    elif kind == "triple":
+        rows = _past_deviation(rows, w, width, "size").withColumn("log close", F.log(close))
+        ahead = w.rowsBetween(1, k)
+        known = (F.count("log close").over(ahead) == k) & F.col("size").isNotNull()
+        up = F.max("log close").over(ahead) - F.col("log close") >= scale * F.col("size")
+        down = F.min("log close").over(ahead) - F.col("log close") <= -scale * F.col("size")
+        rows = rows.withColumn("y_cls", F.when(~known, -1).when(up & ~down, 2).when(down & ~up, 0).otherwise(1)).drop("log close")
+    else:
+        raise ValueError(f"unknown kind of label: {kind}")
+    if kind != "triple":
+        rows = rows.withColumn("y_cls", F.when(F.col("ahead") > F.col("size"), 2).when(F.col("ahead") < -F.col("size"), 0).otherwise(1))
+    if fractional is not None:
+        rows = rows.withColumn("log close", ffill(clean(F.log(close)), w)).withColumn("level", fractional_difference(F.col("log close"), w, *fractional))
+        rows = rows.withColumn("ahead", F.lead("level", k).over(w) - F.col("level"))
+    return rows.select(*bars.columns, F.col("ahead").alias("y_reg"), "y_cls")
 
 
 def touch_label(bars: DataFrame, by: list[str], on: str, k: int, up: float, down: float) -> DataFrame:
@@ -74,6 +92,48 @@ def _paths(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon:
     return ev.join(found, [*by, "t0", "side"], "left")
 
 
+def _crosses(b: Column) -> Column:
+    return (b["high"] >= F.col("upper")) | (b["low"] <= F.col("lower"))
+
+
+def _first(blocks: str, at: str, after: Column) -> Column:
+    """The first element of ``blocks`` beyond ``after`` (none where that is null) that reaches a barrier."""
+    return F.try_element_at(F.filter(blocks, lambda b: (b[at] > after) & _crosses(b)), F.lit(1))
+
+
+def _to_the_end(bars: DataFrame, events: DataFrame, by: list[str], on: str, step: int) -> DataFrame:
+    """Events (with upper, lower) with hit, the first bar from t0 on that reaches a barrier, and end, the last bar's time (null where t0 is no bar).
+
+    Extremes of blocks of bars, and of blocks of blocks, are looked up before bars are: an event meets at most four arrays of BLOCK elements and
+    one with an element for each BLOCK * BLOCK bars of its key, each by an equi-join, however far its barrier lies.
+    """
+    wide = BLOCK * BLOCK
+    n = positions(bars.select(*by, on, "open", "high", "low"), by, on, 1024 * step).withColumn("block", F.floor(F.col("i") / BLOCK))
+    extremes = [F.max("high").alias("high"), F.min("low").alias("low")]
+    small = n.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("i", F.col(on).alias("t"), "open", "high", "low"))).alias("of bars"), *extremes)
+    large = small.groupBy(*by, F.floor(F.col("block") / BLOCK).alias("area")).agg(F.array_sort(F.collect_list(F.struct("block", "high", "low"))).alias("of blocks"), *extremes)
+    tops = large.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("area", "high", "low"))).alias("of areas"))
+    in_bars, in_blocks = small.select(*by, "block", "of bars"), large.select(*by, "area", "of blocks")
+
+    ends = bars.groupBy(*by).agg(F.max(on).alias("end"))
+    ev = events.join(n.select(*by, F.col(on).alias("t0"), F.col("i").alias("at")), [*by, "t0"], "left").join(ends, by, "left").withColumn("end", F.when(F.col("at").isNotNull(), F.col("end")))
+    ev = ev.withColumns({"block": F.floor(F.col("at") / BLOCK), "area": F.floor(F.col("at") / wide)})
+    ev = ev.join(in_bars, [*by, "block"], "left").withColumn("hit", _first("of bars", "i", F.col("at") - 1)).drop("of bars")
+    ev = ev.join(in_blocks, [*by, "area"], "left").withColumn("next", F.when(F.col("hit").isNull(), _first("of blocks", "block", F.col("block"))["block"])).drop("of blocks")
+    ev = ev.join(tops, by, "left").withColumn("area", F.when(F.col("hit").isNull() & F.col("next").isNull(), _first("of areas", "area", F.col("area"))["area"])).drop("of areas")
+    ev = ev.join(in_blocks, [*by, "area"], "left").withColumn("block", F.coalesce("next", _first("of blocks", "block", F.lit(-1))["block"])).drop("of blocks", "area", "next")
+    ev = ev.join(in_bars, [*by, "block"], "left").withColumn("hit", F.coalesce("hit", _first("of bars", "i", F.col("at") - 1)))
+    return ev.drop("of bars", "block", "at")
+
+
+def _met(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int | None, step: int, barriers) -> DataFrame:
+    """Distinct events with their barriers (``barriers`` adds upper and lower, perhaps as several rows), hit and end, over ``horizon`` bars or, if None, to the end."""
+    if horizon is None:
+        return _to_the_end(bars, barriers(events.select(*by, "t0", "side", "entry_price", "vol").distinct()), by, on, step)
+    ev = barriers(_paths(bars, events, by, on, horizon, step))
+    return ev.withColumns({"hit": F.try_element_at(F.filter("path", _crosses), F.lit(1)), "end": F.try_element_at("path", F.lit(-1))["t"]}).drop("path")
+
+
 def _clipped(vol_range: tuple[float, float]) -> Column:
     vol = F.col("vol").cast("double")
     return F.when(vol.isNotNull() & ~F.isnan(vol), F.least(F.greatest(vol, F.lit(vol_range[0])), F.lit(vol_range[1])))
@@ -95,8 +155,9 @@ def _outcome(touch: Column, open_price: Column, both: str) -> Column:
     return F.when(touch == "upper", long_side.cast("int")).when(touch == "lower", (~long_side).cast("int")).when(touch == "both", tie)
 
 
-def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int, up: float, down: float, vol_range=(1e-4, 1.0), both: str = "fail", low: DataFrame | None = None) -> DataFrame:
-    """Events (by, t0, side, entry_price, vol) with pt, sl, label, t1: which barrier the bar at t0 or one of the ``horizon`` bars after it reaches first.
+def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int | None, step: int, up: float, down: float, vol_range=(1e-4, 1.0), both: str = "fail", low: DataFrame | None = None) -> DataFrame:
+    """Events (by, t0, side, entry_price, vol) with pt, sl, label, t1: which barrier the bar at t0 or one of the ``horizon`` bars after it
+    (None: any bar up to the end) reaches first.
 
     The barriers are entry * exp(up * vol) above and entry * exp(-down * vol) below; for a long the upper one wins, for a short the
     lower. A bar that opens beyond a barrier decides by its open. For one that reaches both, the bars of ``low`` inside it (same
@@ -105,12 +166,11 @@ def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, h
     bars, or no vol: label and t1 null. Repeated events count once.
     """
     v, long_side = _clipped(vol_range), F.col("side") > 0
-    ev = _paths(bars, events, by, on, horizon, step).withColumns({"upper": F.col("entry_price") * F.exp(up * v), "lower": F.col("entry_price") * F.exp(-down * v)})
-    ev = ev.withColumns({"pt": F.when(long_side, F.col("upper")).otherwise(F.col("lower")), "sl": F.when(long_side, F.col("lower")).otherwise(F.col("upper"))})
-    met = ev.withColumn("hit", F.try_element_at(F.filter("path", lambda b: _touch(b, b["t"] == F.col("t0")).isNotNull()), F.lit(1)))
-    met = met.withColumn("touch", _touch(F.col("hit"), F.col("hit.t") == F.col("t0")))
+    barriers = lambda ev: ev.withColumns({"upper": F.col("entry_price") * F.exp(up * v), "lower": F.col("entry_price") * F.exp(-down * v)})
+    met = _met(bars, events, by, on, horizon, step, barriers)
+    met = met.withColumns({"pt": F.when(long_side, F.col("upper")).otherwise(F.col("lower")), "sl": F.when(long_side, F.col("lower")).otherwise(F.col("upper")), "touch": _touch(F.col("hit"), F.col("hit.t") == F.col("t0"))})
     keys = [*by, "t0", "side", "entry_price", "pt", "sl", "vol"]
-    label, t1 = _outcome(F.col("touch"), F.col("hit.open"), both), F.when(F.col("upper").isNotNull(), F.coalesce("hit.t", F.try_element_at("path", F.lit(-1))["t"]))
+    label, t1 = _outcome(F.col("touch"), F.col("hit.open"), both), F.when(F.col("upper").isNotNull(), F.coalesce("hit.t", "end"))
     if low is not None:
         inner = low.select(*by, (F.floor(F.col(on) / step) * step).alias("bar_of"), F.struct(F.col(on).alias("t"), "open", "high", "low").alias("b"))
         both_hit = met.where("touch = 'both'").select(*by, "t0", "side", "entry_price", "vol", "upper", "lower", F.col("hit.t").alias("bar_of"))
@@ -122,13 +182,15 @@ def triple_barrier(bars: DataFrame, events: DataFrame, by: list[str], on: str, h
     return met.select(*keys, label.alias("label"), t1.alias("t1"))
 
 
-def barrier_grid(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int, step: int, ups: list[float], downs: list[float], both: str = "fail") -> DataFrame:
-    """Wins and losses for every pair of multiples, in one job: events meet their bars once, the parameters are a small table of rows."""
-    grid = bars.sparkSession.createDataFrame([(float(u), float(d)) for u in ups for d in downs], "up double, down double")
-    v = _clipped((1e-4, 1.0))
-    ev = _paths(bars, events, by, on, horizon, step).crossJoin(F.broadcast(grid))  # a row for each pair of parameters
-    ev = ev.withColumns({"upper": F.col("entry_price") * F.exp(F.col("up") * v), "lower": F.col("entry_price") * F.exp(-F.col("down") * v)})
-    met = ev.withColumn("hit", F.try_element_at(F.filter("path", lambda b: _touch(b, b["t"] == F.col("t0")).isNotNull()), F.lit(1)))
+def barrier_grid(bars: DataFrame, events: DataFrame, by: list[str], on: str, horizon: int | None, step: int, ups: list[float], downs: list[float], both: str = "fail") -> DataFrame:
+    """Wins and losses for every pair of multiples, in one job: an event becomes a row for each pair, out of a literal array."""
+    pairs, v = F.array(*[F.struct(F.lit(float(u)).alias("up"), F.lit(float(d)).alias("down")) for u in ups for d in downs]), _clipped((1e-4, 1.0))
+
+    def barriers(ev: DataFrame) -> DataFrame:
+        rows = ev.withColumn("pair", F.explode(pairs)).withColumns({"up": F.col("pair.up"), "down": F.col("pair.down")}).drop("pair")
+        return rows.withColumns({"upper": F.col("entry_price") * F.exp(F.col("up") * v), "lower": F.col("entry_price") * F.exp(-F.col("down") * v)})
+
+    met = _met(bars, events, by, on, horizon, step, barriers)
     label = _outcome(_touch(F.col("hit"), F.col("hit.t") == F.col("t0")), F.col("hit.open"), both)
     return met.groupBy("up", "down").agg(F.count(F.lit(1)).alias("events"), F.count_if(label == 1).alias("wins"), F.count_if(label == 0).alias("losses"))
 

@@ -10,6 +10,7 @@ from ..operators import folds as V
 from ..operators import indicators as I
 from ..operators import labels as L
 from ..operators import stats as S
+from ..operators.windows import fractional_weights
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
 
 QUERIES: dict = {}
@@ -109,15 +110,37 @@ def indicators_wilder(spark, sf_dir):
 # ---------------------------------------------------------------- labels
 
 
-@query("label_fixed_horizon", sql(BARS_SQL, "SELECT symbol, bar, ln(lead(close, 4) OVER w / close) AS y_reg, CASE WHEN ln(lead(close, 4) OVER w / close) > 0.001 THEN 2 WHEN ln(lead(close, 4) OVER w / close) < -0.001 THEN 0 ELSE 1 END AS y_cls FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY bar)", "symbol bar y_cls", "y_reg"))
+@query("label_fixed_horizon", sql(BARS_SQL, "SELECT symbol, bar, ln(lead(close, 4) OVER w / close) AS y_reg, CASE WHEN row_number() OVER w = 1 THEN 1 WHEN ln(lead(close, 4) OVER w / close) > 0.001 THEN 2 WHEN ln(lead(close, 4) OVER w / close) < -0.001 THEN 0 ELSE 1 END AS y_cls FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY bar)", "symbol bar y_cls", "y_reg"))
 def label_fixed_horizon(spark, sf_dir):
-    return rounded(L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4).select("symbol", "bar", "y_reg", "y_cls"))
+    return rounded(L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4, bps=10.0).select("symbol", "bar", "y_reg", "y_cls"))
+
+
+_WEIGHTS = fractional_weights(0.4, 0.02)
+
+
+@query("label_cost_fractional", sql(BARS_SQL + f", l AS (SELECT symbol, bar, ln(close) AS x FROM bars WHERE close > 0), d AS (SELECT *, {' + '.join(f'({v!r}) * lag(x, {k}) OVER w' for k, v in enumerate(_WEIGHTS))} AS f FROM l WINDOW w AS (PARTITION BY symbol ORDER BY bar))", """SELECT symbol, bar, lead(f, 4) OVER w - f AS y_reg,
+ CASE WHEN row_number() OVER w = 1 THEN 1 WHEN lead(x, 4) OVER w - x > 0.3 THEN 2 WHEN lead(x, 4) OVER w - x < -0.3 THEN 0 ELSE 1 END AS y_cls FROM d WINDOW w AS (PARTITION BY symbol ORDER BY bar)""", "symbol bar y_cls", "y_reg"))
+def label_cost_fractional(spark, sf_dir):
+    """Classes beyond a cost of 3,000 basis points; the target is the move of the fractionally differenced log price."""
+    return rounded(L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4, "cost", cost_bps=3000.0, fractional=(0.4, 0.02)).select("symbol", "bar", "y_reg", "y_cls"))
+
+
+@query("label_quantile", sql(BARS_SQL, """SELECT symbol, bar, CASE WHEN y > s THEN 2 WHEN y < -s THEN 0 ELSE 1 END AS y_cls FROM (SELECT symbol, bar, y, CASE WHEN count(p) OVER v >= 50 THEN greatest(abs(quantile_cont(p, 0.3) OVER v), abs(quantile_cont(p, 0.7) OVER v)) END AS s FROM
+ (SELECT symbol, bar, ln(lead(close, 4) OVER w / close) AS y, ln(close / lag(close, 4) OVER w) AS p FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY bar)) WINDOW v AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", "symbol bar y_cls", ""))
+def label_quantile(spark, sf_dir):
+    return L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4, "quantile", least=50).select("symbol", "bar", "y_cls")
+
+
+@query("label_triple", sql(BARS_SQL, """SELECT symbol, bar, CASE WHEN n < 4 OR s IS NULL THEN -1 WHEN u >= s AND d > -s THEN 2 WHEN d <= -s AND u < s THEN 0 ELSE 1 END AS y_cls FROM (SELECT symbol, bar, count(x) OVER f AS n, max(x) OVER f - x AS u, min(x) OVER f - x AS d, 0.5 * CASE WHEN count(r) OVER v >= 24 THEN stddev_samp(r) OVER v END AS s FROM
+ (SELECT symbol, bar, ln(close) AS x, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY bar)) AS r FROM bars WHERE close > 0) WINDOW f AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING), v AS (PARTITION BY symbol ORDER BY bar ROWS 47 PRECEDING))""", "symbol bar y_cls", ""))
+def label_triple(spark, sf_dir):
+    return L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4, "triple", width=48).select("symbol", "bar", "y_cls")
 
 
 @query("label_volatility", sql(BARS_SQL, """SELECT symbol, bar, CASE WHEN y > s THEN 2 WHEN y < -s THEN 0 ELSE 1 END AS y_cls FROM (SELECT symbol, bar, y, lag(CASE WHEN k >= 24 THEN d END) OVER (PARTITION BY symbol ORDER BY bar) * 2 AS s FROM
  (SELECT symbol, bar, y, stddev_samp(r) OVER v AS d, count(r) OVER v AS k FROM (SELECT symbol, bar, ln(lead(close, 4) OVER w / close) AS y, ln(close / lag(close) OVER w) AS r FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY bar)) WINDOW v AS (PARTITION BY symbol ORDER BY bar ROWS 47 PRECEDING)))""", "symbol bar y_cls", ""))
 def label_volatility(spark, sf_dir):
-    return L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4, "vol").select("symbol", "bar", "y_cls")
+    return L.fixed_horizon(bars(spark, sf_dir).where("close > 0"), ["symbol"], "bar", 4, "vol", width=48, scale=1.0).select("symbol", "bar", "y_cls")
 
 
 @query("label_touch", sql(BARS_SQL, """SELECT symbol, bar, CASE WHEN n < 6 THEN -1 WHEN h AND NOT l THEN 2 WHEN l AND NOT h THEN 0 ELSE 1 END AS y_touch FROM (SELECT symbol, bar, count(close) OVER f AS n, max(close) OVER f >= close * 1.5 AS h, min(close) OVER f <= close * 0.5 AS l FROM bars
@@ -182,6 +205,25 @@ def barrier_grid(spark, sf_dir):
     return rounded(L.barrier_grid(bars(spark, sf_dir), _signals(spark, sf_dir), ["symbol"], "bar", 24, HOUR, [1, 2, 4], [1, 2, 4]))
 
 
+@query("triple_barrier_open", sql(BARRIER.replace("BETWEEN pos AND pos + 24", ">= pos"), "SELECT * FROM tb", "symbol t0 side label t1", "entry_price pt sl"))
+def triple_barrier_open(spark, sf_dir):
+    """Barriers without expiry: an event is open until the data end."""
+    return rounded(L.triple_barrier(bars(spark, sf_dir), _signals(spark, sf_dir), ["symbol"], "bar", None, HOUR, 2.0, 1.0).drop("vol"))
+
+
+_MULTIPLES = "(VALUES (2.0), (4.0), (6.0), (8.0), (10.0))"
+
+
+@query("barrier_grid_open", sql(SIGNALS, f"""SELECT up, down, count(*) AS events, count(*) FILTER (lab = 1) AS wins, count(*) FILTER (lab = 0) AS losses FROM (
+ SELECT up, down, e.symbol, e.t0, e.side, arg_min(CASE WHEN gu THEN (side > 0)::INT WHEN gd THEN (side < 0)::INT WHEN uh AND dh THEN -1 WHEN uh THEN (side > 0)::INT WHEN dh THEN (side < 0)::INT END, CASE WHEN uh OR dh THEN bar END) AS lab FROM (
+  SELECT g.*, s.*, b.bar, b.high >= s.entry_price * exp(up * 0.3) AS uh, b.low <= s.entry_price * exp(-down * 0.3) AS dh, b.bar > s.t0 AND b.open >= s.entry_price * exp(up * 0.3) AS gu, b.bar > s.t0 AND b.open <= s.entry_price * exp(-down * 0.3) AS gd
+   FROM signals s JOIN bars b ON b.symbol = s.symbol AND b.bar >= s.t0, (SELECT u.u AS up, d.u AS down FROM {_MULTIPLES} u(u), {_MULTIPLES} d(u)) g) e GROUP BY ALL) GROUP BY up, down""", "events wins losses", "up down"))
+def barrier_grid_open(spark, sf_dir):
+    """All pairs of the usual multiples without expiry; a bar that reaches both barriers is undecided."""
+    multiples = [2, 4, 6, 8, 10]
+    return rounded(L.barrier_grid(bars(spark, sf_dir), _signals(spark, sf_dir), ["symbol"], "bar", None, HOUR, multiples, multiples, both="nan"))
+
+
 @query("trade_summary", sql(BARRIER, "SELECT side, count(*) AS trades, count(*) FILTER (label = 1) AS wins, sum(pnl) AS pnl_sum, avg(pnl) AS pnl_mean, count(*) FILTER (label = 1) / count(*) AS win_rate FROM (SELECT *, coalesce(CASE WHEN label = 1 THEN abs(pt / entry_price - 1) WHEN label = 0 THEN -abs(sl / entry_price - 1) END, 0) AS pnl FROM tb) GROUP BY ROLLUP (side)", "side trades wins", "pnl_sum pnl_mean win_rate"))
 def trade_summary(spark, sf_dir):
     return rounded(L.trade_summary(_barrier(spark, sf_dir)))
