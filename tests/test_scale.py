@@ -264,3 +264,86 @@ def test_softmax_temperature(spark):
     loss = lambda t: np.mean([np.log(np.exp(a / t).sum()) - a[k] / t for a, k in zip(z, y)])
     best = min(np.linspace(0.5, 8, 2000), key=loss)
     assert found == pytest.approx(best, rel=0.02)
+
+
+def test_barriers_to_the_end_by_blocks(spark, monkeypatch):
+    """Small blocks, so that barriers lie in the same block, the same area and areas beyond; against a loop over all bars."""
+    from tapeloom.operators import labels as L
+
+    monkeypatch.setattr(L, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows, prices = [], {}
+    for s in ("a", "b"):
+        price, prices[s] = 100.0, []
+        for t in range(90 if s == "a" else 7):
+            price *= float(np.exp(rng.normal(0, 0.01)))
+            o, h, low = price * float(np.exp(rng.normal(0, 0.004))), price * 1.006, price * 0.994
+            h, low = max(h, o), min(low, o)
+            prices[s].append((t, o, h, low))
+            rows.append((s, t, o, h, low))
+    bars = spark.createDataFrame(rows, "symbol string, t long, open double, high double, low double")
+    events = [(s, t0, side, prices[s][t0][1], 0.05) for s in prices for t0 in range(0, len(prices[s]), 2) for side in (1, -1)]
+    events += [("a", 0, 1, prices["a"][0][1], 0.05), ("a", 500, 1, 100.0, 0.05), ("a", 4, 1, 100.0, None), ("c", 0, 1, 100.0, 0.05)]
+    ev = spark.createDataFrame(events, "symbol string, t0 long, side int, entry_price double, vol double")
+    got = {(r.symbol, r.t0, r.side, r.vol): (r.label, r.t1) for r in L.triple_barrier(bars, ev, ["symbol"], "t", None, 1, 1.0, 1.0, both="nan").collect()}
+
+    def plain(s, t0, side, entry, vol):
+        if vol is None or s not in prices or t0 >= len(prices[s]):
+            return None, None
+        upper, lower = entry * math.exp(vol), entry * math.exp(-vol)
+        for t, o, h, low in prices[s][t0:]:
+            win = int(side > 0)
+            if t > t0 and o >= upper:
+                return win, t
+            if t > t0 and o <= lower:
+                return 1 - win, t
+            if h >= upper and low <= lower:
+                return None, t
+            if h >= upper:
+                return win, t
+            if low <= lower:
+                return 1 - win, t
+        return None, prices[s][-1][0]
+
+    want = {(s, t0, side, vol): plain(s, t0, side, entry, vol) for s, t0, side, entry, vol in events}
+    assert got == want
+    assert len({t1 // 9 - k[1] // 9 for k, (_, t1) in want.items() if t1 is not None}) > 3  # within an area and several beyond
+    grid = L.barrier_grid(bars, ev.where("vol is not null"), ["symbol"], "t", None, 1, [1.0], [1.0], both="nan").first()
+    known = [v[0] for k, v in want.items() if k[3] is not None]
+    assert (grid.events, grid.wins, grid.losses) == (len(known), known.count(1), known.count(0))
+
+
+def test_label_kinds(spark):
+    """Sizes by plain pandas: the first bar is flat, quantiles of both sides, deviations, moves of the fractionally differenced log price."""
+    from tapeloom.operators import labels as L
+    from tapeloom.operators.windows import fractional_weights
+
+    rng = np.random.default_rng(9)
+    close = pd.Series(100 * np.exp(np.cumsum(rng.normal(0, 0.01, 80))))
+    bars = spark.createDataFrame([("a", i, float(c)) for i, c in enumerate(close)], "symbol string, t long, close double")
+    k, logs = 3, np.log(close)
+    ahead, past = logs.shift(-k) - logs, logs - logs.shift(k)
+    deviation = logs.diff().rolling(12, min_periods=6).std()
+    first = pd.Series([np.nan] + [1.0] * 79)
+    sizes = {
+        "bps": first * 0.002, "cost": first * 0.01, "vol": (0.5 * deviation * k**0.5).shift(1),
+        "quantile": pd.concat([past.expanding(10).quantile(0.3).abs(), past.expanding(10).quantile(0.7).abs()], axis=1).max(axis=1).shift(1),
+    }
+    options = {"bps": {"bps": 20.0}, "cost": {"cost_bps": 100.0}, "vol": {"width": 12}, "quantile": {"least": 10}}
+    for kind, size in sizes.items():
+        got = L.fixed_horizon(bars, ["symbol"], "t", k, kind, **options[kind]).orderBy("t").toPandas()
+        assert got.y_cls.tolist() == np.where(ahead > size, 2, np.where(ahead < -size, 0, 1)).tolist(), kind
+        assert np.allclose(got.y_reg, ahead, equal_nan=True) and got.columns.tolist() == ["symbol", "t", "close", "y_reg", "y_cls"]
+    want = []
+    for t in range(80):
+        moves = [logs[j] - logs[t] for j in range(t + 1, min(80, t + 1 + k))]
+        up, down = any(m >= 0.5 * deviation[t] for m in moves), any(m <= -0.5 * deviation[t] for m in moves)
+        want.append(-1 if len(moves) < k or np.isnan(deviation[t]) else 2 if up and not down else 0 if down and not up else 1)
+    assert [r.y_cls for r in L.fixed_horizon(bars, ["symbol"], "t", k, "triple", width=12).orderBy("t").collect()] == want
+    w = fractional_weights(0.4, 0.02)
+    level = pd.Series([np.nan if t < len(w) - 1 else sum(v * logs[t - j] for j, v in enumerate(w)) for t in range(80)])
+    got = L.fixed_horizon(bars, ["symbol"], "t", k, fractional=(0.4, 0.02)).orderBy("t").toPandas()
+    assert np.allclose(got.y_reg.astype(float), level.shift(-k) - level, equal_nan=True)
+    with pytest.raises(ValueError):
+        L.fixed_horizon(bars, ["symbol"], "t", k, "none")
+    assert L.fixed_horizon(bars.limit(0), ["symbol"], "t", k, "quantile").count() == 0
