@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import EPS, correlation, gated
+from ..functions.numeric import EPS, correlation, gated, ratio
 from .windows import decay_linear, last_n, pct_rank_all
 
 COMMUTATIVE = {"+", "*"}
@@ -117,7 +117,13 @@ def evaluate(df: DataFrame, trees: dict[str, object], by: list[str], on: str) ->
     return compiler.df.select(*df.columns, *[F.col(c).alias(name) for name, c in found.items()])
 
 
-def fitness(df: DataFrame, names: list[str], target: str, by: list[str]) -> DataFrame:
-    """(by, alpha, ic): Pearson correlation of every alpha with the target, all in one aggregate."""
-    row = df.groupBy(*by).agg(F.array(*[F.struct(F.lit(n).alias("alpha"), correlation(n, target).alias("ic")) for n in names]).alias("p"))
+def sign_sharpe(alpha: str, target: str) -> Column:
+    """Mean over deviation of the target held by the sign of the alpha."""
+    gain = F.signum(F.col(f"`{alpha}`")) * F.col(f"`{target}`")
+    return ratio(F.avg(gain), F.stddev_pop(gain), EPS)
+
+
+def fitness(df: DataFrame, names: list[str], target: str, by: list[str], measure=correlation) -> DataFrame:
+    """(by, alpha, ic): a measure of every alpha against the target, all in one aggregate. ``measure`` turns two column names into an aggregate column."""
+    row = df.groupBy(*by).agg(F.array(*[F.struct(F.lit(n).alias("alpha"), measure(n, target).alias("ic")) for n in names]).alias("p"))
     return row.select(*by, F.explode("p").alias("p")).select(*by, "p.*")

@@ -109,11 +109,11 @@ def msm_pairs(series: DataFrame, c: float = 1.0) -> DataFrame:
     return left.join(right, F.col("a") < F.col("b")).repartition("a", "b").mapInPandas(run, f"a {series.schema['id'].dataType.simpleString()}, b {series.schema['id'].dataType.simpleString()}, d double")
 
 
-def msm_clusters(series: DataFrame, centres: list[list[float]], c: float = 1.0, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, list[list[float]]]:
+def msm_clusters(series: DataFrame, centres: list[list[float]], c: float = 1.0, rounds: int = 20, tolerance: float = 1e-6, reseed: bool = False) -> tuple[DataFrame, list[list[float]]]:
     """K-means with the move-split-merge distance from given centres: (id, cluster, d) and the last centres.
 
     Assignment is a pass over the series with the centres in the closure; new centres are means by position, aggregated in
-    Spark. An empty cluster keeps its centre. Only the centres come to the driver.
+    Spark. An empty cluster keeps its centre or, with ``reseed``, takes the series farthest from its own. Only the centres come to the driver.
     """
     kind = series.schema["id"].dataType.simpleString()
 
@@ -133,6 +133,10 @@ def msm_clusters(series: DataFrame, centres: list[list[float]], c: float = 1.0,
         new = list(centres)
         for r in rows:
             new[r.cluster] = [p.v for p in r.c]
+        empty = sorted(set(range(len(centres))) - {r.cluster for r in rows})
+        if reseed and empty:
+            for k, far in zip(empty, assigned(centres).orderBy(F.desc("d"), "id").limit(len(empty)).collect()):
+                new[k] = list(far.x)
         shift = max((float(np.linalg.norm(np.subtract(a, b))) for a, b in zip(new, centres)), default=0.0)
         centres = new
         if shift < tolerance:
@@ -140,6 +144,17 @@ def msm_clusters(series: DataFrame, centres: list[list[float]], c: float = 1.0,
     return assigned(centres).drop("x"), centres
 
 
+def msm_clusters_best(series: DataFrame, starts: list[list[list[float]]], c: float = 1.0, rounds: int = 20, tolerance: float = 1e-6) -> tuple[DataFrame, list[list[float]], float]:
+    """``msm_clusters`` from each of several sets of centres: assignment, centres and sum of squared distances of the set with the least sum, the first of equals."""
+    best = None
+    for centres in starts:
+        found, last = msm_clusters(series, centres, c, rounds, tolerance)
+        inertia = found.agg(F.coalesce(F.sum(F.col("d") * F.col("d")), F.lit(0.0))).first()[0]
+        if best is None or inertia < best[2]:
+            best = found, last, inertia
+    return best
+
+
 def silhouette(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
     """(item, s) from pair distances: (b - a) / max(a, b) with a the mean distance inside, b the least mean distance to another cluster."""
     left, right = clusters.select(F.col("item").alias("a"), F.col("cluster").alias("ca")), clusters.select(F.col("item").alias("b"), F.col("cluster").alias("cb"))
@@ -171,10 +186,12 @@ def side_of(x: Column) -> Column:
     return F.when(word.isin("long", "buy", "多"), 1).when(word.isin("short", "sell", "空"), -1).when(number > 0, 1).when(number < 0, -1)
 
 
-def order_size(budget: Column, leverage: Column, price: Column, least: float, most: float, slippage_bps: Column, max_slippage_bps: float, open_orders: Column, max_open: int) -> list[Column]:
-    """Notional, quantity and the first reason against an order (null: none)."""
+def order_size(budget: Column, leverage: Column, price: Column, least: float, most: float, slippage_bps: Column, max_slippage_bps: float, open_orders: Column, max_open: int, free: Column | None = None, buffer: float = 0.05) -> list[Column]:
+    """Notional, quantity and the first reason against an order (null: none). With ``free`` cash the margin, notional over leverage and a buffer, must not exceed it."""
     notional = budget * leverage
     reason = F.when(notional < least, "below_min_notional").when(notional > most, "above_max_notional").when(slippage_bps > max_slippage_bps, "slippage").when(open_orders >= max_open, "open_orders")
+    if free is not None:
+        reason = reason.when(ratio(notional, leverage) * (1 + max(0.0, buffer)) > free, "margin")
     return [notional.alias("notional"), ratio(notional, price).alias("quantity"), reason.alias("rejected")]
 
 
@@ -212,6 +229,17 @@ def purged_months(times: DataFrame, on: str, k: int, embargo: int = 0, every: Co
     return last.withColumns({"train_before": F.col("test_start") - embargo, "train_from": F.col("test_end") + embargo})
 
 
+def long_enough(times: DataFrame, on: str, folds: DataFrame, days: int = 30) -> DataFrame:
+    """Folds (of ``purged_months``) whose training times span at least ``days`` days, first and last counted: one aggregate with two values a fold."""
+    day = F.floor(F.col(on) / 86_400_000)
+    bounds = folds.select("fold", "train_before", "train_from").collect()  # a row for each fold
+    if not bounds:
+        return folds
+    outside = lambda f: F.when((F.col(on) < f.train_before) | (F.col(on) >= f.train_from), day)
+    spans = times.agg(*[(F.max(outside(f)) - F.min(outside(f)) + 1).alias(str(f.fold)) for f in bounds]).first()
+    return folds.where(F.col("fold").isin([f.fold for f in bounds if (spans[str(f.fold)] or 0) >= days]))
+
+
 def top_loadings(loadings: DataFrame, n: int) -> DataFrame:
     """The n features with the greatest absolute loading on each component, of (component, feature, loading); ties by name."""
     order = W.partitionBy("component").orderBy(F.desc(F.abs("loading")), "feature")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import EPS, average_rank, correlation, normal_cdf, ratio
+from .windows import positions
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "feature", value: str = "x") -> DataFrame:
@@ -295,6 +297,38 @@ def best_threshold(scores: DataFrame, steps: int = 101, beta: float = 1.0) -> Da
     return g.select((F.col("b") / (steps - 1.0)).alias("threshold"), f.alias("fbeta")).orderBy(F.desc("fbeta"), "threshold").limit(1)
 
 
+def quantile_grid(scores: DataFrame, steps: int = 201, score: str = "score") -> list[float]:
+    """Distinct quantiles of the scores at an even grid of levels, between neighbours by position: rows are numbered by counts of cells, and only those
+    beside a level come to the driver."""
+    known = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).cast("double").alias("score"))
+    low, high, n = known.agg(F.min("score"), F.max("score"), F.count(F.lit(1))).first()
+    if not n:
+        return []
+    at = [k / (steps - 1) * (n - 1) for k in range(steps)]
+    needed = known.sparkSession.createDataFrame([(i,) for i in sorted({j for x in at for j in (math.floor(x), math.ceil(x))})], "i long")
+    found = dict(positions(known, [], "score", max((high - low) / 1024, 1e-300)).join(F.broadcast(needed), "i").select("i", "score").collect())
+    return sorted({found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at})
+
+
+def threshold_scores(scores: DataFrame, thresholds: list[float], beta: float = 0.5) -> DataFrame:
+    """(threshold, fbeta, macro) of (score, y) for each of some hundred ascending thresholds: F-beta of the rows at or above it, and the mean over both classes.
+
+    Rows are counted by the thresholds they reach, then cumulated; unknown scores or labels are left out.
+    """
+    grid = F.array(*[F.lit(float(t)) for t in thresholds])
+    reached = F.size(F.filter(grid, lambda t: t <= F.col("score")))
+    known = scores.where(F.col("score").isNotNull() & ~F.isnan("score") & F.col("y").isNotNull())
+    counts = known.select(reached.alias("b"), F.col("y").cast("long").alias("y")).groupBy("b").agg(F.sum("y").alias("pos"), F.count(F.lit(1)).alias("n"))
+    steps = scores.sparkSession.createDataFrame([(k, float(thresholds[k - 1]) if k else None) for k in range(len(thresholds) + 1)], "b int, threshold double")
+    above, one = W.orderBy(F.desc("b")).rowsBetween(W.unboundedPreceding, 0), W.partitionBy(F.lit(0))  # a row for each threshold
+    g = steps.join(F.broadcast(counts), "b", "left").fillna(0, ["pos", "n"])
+    g = g.withColumns({"tp": F.sum("pos").over(above), "said": F.sum("n").over(above), "all_pos": F.sum("pos").over(one), "all": F.sum("n").over(one)}).where("threshold is not null")
+    score = lambda tp, said, real: F.coalesce(ratio((1 + beta**2) * tp, beta**2 * real + said), F.lit(0.0))
+    tp, said, pos, n = F.col("tp"), F.col("said"), F.col("all_pos"), F.col("all")
+    one_class, other = score(tp, said, pos), score((n - said) - (pos - tp), n - said, n - pos)
+    return g.select("threshold", one_class.alias("fbeta"), ((one_class + other) / 2).alias("macro"))
+
+
 def sharpe(df: DataFrame, by: list[str], on: str, signal: str, ret: str, per_year: float = 252.0, population: bool = False) -> DataFrame:
     """Yearly Sharpe ratio of the sign of yesterday's signal times today's return; with ``population`` over the population's deviation plus 1e-9."""
     w = W.partitionBy(*by).orderBy(on)

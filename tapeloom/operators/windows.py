@@ -233,8 +233,11 @@ def bfill(x: Column, w: WindowSpec) -> Column:
 
 
 def fill(df: DataFrame, by: list[str], on: str, columns: list[str], method: str, cell: int = DAYS_30) -> DataFrame:
-    """``zero``; ``last``: forward, then backward; ``linear``: between neighbours by position, ends as in ``last``. Times are unique in a series;
+    """``raise``: fail on the first null or NaN; ``zero``; ``last``: forward, then backward; ``linear``: between neighbours by position, ends as in ``last``. Times are unique in a series;
     it is worked on by cells of ``cell`` units of ``on``."""
+    if method == "raise":
+        refused = {c: F.when(clean(F.col(c)).isNull(), F.raise_error(F.lit(f"no number in {c}"))).otherwise(F.col(c)) for c in columns}
+        return df.withColumns(refused)
     if method == "zero":
         return df.fillna(0, subset=columns)
     if method == "last":
@@ -277,6 +280,13 @@ def equal_spacing(df: DataFrame, by: list[str], on: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count_distinct("step").alias("steps"), F.median("step").alias("median_step")).withColumn("even", F.col("steps") == 1)
 
 
+def require_spacing(df: DataFrame, by: list[str], on: str, step: int) -> DataFrame:
+    """``df``, failing when it runs if two neighbours of a series do not lie ``step`` apart."""
+    apart = F.col(on) - F.lag(on).over(series(by, on))
+    checked = F.when(apart != step, F.raise_error(F.concat(F.lit("uneven step at "), F.col(on).cast("string")))).otherwise(F.col(on))
+    return df.withColumn(on, checked)
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
     return df.withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")

@@ -191,6 +191,14 @@ def sequence_gaps(spark, sf_dir):
     return K.sequence_gaps(d).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.max("epoch").alias("gaps"))
 
 
+@query("sequence_epochs", TAPE_SQL.join(["WITH ", """, d AS (SELECT symbol, seq, coalesce(seq - 1 <> lag(seq) OVER (PARTITION BY symbol ORDER BY seq), false) AS gap FROM tape)
+SELECT symbol, seq, gap, sum(gap::INT) OVER (PARTITION BY symbol ORDER BY seq)::BIGINT AS epoch FROM d"""]))
+def sequence_epochs(spark, sf_dir):
+    """Every diff with its flag and epoch, over cells of 500 arrivals."""
+    d = tape(spark, sf_dir).select("symbol", "seq", F.col("seq").alias("first_id"), F.col("seq").alias("final_id"), F.lit(None).cast("long").alias("prev_id"))
+    return K.sequence_gaps(d, 500).select("symbol", "seq", "gap", F.col("epoch").cast("long").alias("epoch"))
+
+
 # ---------------------------------------------------------------- joins
 
 

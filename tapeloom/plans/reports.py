@@ -69,6 +69,22 @@ def purged_months(spark, sf_dir):
     return f.withColumn("fold", F.col("fold").cast("int"))
 
 
+@query("folds_long_enough", """WITH m AS (SELECT *, ntile(5) OVER (ORDER BY month) - 1 AS fold FROM (SELECT DISTINCT date_trunc('month', o_orderdate)::TIMESTAMP AS month FROM orders)),
+f AS (SELECT fold::INT AS fold, epoch_ms(max(month)) AS test_start, epoch_ms(max(month) + INTERVAL 1 MONTH) AS test_end, epoch_ms(max(month)) - 86400000 AS train_before, epoch_ms(max(month) + INTERVAL 1 MONTH) + 86400000 AS train_from FROM m GROUP BY fold)
+SELECT f.* FROM f WHERE (SELECT max(t // 86400000) - min(t // 86400000) + 1 FROM (SELECT epoch_ms(o_orderdate) AS t FROM orders) o WHERE t < train_before OR t >= train_from) >= 2404""")
+def folds_long_enough(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    f = P.purged_months(o, "t", 5, 24 * HOUR)
+    return P.long_enough(o, "t", f, 2404).withColumn("fold", F.col("fold").cast("int"))
+
+
+@query("order_margin", sql(TAPE_SQL, "SELECT seq, qty * 10 AS notional, CASE WHEN qty * 10 < 50 THEN 'below_min_notional' WHEN qty * 10 > 900 THEN 'above_max_notional' WHEN qty * 1.05 > price THEN 'margin' END AS rejected FROM tape", "seq rejected", "notional"))
+def order_margin(spark, sf_dir):
+    """Sizing with ten times leverage against the price as free cash."""
+    t = tape(spark, sf_dir)
+    return rounded(t.select("seq", *P.order_size(F.col("qty"), F.lit(10.0), F.col("price"), 50.0, 900.0, F.lit(0.0), 8.0, F.lit(0), 8, free=F.col("price"))).drop("quantity"))
+
+
 @query("vote_backtest")
 def vote_backtest(spark, sf_dir):
     """One position at a time over the labelled events (checked against a straight loop in the tests)."""

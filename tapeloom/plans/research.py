@@ -451,6 +451,16 @@ def best_threshold(spark, sf_dir):
     return rounded(S.best_threshold(t))
 
 
+_LEVELS = [k / 200 for k in range(201)]
+
+
+@query("threshold_sweep", sql(TAPE_SQL + f", s AS (SELECT price AS score, (qty >= 50)::INT AS y FROM tape), t AS (SELECT DISTINCT unnest(quantile_cont(score, {_LEVELS})) AS t FROM s), c AS (SELECT t, (SELECT count(*) FROM s) AS n, (SELECT sum(y) FROM s) AS p, (SELECT count(*) FROM s WHERE score >= t) AS said, (SELECT coalesce(sum(y), 0) FROM s WHERE score >= t) AS tp FROM t), f AS (SELECT t, coalesce(1.25 * tp / nullif(0.25 * p + said, 0), 0) AS one, coalesce(1.25 * (n - said - p + tp) / nullif(0.25 * (n - p) + n - said, 0), 0) AS other FROM c)", "SELECT t AS threshold, one AS fbeta, (one + other) / 2 AS macro FROM f", "", "threshold fbeta macro"))
+def threshold_sweep(spark, sf_dir):
+    """F-scores at the quantiles of unbounded scores."""
+    t = tape(spark, sf_dir).select(F.col("price").alias("score"), (F.col("qty") >= 50).cast("int").alias("y"))
+    return rounded(S.threshold_scores(t, S.quantile_grid(t)))
+
+
 @query("sharpe", sql(BARS_SQL + ", p AS (SELECT symbol, sign(lag(close - open) OVER w) * ln(close / lag(close) OVER w) AS pnl FROM bars WHERE close > 0 WINDOW w AS (PARTITION BY symbol ORDER BY bar))", "SELECT symbol, avg(pnl) / stddev_samp(pnl) * sqrt(252) AS sharpe FROM p GROUP BY symbol", "symbol", "sharpe"))
 def sharpe(spark, sf_dir):
     w = W.partitionBy("symbol").orderBy("bar")

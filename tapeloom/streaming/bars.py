@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numeric import EPS
@@ -126,3 +127,52 @@ def merge_latest(path: str, keys: list[str], seq: str):
         last_write_wins(rows, keys, seq).write.mode("overwrite").parquet(f"{path}/v{batch_id}")
 
     return run
+
+
+def append_latest(path: str, keys: list[str], seq: str, every: int = 32):
+    """A function for ``foreachBatch`` that keeps a table of the last row of each key at the cost of the batch: a batch adds its own part, and every ``every``
+    batches the parts become a new base. A repeated batch writes its part again, so retries change nothing. ``read_latest`` reads it."""
+    from ..operators.book import last_write_wins
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        last_write_wins(batch, keys, seq).write.mode("overwrite").parquet(f"{path}/kind=part/version={batch_id}")
+        if (batch_id + 1) % every == 0:
+            read_latest(batch.sparkSession, path, keys, seq, before=batch_id).write.mode("overwrite").parquet(f"{path}/kind=base/version={batch_id}")
+
+    return run
+
+
+def read_latest(spark: SparkSession, path: str, keys: list[str], seq: str, before: int | None = None) -> DataFrame:
+    """The last row of each key in a table of ``append_latest``: the newest base (older than batch ``before``) and the parts after it; other files are not read."""
+    from ..operators.book import last_write_wins
+
+    rows = spark.read.parquet(path)
+    if before is not None:
+        rows = rows.where(F.when(F.col("kind") == "base", F.col("version") < before).otherwise(F.col("version") <= before))
+    base = rows.where("kind = 'base'").agg(F.max("version")).first()[0]
+    if base is not None:
+        rows = rows.where((F.col("version") > base) | ((F.col("version") == base) & (F.col("kind") == "base")))
+    return last_write_wins(rows.drop("kind", "version"), keys, seq)
+
+
+def write_days_on_arrival(rows: DataFrame, path: str, checkpoint: str, recv_ms: str = "recv_ms", zone: str = "Asia/Taipei", every: str = "5 seconds", once: bool = False) -> StreamingQuery:
+    """Start a query that writes a stream as JSON lines by local day of receipt, each row in its own day. A batch ends after ``every``; how many rows
+    it may hold is the source's option (``maxFilesPerTrigger`` or the like). ``once``: what is there now, then stop."""
+    day = F.date_format(F.from_utc_timestamp(F.timestamp_millis(recv_ms), zone), "yyyy-MM-dd")
+    sink = rows.withColumn("dt", day).writeStream.partitionBy("dt").format("json").option("checkpointLocation", checkpoint).outputMode("append")
+    return (sink.trigger(availableNow=True) if once else sink.trigger(processingTime=every)).start(path)
+
+
+def newest_book(path: str, k: int | None = None):
+    """A function for ``foreachBatch`` over full books (symbol, side, price, qty, seq): the levels of each symbol's newest seq of the batch, at most the ``k`` best,
+    overwrite its folder; symbols without news keep theirs."""
+    from ..operators.book import top_levels
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        newest = batch.join(batch.groupBy("symbol").agg(F.max("seq").alias("seq")), ["symbol", "seq"])
+        if k is not None:
+            level = F.explode("levels").alias("level")
+            newest = top_levels(newest, k).select("symbol", "side", level).select("symbol", "side", "level.*")
+        newest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
+
+    return run
