@@ -7,7 +7,8 @@ windows of that length, one at every word, are signed with 16 minima of their fi
 a template is one window. A window matches if it contains at least 0.8 of the template's shingles. Windows that hold fewer known shingles
 match nothing and are not signed (no match is lost by this). Two bags of equal size of which one contains 0.8 of the other have a Jaccard
 similarity of 0.8 / 1.2 = 0.667, at which a window is retrieved with probability 1 - (1 - 0.444)**8 = 0.991; at containment 0.9 it is 0.9998, and 1 at 1. Of overlapping matches
-the best is reported (most of its shingles, then the longest, then the first).
+the best is reported (most of its shingles, then the longest, then the first). The contents of all
+windows of a text are counted together, in a time that grows with its known shingles and windows, not with their product.
 
 (Texts of a family differ in a few words, so windows over one of them also match its kin; the best one tells the version.)
 
@@ -17,6 +18,7 @@ kept; other columns are ignored; an empty table gives an empty result; texts of
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,6 +31,10 @@ from .license_texts import TEXTS
 from .shingles import SIMILARITY, WORDS, WordHashes, mix, normal_words, shingle_hashes
 
 ROWS, BANDS = 2, 8
+#: Windows that are signed at once.
+STARTS = 1 << 16
+#: Matches that are held against those taken at once.
+TRIED = 4096
 
 _AS_IS = 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 _MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS
@@ -108,6 +114,8 @@ class Scanner:
             seen = np.zeros(1 << 16, bool)
             seen[(keys >> np.uint64(48)).astype(np.int64)] = True
             self.index[kind] = (keys[order], of[order], seen)
+        #: By (words of a shingle, window's words): which of the known shingles those templates have.
+        self.members = {kind: np.isin(self.known[kind[0]][0], np.concatenate([self.templates[k][3] for k in set(of.tolist())])) for kind, (_, of, _) in self.index.items()}
 
     def permuted(self, h: np.ndarray) -> np.ndarray:
         p = self.factors[:, None] * h
@@ -120,50 +128,100 @@ class Scanner:
         keys += np.arange(1, BANDS + 1, dtype=np.uint64)[:, None]
         return keys * np.uint64(0xBF58476D1CE4E5B9)
 
-    def scan(self, data: bytes) -> list[tuple[str, int, int, float]]:
-        """(license, first word, words, containment)."""
-        w = self.hashes.of(normal_words(data))
-        found: list[tuple[int, int, int, float]] = []
-        hashes: dict[int, np.ndarray] = {}
-        for size in sorted({k[0] for k in self.index}):
-            if len(w) < size:
-                continue
-            h = hashes[size] = shingle_hashes(w, size)
-            known, heads = self.known[size]
-            maybe = np.flatnonzero(heads[(h >> np.uint64(44)).astype(np.int64)])
-            maybe = maybe[known[np.minimum(np.searchsorted(known, h[maybe]), len(known) - 1)] == h[maybe]]
-            if not len(maybe):
-                continue
-            held = np.zeros(len(h) + 1, np.int64)
-            held[maybe + 1] = 1
-            held = np.cumsum(held)
+    def retrieved(self, h: np.ndarray, places: np.ndarray, known: np.ndarray, size: int) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(shingles of a window, template, first shingles) of the windows of ``h`` that share a band with a template. places: where h has known shingles,
+        and which ones."""
+        kinds = sorted(k[1] for k in self.index if k[0] == size)
+        starts_of = {}
+        for words in kinds:
+            n = min(words - size + 1, len(h))  # shingles of the window; a shorter text is one window
+            own = places[self.members[size, words][known]]
+            if len(own) >= self.least[size, words]:
+                held = np.zeros(len(h) + 1, np.int32)
+                held[own + 1] = 1
+                held = np.cumsum(held, dtype=np.int32)
+                starts_of[words, n] = np.flatnonzero(held[n:] - held[:-n] >= self.least[size, words])
+        widest = max((n for _, n in starts_of), default=0)
+        for a in range(0, len(h), STARTS):
+            block = h[a : a + STARTS + widest]
             low, covers = None, 1
-            for words in sorted(k[1] for k in self.index if k[0] == size):
-                n = min(words - size + 1, len(h))  # shingles of the window; a shorter text is one window
-                starts = np.flatnonzero(held[n:] - held[:-n] >= self.least[size, words])
+            for (words, n), all_starts in starts_of.items():
+                starts = all_starts[np.searchsorted(all_starts, a) : np.searchsorted(all_starts, a + STARTS)] - a
                 if not len(starts):
                     continue
-                low = self.permuted(h) if low is None else low
+                low = self.permuted(block) if low is None else low
                 while covers < n:
                     step = min(covers, n - covers)
                     low = np.minimum(low[:, :-step], low[:, step:])
                     covers += step
                 keys, of, seen = self.index[size, words]
-                band = self.bands(low[:, starts])
-                _, at = np.nonzero(seen[(band >> np.uint64(48)).astype(np.int64)])
-                for i in np.unique(at).tolist():
-                    start = int(starts[i])
-                    near = of[np.isin(keys, band[:, i])]
-                    inside = h[start : start + n]
-                    for k in np.unique(near).tolist():
-                        share = float(np.isin(self.templates[k][3], inside).mean())
-                        if share >= self.threshold:
-                            found.append((k, start, n + size - 1, share))
-        out: list[tuple[int, int, int, float]] = []
-        for k, start, words, share in sorted(found, key=lambda f: (-f[3], -f[2], f[1], f[0])):
-            if all(start >= o[1] + o[2] or o[1] >= start + words for o in out):
-                out.append((k, start, words, share))
-        return [(self.templates[k][0], start, words, share) for k, start, words, share in sorted(out, key=lambda o: (o[1], o[0]))]
+                near = np.zeros((len(self.templates), len(starts)), bool)
+                for band in self.bands(low[:, starts]):
+                    at = np.flatnonzero(seen[(band >> np.uint64(48)).astype(np.int64)])
+                    first, behind = (np.searchsorted(keys, band[at], side) for side in ("left", "right"))
+                    while len(at):  # keys that several templates have follow one another
+                        more = first < behind
+                        at, first, behind = at[more], first[more], behind[more]
+                        near[of[first], at] = True
+                        first = first + 1
+                for k in np.flatnonzero(near.any(axis=1)).tolist():
+                    yield n, k, a + starts[near[k]]
+
+    def shares(self, template: int, known: np.ndarray, h: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+        """The part of the template's shingles that windows of n shingles hold. known: places of all known shingles in h.
+
+        A shingle at p, last seen before at q, is new to the windows that start behind q and reach p, so a window holds as many different ones as such spans begin
+        up to its start, less those that end before it: all windows together take the time of two sorted lists.
+        """
+        own = self.templates[template][3]
+        known = known[np.searchsorted(known, starts[0]) : np.searchsorted(known, starts[-1] + n)]
+        at = np.searchsorted(own, h[known])
+        inside = own[np.minimum(at, len(own) - 1)] == h[known]
+        places, at = known[inside], at[inside]
+        order = np.argsort(at, kind="stable")
+        before = np.full(len(places), -1)
+        again = np.flatnonzero(np.diff(at[order]) == 0) + 1
+        before[order[again]] = places[order[again - 1]]
+        begins = np.sort(np.maximum(before + 1, places - n + 1))
+        return (np.searchsorted(begins, starts, "right") - np.searchsorted(places, starts, "left")) / len(own)
+
+    def scan(self, data: bytes) -> list[tuple[str, int, int, float]]:
+        """(license, first word, words, containment)."""
+        w = self.hashes.of(normal_words(data))
+        found: list[np.ndarray] = []  # share, words, start, template
+        for size in sorted({k[0] for k in self.index}):
+            if len(w) < size:
+                continue
+            h = shingle_hashes(w, size)
+            known, heads = self.known[size]
+            places = np.flatnonzero(heads[(h >> np.uint64(44)).astype(np.int64)])
+            places = places[known[np.minimum(np.searchsorted(known, h[places]), len(known) - 1)] == h[places]]
+            if not len(places):
+                continue
+            numbers = np.searchsorted(known, h[places])
+            for n, k, starts in self.retrieved(h, places, numbers, size):
+                share = self.shares(k, places, h, n, starts)
+                good = share >= self.threshold
+                found.append(np.stack([share[good], np.full(good.sum(), n + size - 1.0), starts[good], np.full(good.sum(), float(k))]))
+        if not found:
+            return []
+        share, words, start, k = np.concatenate(found, axis=1)
+        order = np.lexsort((k, start, -words, -share))
+        rows = np.stack([start, start + words, k])[:, order].astype(np.int64)
+        firsts: list[int] = []  # of those taken, in order, with what they are
+        taken: list[tuple[int, int, float]] = []
+        for c in range(0, len(order), TRIED):
+            # most overlap one that was taken before; the rest is tried one by one
+            some, score = rows[:, c : c + TRIED], share[order[c : c + TRIED]]
+            at = np.searchsorted(firsts, some[0], "right")
+            ends, begins = np.array([-1, *(x[0] for x in taken)]), np.array([*firsts, np.iinfo(np.int64).max])
+            free = (ends[at] <= some[0]) & (begins[at] >= some[1])
+            for a, z, i, s in zip(*some[:, free].tolist(), score[free].tolist()):
+                at = bisect_right(firsts, a)
+                if (not at or taken[at - 1][0] <= a) and (at == len(firsts) or firsts[at] >= z):
+                    firsts.insert(at, a)
+                    taken.insert(at, (z, i, s))
+        return [(self.templates[i][0], a, z - a, s) for a, (z, i, s) in zip(firsts, taken)]
 
 
 @lru_cache(maxsize=1)
