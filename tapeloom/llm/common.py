@@ -78,6 +78,17 @@ def delete(spark: SparkSession, path: str) -> None:
     own.getFileSystem(spark._jsc.hadoopConfiguration()).delete(own, True)
 
 
+def positional(docs: DataFrame, own: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``docs`` with its columns named by their places (x0, x1, ...), but for those of ``own``. So columns may have any names, with dots, back-ticks or those of
+    helpers in any case; ``.toDF(*docs.columns)`` gives the names back. Of names that differ in case only, the one as written in ``own`` counts."""
+    names = [f"x{i}" for i in range(len(docs.columns))]
+    for c in own:
+        alike = [i for i, name in enumerate(docs.columns) if name.lower() == c]
+        if alike:
+            names[next((i for i in alike if docs.columns[i] == c), alike[0])] = c
+    return docs.toDF(*names)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

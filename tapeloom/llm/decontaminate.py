@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, map_texts, materialise, slices
+from .common import bytes_of, map_texts, materialise, positional, slices
 from .shingles import SIMILARITY, WORDS, WordHashes, normal_words, positions_of, shingle_hashes
 
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
@@ -185,8 +185,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY,
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY, part_words: int = PART_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark item is found. The test runs where the row lies: no join."""
-    spark = docs.sparkSession
+    """The rows of ``docs``, all columns, in which no benchmark item is found. The test runs where the row lies: no join.
+    Columns may have any names."""
+    spark, names, docs = docs.sparkSession, docs.columns, positional(docs)
     for items in benchmark_parts(benchmark, part_words):
         held = spark.sparkContext.broadcast((uuid.uuid4().hex, items))
 
@@ -196,4 +197,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILAR
                 yield batch.filter(pa.array([not bench.matches(x) for x in bytes_of(batch)], pa.bool_()))
 
         docs = map_texts(docs, run, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bytes_of, held_out, map_texts, materialise, slices, training_rows
+from .common import bytes_of, held_out, map_texts, materialise, positional, slices, training_rows
 
 #: Bounds of the sample that the classifier is fitted on: rows, and bytes for each dictionary (a longer text is cut there).
 SAMPLE_ROWS, SAMPLE_BYTES = 12_000, 6_000_000
@@ -133,7 +133,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs``, all columns, that score at least the threshold; no join, no shuffle."""
+    """The rows of ``docs``, all columns, that score at least the threshold; no join, no shuffle. Columns may have any names."""
+    names, docs = docs.columns, positional(docs)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,4 +144,4 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
             x = np.array([sizes.difference(t) for t in bytes_of(batch)])
             yield batch.filter(pa.array(1 / (1 + np.exp(-(m.a + m.b * x))) >= threshold, pa.bool_()))
 
-    return map_texts(docs, run, docs.schema)
+    return map_texts(docs, run, docs.schema).toDF(*names)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import materialise, positional
 
 REACH = 200
 #: Texts with secrets, and spans in them (16 bytes each), that may be broadcast when texts are rewritten.
@@ -145,18 +145,15 @@ def masked_text(text: Column, spans: Column, mask: str = MASK) -> Column:
 
 def mask_secrets(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """The rows of ``docs``, all columns, with every span replaced by ``mask`` (overlapping spans by one) and n_chars
-    set anew. Spans depend on the text alone, so they are joined by the text's digest."""
-    key = "text_digest"
-    while {key, key + "spans"} & set(docs.columns):
-        key += "_"
-    parts = scanned(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    found = merged(spans_of(parts).join(parts.select("row", "digest"), "row"), "digest")
-    found = materialise(found.select(F.col("digest").alias(key), F.col("masked").alias(key + "spans")), "secret-masks")
-    rows, marks = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size(key + "spans")), F.lit(0))).first()
+    set anew. Spans depend on the text alone, so they are joined by the text's digest. Columns may have any names."""
+    names, docs, key = docs.columns, positional(docs, ("doc_id", "text", "n_chars")), "digest"
+    parts = scanned(docs, F.sha2(F.coalesce("text", F.lit("")), 256).alias(key))
+    found = materialise(merged(spans_of(parts).join(parts.select("row", key), "row"), key), "secret-masks")
+    rows, marks = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("masked")), F.lit(0))).first()
     small = rows <= BROADCAST_ROWS and marks <= BROADCAST_SPANS
     both = docs.withColumn(key, F.sha2(F.coalesce("text", F.lit("")), 256)).join(F.broadcast(found) if small else found, key, "left")
-    spans = F.col(key + "spans")
+    spans = F.col("masked")
     out = both.withColumn("text", F.when(spans.isNull() | F.col("text").isNull(), F.col("text")).otherwise(masked_text(F.col("text"), spans, mask)))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(spans.isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.select(*docs.columns).toDF(*names)

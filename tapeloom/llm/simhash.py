@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bytes_of, map_texts, materialise, shuffle_partitions, slices
+from .common import bytes_of, map_texts, materialise, positional, shuffle_partitions, slices
 from .components import connected_components
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
@@ -171,8 +171,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of ``docs``, all columns, without near copies: of each group the row with the smallest doc_id.
 
     Rows without doc_id stay. Rows that repeat a doc_id are judged by their own texts: one goes only if its own group has a
-    smaller doc_id. Of those of one doc_id and one group that would stay, one does (that with the smallest values, column by column).
+    smaller doc_id. Of those of one doc_id and one group that would stay, one does (that with the smallest text, of equal texts that whose row as JSON has the smallest digest).
+    Columns may have any names and types.
     """
+    names, docs = docs.columns, positional(docs)
     groups = rooted_groups(docs, radius)
     gone = materialise(groups.where("doc_id <> component_id").select("doc_id").distinct(), "simhash-gone")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
@@ -182,18 +184,17 @@ def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     small = gone.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
     if not repeats:
-        return left
-    print_, root = "simhash fp", "simhash root"  # beside the columns of docs
+        return left.toDF(*names)
     kept = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             fps = np.array([fingerprint(x) for x in bytes_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, print_])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps)], names=[*batch.schema.names, "fp"])
 
     rows = docs.join(again, "doc_id", "left_semi").select(*kept)
-    rows = map_texts(rows, run, StructType([*rows.schema.fields, StructField(print_, LongType())]))
-    own = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", F.col("fp").alias(print_), F.col("root").alias(root)).distinct()
-    others = [F.col(c) for c in kept if c != "doc_id"]
-    one = rows.join(own, ["doc_id", print_]).groupBy("doc_id", root).agg(F.min(F.struct(*others)).alias("row")).select("doc_id", "row.*")
-    return left.join(again, "doc_id", "left_anti").select(*kept).union(one.select(*kept))
+    rows = map_texts(rows, run, StructType([*rows.schema.fields, StructField("fp", LongType())]))
+    own = groups.join(again, "doc_id", "left_semi").where("doc_id = component_id").select("doc_id", "fp", "root").distinct()
+    row = F.struct(*[c for c in kept if c != "doc_id"])
+    one = rows.join(own, ["doc_id", "fp"]).groupBy("doc_id", "root").agg(F.min_by(row, F.struct("text", F.sha2(F.to_json(row), 256))).alias("row")).select("doc_id", "row.*")
+    return left.join(again, "doc_id", "left_anti").select(*kept).union(one.select(*kept)).toDF(*names)
