@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import clean, gated
-from .windows import expanding_quantile, ffill, fractional_difference, last_n, positions
+from .ranks import expanding_quantile
+from .windows import ffill, fractional_difference, last_n, positions
 
 BLOCK = 256  # bars in a block, and blocks in a block of blocks
 
@@ -40,8 +41,8 @@ def fixed_horizon(bars: DataFrame, by: list[str], on: str, k: int, kind: str = "
         rows = _past_deviation(rows, w, width, "size").withColumn("size", F.lag(F.col("size") * (scale * k**0.5)).over(w))
     elif kind == "quantile":
         rows = rows.withColumn("past", F.log(close / F.lag(close, k).over(w)))
-        low, high = (expanding_quantile(F.col("past"), w, level, least) for level in (q, 1 - q))
-        rows = rows.withColumn("size", F.greatest(F.abs(low), F.abs(high))).drop("past")
+        rows = expanding_quantile(rows, by, on, "past", {"low size": q, "high size": 1 - q}, least)
+        rows = rows.withColumn("size", F.greatest(F.abs("low size"), F.abs("high size"))).drop("past", "low size", "high size")
     elif kind == "triple":
         rows = _past_deviation(rows, w, width, "size").withColumn("log close", F.log(close))
         ahead = w.rowsBetween(1, k)

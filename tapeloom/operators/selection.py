@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import EPS, ratio
+from .ranks import below, join_on
 from .windows import positions
 
 
@@ -27,8 +28,8 @@ def roc_points(scores: DataFrame, steps: int = 101) -> DataFrame:
 def average_precision(scores: DataFrame, by: list[str]) -> DataFrame:
     """(by, ap) of (score, y): the precision at each distinct score, weighted by the share of ones that it adds. Equal scores are counted together first."""
     counts = scores.where(F.col("score").isNotNull() & F.col("y").isNotNull()).groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    down = W.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)  # a row for each distinct score
-    steps = counts.withColumn("precision", F.sum("pos").over(down) / F.sum("n").over(down))
+    totals = counts.groupBy(*by).agg(F.sum("pos").alias("all pos"), F.sum("n").alias("all n"))
+    steps = join_on(below(counts, by, "score", ["pos", "n"]), totals, by).withColumn("precision", (F.col("`all pos`") - F.col("`below pos`")) / (F.col("`all n`") - F.col("`below n`")))
     return steps.groupBy(*by).agg(ratio(F.sum(F.col("pos") * F.col("precision")), F.sum("pos")).alias("ap"))
 
 

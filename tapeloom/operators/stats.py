@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import EPS, average_rank, correlation, normal_cdf, ratio
-from .windows import positions
+from ..functions.numeric import EPS, correlation, normal_cdf, ratio
+from .ranks import below, exact_quantiles, join_on, numbered, rank_correlation
 
 
 def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "feature", value: str = "x") -> DataFrame:
@@ -22,11 +22,10 @@ def unpivot(df: DataFrame, keys: list[str], columns: list[str], name: str = "fea
 def rank_sums(long: DataFrame, by: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """Per group: n1, n0, the rank sum of the ones and the tie term, for AUC and its kin.
 
-    Values are counted first, so ties and hot groups shrink before the window, which runs over distinct values.
+    Values are counted first, then ranked by cells (``ranks``), so no window spans a hot group.
     """
     counts = long.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*by, x).agg(F.count(F.lit(1)).alias("t"), F.sum(F.col(y).cast("long")).alias("ones"))
-    below = F.coalesce(F.sum("t").over(W.partitionBy(*by).orderBy(x).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = counts.withColumn("r", below + (F.col("t") + 1) / 2.0)
+    ranked = below(counts, by, x, ["t"]).withColumn("r", F.col("`below t`") + (F.col("t") + 1) / 2.0)
     t = F.col("t").cast("double")
     return ranked.groupBy(*by).agg(F.sum("ones").alias("n1"), F.sum(F.col("t") - F.col("ones")).alias("n0"), F.sum(F.col("r") * F.col("ones")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
 
@@ -91,9 +90,9 @@ def false_discovery(tests: DataFrame, p: str = "p", q: float = 0.05) -> DataFram
 def rank_ic(long: DataFrame, by: list[str], least: int = 10, eps: float = 1e-12) -> DataFrame:
     """Spearman correlation of x and y in each group; null for few rows or no spread."""
     rows = long.where("x is not null and y is not null")
-    rows = rows.withColumns({"rx": average_rank(F.col("x"), *by), "ry": average_rank(F.col("y"), *by)})
     good = (F.count(F.lit(1)) >= least) & (F.stddev_pop("y") > 0) & (F.stddev_pop("x") > eps)
-    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.when(good, correlation("rx", "ry")).alias("ic"))
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), good.alias("good"))
+    return join_on(sizes, rank_correlation(rows, by, "x", "y"), by, "left").select(*by, "n", F.when(F.col("good"), F.col("spearman")).alias("ic"))
 
 
 def ic_summary(ics: DataFrame, by: list[str]) -> DataFrame:
@@ -168,10 +167,10 @@ def representatives(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def busiest(pairs: DataFrame, clusters: DataFrame, quantile: float = 0.25) -> DataFrame:
     """(cluster, item): of each cluster the item with the most neighbours in it, at a distance within the quantile of all pairs; ties to the first name."""
-    limit = F.broadcast(pairs.agg(F.percentile("d", F.lit(quantile)).alias("q")))  # one row
+    limit = (exact_quantiles(pairs, {"d": [quantile]})["d"] or [None])[0]
     both = pairs.select("a", "b", "d").union(pairs.select("b", "a", "d"))
     left, right = clusters.select(F.col("item").alias("a"), "cluster"), clusters.select(F.col("item").alias("b"), F.col("cluster").alias("cb"))
-    near = both.crossJoin(limit).join(left, "a").join(right, "b").groupBy("cluster", "a").agg(F.count_if((F.col("cluster") == F.col("cb")) & (F.col("d") <= F.col("q"))).alias("n"))
+    near = both.join(left, "a").join(right, "b").groupBy("cluster", "a").agg(F.count_if((F.col("cluster") == F.col("cb")) & (F.col("d") <= F.lit(limit))).alias("n"))
     return near.groupBy("cluster").agg(F.min_by("a", F.struct((-F.col("n")).alias("n"), "a")).alias("item"))
 
 
@@ -197,12 +196,11 @@ def vote(long: DataFrame, by: list[str], probs: list[str]) -> DataFrame:
 def redundancy(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(pairs, mean_abs_rho): the mean absolute Spearman correlation of all pairs of columns; ``key`` tells rows apart.
 
-    Ranks come from counts of distinct values, so a window spans those of one column and no row is sorted twice.
+    Ranks come from counts of distinct values by cells (``ranks``), so no window spans a column.
     """
     long = df.select(key, *columns).unpivot([key], columns, "feature", "x").where("x is not null")
     counts = long.groupBy("feature", "x").agg(F.count(F.lit(1)).alias("t"))
-    below = F.coalesce(F.sum("t").over(W.partitionBy("feature").orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = long.join(counts.withColumn("r", below + (F.col("t") + 1) / 2.0).drop("t"), ["feature", "x"])
+    ranked = long.join(below(counts, ["feature"], "x", ["t"]).select("feature", "x", (F.col("`below t`") + (F.col("t") + 1) / 2.0).alias("r")), ["feature", "x"])
     ranks = ranked.groupBy(key).agg(*[F.max(F.when(F.col("feature") == c, F.col("r"))).alias(c) for c in columns])
     return pair_products(ranks, columns).agg(F.count("r").alias("pairs"), F.avg(F.abs("r")).alias("mean_abs_rho"))
 
@@ -210,19 +208,21 @@ def redundancy(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def regression_metrics(df: DataFrame, by: list[str], y: str = "y", p: str = "p", huber: float = 1.0) -> DataFrame:
     """Mean squared, root, absolute and Huber loss (of width ``huber``) and both correlations."""
     e = F.col(y) - F.col(p)
-    ranked = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).withColumns({"ry": average_rank(F.col(y), *by), "rp": average_rank(F.col(p), *by)})
+    known = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
     loss = F.when(F.abs(e) <= huber, e * e / 2).otherwise(huber * (F.abs(e) - huber / 2))
-    return ranked.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(loss).alias("huber"), correlation(y, p).alias("pearson"), correlation("ry", "rp").alias("spearman"))
+    found = known.groupBy(*by).agg(F.avg(e * e).alias("mse"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.avg(loss).alias("huber"), correlation(y, p).alias("pearson"))
+    return join_on(found, rank_correlation(known, by, y, p), by, "left")
 
 
 def recent_objective(df: DataFrame, by: list[str], on: str, y: str = "y", p: str = "p", decay: float = 0.9, alpha: float = 1.0, beta: float = 1.0) -> DataFrame:
     """(by, ema_mse, pearson, objective): squared errors with weights that fade by ``decay`` a row from the last one back, and alpha * ema_mse + beta * (1 - pearson).
 
-    Weights need only the rows counted from the end, where they are not yet nothing."""
-    back = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(on))) - 1
-    w = F.pow(F.lit(decay), F.col("rows back"))
+    Rows are counted from the end by cells (``ranks``)."""
+    rows = numbered(df.select(*by, on, y, p), by, on)
+    rows = join_on(rows, rows.groupBy(*by).agg(F.count(F.lit(1)).alias("rows of series")), by)
+    w = F.pow(F.lit(decay), F.col("`rows of series`") - 1 - F.col("i"))
     e = F.col(p) - F.col(y)
-    out = df.withColumn("rows back", back).groupBy(*by).agg((F.sum(w * e * e) / F.sum(w)).alias("ema_mse"), correlation(y, p).alias("pearson"))
+    out = rows.groupBy(*by).agg((F.sum(w * e * e) / F.sum(w)).alias("ema_mse"), correlation(y, p).alias("pearson"))
     return out.withColumn("objective", alpha * F.col("ema_mse") + beta * (1 - F.coalesce("pearson", F.lit(0.0))))
 
 
@@ -239,8 +239,9 @@ def class_bands(df: DataFrame, y: str = "y", p: str = "p", flat: float = 0.4, be
     macro F-beta: rows are counted by the step they fall into and their class, once, and all bands follow from sums of those counts.
     """
     shares = [0.05 + 0.9 * k / (steps - 1) for k in range(steps)]
-    cut = df.agg(F.percentile(F.abs(y), F.lit(flat)).alias("true_band"), F.percentile(F.abs(p), shares).alias("bands"))  # one row
-    held = F.broadcast(cut)
+    sizes = df.select(F.abs(y).alias("y"), F.abs(p).alias("p"))
+    found = exact_quantiles(sizes, {"y": [flat], "p": shares})
+    held = F.broadcast(df.sparkSession.createDataFrame([((found["y"] or [None])[0], found["p"] or None)], "true_band double, bands array<double>"))  # one row
     rows = df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).crossJoin(held)
     # a band k calls a row flat if the row's size is at most the band: from step ``at`` on
     at = F.size(F.filter("bands", lambda b: b < F.abs(p)))
@@ -298,16 +299,8 @@ def best_threshold(scores: DataFrame, steps: int = 101, beta: float = 1.0) -> Da
 
 
 def quantile_grid(scores: DataFrame, steps: int = 201, score: str = "score") -> list[float]:
-    """Distinct quantiles of the scores at an even grid of levels, between neighbours by position: rows are numbered by counts of cells, and only those
-    beside a level come to the driver."""
-    known = scores.where(F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(score).cast("double").alias("score"))
-    low, high, n = known.agg(F.min("score"), F.max("score"), F.count(F.lit(1))).first()
-    if not n:
-        return []
-    at = [k / (steps - 1) * (n - 1) for k in range(steps)]
-    needed = known.sparkSession.createDataFrame([(i,) for i in sorted({j for x in at for j in (math.floor(x), math.ceil(x))})], "i long")
-    found = dict(positions(known, [], "score", max((high - low) / 1024, 1e-300)).join(F.broadcast(needed), "i").select("i", "score").collect())
-    return sorted({found[math.floor(x)] + (found[math.ceil(x)] - found[math.floor(x)]) * (x - math.floor(x)) for x in at})
+    """Distinct quantiles of the scores at an even grid of levels, between neighbours by position."""
+    return sorted(set(exact_quantiles(scores.select(F.col(score).alias("score")), {"score": [k / (steps - 1) for k in range(steps)]})["score"]))
 
 
 def threshold_scores(scores: DataFrame, thresholds: list[float], beta: float = 0.5) -> DataFrame:

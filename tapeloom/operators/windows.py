@@ -109,64 +109,14 @@ def slope(x: Column, w: WindowSpec, n: int) -> Column:
     return total
 
 
-def expanding_pct_rank(df: DataFrame, by: list[str], on: str, value: str, least: int = 200) -> DataFrame:
-    """Add pct_rank: the average rank of a row's value among the values of its key up to that row, as a share; null before ``least``.
-
-    The rank in a growing history is no window function of Spark's; a tree of counts gives it in O(log n) a row. A key is one
-    group: its task holds all its rows.
-    """
-    import numpy as np
-    import pandas as pd
-
-    names = df.columns
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(on, kind="stable")
-        x = pdf[value].to_numpy(float)
-        order, ranks = np.unique(x[~np.isnan(x)]), np.full(len(x), np.nan)
-        tree = np.zeros(len(order) + 1, np.int64)
-
-        def add(i: int) -> None:
-            while i <= len(order):
-                tree[i] += 1
-                i += i & -i
-
-        def upto(i: int) -> int:
-            s = 0
-            while i > 0:
-                s += tree[i]
-                i -= i & -i
-            return int(s)
-
-        n = 0
-        for k, v in enumerate(x):
-            if math.isnan(v):
-                continue
-            i = int(np.searchsorted(order, v)) + 1
-            add(i)
-            n += 1
-            if n >= least:
-                below, equal = upto(i - 1), upto(i) - upto(i - 1)
-                ranks[k] = (below + (equal + 1) / 2) / n
-        return pdf.assign(pct_rank=ranks)
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + ", pct_rank double"
-    out = df.groupBy(*by).applyInPandas(run, schema)
-    return out.withColumn("pct_rank", clean(F.col("pct_rank")))
-
-
-def expanding_quantile(x: Column, w: WindowSpec, q: float, least: int) -> Column:
-    """Exact quantile of the rows before the current one."""
-    past = w.rowsBetween(W.unboundedPreceding, -1)
-    return gated(F.percentile(x, F.lit(q)).over(past), x, past, least)
-
-
 def exponential_mean(df: DataFrame, by: list[str], on: str, x: str, alpha: float, cell: int = DAYS_30, name: str = "ewm", chunk: int | None = None) -> DataFrame:
     """Add y of y_0 = x_0, y_t = (1 - alpha) * y_(t-1) + alpha * x_t over the rows of each series with a value; the others are left out.
 
     The recurrence is linear, so a series is cut into chunks of rows: within a chunk y is a weighted sum (one window), and what a chunk takes over from those before
     it fades with known weights, so the last few chunks' sums give it to a double's precision. No task holds a series, and values equal those of one pass.
     """
+    if alpha >= 1:
+        return positions(df.where(F.col(x).isNotNull()), by, on, cell).withColumn(name, F.col(x).cast("double")).select(*df.columns, "i", name)
     fade = -math.log(1 - alpha)
     size = chunk or max(1, int(min(600 / fade, max(4096, 0.1 / fade))))
     back = max(1, math.ceil(40 / (fade * size)))  # what is older weighs less than 4e-18

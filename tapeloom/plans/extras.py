@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -15,6 +13,7 @@ from ..operators import stats as S
 from ..operators import tables as T
 from ..operators import windows as N
 from ..sources import records
+from ..sources.scratch import new_dir
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
 from .research import _EMB, _clusters, _pairs
 
@@ -194,12 +193,6 @@ def principal_components(spark, sf_dir):
     return rounded(spark.createDataFrame(list(enumerate(shares)), "component int, share double"))
 
 
-def _folder(spark) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tapeloom-")
-    return f"{base.rstrip('/')}/tapeloom/lines-{uuid.uuid4().hex}"
-
-
 @query("bars_from_lines", sql(TAPE_SQL, """SELECT symbol, ts_ms // 3600000 * 3600000 AS bar, count(*) AS trade_count, sum(qty) AS trade_volume, sum(price * qty) / sum(qty) AS vwap, arg_min(price, seq) AS first_price, arg_max(price, seq) AS last_price,
  coalesce(sum(CASE WHEN is_buyer_maker THEN qty END), 0) AS sell_volume, bool_or(seq % 10 = 0) AS missing_ts, max(recv_ms) AS last_recv_ms FROM tape GROUP BY ALL""", "symbol bar trade_count missing_ts last_recv_ms", "trade_volume vwap first_price last_price sell_volume"))
 def bars_from_lines(spark, sf_dir):
@@ -207,7 +200,7 @@ def bars_from_lines(spark, sf_dir):
     t = tape(spark, sf_dir)
     data = F.struct(F.col("symbol").alias("s"), F.col("ts_ms").alias("E"), F.when(F.col("seq") % 10 > 0, F.col("ts_ms")).alias("T"), F.col("price").cast("string").alias("p"), F.col("qty").cast("string").alias("q"), F.col("seq").alias("a"), F.col("is_buyer_maker").alias("m"))
     lines = t.select(F.to_json(F.struct(F.lit("trade").alias("type"), F.col("symbol"), (F.col("recv_ms") / 1000.0).cast("decimal(16,3)").alias("recv_ts"), F.struct(data.alias("data")).alias("msg"))).alias("value"))
-    folder = _folder(spark)
+    folder = new_dir(spark, "lines")
     lines.repartition(4).write.text(folder)
     back = records.in_order(records.trade_lines(spark, folder, glob="*.txt"))
     out = B.trade_bars(back, "1h")

@@ -9,6 +9,7 @@ from ..functions import bartime, numeric
 from ..operators import bars as B
 from ..operators import book as K
 from ..operators import joins as J
+from ..operators import ranks as R
 from ..operators import windows as N
 from .adapters import BARS_SQL, BOOKS_SQL, HOUR, TAPE_SQL, bars, books, rounded, shuffled_tape, sql, table, tape
 
@@ -351,17 +352,17 @@ def decay_linear(spark, sf_dir):
 
 @query("pct_rank_all", sql(BARS_SQL, "SELECT symbol, bar, (rank() OVER (PARTITION BY symbol ORDER BY close) + (count(*) OVER (PARTITION BY symbol, close) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol) AS r FROM bars", "symbol bar", "r"))
 def pct_rank_all(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "bar", N.pct_rank_all(F.col("close"), "symbol").alias("r")))
+    return rounded(R.with_pct_rank(bars(spark, sf_dir).select("symbol", "bar", "close"), ["symbol"], "close", "r").drop("close"))
 
 
 @query("expanding_pct_rank", sql(BARS_SQL + ", n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM bars)", "SELECT a.symbol, a.bar, CASE WHEN count(*) >= 50 THEN (count(*) FILTER (b.close < a.close) + (count(*) FILTER (b.close = a.close) + 1) / 2.0) / count(*) END AS pct_rank FROM n a JOIN n b ON a.symbol = b.symbol AND b.i <= a.i GROUP BY a.symbol, a.bar", "symbol bar", "pct_rank"))
 def expanding_pct_rank(spark, sf_dir):
-    return rounded(N.expanding_pct_rank(bars(spark, sf_dir).select("symbol", "bar", "close"), ["symbol"], "bar", "close", 50).drop("close"))
+    return rounded(R.expanding_pct_rank(bars(spark, sf_dir).select("symbol", "bar", "close"), ["symbol"], "bar", "close", 50).drop("close"))
 
 
 @query("expanding_quantile", sql(BARS_SQL, "SELECT symbol, bar, CASE WHEN count(close) OVER w >= 50 THEN quantile_cont(close, 0.7) OVER w END AS q FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "symbol bar", "q"))
 def expanding_quantile(spark, sf_dir):
-    return rounded(bars(spark, sf_dir).select("symbol", "bar", N.expanding_quantile(F.col("close"), N.series(["symbol"], "bar"), 0.7, 50).alias("q")))
+    return rounded(R.expanding_quantile(bars(spark, sf_dir).select("symbol", "bar", "close"), ["symbol"], "bar", "close", {"q": 0.7}, 50).drop("close"))
 
 
 HOLES = BARS_SQL + ", holes AS (SELECT symbol, bar, CASE WHEN bar // 3600000 % 4 <> 1 THEN close END AS x, row_number() OVER (PARTITION BY symbol ORDER BY bar) AS i FROM bars)"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..operators import joins as J
 from ..operators import levels as X
+from ..operators import ranks as R
 from ..operators import search as G
 from ..operators import selection as P
 from ..operators import tables as T
@@ -44,7 +45,7 @@ def silhouette(spark, sf_dir):
     "SELECT symbol, avg(CASE WHEN rk >= 0.8 THEN ret WHEN rk <= 0.2 THEN -ret ELSE 0 END / 2) * 96 * 365 AS yearly, count(*) FILTER (rk >= 0.8) AS longs, count(*) FILTER (rk <= 0.2) AS shorts FROM r WHERE ret IS NOT NULL GROUP BY symbol", "symbol longs shorts", "yearly"))
 def decile_returns(spark, sf_dir):
     w = N.series(["symbol"], "bar")
-    b = bars(spark, sf_dir).select("symbol", N.pct_rank_all(F.col("close"), "symbol").alias("rk"), (F.lead("close").over(w) - F.col("close")).alias("ret"))
+    b = R.with_pct_rank(bars(spark, sf_dir).select("symbol", "close", (F.lead("close").over(w) - F.col("close")).alias("ret")), ["symbol"], "close", "rk")
     return rounded(P.decile_returns(b, ["symbol"], "rk", "ret"))
 
 
