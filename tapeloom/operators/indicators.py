@@ -4,25 +4,29 @@ A list of names is a plan. Names are parsed into a family and its numbers, repea
 once. Families that rolling windows can express are columns over one window; recursive ones (exponential and Wilder
 means and what is built on them) are computed together in one grouped call. Cumulative ones are running sums.
 
-With ``chunk`` (milliseconds) long series are cut into chunks that carry the bars before them (see ``windows.halo``): rolling families
-are exact if the halo holds their windows; exponential means forget what lies before it, by exp(-2 bars / length).
-Without it a series is one group. Means are seeded by the simple mean of the first n values; Wilder means have weight 1/n.
+Series are cut into chunks of rows, each with as many complete rows before it as its windows reach and its means remember: what lies further back weighs
+less than FORGOTTEN, so values equal those of the whole series to a double's precision, and a hot symbol is many tasks. The first chunk starts with the series.
+(A mean of a ratio that is undefined for longer than that, as over weeks of equal prices, starts anew after it.) Running sums are added up by chunks.
+Means are seeded by the simple mean of the first n values; Wilder means have weight 1/n.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.bartime import day_cycle
 from ..functions.numeric import clean, correlation, gated, sample_kurtosis, sample_skew
-from .windows import halo, last_n, own_rows, slope
+from .ranks import below, join_on, streamed
+from .windows import last_n, slope
 
 NAME = re.compile(r"^([a-z]+(?:_[a-z]+|_z7d|_diff1|1)*?)((?:_\d+(?:\.\d+)?)*)$")
 
@@ -156,8 +160,29 @@ RECURSIVE = {
     "rvi": _rvi, "ewm_m": lambda d, h: _ewm(d, h, False), "ewm_s": lambda d, h: _ewm(d, h, True),
     "amat_lr": lambda d, f, s, m: _long_run(ema(d.close, f), ema(d.close, s), m, True),
 }
-#: Sums from the first bar on; they are never computed on chunks.
-CUMULATIVE = {"pvt", "obv", "aobv", "aobv_lr", "aobv_sr"}
+#: Sums from the first bar on, by what each bar adds. The differences that aobv_lr and aobv_sr look at do not depend on where the sum began.
+CUMULATIVE = {"pvt": "pvt", "obv": "obv", "aobv": "obv"}
+#: Rows of a chunk at least, and the weight at which a mean has forgotten.
+CHUNK, FORGOTTEN = 4096, 1e-17
+
+
+def memory(family: str, numbers: tuple) -> int:
+    """Bars that an indicator needs before its own: a bound of its windows' lengths, and of each mean in turn the bars after which its start is forgotten."""
+    plain = 3 * int(sum(numbers)) + (672 if family == "fng_z7d" else 64)
+    if family not in RECURSIVE or family in CUMULATIVE:
+        return plain
+    a = list(numbers) or {"efi": [13], "kvo": [34, 55, 13], "adx": [14], "dmp": [14], "dmn": [14]}.get(family.rstrip("sh") if family.startswith("kvo") else family, [1, 14, 2] if family.startswith("aobv") else [12, 26, 9])
+    fade = lambda alpha: math.ceil(math.log(FORGOTTEN) / math.log(1 - alpha)) if alpha < 1 else 1
+    mean, wilder = (lambda n: fade(2 / (n + 1))), (lambda n: fade(1 / n))
+    if family in ("rsi", "cmo", "atr", "atrp", "rwi", "rwih", "rwil", "dmp", "dmn"):
+        return plain + wilder(a[0])
+    if family == "adx":
+        return plain + 2 * wilder(a[0])
+    if family in ("ewm_m", "ewm_s"):
+        return plain + fade(1 - 0.5 ** (1 / a[0]))
+    times = {"tema": 3, "massi": 2}.get(family, 1)
+    signal = mean(a[2]) if len(a) > 2 and family[:3] in ("mac", "pvo", "kvo") else 0
+    return plain + times * mean(max(a[:2])) + signal
 
 
 # ------------------------------------------------------------- families over rolling windows
@@ -194,6 +219,13 @@ class Rolling:
         frame = last_n(self.w, n)
         return gated(f(x).over(frame), x, frame, least or n)
 
+    def added(self, family: str) -> Column:
+        """What a bar adds to a running sum."""
+        c, v = F.col("close"), F.col("volume")
+        if family == "pvt":
+            return self.step("pvt1", 100 * (c / F.when(self.lag(c) != 0, self.lag(c)) - 1) * v)
+        return self.step("obv1", F.coalesce(F.signum(c - self.lag(c)), F.lit(1.0)) * v)
+
     def build(self, family: str, a: tuple) -> Column:
         o, h, l, c, v = (F.col(x) for x in ("open", "high", "low", "close", "volume"))
         n = a[0] if a else 0
@@ -273,10 +305,9 @@ class Rolling:
             n = n or 14
             mid = step("hl2", (h + l) / 2)
             return over(F.avg, step("eom1", (mid - lag(mid)) * (h - l) * 1e8 / guard(v), 1), n)
-        if family == "pvt":
-            return F.sum(step("pvt1", 100 * (c / guard(lag(c)) - 1) * v)).over(self.w.rowsBetween(W.unboundedPreceding, 0))
-        if family == "obv":
-            return F.sum(step("obv1", F.coalesce(F.signum(c - lag(c)), F.lit(1.0)) * v)).over(self.w.rowsBetween(W.unboundedPreceding, 0))
+        if family in CUMULATIVE:
+            here = F.sum(F.when(F.col("own"), self.added(CUMULATIVE[family]))).over(self.w.rowsBetween(W.unboundedPreceding, 0))
+            return F.col(f"`before {CUMULATIVE[family]}`") + here
         if family == "bop":
             return (c - o) / guard(h - l)
         if family == "logret":
@@ -306,35 +337,51 @@ class Rolling:
         raise ValueError(f"unknown indicator family {family!r}")
 
 
-def compute(bars: DataFrame, names: Iterable[str], by: list[str], on: str, shift: int = 0, chunk: int | None = None, before: int = 0) -> DataFrame:
-    """``bars``' keys and the named indicators, in order; missing numbers are null. ``shift`` delays all of them by so many bars."""
+def chunks(rows: DataFrame, by: list[str], on: str, size: int, reach: int) -> DataFrame:
+    """rows with the chunk they are worked on in, and ``own`` for the one copy to keep. A chunk has ``size`` complete rows (without nulls), and ``reach`` of those before it."""
+    whole = F.lit(1)
+    for c in rows.columns:
+        if c not in (*by, on):
+            whole = whole * F.col(f"`{c}`").isNotNull().cast("int")
+    placed = below(rows.withColumn("whole", whole), by, on, ["whole"])
+    at, home = F.col("`below whole`"), F.floor(F.col("`below whole`") / size)
+    again = F.explode(F.when(at % size >= size - reach, F.array(home, home + 1)).otherwise(F.array(home)))
+    return placed.withColumn("chunk", again).withColumn("own", F.col("chunk") == home).drop("whole", "below whole")
+
+
+def compute(bars: DataFrame, names: Iterable[str], by: list[str], on: str, shift: int = 0, chunk: int = CHUNK) -> DataFrame:
+    """``bars``' keys and the named indicators, in order; missing numbers are null. ``shift`` delays all of them by so many bars. ``on`` is unique in a series;
+    chunks have ``chunk`` rows at least, more if an indicator's memory is long."""
     plan = read_plan(names)
     parsed = {name: parse(name) for name in plan}
     base = [c for c in ("open", "high", "low", "close", "volume", "fng") if c in bars.columns]
-    rows = bars.select(*by, on, *[clean(F.col(c)).alias(c) for c in base])
-    keys = list(by)
-    if chunk:
-        if summed := [n for n, (f, _) in parsed.items() if f in CUMULATIVE]:
-            raise ValueError(f"cumulative indicators need whole series: {summed}")
-        rows, keys = halo(rows, on, chunk, before), [*by, "chunk"]
-    recursive = {name: p for name, p in parsed.items() if p[0] in RECURSIVE}
+    reach = max([memory(*p) for p in parsed.values()], default=0) + shift
+    rows = chunks(bars.select(*by, on, *[clean(F.col(c)).alias(c) for c in base]), by, on, max(chunk, 2 * reach), reach)
+    keys = [*by, "chunk"]
+    sums = sorted({CUMULATIVE[f] for f, _ in parsed.values() if f in CUMULATIVE})
+    if sums:
+        steps = Rolling(rows, keys, on)
+        added = {s: steps.added(s) for s in sums}
+        totals = steps.frame().where("own").groupBy(*keys).agg(*[F.sum(c).alias(s) for s, c in added.items()])
+        before = W.partitionBy(*by).orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)  # a row for each chunk
+        rows = join_on(rows, totals.select(*keys, *[F.coalesce(F.sum(s).over(before), F.lit(0.0)).alias(f"before {s}") for s in sums]), keys, "left").fillna(0.0, [f"before {s}" for s in sums])
+    recursive = {name: p for name, p in parsed.items() if p[0] in RECURSIVE and p[0] not in CUMULATIVE}
     if recursive:
-        kept = rows.columns
-        schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept) + "".join(f", `{n}` double" for n in recursive)
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + "".join(f", `{n}` double" for n in recursive)
 
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(on, kind="stable").reset_index(drop=True)
-            made = {name: RECURSIVE[family](pdf, *numbers) for name, (family, numbers) in recursive.items()}
-            return pd.concat([pdf[kept], pd.DataFrame(made, index=pdf.index)], axis=1)
+        def run(table: pa.Table) -> list:
+            pdf = table.select(base).to_pandas().astype(float)
+            made = [RECURSIVE[family](pdf, *numbers) for family, numbers in recursive.values()]
+            return [*table.columns, *[pa.array(m.to_numpy(float), from_pandas=True) for m in made]]
 
-        rows = rows.groupBy(*keys).applyInPandas(run, schema)
+        rows = streamed(rows, keys, [on], schema, run)
     rolling = Rolling(rows, keys, on)
     built = {name: F.col(f"`{name}`") if name in recursive else rolling.build(*parsed[name]) for name in plan}
-    out = rolling.frame().select(*by, on, *(["chunk", "own"] if chunk else []), *[clean(c).alias(name) for name, c in built.items()])
+    out = rolling.frame().select(*keys, on, "own", *[clean(c).alias(name) for name, c in built.items()])
     if shift:
         w = W.partitionBy(*keys).orderBy(on)
-        out = out.select(*[c for c in out.columns if c not in plan], *[F.lag(F.col(f"`{n}`"), shift).over(w).alias(n) for n in plan])
-    return own_rows(out) if chunk else out
+        out = out.select(*keys, on, "own", *[F.lag(F.col(f"`{n}`"), shift).over(w).alias(n) for n in plan])
+    return out.where("own").drop("own", "chunk")
 
 
 DEFAULT_PLAN = (
