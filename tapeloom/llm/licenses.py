@@ -135,6 +135,8 @@ class Scanner:
         starts_of = {}
         for words in kinds:
             n = min(words - size + 1, len(h))  # shingles of the window; a shorter text is one window
+            if len(places) < self.least[size, words]:
+                continue
             own = places[self.members[size, words][known]]
             if len(own) >= self.least[size, words]:
                 held = np.zeros(len(h) + 1, np.int32)
