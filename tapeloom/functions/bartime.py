@@ -57,12 +57,6 @@ def to_ms(value: Column, threshold: float = 1e12) -> Column:
     return F.when(value > threshold, value.cast("long")).otherwise((value * 1000).cast("long"))
 
 
-def trade_time(trade_ts: Column, tx_ts: Column, event_ts: Column, recv_ts: Column) -> tuple[Column, Column]:
-    """(time, whether a fallback was used): the trade time if positive, else the first of the others."""
-    missing = ~F.coalesce(trade_ts > 0, F.lit(False))
-    return F.when(missing, F.coalesce(tx_ts, event_ts, recv_ts, F.lit(0))).otherwise(trade_ts), missing
-
-
 def local_bar_times(open_ms: Column, interval: str, zone: str = ZONE) -> list[Column]:
     """Header columns of a bar."""
     close = bar_close_ms(open_ms, interval, zone)

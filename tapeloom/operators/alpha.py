@@ -7,6 +7,9 @@ of trees in one job.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,6 +32,11 @@ def canonical(tree) -> tuple | str | float:
     return (op, *(sorted(done, key=repr) if op in COMMUTATIVE else done))
 
 
+def digest(tree) -> str:
+    """A short name of a tree: the digest of its canonical form as JSON. Equal trees have equal names in any process."""
+    return hashlib.blake2b(json.dumps(canonical(tree), ensure_ascii=False, separators=(",", ":")).encode(), digest_size=16).hexdigest()
+
+
 def _number(x) -> int:
     return int(max(1, min(252, round(float(x)))))
 

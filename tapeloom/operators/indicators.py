@@ -349,10 +349,22 @@ def chunks(rows: DataFrame, by: list[str], on: str, size: int, reach: int) -> Da
     return placed.withColumn("chunk", again).withColumn("own", F.col("chunk") == home).drop("whole", "below whole")
 
 
-def compute(bars: DataFrame, names: Iterable[str], by: list[str], on: str, shift: int = 0, chunk: int = CHUNK) -> DataFrame:
-    """``bars``' keys and the named indicators, in order; missing numbers are null. ``shift`` delays all of them by so many bars. ``on`` is unique in a series;
+def known_names(names: Iterable[str], columns: Iterable[str] = ("open", "high", "low", "close", "volume", "fng")) -> tuple[list[str], list[str]]:
+    """(names that are indicators of these columns, the others), in order, without repeats."""
+    there, good, skipped = set(columns), [], []
+    for name in read_plan(names):
+        family = NAME.match(name.strip().lower())
+        ok = family is not None and family[1] in FAMILIES and (family[1].split("_")[0] != "fng" or "fng" in there) and (family[1] not in there or not family[2])
+        (good if ok else skipped).append(name)
+    return good, skipped
+
+
+def compute(bars: DataFrame, names: Iterable[str], by: list[str], on: str, shift: int = 0, chunk: int = CHUNK, strict: bool = True) -> DataFrame:
+    """Unknown names raise an error, or are left out if not ``strict`` (``known_names`` tells which). ``bars``' keys and the named indicators, in order; missing numbers are null. ``shift`` delays all of them by so many bars. ``on`` is unique in a series;
     chunks have ``chunk`` rows at least, more if an indicator's memory is long."""
-    plan = read_plan(names)
+    plan, unknown = known_names(names, bars.columns)
+    if strict and unknown:
+        raise ValueError(f"unknown indicators: {unknown}")
     parsed = {name: parse(name) for name in plan}
     base = [c for c in ("open", "high", "low", "close", "volume", "fng") if c in bars.columns]
     reach = max([memory(*p) for p in parsed.values()], default=0) + shift
@@ -384,6 +396,11 @@ def compute(bars: DataFrame, names: Iterable[str], by: list[str], on: str, shift
     return out.where("own").drop("own", "chunk")
 
 
+#: Families over rolling windows (``Rolling.build``).
+ROLLING = set("""open high low close volume fng fng_diff1 fng_z7d ttm_trend slope sma dpo mom roc cti cfo skew kurtosis entropy decay decreasing bias zscore willr cci uo truerange bbp vhf pvr eom pvt obv bop
+logret pctret stochk stochd kdj mfi hl_range dir_strength pxv_lr_vchg dirxvol tod_sin tod_cos dow_sin dow_cos""".split())
+FAMILIES = ROLLING | set(RECURSIVE)
+
 DEFAULT_PLAN = (
     "ttm_trend_6", "slope_5", "sma_10", "ema_12", "tema_10", "dpo_20", "rsi_14", "mom_10", "roc_10", "cti_12", "cfo_9", "skew_30", "kurtosis_30", "entropy_10", "decay_5", "decreasing_3",
     "cmo_14", "bias_26", "zscore_30", "willr_14", "cci_14", "uo_7_14_28", "atr_14", "atrp_14", "truerange", "massi_9_25", "bbp_16_2.0", "vhf_28", "rwih_14", "rwil_14", "pvr", "efi_13", "eom_14", "pvt",

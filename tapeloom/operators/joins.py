@@ -58,17 +58,28 @@ def overlap_only(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
 
 
 def flatten_minutes(bars: DataFrame, minutes: DataFrame, by: list[str], on: str, values: list[str], n: int = 15, fill: bool = False, cell: int = DAYS_30) -> DataFrame:
-    """The n minutes before each bar as columns m0_x (oldest) to m{n-1}_x: an equi-join on the minute, then one grouping.
+    """The n minutes before each bar as columns m0_x (oldest) to m{n-1}_x. Bars are unique; of several rows of a minute the greatest value counts.
 
-    With ``fill`` a minute that is there takes over missing values from the minutes before it, or 0; a minute that is not there has none either way."""
+    Bars and minutes meet in cells of time, where one frame over the last n minutes gathers a bar's rows and each is put in its place: both tables are shuffled once, and only minutes near
+    the end of a cell go to the next one too. With ``fill`` a minute that is there takes over missing values from the minutes before it, or 0; a minute that is not there
+    has none either way."""
     if fill:
         filled = carried(minutes.select(*by, on, *values), by, on, cell, {f"last {v}": ("last", F.col(v)) for v in values}, own=True)
         minutes = filled.select(*by, on, *[F.coalesce(F.col(f"`last {v}`"), F.lit(0)).alias(v) for v in values])
-    wanted = bars.select(*by, F.col(on).alias("bar_time"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("k"))
-    wanted = wanted.withColumn(on, F.col("bar_time") - (n - F.col("k")) * MINUTE)
-    found = wanted.join(minutes.select(*by, on, *values), [*by, on], "left")
-    picks = [F.max(F.when(F.col("k") == k, F.col(v))).alias(f"m{k}_{v}") for k in range(n) for v in values]
-    return found.groupBy(*by, "bar_time").agg(*picks).withColumnRenamed("bar_time", on)
+    span = n * MINUTE
+    home = lambda at: F.floor(at / cell)
+    one = F.struct(F.col(on).alias("at"), *[F.col(v).alias(f"v{k}") for k, v in enumerate(values)])
+    inner = minutes.select(*by, F.col(on).cast("long").alias(on), one.alias("minute row"), F.explode(F.sequence(home(F.col(on)), home(F.col(on) + span))).alias("cell of time"))
+    outer = bars.select(*by, F.col(on).cast("long").alias(on), F.lit(None).cast(inner.schema["minute row"].dataType).alias("minute row"), home(F.col(on)).alias("cell of time"))
+    both = inner.withColumn("is bar", F.lit(False)).unionByName(outer.withColumn("is bar", F.lit(True)))
+    frame = W.partitionBy(*by, "cell of time").orderBy(on).rangeBetween(-span, -1)
+    rows = both.withColumn("minute rows", F.collect_list("minute row").over(frame)).where("`is bar`")
+
+    def pick(k: int, field: str) -> Column:
+        there = F.filter("minute rows", lambda m: m["at"] == F.col(on) - (n - k) * MINUTE)
+        return F.array_max(F.transform(there, lambda m: m[field]))
+
+    return rows.select(*by, on, *[pick(k, f"v{j}").alias(f"m{k}_{v}") for k in range(n) for j, v in enumerate(values)])
 
 
 def within(points: DataFrame, spans: DataFrame, by: list[str], at: str, start: str, end: str, cell: int) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import EPS, ratio
-from .ranks import below, join_on
+from .ranks import below, join_on, streamed
 from .windows import positions
 
 
@@ -70,8 +71,9 @@ def linkage_clusters(pairs: DataFrame, names: list[str], cut: float) -> dict[str
     return {names[i]: k for k, a in enumerate(live) for i in members[a]}
 
 
-def msm(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> float:
-    """Move-split-merge distance of two series: dynamic programming over anti-diagonals, each computed as one vector."""
+def msm(x: np.ndarray, y: np.ndarray, c: float = 1.0, limit: float = np.inf) -> float:
+    """Move-split-merge distance of two series: dynamic programming over anti-diagonals, each computed as one vector. Infinite once it is known to be above
+    ``limit``: costs are no less than zero, and every path meets one of two neighbouring diagonals."""
     n, m = len(x), len(y)
     if not n or not m:
         return float(c * (n + m))
@@ -95,19 +97,46 @@ def msm(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> float:
         if k < m:
             best[0] = last[0] + cost(y[k], x[0], y[k - 1])
         before, last = last, best
+        if min(before.min(), last.min()) > limit:
+            return np.inf
     return float(last[-1])
 
 
-def msm_pairs(series: DataFrame, c: float = 1.0) -> DataFrame:
-    """(a, b, d) for a < b of (id, x array<double>): pairs are rows, each computed in some task. ``series`` has a row for each feature."""
+def nearest(x: np.ndarray, centres: list[np.ndarray], c: float = 1.0) -> tuple[int, float]:
+    """(number, distance) of the nearest centre, the first of equals. A distance is at least that of the first values, so centres are tried in that order, the later ones only
+    as far as they may still be nearest."""
+    bounds = [abs(float(x[0]) - float(v[0])) if len(x) and len(v) else 0.0 for v in centres]
+    best, at = np.inf, 0
+    for k in sorted(range(len(centres)), key=bounds.__getitem__):
+        if bounds[k] > best:
+            break
+        d = msm(x, centres[k], c, best)
+        if d < best or (d == best and k < at):
+            best, at = d, k
+    return at, float(best)
+
+
+def msm_pairs(series: DataFrame, c: float = 1.0, blocks: int = 16) -> DataFrame:
+    """(a, b, d) for a < b of (id, x array<double>), ids unique.
+
+    Series are dealt into blocks by the hash of their id, and every two blocks meet in a group of their own, so a series is sent once for each block and not once
+    for each pair; a task holds two blocks."""
+    kind = series.schema["id"].dataType.simpleString()
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    rows = series.select("id", "x", own.alias("block")).withColumn("other", other)
+    rows = rows.select(F.least("block", "other").alias("low block"), F.greatest("block", "other").alias("high block"), "block", "id", "x")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in batches:
-            yield pd.DataFrame({"a": p.a, "b": p.b, "d": [msm(np.asarray(x), np.asarray(y), c) for x, y in zip(p.xa, p.xb)]})
+    def run(table: pa.Table) -> list:
+        block, low, high = (table.column(k).to_numpy() for k in ("block", "low block", "high block"))
+        ids, x = table.column("id").to_pylist(), [np.asarray(v) for v in table.column("x").to_pylist()]
+        same = low[0] == high[0]
+        first = np.flatnonzero(block == low[0]).tolist()
+        pairs = [(i, j) for i in first for j in (first if same else np.flatnonzero(block == high[0]).tolist()) if (ids[i] < ids[j] if same else True)]
+        pairs = [(i, j) if ids[i] < ids[j] else (j, i) for i, j in pairs]
+        return [pa.array([ids[i] for i, _ in pairs], table.schema.field("id").type), pa.array([ids[j] for _, j in pairs], table.schema.field("id").type), pa.array([msm(x[i], x[j], c) for i, j in pairs], pa.float64())]
 
-    left = series.select(F.col("id").alias("a"), F.col("x").alias("xa"))
-    right = series.select(F.col("id").alias("b"), F.col("x").alias("xb"))
-    return left.join(right, F.col("a") < F.col("b")).repartition("a", "b").mapInPandas(run, f"a {series.schema['id'].dataType.simpleString()}, b {series.schema['id'].dataType.simpleString()}, d double")
+    return streamed(rows, ["low block", "high block"], ["block", "id"], f"a {kind}, b {kind}, d double", run)
 
 
 def msm_clusters(series: DataFrame, centres: list[list[float]], c: float = 1.0, rounds: int = 20, tolerance: float = 1e-6, reseed: bool = False) -> tuple[DataFrame, list[list[float]]]:
@@ -123,8 +152,8 @@ def msm_clusters(series: DataFrame, centres: list[list[float]], c: float = 1.0,
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in batches:
-                d = np.array([[msm(np.asarray(x), v, c) for v in held] for x in p.x]).reshape(len(p), len(held))
-                yield pd.DataFrame({"id": p.id, "x": p.x, "cluster": d.argmin(1), "d": d.min(1)})
+                found = [nearest(np.asarray(x), held, c) for x in p.x]
+                yield pd.DataFrame({"id": p.id, "x": p.x, "cluster": [k for k, _ in found], "d": [d for _, d in found]})
 
         return series.select("id", "x").mapInPandas(run, f"id {kind}, x array<double>, cluster int, d double")
 

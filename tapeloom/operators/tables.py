@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import NumericType
 
 from ..functions.numeric import correlation
 
@@ -25,6 +26,14 @@ def pick_columns(columns: Iterable[str], patterns: Iterable[str] = (), prefixes:
     return [c for c in columns if c in names or (heads and c.startswith(heads)) or any(fnmatchcase(c, g) for g in globs)]
 
 
+def feature_columns(df: DataFrame, time: str, exclude: Iterable[str] = (), prefixes: Iterable[str] = (), labels: bool = False) -> list[str]:
+    """The numeric columns of df, in their order, that may serve as features: neither the time nor, unless ``labels``, those named y_*, nor any that matches a glob pattern of ``exclude``.
+    With ``prefixes`` only columns that begin with one of them. Flags (boolean) are no numbers."""
+    heads, globs = tuple(prefixes), [*exclude, *([] if labels else ["y_*"])]
+    wanted = [f.name for f in df.schema if isinstance(f.dataType, NumericType) and (f.name.startswith(heads) if heads else f.name != time)]
+    return [c for c in wanted if not any(fnmatchcase(c, g) for g in globs)]
+
+
 def numbered_columns(columns: Iterable[str], prefix: str = "PC") -> list[str]:
     """The columns named prefix and a whole number, in order of the numbers."""
     found = [(int(c[len(prefix) :]), c) for c in columns if re.fullmatch(re.escape(prefix) + r"[+-]?\d+", c)]

@@ -7,6 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators import components as C
+from ..operators import curves as R
+from ..operators import folds as V
 from ..operators import book as K
 from ..operators import selection as P
 from ..operators import stats as S
@@ -14,6 +17,7 @@ from ..operators import tables as T
 from ..operators import windows as N
 from ..sources import records
 from ..sources.scratch import new_dir
+from ..sources.store import FeatureTable
 from .adapters import BARS_SQL, HOUR, TAPE_SQL, bars, rounded, sql, table, tape
 from .research import _EMB, _clusters, _pairs
 
@@ -163,6 +167,40 @@ def variance_inflation(spark, sf_dir):
     return rounded(spark.createDataFrame(list(found.items()), "feature string, vif double"))
 
 
+@query("class_curves", sql(TAPE_SQL + """, s AS (SELECT symbol, user_id % 3 AS y, qty / 101.0 AS a FROM tape), l AS (SELECT symbol, y, unnest([0, 1, 2]) AS k, unnest([(1 - a) * (1 - a), 2 * a * (1 - a), a * a]) AS score FROM s),
+ d AS (SELECT symbol, k::VARCHAR AS curve, score, (y = k)::INT AS hit FROM l UNION ALL SELECT symbol, 'micro', score, (y = k)::INT FROM l), c AS (SELECT symbol, curve, score, sum(hit) AS hits, count(*) AS n FROM d GROUP BY ALL),
+ k AS (SELECT *, sum(hits) OVER w AS tp, sum(n) OVER w AS said FROM c WINDOW w AS (PARTITION BY symbol, curve ORDER BY score DESC ROWS UNBOUNDED PRECEDING)),
+ r AS (SELECT symbol, curve, sum((n - hits) * (tp - hits / 2.0)) / (sum(hits) * sum(n - hits)) AS auc, sum(hits * tp / said) / sum(hits) AS ap FROM k GROUP BY ALL)""",
+    "SELECT * FROM r UNION ALL SELECT symbol, 'macro', avg(auc), avg(ap) FROM r WHERE curve <> 'micro' GROUP BY symbol", "symbol curve", "auc ap"))
+def class_curves(spark, sf_dir):
+    """Three classes, one against the rest, micro and macro."""
+    a = F.col("qty") / 101.0
+    t = tape(spark, sf_dir).select("symbol", (F.col("user_id") % 3).alias("y"), ((1 - a) * (1 - a)).alias("p0"), (2 * a * (1 - a)).alias("p1"), (a * a).alias("p2"))
+    return rounded(R.curve_areas(t, ["symbol"], "y", ["p0", "p1", "p2"]))
+
+
+@query("fold_components")
+def fold_components(spark, sf_dir):
+    """Shares of the first four components of the embeddings in five folds (checked against numpy in the tests)."""
+    names = [f"d{k}" for k in range(64)]
+    e = table(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate(names)])
+    models = C.fit_folds(e, names, V.blocks(e, "vec_id", 5), "vec_id", 4, embargo=10)
+    return rounded(C.component_tables(spark, models, names)[0])
+
+
+@query("feature_table", sql(BARS_SQL, "SELECT symbol, bar, close FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar DESC) AS i FROM bars) WHERE i <= 24", "symbol bar", "close"))
+def feature_table(spark, sf_dir):
+    """Bars appended in three overlapping versions, the second made a base; of each symbol the last day is given out."""
+    b = bars(spark, sf_dir).select("symbol", "bar", "close")
+    store = FeatureTable(spark, new_dir(spark, "features"), on="bar", most=24)
+    late = F.pmod(F.floor(F.col("bar") / HOUR), F.lit(3))
+    store.append(b.where(late <= 1).withColumn("close", F.when(late == 1, -1.0).otherwise(F.col("close"))))
+    store.append(b.where(late >= 1))
+    store.compact()
+    store.append(b.where(late == 0))
+    return rounded(store.rows())
+
+
 @query("average_precision", sql(TAPE_SQL + ", c AS (SELECT symbol, qty, sum(is_buyer_maker::INT) AS pos, count(*) AS n FROM tape GROUP BY ALL), k AS (SELECT *, sum(pos) OVER w / sum(n) OVER w AS pr FROM c WINDOW w AS (PARTITION BY symbol ORDER BY qty DESC ROWS UNBOUNDED PRECEDING))", "SELECT symbol, sum(pos * pr) / sum(pos) AS ap FROM k GROUP BY symbol", "symbol", "ap"))
 def average_precision(spark, sf_dir):
     return rounded(P.average_precision(tape(spark, sf_dir).select("symbol", F.col("qty").alias("score"), F.col("is_buyer_maker").cast("int").alias("y")), ["symbol"]))
