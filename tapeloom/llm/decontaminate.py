@@ -38,6 +38,7 @@ from .shingles import SIMILARITY, WORDS, WordHashes, normal_words, positions_of,
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
 #: All fingerprints within this distance are retrieved; matches beyond it are found by their rare shingles.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
+#: Words of the benchmark that are indexed at once, some 0.1 KB each.
 PART_WORDS = 2_000_000
 BROADCAST_IDS = 1_000_000
 
@@ -57,6 +58,19 @@ def weighted_similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / max(np.maximum(x, y).sum(), 1))
 
 
+def by_place(pairs: np.ndarray, places: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where the values of each place begin, the values) of distinct pairs (place, value): some bytes a pair, where sets would take hundreds."""
+    place, value = np.unique(pairs, axis=1)
+    return np.searchsorted(place, np.arange(places + 1)), value
+
+
+def values_at(held: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """The values of the given places, distinct and ascending."""
+    starts, values = held
+    sizes = starts[at + 1] - starts[at]
+    return np.unique(values[np.repeat(starts[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())])
+
+
 class Benchmark:
     """Items with their shingles, fingerprints and block index."""
 
@@ -72,28 +86,22 @@ class Benchmark:
         for k, (_, size, h) in enumerate(self.items):
             self.kinds.setdefault((size, len(h)), []).append(k)
         self.known = {size: np.unique(np.concatenate([h for _, s, h in self.items if s == size])) for size in {s for _, s, _ in self.items}}
-        self.owners: dict[int, dict[int, set[int]]] = {}
-        for size, known in self.known.items():
-            lengths: dict[int, set[int]] = {}
-            for _, s, h in self.items:
-                if s == size:
-                    for i in np.searchsorted(known, np.unique(h)).tolist():
-                        lengths.setdefault(i, set()).add(len(h))
-            self.owners[size] = lengths
-        #: By (words of a shingle, shingle's place in ``known``): the items that cannot reach the threshold without one of these shingles.
-        self.rare: dict[tuple[int, int], list[int]] = {}
+        #: By words of a shingle, of each known shingle: the lengths of the items that have it, and the items that cannot reach the threshold without one of their such shingles.
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.rare: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size, known in self.known.items():
-            spread = np.zeros(len(known), np.int64)
-            for _, s, h in self.items:
-                if s == size:
-                    spread[np.searchsorted(known, np.unique(h))] += 1
-            for k, (_, s, h) in enumerate(self.items):
-                if s == size:
-                    places = np.searchsorted(known, h)
-                    order = np.lexsort((places, spread[places]))
-                    # a match shares at least threshold * n positions of the item, so of any n - threshold * n + 1 one at least
-                    for i in np.unique(places[order[: len(h) - int(np.ceil(threshold * len(h) - 1e-9)) + 1]]).tolist():
-                        self.rare.setdefault((size, i), []).append(k)
+            own = [k for k, item in enumerate(self.items) if item[1] == size]
+            places = [np.searchsorted(known, self.items[k][2]) for k in own]
+            distinct = [np.unique(p) for p in places]
+            lengths = np.repeat([len(p) for p in places], [len(d) for d in distinct])
+            self.owners[size] = by_place(np.stack([np.concatenate(distinct), lengths]), len(known))
+            spread = np.bincount(np.concatenate(distinct), minlength=len(known))
+            needed = []
+            for p in places:
+                order = np.lexsort((p, spread[p]))
+                # a match shares at least threshold * n positions of the item, so of any n - threshold * n + 1 one at least
+                needed.append(np.unique(p[order[: len(p) - int(np.ceil(threshold * len(p) - 1e-9)) + 1]]))
+            self.rare[size] = by_place(np.stack([np.concatenate(needed), np.repeat(own, [len(x) for x in needed])]), len(known))
         self.prints = np.array([simhash(h) for _, _, h in self.items], np.uint64)
         self.index = []
         for b in range(BLOCKS):
@@ -125,14 +133,14 @@ class Benchmark:
             hits = np.zeros(len(h) + 1, np.int64)
             hits[at + 1] = 1
             hits = np.cumsum(hits)
-            for n in sorted(set().union(*(self.owners[size][i] for i in np.unique(which).tolist()))):
+            for n in values_at(self.owners[size], np.unique(which)).tolist():
                 m = min(n, len(h))
                 least = self.threshold / (1 + self.threshold) * (n + m) - 1e-9
                 for start in np.flatnonzero(hits[m:] - hits[:-m] >= least).tolist():
                     window = h[start : start + m]
                     low, high = np.searchsorted(at, (start, start + m))
-                    near = set(self.retrieve(simhash(window)).tolist()).union(*(self.rare.get((size, i), ()) for i in set(which[low:high].tolist())))
-                    for k in near:
+                    near = np.union1d(self.retrieve(simhash(window)), values_at(self.rare[size], np.unique(which[low:high])))
+                    for k in near.tolist():
                         if self.items[k][1] == size and len(self.items[k][2]) == n:
                             score = weighted_similarity(window, self.items[k][2])
                             if score >= self.threshold and (k not in best or score > best[k][0]):
