@@ -13,7 +13,7 @@ doc_id into ranges (bounds from approximate quantiles of the ids), and every ran
 more than its range and nothing passes through the driver but the bounds. A doc_id that fills several ranges is dealt into them by the
 hash of its texts.
 
-Cases: null and empty texts have the fingerprint of the empty text, "3::"; a single row is its own next one; rows
+Cases: doc_ids are whole numbers, as the next document is found by ranges of them; null and empty texts have the fingerprint of the empty text, "3::"; a single row is its own next one; rows
 that repeat a doc_id follow one another in the order of their texts (within each range of their hashes, if there are very many); rows without
 doc_id come first; an empty table gives an empty result; texts of any length are taken whole; other columns are ignored.
 """

@@ -9,7 +9,7 @@ base64) and ``endpoint`` (addresses with a scheme). A weak candidate is reported
 scope, the same text with an end at most ``REACH`` code points away, and do not overlap it: an identifier needs a secret, a key40 needs an
 identifier, an endpoint needs a secret and an identifier that itself has a secret in its scope. Parts are joined as intervals: equal text and equal cell of ``REACH`` code points,
 the weak side in all cells that it and its surroundings touch, with distance and order as further conditions; as a
-semi-join it makes no pairs.
+semi-join it makes no pairs. A weak candidate within a base span is part of that and not reported besides.
 
 Cases: null and empty texts have no spans (the hash is that of the empty string); every input row gives one
 row, repeats included; a null doc_id is kept; other columns are ignored; a text of any length is scanned whole.
@@ -78,7 +78,12 @@ def spans_of(parts: DataFrame) -> DataFrame:
     weak = identifiers.where("kind = 'identifier'")
     keys = supported(spans.where("kind = 'key40'"), parts_of("identifier"))
     endpoints = supported(supported(spans.where("kind = 'endpoint'"), identifiers), parts_of("secret"))
-    return spans.where(F.col("kind").isin(*BASE)).unionByName(weak).unionByName(keys).unionByName(endpoints)
+    base = spans.where(F.col("kind").isin(*BASE))
+    found = base.withColumn("weak", F.lit(0)).unionByName(weak.unionByName(keys).unionByName(endpoints).withColumn("weak", F.lit(1)))
+    # what lies within a base span is no further part: a base span that begins before or there ends no earlier
+    upto = W.partitionBy("row").orderBy("start", "weak").rowsBetween(W.unboundedPreceding, 0)  # the spans of a text
+    found = found.withColumn("covered", F.max(F.when(F.col("weak") == 0, F.col("end"))).over(upto))
+    return found.where("weak = 0 or covered is null or covered < end").drop("weak", "covered")
 
 
 def supported(weak: DataFrame, parts: DataFrame) -> DataFrame:
