@@ -492,13 +492,16 @@ TREES = {
     "a_scale": ("scale", "volume"),
     "a_sig": ("sigmoid", ("inverse", ("sqrt", "close"))),
 }
-ALPHA_SQL = sql(BARS_SQL, """SELECT symbol, bar, CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END - lag(close, 3) OVER w AS a_mix,
+ALPHA_BODY = """SELECT symbol, bar, CASE WHEN count(*) OVER w5 = 5 THEN avg(close) OVER w5 END - lag(close, 3) OVER w AS a_mix,
  CASE WHEN count(*) OVER w10 = 10 AND stddev_samp(close) OVER w10 > 1e-12 THEN (close - lag(close, 2) OVER w) / stddev_samp(close) OVER w10 END AS a_ratio,
  CASE WHEN count(*) OVER w12 = 12 THEN corr(close, volume) OVER w12 END AS a_corr,
  (4 * ln(abs(volume) + 1) + 3 * ln(abs(lag(volume) OVER w) + 1) + 2 * ln(abs(lag(volume, 2) OVER w) + 1) + ln(abs(lag(volume, 3) OVER w) + 1)) / 10 AS a_decay,
  sign(close - open) * pow(abs(close - open), 2) AS a_power, (rank() OVER (PARTITION BY symbol ORDER BY close) + (count(*) OVER (PARTITION BY symbol, close) - 1) / 2.0) / count(*) OVER (PARTITION BY symbol) AS a_rank,
  volume / sum(abs(volume)) OVER (PARTITION BY symbol) AS a_scale, CASE WHEN sqrt(close) > 1e-12 THEN 0.5 * (1 + tanh(1 / sqrt(close) / 2)) END AS a_sig
-FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar), w5 AS (PARTITION BY symbol ORDER BY bar ROWS 4 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY bar ROWS 9 PRECEDING), w12 AS (PARTITION BY symbol ORDER BY bar ROWS 11 PRECEDING)""", "symbol bar", "a_mix a_ratio a_corr a_decay a_power a_rank a_scale a_sig")
+FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar), w5 AS (PARTITION BY symbol ORDER BY bar ROWS 4 PRECEDING), w10 AS (PARTITION BY symbol ORDER BY bar ROWS 9 PRECEDING), w12 AS (PARTITION BY symbol ORDER BY bar ROWS 11 PRECEDING)"""
+ALPHA_SQL = sql(BARS_SQL, ALPHA_BODY, "symbol bar", " ".join(TREES))
+FITNESS_SQL = sql(BARS_SQL + f""", ax AS ({ALPHA_BODY}), ux AS (UNPIVOT ax ON {", ".join(TREES)} INTO NAME alpha VALUE v), tx AS (SELECT symbol, bar, lead(close) OVER (PARTITION BY symbol ORDER BY bar) - close AS target FROM bars)""",
+    "SELECT symbol, alpha, corr(v, target) AS ic FROM ux JOIN tx USING (symbol, bar) GROUP BY ALL", "symbol alpha", "ic")
 
 
 @query("alpha_expressions", ALPHA_SQL)
@@ -506,7 +509,7 @@ def alpha_expressions(spark, sf_dir):
     return rounded(A.evaluate(bars(spark, sf_dir), TREES, ["symbol"], "bar").select("symbol", "bar", *TREES))
 
 
-@query("alpha_fitness")
+@query("alpha_fitness", FITNESS_SQL)
 def alpha_fitness(spark, sf_dir):
     b = bars(spark, sf_dir)
     w = W.partitionBy("symbol").orderBy("bar")
