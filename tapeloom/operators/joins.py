@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .ranks import numbered
 from .windows import DAYS_30, carried, keep_first
 
 MINUTE = 60_000
@@ -119,7 +120,7 @@ def parity(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame
 
 
 def number_in_order(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return df.withColumn("k", F.row_number().over(W.partitionBy(*key).orderBy(*order)))
+    return numbered(df, key, order).withColumn("k", F.col("i") + 1).drop("i")
 
 
 def match_in_order(a: DataFrame, b: DataFrame, key: list[str], order_a: list[str], order_b: list[str]) -> DataFrame:

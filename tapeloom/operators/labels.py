@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.numeric import clean, gated
-from .ranks import expanding_quantile
-from .windows import ffill, fractional_difference, last_n, positions
+from .ranks import expanding_quantile, in_chunks
+from .windows import DAYS_30, carried, fractional_difference, fractional_weights, last_n, positions
 
 BLOCK = 256  # bars in a block, and blocks in a block of blocks
 
@@ -32,41 +32,54 @@ def fixed_horizon(bars: DataFrame, by: list[str], on: str, k: int, kind: str = "
     quantiles of all past k-bar returns, of which there are ``least``). ``triple``: as ``touch_label`` with ``scale`` deviations both ways.
     ``fractional`` (order, least weight): y_reg is the move over k bars of the fractionally differenced log price; y_cls stays as it is.
     """
-    w = W.partitionBy(*by).orderBy(on)
-    close = F.col("close")
-    rows = bars.withColumn("ahead", forward_return(close, w, k))
-    if kind in ("bps", "cost"):
-        rows = rows.withColumn("size", F.lag(F.lit((bps if kind == "bps" else cost_bps) / 1e4)).over(w))
-    elif kind == "vol":
-        rows = _past_deviation(rows, w, width, "size").withColumn("size", F.lag(F.col("size") * (scale * k**0.5)).over(w))
-    elif kind == "quantile":
-        rows = rows.withColumn("past", F.log(close / F.lag(close, k).over(w)))
-        rows = expanding_quantile(rows, by, on, "past", {"low size": q, "high size": 1 - q}, least)
-        rows = rows.withColumn("size", F.greatest(F.abs("low size"), F.abs("high size"))).drop("past", "low size", "high size")
-    elif kind == "triple":
-        rows = _past_deviation(rows, w, width, "size").withColumn("log close", F.log(close))
-        ahead = w.rowsBetween(1, k)
-        known = (F.count("log close").over(ahead) == k) & F.col("size").isNotNull()
-        up = F.max("log close").over(ahead) - F.col("log close") >= scale * F.col("size")
-        down = F.min("log close").over(ahead) - F.col("log close") <= -scale * F.col("size")
-        rows = rows.withColumn("y_cls", F.when(~known, -1).when(up & ~down, 2).when(down & ~up, 0).otherwise(1)).drop("log close")
-    else:
+    if kind not in ("bps", "cost", "vol", "quantile", "triple"):
         raise ValueError(f"unknown kind of label: {kind}")
+    close, own = F.col("close"), bars.columns
+    if fractional is not None:
+        bars = carried(bars, by, on, DAYS_30, {"log close": ("last", clean(F.log(close)))}, own=True)
+    back = max(k, width + 1, len(fractional_weights(*fractional)) if fractional is not None else 0)
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("i")
+        rows = rows.withColumn("ahead", forward_return(close, w, k))
+        if kind in ("bps", "cost"):
+            rows = rows.withColumn("size", F.lag(F.lit((bps if kind == "bps" else cost_bps) / 1e4)).over(w))
+        elif kind == "vol":
+            rows = _past_deviation(rows, w, width, "size").withColumn("size", F.lag(F.col("size") * (scale * k**0.5)).over(w))
+        elif kind == "quantile":
+            rows = rows.withColumn("past", F.log(close / F.lag(close, k).over(w)))
+        else:
+            rows = _past_deviation(rows, w, width, "size").withColumn("log of close", F.log(close))
+            ahead = w.rowsBetween(1, k)
+            known = (F.count("log of close").over(ahead) == k) & F.col("size").isNotNull()
+            up = F.max("log of close").over(ahead) - F.col("log of close") >= scale * F.col("size")
+            down = F.min("log of close").over(ahead) - F.col("log of close") <= -scale * F.col("size")
+            rows = rows.withColumn("y_cls", F.when(~known, -1).when(up & ~down, 2).when(down & ~up, 0).otherwise(1))
+        if fractional is not None:
+            rows = rows.withColumn("level", fractional_difference(F.col("log close"), w, *fractional))
+            rows = rows.withColumn("moved", F.lead("level", k).over(w) - F.col("level"))
+        return rows
+
+    rows = in_chunks(bars, by, on, back, k, work)
+    if kind == "quantile":
+        rows = expanding_quantile(rows, by, on, "past", {"low size": q, "high size": 1 - q}, least)
+        rows = rows.withColumn("size", F.greatest(F.abs("low size"), F.abs("high size")))
     if kind != "triple":
         rows = rows.withColumn("y_cls", F.when(F.col("ahead") > F.col("size"), 2).when(F.col("ahead") < -F.col("size"), 0).otherwise(1))
-    if fractional is not None:
-        rows = rows.withColumn("log close", ffill(clean(F.log(close)), w)).withColumn("level", fractional_difference(F.col("log close"), w, *fractional))
-        rows = rows.withColumn("ahead", F.lead("level", k).over(w) - F.col("level"))
-    return rows.select(*bars.columns, F.col("ahead").alias("y_reg"), "y_cls")
+    return rows.select(*own, F.col("moved" if fractional is not None else "ahead").alias("y_reg"), "y_cls")
 
 
 def touch_label(bars: DataFrame, by: list[str], on: str, k: int, up: float, down: float) -> DataFrame:
     """Add y_touch: 2 if only the upper level is reached by a close of the next k bars, 0 if only the lower, 1 if both or none, -1 if fewer bars follow."""
-    ahead = W.partitionBy(*by).orderBy(on).rowsBetween(1, k)
-    full = F.count("close").over(ahead) == k
-    high = F.max("close").over(ahead) >= F.col("close") * (1 + up)
-    low = F.min("close").over(ahead) <= F.col("close") * (1 - down)
-    return bars.withColumn("y_touch", F.when(~full, -1).when(high & ~low, 2).when(low & ~high, 0).otherwise(1))
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        ahead = W.partitionBy(*keys).orderBy("i").rowsBetween(1, k)
+        full = F.count("close").over(ahead) == k
+        high = F.max("close").over(ahead) >= F.col("close") * (1 + up)
+        low = F.min("close").over(ahead) <= F.col("close") * (1 - down)
+        return rows.withColumn("y_touch", F.when(~full, -1).when(high & ~low, 2).when(low & ~high, 0).otherwise(1))
+
+    return in_chunks(bars, by, on, 0, k, work).drop("i")
 
 
 def volatility(bars: DataFrame, by: list[str], on: str, n: int) -> DataFrame:

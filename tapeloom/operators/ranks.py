@@ -22,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.numeric import clean
 from ..sources.scratch import written
+from .windows import halo, own_rows
 
 #: Rows of a time cell or a value cell at least, and such cells of a series at most.
 CELL, GRID = 4096, 1024
@@ -38,10 +39,10 @@ def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(renamed, same, how).drop(*[f"key {k}" for k in keys])
 
 
-def dealt(rows: DataFrame, by: list[str], on: str) -> DataFrame:
+def dealt(rows: DataFrame, by: list[str], on: str | list[str]) -> DataFrame:
     """rows with (part, at): sorted by (by, on), dealt into parts by range. at is the place in all parts, with gaps between them."""
     spark = rows.sparkSession
-    order = [F.col(f"`{c}`").asc_nulls_first() for c in (*by, on)]
+    order = [F.col(f"`{c}`").asc_nulls_first() for c in (*by, *([on] if isinstance(on, str) else on))]
     parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
     return written(parts.withColumn("at", F.monotonically_increasing_id()), "dealt").withColumn("part", F.shiftright("at", 33))
 
@@ -95,8 +96,8 @@ def rank_correlation(rows: DataFrame, by: list[str], x: str, y: str) -> DataFram
     return out.select(*by, F.when(spread > 0, F.col("xy") / F.when(spread > 0, spread)).alias("spearman"))
 
 
-def numbered(df: DataFrame, by: list[str], on: str, name: str = "i") -> DataFrame:
-    """df, written, with the place of a row in its group by ``on``, from 0; rows of one ``on`` are in no order."""
+def numbered(df: DataFrame, by: list[str], on: str | list[str], name: str = "i") -> DataFrame:
+    """df, written, with the place of a row in its group by ``on`` (one column or several), from 0; rows of equal ``on`` are in no order."""
     rows = dealt(df, by, on)
     keys = [F.col(f"`{k}`") for k in by]
     parts = rows.groupBy(*keys, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
@@ -105,6 +106,30 @@ def numbered(df: DataFrame, by: list[str], on: str, name: str = "i") -> DataFram
     return join_on(rows, shift, [*by, "part"]).withColumn(name, F.col("at") + F.col("shift")).drop("part", "at", "shift")
 
 
+def in_chunks(df: DataFrame, by: list[str], on: str, before: int, after: int, work: Callable[[DataFrame, list[str]], DataFrame], chunk: int = CELL) -> DataFrame:
+    """``work(rows, keys)`` on chunks of a series instead of the series: rows have their place ``i`` in it, keys are those of a chunk, and each chunk has the ``before`` rows before it and
+    the ``after`` rows behind it too. Windows over keys whose frames reach no further give the values of the whole series. ``work`` keeps the columns chunk and own."""
+    rows = halo(numbered(df, by, on), "i", max(chunk, 4 * (before + after)), before, after)
+    return own_rows(work(rows, [*by, "chunk"]))
+
+
+def every_nth(df: DataFrame, by: list[str], on: str, n: int) -> DataFrame:
+    """The first row of each series and every n-th after it."""
+    return numbered(df, by, on).where(F.col("i") % n == 0).drop("i")
+
+
+def sequences(df: DataFrame, by: list[str], on: str, columns: list[str], length: int, stride: int = 1, include: bool = True) -> DataFrame:
+    """Windows of ``length`` rows as arrays, ending at the row itself or at the one before it."""
+    first = length - 1 if include else length
+
+    def work(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = W.partitionBy(*keys).orderBy("i")
+        return rows.withColumn("window", F.collect_list(F.struct(*columns)).over(w.rowsBetween(-first, 0 if include else -1)))
+
+    rows = in_chunks(df.select(*dict.fromkeys([*by, on, *columns])), by, on, length, 0, work)
+    return rows.where((F.size("window") == length) & ((F.col("i") - first) % stride == 0)).select(*by, on, "window")
+
+
 def exact_quantiles(df: DataFrame, levels: dict[str, list[float]]) -> dict[str, list[float]]:
     """The quantiles of each named column at its levels, between neighbours by position; none for a column without values (null and NaN are none).
 

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import NumericType
 
 from ..functions.numeric import correlation
+from .ranks import in_chunks
 
 DAY = 86_400_000
 
@@ -139,8 +140,8 @@ def mean_correlation(pairs: DataFrame, items: DataFrame) -> DataFrame:
 
 def autocorrelation(df: DataFrame, by: list[str], on: str, x: str, lag: int = 1) -> DataFrame:
     """(by, r): the correlation of a series with itself ``lag`` rows before."""
-    before = F.lag(x, lag).over(W.partitionBy(*by).orderBy(on))
-    return df.withColumn("value before", before).groupBy(*by).agg(correlation(x, "value before").alias("r"))
+    work = lambda rows, keys: rows.withColumn("value before", F.lag(x, lag).over(W.partitionBy(*keys).orderBy("i")))
+    return in_chunks(df.select(*dict.fromkeys([*by, on, x])), by, on, lag, 0, work).groupBy(*by).agg(correlation(x, "value before").alias("r"))
 
 
 def set_counts(parts: dict[str, DataFrame]) -> DataFrame:

@@ -248,16 +248,3 @@ def keep_first(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def tail(df: DataFrame, by: list[str], on: str, n: int) -> DataFrame:
     return df.withColumn("k", F.row_number().over(W.partitionBy(*by).orderBy(F.desc(on)))).where(F.col("k") <= n).drop("k")
-
-
-def every_nth(df: DataFrame, by: list[str], on: str, n: int) -> DataFrame:
-    return df.withColumn("k", F.row_number().over(series(by, on)) - 1).where(F.col("k") % n == 0).drop("k")
-
-
-def sequences(df: DataFrame, by: list[str], on: str, columns: list[str], length: int, stride: int = 1, include: bool = True) -> DataFrame:
-    """Windows of ``length`` rows as arrays, ending at the row itself or at the one before it."""
-    w = series(by, on)
-    frame = w.rowsBetween(-(length - 1), 0) if include else w.rowsBetween(-length, -1)
-    rows = df.withColumns({"at": F.row_number().over(w) - 1, "window": F.collect_list(F.struct(*columns)).over(frame)})
-    first = length - 1 if include else length
-    return rows.where((F.size("window") == length) & ((F.col("at") - first) % stride == 0)).select(*by, on, "window")

@@ -414,12 +414,12 @@ def latest_rows(spark, sf_dir):
 
 @query("every_nth", sql(BARS_SQL, "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS k FROM bars) WHERE k % 7 = 0", "symbol bar", "close"))
 def every_nth(spark, sf_dir):
-    return rounded(N.every_nth(bars(spark, sf_dir), ["symbol"], "bar", 7).select("symbol", "bar", "close"))
+    return rounded(R.every_nth(bars(spark, sf_dir), ["symbol"], "bar", 7).select("symbol", "bar", "close"))
 
 
 @query("sequence_windows", sql(BARS_SQL, "SELECT symbol, bar, s FROM (SELECT symbol, bar, count(*) OVER w AS n, sum(close) OVER w AS s, row_number() OVER (PARTITION BY symbol ORDER BY bar) - 1 AS i FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bar ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING)) WHERE n = 12 AND (i - 12) % 3 = 0", "symbol bar", "s"))
 def sequence_windows(spark, sf_dir):
-    seq = N.sequences(bars(spark, sf_dir), ["symbol"], "bar", ["close"], 12, 3, include=False)
+    seq = R.sequences(bars(spark, sf_dir), ["symbol"], "bar", ["close"], 12, 3, include=False)
     return rounded(seq.select("symbol", "bar", F.aggregate("window", F.lit(0.0), lambda a, x: a + x.close).alias("s")))
 
 
