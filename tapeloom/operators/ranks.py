@@ -312,37 +312,40 @@ def expanding_quantile(df: DataFrame, by: list[str], on: str, value: str, qs: di
     base = _grid_counts(rows, by).groupBy(*by, "tc").agg(F.transform(F.array_sort(F.collect_list(F.struct("vc", "before"))), lambda s: s["before"]).alias("base"))  # 2 * GRID numbers
     elements = rows.where("vc % 2 = 0").select(*by, "vc", F.col("tc").alias("element tc"), "i", "v")
     crowded = rows.where("vc % 2 = 1").groupBy(*by, "vc").agg(F.max("v").alias("only v"))
-    out = df
-    for name, q in qs.items():
-        asked = written(_queries(rows, base, by, q, least), "quantiles")
-        sides = asked.select(*by, "tc", "i", F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("low vc").alias("vc"), F.col("low place").alias("place")), F.struct(F.lit("high").alias("side"), F.col("high vc").alias("vc"), F.col("high place").alias("place")))).alias("asked for"))
-        sides = sides.select(*by, "tc", "i", F.col("`asked for`.side"), F.col("`asked for`.vc"), F.col("`asked for`.place"))
-        wanted = sides.where("vc % 2 = 0").select(*by, "vc", "tc").distinct()
-        near = join_on(wanted, elements, [*by, "vc"]).where(F.col("`element tc`") <= F.col("tc"))
-        found = _selected(near, sides.where("vc % 2 = 0"), by)
-        alone = join_on(sides.where("vc % 2 = 1"), crowded, [*by, "vc"]).select(*by, "i", "side", F.col("only v").alias("v"))
-        ends = found.unionByName(alone).groupBy(*by, "i").agg(F.max(F.when(F.col("side") == "low", F.col("v"))).alias("low v"), F.max(F.when(F.col("side") == "high", F.col("v"))).alias("high v"))
-        got = join_on(asked.select(*by, on, "i", "part"), ends, [*by, "i"])
-        low, high = F.col("`low v`"), F.col("`high v`")
-        out = join_on(out, got.select(*by, on, (low + (high - low) * F.col("part")).alias(name)), [*by, on], "left")
-    return out
-
-
-def _queries(rows: DataFrame, base: DataFrame, by: list[str], q: float, least: int) -> DataFrame:
-    """(by, on, tc, i, low vc, low place, high vc, high place, part) of the rows with enough values before them."""
+    asked = written(_queries(rows, base, by, qs, least), "quantiles")
+    both = [F.struct(F.concat_ws(" ", "name", F.lit(s)).alias("side"), F.col(f"{s} vc").alias("vc"), F.col(f"{s} place").alias("place")) for s in ("low", "high")]
+    sides = asked.select(*by, "tc", "i", F.explode(F.array(*both)).alias("asked for")).select(*by, "tc", "i", *[F.col(f"`asked for`.{c}") for c in ("side", "vc", "place")])
+    wanted = sides.where("vc % 2 = 0").select(*by, "vc", "tc").distinct()
+    near = join_on(wanted, elements, [*by, "vc"]).where(F.col("`element tc`") <= F.col("tc"))
+    found = _selected(near, sides.where("vc % 2 = 0"), by)
+    alone = join_on(sides.where("vc % 2 = 1"), crowded, [*by, "vc"]).select(*by, "i", "side", F.col("only v").alias("v"))
+    ends = found.unionByName(alone).groupBy(*by, "i").agg(*[F.max(F.when(F.col("side") == f"{n} {s}", F.col("v"))).alias(f"{n} {s}") for n in qs for s in ("low", "high")])
+    parts = asked.groupBy(*by, on, "i").agg(*[F.max(F.when(F.col("name") == n, F.col("part"))).alias(f"{n} part") for n in qs])
+    between = lambda n: F.col(f"`{n} low`") + (F.col(f"`{n} high`") - F.col(f"`{n} low`")) * F.col(f"`{n} part`")
+    return join_on(df, join_on(parts, ends, [*by, "i"]).select(*by, on, *[between(n).alias(n) for n in qs]), [*by, on], "left")
+
+
+def _queries(rows: DataFrame, base: DataFrame, by: list[str], qs: dict[str, float], least: int) -> DataFrame:
+    """(by, on, tc, i, name, low vc, low place, high vc, high place, part) of the rows with enough values before them."""
     heads = base.select(*by, "tc", "base").withColumn("i", F.lit(-1).cast("long"))
     every = rows.drop("v", "first", "ties", "size").withColumn("base", F.lit(None).cast("array<bigint>")).unionByName(heads, allowMissingColumns=True)
     names = [c for c in rows.columns if c not in ("v", "first", "ties", "size", "vc")]
     added = ["low vc", "low place", "high vc", "high place"]
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + "".join(f", `{c}` long" for c in added) + ", part double"
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names) + ", name string" + "".join(f", `{c}` long" for c in added) + ", part double"
 
     def compute(table: pa.Table) -> list[pa.Array]:
         head, own = table.column("base")[0], table.slice(1)
         vc = own.column("vc")
         known = vc.is_valid().to_numpy()
-        found = _cells_of_quantiles(np.asarray(head.values), vc.fill_null(0).to_numpy(), known, q, least)
-        keep = pa.array(found[0] >= 0)
-        return [c.filter(keep) for c in (*(own.column(n) for n in names), *(pa.array(f) for f in found))]
+        made = []
+        for name, q in qs.items():
+            found = _cells_of_quantiles(np.asarray(head.values), vc.fill_null(0).to_numpy(), known, q, least)
+            keep = pa.array(found[0] >= 0)
+            made.append(own.select(names).append_column("name", pa.array([name] * own.num_rows, pa.string())))
+            for c, f in zip([*added, "part"], found):
+                made[-1] = made[-1].append_column(c, pa.array(f))
+            made[-1] = made[-1].filter(keep)
+        return pa.concat_tables(made).columns
 
     return streamed(every, [*by, "tc"], ["i"], schema, compute)
 
