@@ -80,6 +80,8 @@ SELECT event_id, ms // 60000 * 60000 AS open_1m, ms // 21600000 * 21600000 AS op
  epoch_ms(date_trunc('month', make_timestamp(loc * 1000))::TIMESTAMP) - 28800000 AS "open_1M",
  loc // 86400000 * 86400000 - 28800000 + 86399999 AS close_1d, epoch_ms((date_trunc('month', make_timestamp(loc * 1000)) + INTERVAL 1 MONTH)::TIMESTAMP) - 28800001 AS "close_1M" FROM t""")
 def bar_time_rules(spark, sf_dir):
+    """Minutes are m and months M, so its result is a table only where case tells columns apart, when it is written and when it is read (a setting of the session)."""
+    spark.conf.set("spark.sql.caseSensitive", "true")
     ms = bartime.ms_of(F.col("ts"))
     opens = [bartime.bar_open_ms(ms, i).alias(f"open_{i}") for i in ("1m", "6h", "1d", "3d", "1w", "1M")]
     closes = [bartime.bar_close_ms(bartime.bar_open_ms(ms, i), i).alias(f"close_{i}") for i in ("1d", "1M")]

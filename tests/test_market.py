@@ -66,6 +66,16 @@ def test_time_contract(spark):
     assert r.o1w == int(dt.datetime(2026, 2, 16, tzinfo=ZONE).timestamp() * 1000) and r["o1M"] == int(dt.datetime(2026, 2, 1, tzinfo=ZONE).timestamp() * 1000)
 
 
+def test_minutes_and_months_are_two_columns_of_a_table(spark, tmp_path):
+    own, out = spark.newSession(), str(tmp_path / "bars")
+    rows = market.QUERIES["bar_time_rules"](own, "/root/testdata/sf0.001")
+    rows.write.parquet(out)
+    kept = own.read.parquet(out)
+    assert kept.columns == rows.columns and {"open_1m", "open_1M"} < set(kept.columns)
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, rows.collect()))
+    assert kept.where("open_1m <> open_1M").count() > 0
+
+
 BOOK = "symbol string, bar long, depth int, bids array<struct<price:double,qty:double>>, asks array<struct<price:double,qty:double>>"
 
 
