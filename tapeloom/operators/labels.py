@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.numeric import clean, gated
+from ..functions.numeric import clean, gated, ratio
 from .ranks import expanding_quantile, in_chunks
 from .windows import DAYS_30, carried, fractional_difference, fractional_weights, last_n, positions
 
@@ -210,10 +210,16 @@ def barrier_grid(bars: DataFrame, events: DataFrame, by: list[str], on: str, hor
 
 
 def trade_summary(trades: DataFrame) -> DataFrame:
-    """Totals, results and win rates, overall and for each side, by grouping sets (side null: overall)."""
+    """Totals, results and win rates, overall and for each side, by grouping sets (side null: overall).
+
+    Without trades the overall row is there too: counts 0, results and win rate null. A roll-up of no rows has none, so a row that is no trade is rolled up along.
+    """
     pnl = F.coalesce(F.when(F.col("label") == 1, F.abs(F.col("pt") / F.col("entry_price") - 1)).when(F.col("label") == 0, -F.abs(F.col("sl") / F.col("entry_price") - 1)), F.lit(0.0))
-    rows = trades.withColumn("pnl", pnl)
-    return rows.rollup("side").agg(F.count(F.lit(1)).alias("trades"), F.count_if(F.col("label") == 1).alias("wins"), F.sum("pnl").alias("pnl_sum"), F.avg("pnl").alias("pnl_mean")).withColumn("win_rate", F.col("wins") / F.col("trades"))
+    rows = trades.select("side", "label", pnl.alias("pnl"), F.lit(True).alias("is_trade"))
+    none = trades.sparkSession.range(1, numPartitions=1).select(*[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c != "is_trade"], F.lit(False).alias("is_trade"))
+    out = rows.union(none).rollup("side").agg(
+        F.count_if("is_trade").alias("trades"), F.count_if(F.col("label") == 1).alias("wins"), F.sum("pnl").alias("pnl_sum"), F.avg("pnl").alias("pnl_mean"), F.grouping("side").alias("overall"))
+    return out.where("trades > 0 or overall = 1").drop("overall").withColumn("win_rate", ratio(F.col("wins"), F.col("trades")))
 
 
 def flip_signals(bars: DataFrame, by: list[str], on: str, lookback: int) -> DataFrame:

@@ -226,7 +226,8 @@ def barrier_grid_open(spark, sf_dir):
 
 @query("trade_summary", sql(BARRIER, "SELECT side, count(*) AS trades, count(*) FILTER (label = 1) AS wins, sum(pnl) AS pnl_sum, avg(pnl) AS pnl_mean, count(*) FILTER (label = 1) / count(*) AS win_rate FROM (SELECT *, coalesce(CASE WHEN label = 1 THEN abs(pt / entry_price - 1) WHEN label = 0 THEN -abs(sl / entry_price - 1) END, 0) AS pnl FROM tb) GROUP BY ROLLUP (side)", "side trades wins", "pnl_sum pnl_mean win_rate"))
 def trade_summary(spark, sf_dir):
-    return rounded(L.trade_summary(_barrier(spark, sf_dir)))
+    """Without trades the win rate is NaN, as 0 / 0 is in the SQL."""
+    return rounded(L.trade_summary(_barrier(spark, sf_dir)).fillna(float("nan"), subset=["win_rate"]))
 
 
 @query("volatility_atr", sql(BARS_SQL, """SELECT symbol, bar, lag(CASE WHEN k >= 14 THEN a / close END) OVER (PARTITION BY symbol ORDER BY bar) AS vol FROM (SELECT symbol, bar, close, avg(tr) OVER v AS a, count(tr) OVER v AS k FROM

@@ -1,5 +1,6 @@
 """Selection and report operators against straight loops."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -73,6 +74,23 @@ def test_barriers_mirror_for_shorts(spark):
     assert got[1].label == 1 and got[-1].label == 0 and got[1].t1 == got[-1].t1 == 1 and got[1].pt == got[-1].sl
 
 
+def test_summary_of_no_trades(spark, tmp_path):
+    trades = spark.createDataFrame([(1, 1, 100.0, 110.0, 95.0), (1, None, 100.0, 110.0, 95.0), (None, 0, 100.0, 110.0, 95.0)], "side int, label int, entry_price double, pt double, sl double")
+    got = sorted(map(tuple, labels.trade_summary(trades).select("side", "trades", "wins", "win_rate").collect()), key=str)
+    assert got == [(1, 2, 1, 0.5), (None, 1, 0, 0.0), (None, 3, 1, 1 / 3)]  # of a side unknown, and of all
+    assert list(map(tuple, labels.trade_summary(trades.limit(0)).collect())) == [(None, 0, 0, None, None, None)]
+
+    # the values of each hour lie within those of the hours before, so there is no signal
+    rows = ", ".join(f"({h}, TIMESTAMP_NTZ '2024-01-01 {h:02}:00:00', 1L, 'view', 5.0D, '{{\"k\": 1}}')" for h in range(12))
+    spark.sql(f"SELECT * FROM VALUES {rows} AS t(event_id, ts, user_id, event_type, value, props)").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    df = plans.queries()["trade_summary"](spark, str(tmp_path))
+    text = lambda rows: [tuple(map(str, r)) for r in rows]
+    want = con.execute(plans.oracle_sql()["trade_summary"])
+    assert df.columns == [c[0] for c in want.description] and text(df.collect()) == text(want.fetchall()) == [("None", "0", "0", "None", "None", "nan")]
+
+
 def test_side_words(spark):
     rows = [("Long", 1), (" sell ", -1), ("空", -1), ("2.5", 1), ("-1", -1), ("0", None), ("x", None), (None, None)]
     got = spark.createDataFrame([(k, a) for k, (a, _) in enumerate(rows)], "k int, a string").select("k", selection.side_of(F.col("a")).alias("s")).collect()
